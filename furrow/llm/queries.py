@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from furrow.llm.quality import op3_quality_classifier
+from furrow.llm.rules import op8_quality_rules
+from furrow.llm.secrets import op4_secret_scans
 from furrow.llm.sharding import op2_sharding
+from furrow.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_secret_scans": op4_secret_scans,
+    "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL}
