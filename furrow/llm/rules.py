@@ -20,12 +20,13 @@ SMOOTHING = 1.0
 MAX_TRUSTED = 16_384
 #: Mean log-likelihood ratio per n-gram below which a text is rejected.
 THRESHOLD = -0.25
-_TOKEN = r"[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\x20\\x09-\\x0D]+"
+#: Runs of ASCII punctuation, and runs of anything else but white space.
+_TOKEN = r"[!-/:-@\\[-`{-~]+|[^!-/:-@\\[-`{-~\\x20\\x09-\\x0D]+"
 
 
 def _bins(docs: DataFrame) -> DataFrame:
     """docs with bins: an int per unigram and bigram of the whole text (null: none)."""
-    tokens = docs.withColumn("__tokens", F.expr(f"regexp_extract_all(lower(coalesce(text, '')), '{_TOKEN}', 0)"))
+    tokens = docs.withColumn("__tokens", F.expr(f"regexp_extract_all(coalesce(text, ''), '{_TOKEN}', 0)"))
     one = f"transform(__tokens, t -> cast(pmod(xxhash64(t), {BINS}) as int))"
     two = f"transform(slice(__tokens, 1, greatest(size(__tokens) - 1, 0)), (t, i) -> cast(pmod(xxhash64(t, get(__tokens, i + 1)), {BINS}) as int))"
     return tokens.withColumn("bins", F.expr(f"concat({one}, {two})")).drop("__tokens")
@@ -40,10 +41,12 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, max_trusted: int = MAX_TR
     """
     ids = trusted.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("trusted"))).limit(max_trusted)
     marked = docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("__trusted", F.lit(1))), "doc_id", "left")
-    counts = _bins(marked).select(F.explode("bins").alias("bin"), "__trusted").groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("target")).collect()
+    # explode_outer: for explode, Catalyst infers a filter that repeats the whole tokenising inside a lambda
+    counts = _bins(marked).select(F.explode_outer("bins").alias("bin"), "__trusted").groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("target")).collect()
     raw, target = [0] * BINS, [0] * BINS
-    for b, r, t in counts:  # BINS rows at most
-        raw[b], target[b] = r, t
+    for b, r, t in counts:  # BINS rows at most, and one of texts without n-grams
+        if b is not None:
+            raw[b], target[b] = r, t
     off_t, off_r = (math.log(sum(x) + SMOOTHING * BINS) for x in (target, raw))
     return [math.log(t + SMOOTHING) - off_t - math.log(r + SMOOTHING) + off_r for t, r in zip(target, raw, strict=True)]
 
