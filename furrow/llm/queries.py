@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from furrow.llm.decontaminate import op9_benchmark_decontamination
+from furrow.llm.mixing import op6_mixing
 from furrow.llm.quality import op3_quality_classifier
 from furrow.llm.rules import op8_quality_rules
 from furrow.llm.secrets import op4_secret_scans
@@ -13,7 +15,9 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_secret_scans": op4_secret_scans,
+    "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL}

@@ -70,8 +70,15 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, classes: np.ndarray = WORD_CLASS) -> Words:
-    """Runs of one class, none of them across rows; lower folds A-Z in the hashes alone."""
+_PUNCTUATION = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, classes: np.ndarray = WORD_CLASS, strip: bool = False) -> Words:
+    """Runs of one class, none of them across rows.
+
+    lower folds A-Z in the hashes alone; strip takes ASCII punctuation off both
+    ends of each run and leaves out runs of nothing else.
+    """
     offsets = offsets - offsets[0]
     n = len(data)
     if n == 0:
@@ -86,6 +93,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, classes: n
     start, end = edge[:-1], edge[1:]
     real = kind[start] != 0
     start, end = start[real], end[real]
+    if strip and len(start):
+        plain = ~_PUNCTUATION[data]
+        here = np.arange(n)
+        last = np.maximum.accumulate(np.where(plain, here, -1))[end - 1] + 1
+        start = np.minimum.accumulate(np.where(plain, here, n)[::-1])[::-1][start]
+        some = last > start
+        start, end = start[some], last[some]
     up, down = _power(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[:n], out=total[1:])
