@@ -2,9 +2,10 @@
 
 A text's tokens are runs of letters and digits and runs of one symbol; a token
 equal to the one before it becomes a repeat mark. Unigrams and bigrams of the
-tokens are hashed into 2**BITS bins and weigh as their share of the text's
-n-grams, times SCALE, so a score depends on the text alone. Null and empty texts
-have no n-gram and score by the intercept.
+tokens are hashed into 2**BITS bins. An n-gram found c times among n weighs
+SCALE * c / n ("share", for traits of a whole text) or c ("count", for traits
+that a few words show). Null and empty texts have no n-gram and score by the
+intercept.
 """
 
 from __future__ import annotations
@@ -44,13 +45,17 @@ def _bins(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (both >> np.uint64(64 - BITS)).astype(np.int32), row, np.bincount(row, minlength=rows)
 
 
-def margins(column: pa.Array, weights: np.ndarray) -> np.ndarray:
+def _scale(n: np.ndarray, weigh: str) -> np.ndarray:
+    return SCALE / np.maximum(n, 1) if weigh == "share" else np.ones(len(n))
+
+
+def margins(column: pa.Array, weights: np.ndarray, weigh: str = "share") -> np.ndarray:
     """Sparse dot products of every text with each column of weights (2**BITS + 1 rows, the last the intercept)."""
     out = np.zeros((len(column), weights.shape[1]))
     for lo, hi, data, offsets in slices(column):
         bins, row, n = _bins(data, offsets)
         for k in range(weights.shape[1]):
-            out[lo:hi, k] = np.bincount(row, weights[bins, k], minlength=hi - lo) * SCALE / np.maximum(n, 1)
+            out[lo:hi, k] = np.bincount(row, weights[bins, k], minlength=hi - lo) * _scale(n, weigh)
     return out + weights[-1]
 
 
@@ -58,7 +63,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], weigh: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in slices(batch.column("text")):
             bins, row, n = _bins(data, offsets)
@@ -67,7 +72,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.searchsorted(at, np.arange(hi - lo + 1))
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [part.column("r"), part.column("y"), lists((key & ((1 << BITS) - 1)).astype(np.int32), first, pa.int32()), lists((count * SCALE / n[at]).astype(np.float32), first, pa.float32())],
+                [part.column("r"), part.column("y"), lists((key & ((1 << BITS) - 1)).astype(np.int32), first, pa.int32()), lists((count * _scale(n, weigh)[at]).astype(np.float32), first, pa.float32())],
                 names=["r", "y", "bins", "x"],
             )
 
@@ -92,7 +97,7 @@ def ftrl(rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], outputs: int
     return weights(z, n)
 
 
-def train(docs: DataFrame, labelled: DataFrame, outputs: int, max_labelled: int = MAX_LABELLED) -> np.ndarray:
+def train(docs: DataFrame, labelled: DataFrame, outputs: int, max_labelled: int = MAX_LABELLED, weigh: str = "share", l1: float = 0.05, alpha: float = 0.5) -> np.ndarray:
     """Weights (2**BITS + 1, outputs) from labelled (doc_id, y array<double>) and the texts of docs.
 
     Labelled rows with a null id or target are left out; of ids labelled more
@@ -106,7 +111,7 @@ def train(docs: DataFrame, labelled: DataFrame, outputs: int, max_labelled: int
         .withColumn("r", F.xxhash64("doc_id", F.lit("train"))).orderBy("r").limit(max_labelled)
     )
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(some), "doc_id")
-    features = rows.select("r", "y", "text").mapInArrow(_features, "r long, y array<double>, bins array<int>, x array<float>")
+    features = rows.select("r", "y", "text").mapInArrow(lambda batches: _features(batches, weigh), "r long, y array<double>, bins array<int>, x array<float>")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [0]
@@ -118,7 +123,7 @@ def train(docs: DataFrame, labelled: DataFrame, outputs: int, max_labelled: int
                     seen[0] += 1
                     yield tuple(c[i].values.to_numpy(zero_copy_only=False) for c in columns)
 
-        w = ftrl(each(), outputs)
+        w = ftrl(each(), outputs, alpha=alpha, l1=l1)
         at = np.flatnonzero(np.abs(w).sum(1))
         if seen[0]:
             at = np.union1d(at, [len(w) - 1])

@@ -24,6 +24,7 @@ DOMAINS = ("clean", "toxic", "junk")
 #: Share of each domain's expected tokens in the mixture.
 TARGETS = {"clean": 0.97, "toxic": 0.02, "junk": 0.01}
 STEPS = 30
+FIT = {"weigh": "count", "l1": 3.0, "alpha": 0.3}
 CLOSE = 1e-4
 
 
@@ -35,11 +36,11 @@ def memberships(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     """
     domain = F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").otherwise("clean")
     y = labels.where("quality is not null and toxic is not null").select("doc_id", F.array(*[(domain == d).cast("double") for d in DOMAINS]).alias("y"))
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, y, len(DOMAINS), max_labelled))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, y, len(DOMAINS), max_labelled, **FIT))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = sigmoid(margins(batch.column("text"), model.value))
+            each = sigmoid(margins(batch.column("text"), model.value, FIT["weigh"]))
             p = each / each.sum(1, keepdims=True)
             n = np.concatenate([np.zeros(0, np.int64), *(words(data, offsets).counts for _, _, data, offsets in slices(batch.column("text")))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(p[:, k].copy()) for k in range(len(DOMAINS)))], names=["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from furrow.llm.decontaminate import op9_benchmark_decontamination
+from furrow.llm.jaccard import op5_ngram_jaccard_join
 from furrow.llm.mixing import op6_mixing
 from furrow.llm.quality import op3_quality_classifier
 from furrow.llm.rules import op8_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_secret_scans": op4_secret_scans,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
