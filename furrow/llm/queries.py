@@ -9,6 +9,7 @@ from furrow.llm.quality import op3_quality_classifier
 from furrow.llm.rules import op8_quality_rules
 from furrow.llm.secrets import op4_secret_scans
 from furrow.llm.sharding import op2_sharding
+from furrow.llm.substring import op7_substring_dedup
 from furrow.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_mixing": op6_mixing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
