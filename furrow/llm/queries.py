@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from furrow.llm.decontaminate import op9_benchmark_decontamination
+from furrow.llm.hmm import op10_lm_scoring
 from furrow.llm.jaccard import op5_ngram_jaccard_join
 from furrow.llm.mixing import op6_mixing
 from furrow.llm.quality import op3_quality_classifier
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL}
