@@ -24,12 +24,11 @@ THRESHOLD = -0.25
 _TOKEN = r"[!-/:-@\\[-`{-~]+|[^!-/:-@\\[-`{-~\\x20\\x09-\\x0D]+"
 
 
-def _bins(docs: DataFrame) -> DataFrame:
-    """docs with bins: an int per unigram and bigram of the whole text (null: none)."""
+def _hashed(docs: DataFrame) -> DataFrame:
+    """docs with __one, a hash per token of the whole text (null: none), and __two, the bin of each bigram."""
     tokens = docs.withColumn("__tokens", F.expr(f"regexp_extract_all(coalesce(text, ''), '{_TOKEN}', 0)"))
-    one = f"transform(__tokens, t -> cast(pmod(xxhash64(t), {BINS}) as int))"
-    two = f"transform(slice(__tokens, 1, greatest(size(__tokens) - 1, 0)), (t, i) -> cast(pmod(xxhash64(t, get(__tokens, i + 1)), {BINS}) as int))"
-    return tokens.withColumn("bins", F.expr(f"concat({one}, {two})")).drop("__tokens")
+    hashes = tokens.withColumn("__one", F.expr("transform(__tokens, t -> xxhash64(t))")).drop("__tokens")
+    return hashes.withColumn("__two", F.expr(f"transform(slice(__one, 1, greatest(size(__one) - 1, 0)), (h, i) -> cast(pmod(xxhash64(h, get(__one, i + 1)), {BINS}) as int))"))
 
 
 def ratio_weights(docs: DataFrame, trusted: DataFrame, max_trusted: int = MAX_TRUSTED) -> list[float]:
@@ -42,7 +41,8 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, max_trusted: int = MAX_TR
     ids = trusted.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("trusted"))).limit(max_trusted)
     marked = docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("__trusted", F.lit(1))), "doc_id", "left")
     # explode_outer: for explode, Catalyst infers a filter that repeats the whole tokenising inside a lambda
-    counts = _bins(marked).select(F.explode_outer("bins").alias("bin"), "__trusted").groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("target")).collect()
+    bins = F.expr(f"concat(transform(__one, h -> cast(pmod(h, {BINS}) as int)), __two)")
+    counts = _hashed(marked).select(bins.alias("bins"), "__trusted").select(F.explode_outer("bins").alias("bin"), "__trusted").groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("target")).collect()
     raw, target = [0] * BINS, [0] * BINS
     for b, r, t in counts:  # BINS rows at most, and one of texts without n-grams
         if b is not None:
@@ -54,17 +54,18 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, max_trusted: int = MAX_TR
 def base_rules(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed. Null texts count as empty."""
     df = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    df = df.withColumn("__words", F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w != '')"))
-    df = df.withColumn("n_words", F.size("__words").cast("long"))
+    df = df.withColumn("__words", F.expr(r"split(trim(BOTH ' \t\n\x0b\f\r' FROM text), '[\\x20\\x09-\\x0D]+')".replace(r"\x0b\f", "\x0b\x0c")))
+    df = df.withColumn("__words", F.expr("if(get(__words, 0) = '', slice(__words, 1, 0), __words)"))  # only a text without words has an empty one
+    df = df.withColumns({"n_words": F.size("__words").cast("long"), "__hashes": F.expr("transform(__words, w -> xxhash64(w))")})
     df = df.withColumns(
         {
             "word_chars": F.expr("aggregate(__words, 0L, (a, w) -> a + length(w))"),
             "n_symbols": F.expr("cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '')) as bigint)"),
             "__lines": F.expr(r"filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"),
-            "__grams": F.expr("transform(slice(__words, 1, cast(greatest(n_words - 4, 0) as int)), (w, i) -> xxhash64(w, get(__words, i + 1), get(__words, i + 2), get(__words, i + 3), get(__words, i + 4)))"),
+            "__grams": F.expr("transform(slice(__hashes, 1, cast(greatest(n_words - 4, 0) as int)), (h, i) -> xxhash64(h, get(__hashes, i + 1), get(__hashes, i + 2), get(__hashes, i + 3), get(__hashes, i + 4)))"),
         }
     )
-    df = df.drop("__words").withColumns(
+    df = df.drop("__words", "__hashes").withColumns(
         {
             "n_dup_lines": F.expr("cast(size(__lines) - size(array_distinct(__lines)) as bigint)"),
             # only texts with a repeated window pay for sorting their windows
@@ -86,9 +87,11 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     without n-grams have mean_ratio 0. The weights are one constant of BINS doubles.
     """
     weights = ",".join(f"{w:.6f}" for w in ratio_weights(docs, trusted, max_trusted))
-    df = _bins(base_rules(docs.select("doc_id", "text"))).drop("text")
-    df = df.withColumn("mean_ratio", F.expr(f"aggregate(bins, 0D, (a, b) -> a + get(cast(split('{weights}', ',') as array<double>), b)) / greatest(size(bins), 1)"))
-    return df.drop("bins").withColumn("kept", ~F.col("base_failed") & (F.col("mean_ratio") >= threshold))
+    df = _hashed(base_rules(docs.select("doc_id", "text"))).drop("text")
+    table_ = f"cast(split('{weights}', ',') as array<double>)"
+    total = f"aggregate(__one, 0D, (a, h) -> a + get({table_}, cast(pmod(h, {BINS}) as int))) + aggregate(__two, 0D, (a, b) -> a + get({table_}, b))"
+    df = df.withColumn("mean_ratio", F.expr(f"({total}) / greatest(size(__one) + size(__two), 1)"))
+    return df.drop("__one", "__two").withColumn("kept", ~F.col("base_failed") & (F.col("mean_ratio") >= threshold))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
