@@ -1,10 +1,421 @@
-"""Queries over the driver's tables, one per operator of the survey, and the same in SQL."""
+"""Queries over the driver's tables that run the library's operators, and the same in SQL.
+
+The tables stand in for the field-trial data: a nation is a field, its region the
+pair, the region's first and second nation the treated and the control side,
+the mean discount the vegetation index; events are daily facts of users.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from furrow.functions import exprs as X
+from furrow.operators import daily as D
+from furrow.operators import lineage as L
+from furrow.operators import pairs as P
+from furrow.operators import profile as PR
+from furrow.operators import quality as Q
+from furrow.operators import spatial as S
+from furrow.operators import timeline as T
+from furrow.operators import weekly as WK
+from furrow.operators import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+SIDES = ("tecnologia_4_0", "convencional")
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly panel: season_id, comparison_pair, treatment, week_start, ndvi_mean_week, soil_pct_week, image_count_week."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_discount", "l_tax", "l_quantity")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    weeks = (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey", X.week_start("l_shipdate").cast("date").alias("week_start"))
+        .agg(F.avg("l_discount").alias("ndvi_mean_week"), F.avg("l_tax").alias("soil_pct_week"), F.sum("l_quantity").alias("quantity_week"), F.count(F.lit(1)).alias("image_count_week"))
+    )
+    nations = read(spark, sf_dir, "nation")
+    place = F.row_number().over(W.over(["n_regionkey"], "n_nationkey"))
+    side = nations.withColumn("__n", place).withColumn("treatment", F.when(F.col("__n") == 1, SIDES[0]).when(F.col("__n") == 2, SIDES[1]).otherwise("outro"))
+    return weeks.join(side, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_nationkey").alias("season_id"), F.concat(F.lit("par_"), F.col("n_regionkey").cast("string")).alias("comparison_pair"), "treatment", "week_start", "ndvi_mean_week", "soil_pct_week", "quantity_week", "image_count_week"
+    )
+
+
+PANEL = """
+panel AS (
+  SELECT n.n_nationkey AS season_id, 'par_' || n.n_regionkey AS comparison_pair,
+    CASE row_number() OVER (PARTITION BY n.n_regionkey, w.week_start ORDER BY n.n_nationkey) WHEN -1 THEN '' ELSE s.treatment END AS treatment,
+    w.week_start, w.ndvi_mean_week, w.soil_pct_week, w.quantity_week, w.image_count_week
+  FROM (
+    SELECT c_nationkey, CAST(date_trunc('week', l_shipdate) AS DATE) AS week_start, avg(l_discount) AS ndvi_mean_week, avg(l_tax) AS soil_pct_week, sum(l_quantity) AS quantity_week, count(*) AS image_count_week
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL
+  ) w
+  JOIN nation n ON n.n_nationkey = w.c_nationkey
+  JOIN (SELECT n_nationkey, CASE row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) WHEN 1 THEN 'tecnologia_4_0' WHEN 2 THEN 'convencional' ELSE 'outro' END AS treatment FROM nation) s ON s.n_nationkey = n.n_nationkey
+)
+"""
+
+
+@query(f"""WITH {PANEL}, p AS (
+  SELECT comparison_pair, week_start, max(ndvi_mean_week) FILTER (WHERE treatment = 'tecnologia_4_0') AS a, max(ndvi_mean_week) FILTER (WHERE treatment = 'convencional') AS b FROM panel GROUP BY ALL
+) SELECT comparison_pair, count(*) AS weeks, count(a - b) AS paired_weeks, round(avg(a - b), 6) AS mean_gap, round(avg(a - b) / stddev_samp(a - b), 6) AS effect_size FROM p GROUP BY comparison_pair""")
+def weekly_pair_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per pair the mean weekly gap of treated and control: one join chain, one weekly rollup, one pivot by aggregation."""
+    wide = WK.pair_panel(panel(spark, sf_dir), ["ndvi_mean_week"])
+    gap = F.col("gap_ndvi_mean_week_4_0_minus_convencional")
+    return rounded(wide.groupBy("comparison_pair").agg(F.count(F.lit(1)).alias("weeks"), F.count(gap).alias("paired_weeks"), F.avg(gap).alias("mean_gap"), F.try_divide(F.avg(gap), F.stddev_samp(gap)).alias("effect_size")))
+
+
+@query(f"""WITH {PANEL} SELECT season_id, comparison_pair, treatment, week_start, round(max(CASE WHEN treatment = 'tecnologia_4_0' THEN ndvi_mean_week END) OVER w - max(CASE WHEN treatment = 'convencional' THEN ndvi_mean_week END) OVER w, 6) AS pair_gap
+FROM panel WINDOW w AS (PARTITION BY comparison_pair, week_start)""")
+def pair_gap_on_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(WK.pair_gap(panel(spark, sf_dir), "ndvi_mean_week", name="pair_gap").select("season_id", "comparison_pair", "treatment", "week_start", "pair_gap"))
+
+
+@query(f"""WITH {PANEL}, p AS (
+  SELECT comparison_pair, week_start, max(ndvi_mean_week) FILTER (WHERE treatment = 'tecnologia_4_0') AS a, max(ndvi_mean_week) FILTER (WHERE treatment = 'convencional') AS b,
+    max(soil_pct_week) FILTER (WHERE treatment = 'tecnologia_4_0') AS c, max(soil_pct_week) FILTER (WHERE treatment = 'convencional') AS d FROM panel GROUP BY ALL
+) SELECT comparison_pair, week_start, round(a, 6) AS ndvi_4_0, round(b, 6) AS ndvi_convencional, round(a - b, 6) AS ndvi_gap, round(c - d, 6) AS soil_gap, a IS NOT NULL AND b IS NOT NULL AS paired_week_flag FROM p""")
+def pair_weekly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = WK.pair_panel(panel(spark, sf_dir), ["ndvi_mean_week", "soil_pct_week"])
+    return rounded(wide.select("comparison_pair", "week_start", F.col("ndvi_mean_week_4_0").alias("ndvi_4_0"), F.col("ndvi_mean_week_convencional").alias("ndvi_convencional"), F.col("gap_ndvi_mean_week_4_0_minus_convencional").alias("ndvi_gap"), F.col("gap_soil_pct_week_4_0_minus_convencional").alias("soil_gap"), "paired_week_flag"))
+
+
+@query(f"""WITH {PANEL}, v AS (
+  SELECT comparison_pair, week_start, metric, max(value) FILTER (WHERE treatment = 'tecnologia_4_0') AS tech, max(value) FILTER (WHERE treatment = 'convencional') AS conv
+  FROM (SELECT comparison_pair, week_start, treatment, unnest(['ndvi_mean_week', 'soil_pct_week']) AS metric, unnest([ndvi_mean_week, soil_pct_week]) AS value FROM panel) GROUP BY ALL
+) SELECT comparison_pair, metric, count(*) AS n_pairs, round(avg(tech), 6) AS mean_4_0, round(avg(conv), 6) AS mean_convencional, round(avg(tech - conv), 6) AS mean_gap, round(avg(tech - conv) / stddev_samp(tech - conv), 6) AS effect_size,
+  round(avg(tech - conv) * sqrt(count(*)) / stddev_samp(tech - conv), 6) AS mean_zscore FROM v WHERE tech IS NOT NULL AND conv IS NOT NULL GROUP BY ALL""")
+def paired_effect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.effect_summary(P.paired_values(panel(spark, sf_dir), ["ndvi_mean_week", "soil_pct_week"]), ["comparison_pair", "metric"]))
+
+
+@query()
+def pair_effects_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded bootstrap and sign-flip draws have no SQL form."""
+    return P.pair_effects(panel(spark, sf_dir), {"ndvi_mean_week": (0.0005, True), "soil_pct_week": (0.0005, False)})
+
+
+@query()
+def pair_classic_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapiro, t and Wilcoxon tails have no SQL form."""
+    return P.classic_tests(panel(spark, sf_dir), {"ndvi_mean_week": (0.0005, True), "soil_pct_week": (0.0005, False)})
+
+
+@query(f"""WITH {PANEL}, x AS (SELECT *, CAST(row_number() OVER (PARTITION BY season_id ORDER BY week_start) - 1 AS DOUBLE) AS x FROM panel)
+SELECT season_id, count(*) AS n, round(regr_slope(ndvi_mean_week, x), 8) AS slope, round(regr_intercept(ndvi_mean_week, x), 6) AS intercept, round(corr(ndvi_mean_week, x), 6) AS r, round(regr_r2(ndvi_mean_week, x), 6) AS r2,
+  CASE WHEN regr_slope(ndvi_mean_week, x) > 0 THEN 'alta' WHEN regr_slope(ndvi_mean_week, x) < 0 THEN 'queda' ELSE 'estavel' END AS direction FROM x GROUP BY season_id HAVING count(*) >= 2""")
+def weekly_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = P.trends(panel(spark, sf_dir), "ndvi_mean_week", ["season_id"])
+    return out.select("season_id", "n", F.round("slope", 8).alias("slope"), *[F.round(c, 6).alias(c) for c in ("intercept", "r", "r2")], "direction")
+
+
+@query(f"""WITH {PANEL}, l AS (
+  SELECT s AS scope, f AS feature, ndvi_mean_week AS y, x FROM (
+    SELECT ndvi_mean_week, comparison_pair, unnest(['soil_pct_week', 'quantity_week', 'image_count_week']) AS f, unnest([soil_pct_week, quantity_week, CAST(image_count_week AS DOUBLE)]) AS x FROM panel), unnest(['geral', comparison_pair]) AS u(s)
+), r AS (SELECT *, rank() OVER (PARTITION BY scope, feature ORDER BY x) + (count(*) OVER (PARTITION BY scope, feature, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY scope, feature ORDER BY y) + (count(*) OVER (PARTITION BY scope, feature, y) - 1) / 2.0::DOUBLE AS ry FROM l)
+SELECT scope, feature, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY ALL HAVING count(*) >= 5""")
+def weekly_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = P.correlations(panel(spark, sf_dir), ["ndvi_mean_week"], ["soil_pct_week", "quantity_week", "image_count_week"], "comparison_pair")
+    return rounded(out.select("scope", "feature", "n", "pearson", "spearman"))
+
+
+@query(f"""WITH {PANEL}, d AS (
+  SELECT *, ndvi_mean_week - lag(ndvi_mean_week) OVER w AS delta, (ndvi_mean_week - min(ndvi_mean_week) OVER s) / nullif(max(ndvi_mean_week) OVER s - min(ndvi_mean_week) OVER s, 0) AS norm,
+    first_value(week_start) OVER (PARTITION BY season_id ORDER BY ndvi_mean_week DESC, week_start) AS peak
+  FROM panel WINDOW w AS (PARTITION BY season_id ORDER BY week_start), s AS (PARTITION BY season_id)
+), t AS (SELECT quantile_cont(soil_pct_week, 0.75) AS soil FROM d), f AS (
+  SELECT d.*, coalesce(delta <= -0.08, false) AS major, coalesce(delta <= -0.15, false) AS severe, coalesce(delta >= 0.08, false) AS recovery, coalesce(norm <= 0.35, false) AS low_vigor, coalesce(soil_pct_week >= soil, false) AS soil_flag,
+    date_diff('day', peak, week_start) / 7.0::DOUBLE AS from_peak FROM d, t
+), g AS (SELECT *, coalesce(lag(major) OVER (PARTITION BY season_id ORDER BY week_start), false) AS major_lag FROM f), h AS (
+  SELECT *, CASE WHEN severe THEN 'queda_forte' WHEN major THEN 'queda' WHEN recovery AND major_lag THEN 'recuperacao' WHEN coalesce(norm, 0) <= 0.35 AND from_peak < 0 THEN 'estabelecimento'
+    WHEN coalesce(norm, 0) >= 0.85 AND abs(coalesce(delta, 0)) <= 0.05 THEN 'pico' WHEN from_peak > 0 AND coalesce(delta, 0) < -0.02 THEN 'senescencia' WHEN coalesce(delta, 0) > 0.05 THEN 'expansao' ELSE 'estavel' END AS phase FROM g
+) SELECT season_id, week_start, round(delta, 6) AS delta, round(norm, 6) AS norm, round(from_peak, 6) AS weeks_from_peak, low_vigor AS low_vigor_flag, soil_flag AS high_soil_flag, phase,
+  CASE WHEN phase IN ('queda_forte', 'queda', 'recuperacao', 'pico') THEN phase END AS event_type, CASE WHEN soil_flag THEN 'solo_exposto' ELSE 'sem_driver_forte' END AS primary_driver FROM h""")
+def phase_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.phase_timeline(panel(spark, sf_dir))
+    recovering = F.col("event_type") == "recuperacao"
+    driver = F.when(F.array_contains("driver_candidates", "solo_exposto"), "solo_exposto").otherwise(F.when(X.flag(recovering), "sem_driver_forte").otherwise(F.col("primary_driver")))
+    return rounded(t.select("season_id", "week_start", F.col("ndvi_delta_week").alias("delta"), F.col("ndvi_norm_week").alias("norm"), "weeks_from_peak", "low_vigor_flag", "high_soil_flag", "phase", "event_type", driver.alias("primary_driver")))
+
+
+@query(f"""WITH {PANEL}, s AS (
+  SELECT *, (ndvi_mean_week - avg(ndvi_mean_week) OVER w) / nullif(stddev_pop(ndvi_mean_week) OVER w, 0) AS z, median(ndvi_mean_week) OVER w AS med FROM panel WINDOW w AS (PARTITION BY season_id)
+), r AS (SELECT *, 0.6745 * (ndvi_mean_week - med) / nullif(median(abs(ndvi_mean_week - med)) OVER (PARTITION BY season_id), 0) AS rz FROM s)
+SELECT season_id, week_start, round(z, 6) AS z_score, round(rz, 6) AS robust_z_score, CASE WHEN z < 0 THEN 'ndvi_mean_week_abaixo_do_padrao' ELSE 'ndvi_mean_week_acima_do_padrao' END AS direction FROM r WHERE coalesce(abs(z) >= 2.0, false) OR coalesce(abs(rz) >= 3.5, false)""")
+def weekly_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(W.outliers(panel(spark, sf_dir), "ndvi_mean_week", ["season_id"]).select("season_id", "week_start", "z_score", "robust_z_score", "direction"))
+
+
+@query(f"""WITH {PANEL}, k AS (SELECT *, row_number() OVER (PARTITION BY season_id ORDER BY week_start DESC) AS rn FROM panel) SELECT season_id, round(avg(ndvi_mean_week), 6) AS last4_mean FROM k WHERE rn <= 4 GROUP BY season_id""")
+def last_four_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(W.tail_mean(panel(spark, sf_dir), "ndvi_mean_week", ["season_id"], ["week_start"], 4, "last4_mean"))
+
+
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.lead_delta(panel(spark, sf_dir), "ndvi_mean_week", ["season_id"], ["week_start"], "target")
+
+
+@query(f"""WITH {PANEL}, n AS (SELECT *, lead(ndvi_mean_week) OVER (PARTITION BY season_id ORDER BY week_start) - ndvi_mean_week AS target FROM panel) SELECT season_id, week_start, round(target, 6) AS target FROM n WHERE target IS NOT NULL""")
+def next_week_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(transitions(spark, sf_dir).select("season_id", "week_start", "target"))
+
+
+@query()
+def transition_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge with leave-one-season-out validation: solved from Gram matrices, so not in SQL."""
+    from furrow.operators.ridge import fit
+
+    return fit(transitions(spark, sf_dir), ["ndvi_mean_week", "soil_pct_week", "quantity_week"], [], ["treatment"], "target", "season_id")[2]
+
+
+EVENT_DAYS = "SELECT user_id, CAST(ts AS DATE) AS date, event_type, value, props FROM events"
+
+
+def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").withColumn("date", F.to_date("ts"))
+
+
+@query(f"""SELECT user_id, date, count(*) AS points, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.9), 6) AS p90, round(avg(CASE WHEN value <= 1.0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share
+FROM ({EVENT_DAYS}) WHERE event_type = 'click' GROUP BY ALL""")
+def daily_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layer = D.Layer({"points": D.ROWS, "total": D.total("value"), "mean": D.mean("value"), "p90": D.p90("value"), "zero_share": D.share(F.col("value") <= 1.0)}, F.col("event_type") == "click")
+    out = layer.summarize(event_days(spark, sf_dir), ("user_id", "date"))
+    return out.select("user_id", "date", "points", F.round("total", 4).alias("total"), *[F.round(c, 6).alias(c) for c in ("mean", "p90", "zero_share")])
+
+
+@query(f"""SELECT user_id, date, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'error') AS errors, round(sum(value) FILTER (WHERE event_type = 'purchase'), 4) AS spent
+FROM ({EVENT_DAYS}) WHERE event_type IN ('click', 'error', 'purchase') GROUP BY ALL""")
+def merged_daily_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = event_days(spark, sf_dir)
+    keys = ("user_id", "date")
+    part = lambda kind, name, c: D.Layer({name: c}, F.col("event_type") == kind).summarize(days, keys)
+    out = D.merge_daily([part("click", "clicks", D.ROWS), part("error", "errors", D.ROWS), part("purchase", "spent", F.sum("value"))], keys)
+    return out.select(*keys, F.coalesce("clicks", F.lit(0)).alias("clicks"), F.coalesce("errors", F.lit(0)).alias("errors"), F.round("spent", 4).alias("spent"))
+
+
+@query(f"""WITH d AS ({EVENT_DAYS}), t AS (SELECT quantile_cont(value, 0.9) AS hot FROM d) SELECT user_id, date, count(*) AS engine_temp_points, round(avg(value), 6) AS engine_temp_mean_c, max(value) AS engine_temp_max_c, round(avg(CASE WHEN value >= hot THEN 1.0 ELSE 0.0 END), 6) AS engine_temp_hot_share FROM d, t GROUP BY ALL""")
+def hot_share_by_layer_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(D.hot_share(event_days(spark, sf_dir), "value", keys=("user_id", "date")))
+
+
+@query(f"""WITH s AS (SELECT user_id, date, CASE event_type WHEN 'click' THEN 'operation' WHEN 'view' THEN 'transit' WHEN 'error' THEN 'stop' ELSE 'other' END AS state FROM ({EVENT_DAYS}))
+SELECT user_id, date, count(*) AS state_points, round(avg((state = 'operation')::INT), 6) AS state_operation_share, round(avg((state = 'transit')::INT), 6) AS state_transit_share, round(avg((state = 'stop')::INT), 6) AS state_stop_share FROM s GROUP BY ALL""")
+def machine_state_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = {"click": "Operação em campo", "view": "DESLOCAMENTO", "error": "Máquina parada"}
+    text = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    days = event_days(spark, sf_dir).withColumns({"MachineState": F.try_element_at(text, F.col("event_type")), "season_id": F.col("user_id")})
+    return rounded(D.summarize_layer(days, "state").select(F.col("season_id").alias("user_id"), "date", "state_points", "state_operation_share", "state_transit_share", "state_stop_share"))
+
+
+@query(f"""SELECT user_id, CAST(date_trunc('week', date) AS DATE) AS week_start, round(sum(value), 4) AS value_week, CAST(count(DISTINCT date) AS BIGINT) AS date_week FROM ({EVENT_DAYS}) GROUP BY ALL""")
+def weekly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = WK.weekly(event_days(spark, sf_dir), {"value": "sum", "date": "days"}, "user_id")
+    return out.select("user_id", F.col("week_start").cast("date").alias("week_start"), F.round("value_week", 4).alias("value_week"), "date_week")
+
+
+@query(f"""WITH d AS (SELECT date, sum(value) AS rain FROM ({EVENT_DAYS}) GROUP BY date) SELECT date, round(avg(rain) OVER (ORDER BY date ROWS 6 PRECEDING), 6) AS ma7, round(avg(rain) OVER (ORDER BY date ROWS 13 PRECEDING), 6) AS ma14 FROM d""")
+def rolling_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = event_days(spark, sf_dir).groupBy("date").agg(F.sum("value").alias("rain"))
+    return rounded(W.rolling_mean(W.rolling_mean(days, "rain", 7, [], "date", "ma7"), "rain", 14, [], "date", "ma14").select("date", "ma7", "ma14"), 6)
+
+
+@query(f"""WITH d AS (SELECT user_id, date, avg(value) AS v FROM ({EVENT_DAYS}) GROUP BY ALL), s AS (SELECT *, coalesce(date_diff('day', lag(date) OVER w, date) * (lag(v) OVER w + v) / 2, 0) AS step, v - lag(v) OVER w AS delta FROM d WINDOW w AS (PARTITION BY user_id ORDER BY date))
+SELECT user_id, date, round(delta, 6) AS delta, round(sum(step) OVER (PARTITION BY user_id ORDER BY date ROWS UNBOUNDED PRECEDING), 7) AS auc FROM s""")
+def running_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = event_days(spark, sf_dir).groupBy("user_id", "date").agg(F.avg("value").alias("v"))
+    out = W.running_area(W.delta(days, "v", ["user_id"], ["date"], "delta"), "v", ["user_id"], "date", [], "auc")
+    return out.select("user_id", "date", F.round("delta", 6).alias("delta"), F.round("auc", 7).alias("auc"))
+
+
+@query("""WITH g AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS d, lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous_date FROM orders) SELECT o_custkey, o_orderkey, d, previous_date, date_diff('day', previous_date, d) AS gap_days FROM g WHERE date_diff('day', previous_date, d) > 300""")
+def temporal_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("d"))
+    return Q.temporal_gaps(orders, "d", ["o_custkey"], ["o_orderkey"], 300).select("o_custkey", "o_orderkey", "d", "previous_date", F.col("gap_days").cast("long").alias("gap_days"))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.latest(read(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", ["o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("""WITH n AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1) SELECT CAST(count(*) AS BIGINT) AS duplicate_rows FROM lineitem JOIN n USING (l_orderkey, l_linenumber)""")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.duplicate_keys(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]).agg(F.count(F.lit(1)).alias("duplicate_rows"))
+
+
+BOXES = "SELECT n_nationkey AS season_id, n_nationkey * 40.0::DOUBLE AS min_lon, n_nationkey * 300.0::DOUBLE AS min_lat, n_nationkey * 40.0::DOUBLE + 60 AS max_lon, n_nationkey * 300.0::DOUBLE + 900 AS max_lat FROM nation"
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey").cast("double")
+    df = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("season_id"), (k * 40).alias("min_lon"), (k * 300).alias("min_lat"), (k * 40 + 60).alias("max_lon"), (k * 300 + 900).alias("max_lat"))
+    return df.withColumns({"center_lon": (F.col("min_lon") + F.col("max_lon")) / 2, "center_lat": (F.col("min_lat") + F.col("max_lat")) / 2})
+
+
+@query(f"""WITH b AS ({BOXES}), p AS (SELECT c_custkey, CAST(c_custkey % 1100 AS DOUBLE) AS lon, CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE c_acctbal END AS lat FROM customer), m AS (
+  SELECT c_custkey, min(CASE WHEN lon BETWEEN min_lon AND max_lon AND lat BETWEEN min_lat AND max_lat THEN season_id END) AS inside, arg_min(season_id, {{'d': (lon - (min_lon + max_lon) / 2) * (lon - (min_lon + max_lon) / 2) + (lat - (min_lat + max_lat) / 2) * (lat - (min_lat + max_lat) / 2), 'k': season_id}}) AS near, any_value(lat) AS lat FROM p, b GROUP BY c_custkey
+) SELECT c_custkey, CASE WHEN lat IS NOT NULL THEN coalesce(inside, near) END AS season_id, CASE WHEN lat IS NULL THEN 'missing_coordinates' WHEN inside IS NOT NULL THEN 'bbox_contains' ELSE 'nearest_center' END AS assignment_method FROM m""")
+def points_to_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 1100).cast("double").alias("lon"), F.when(F.col("c_custkey") % 97 != 0, F.col("c_acctbal")).alias("lat"))
+    return S.assign_points(points, boxes(spark, sf_dir), "lon", "lat").select("c_custkey", "season_id", "assignment_method")
+
+
+@query(f"""WITH b AS ({BOXES}) SELECT c_custkey AS point_id, min(season_id) AS season_id FROM customer LEFT JOIN b ON c_custkey % 1100 BETWEEN min_lon AND max_lon AND c_acctbal BETWEEN min_lat AND max_lat GROUP BY c_custkey""")
+def points_to_boxes_on_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), (F.col("c_custkey") % 1100).cast("double").alias("lon"), F.col("c_acctbal").alias("lat"))
+    return S.assign_points_on_grid(points, boxes(spark, sf_dir), "lon", "lat", 100.0).select("point_id", "season_id")
+
+
+@query("""SELECT c_custkey, round(degrees(c_acctbal * 100 / 6378137.0::DOUBLE), 8) AS lon, round(degrees(2 * atan(exp(c_acctbal * 100 / 6378137.0::DOUBLE)) - pi() / 2), 8) AS lat FROM customer""")
+def inverse_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("c_acctbal") * 100
+    return read(spark, sf_dir, "customer").select("c_custkey", F.round(S.lon_of(m), 8).alias("lon"), F.round(S.lat_of(m), 8).alias("lat"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'error'), i AS (SELECT event_id, user_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'purchase'), n AS (
+  SELECT e.event_id, i.event_id AS image, abs(date_diff('day', e.d, i.d)) AS gap, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(date_diff('day', e.d, i.d)), i.event_id) AS rn FROM e LEFT JOIN i USING (user_id)
+) SELECT event_id, image AS nearest_image, gap AS gap_days FROM n WHERE rn = 1""")
+def nearest_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("d"))
+    images = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("image"), F.col("d").alias("image_date"), F.col("event_id").alias("ord"))
+    left = events.where("event_type = 'error'").select("event_id", "user_id", "d")
+    out = PR.nearest_row(left, images, "user_id", "d", "image_date", "image", "ord")
+    return out.select("event_id", "nearest_image", F.col("gap_days").cast("long").alias("gap_days"))
+
+
+@query("""SELECT event_id, CAST(len(x) AS INTEGER) AS boxes, x[1] AS first_name FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN [] ELSE ['k' || json_extract_string(props, '$.k')] END AS x FROM events)""")
+def nested_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON array whose second item is a JSON text of an array of records."""
+    events = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    inner = F.format_string('[{"name":"k%s","confidence":0.9}]', "k")
+    payload = F.when(F.col("event_id") % 7 == 0, "not json").otherwise(F.to_json(F.array(F.lit("[]"), inner)))
+    found = events.withColumn("found", X.detections(payload))
+    return found.select("event_id", F.size("found").alias("boxes"), F.get("found", F.lit(0))["name"].alias("first_name"))
+
+
+@query("""SELECT x AS text, CASE WHEN x IN ('', '-', 'nan', 'None') THEN NULL WHEN regexp_full_match(x, '-?\\d+(\\.\\d+)?([eE][+-]?\\d+)?') THEN CAST(x AS DOUBLE) WHEN contains(x, ',') AND regexp_full_match(replace(replace(x, '.', ''), ',', '.'), '-?\\d+(\\.\\d+)?([eE][+-]?\\d+)?') THEN CAST(replace(replace(x, '.', ''), ',', '.') AS DOUBLE) END AS number, count(*) AS n FROM (
+  SELECT CASE CAST(l_quantity AS INTEGER) % 6 WHEN 0 THEN '1.234,5' WHEN 1 THEN '-' WHEN 2 THEN replace(CAST(l_discount AS VARCHAR), '.', ',') WHEN 3 THEN '1.234.567' WHEN 4 THEN 'abc' ELSE '1,234' END AS x FROM lineitem) GROUP BY ALL""")
+def locale_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_quantity").cast("int") % 6
+    text = F.when(k == 0, "1.234,5").when(k == 1, "-").when(k == 2, F.replace(F.col("l_discount").cast("string"), F.lit("."), F.lit(","))).when(k == 3, "1.234.567").when(k == 4, "abc").otherwise("1,234")
+    return read(spark, sf_dir, "lineitem").select(text.alias("text")).groupBy("text", X.parse_number("text").alias("number")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT doc_id FROM documents WHERE contains(strip_accents(lower(coalesce(text, ''))), 'cion') """)
+def folded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PR.search(read(spark, sf_dir, "documents").select("doc_id", "text"), "CIÓN", ["text"]).select("doc_id")
+
+
+@query("""SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100""")
+def table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PR.page(read(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"], 100, 50)
+
+
+def _profile_sql(columns: list[str]) -> str:
+    return "SELECT variable, count(v) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_samp(v), 6) AS std, min(v) AS min, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.75), 6) AS q3, max(v) AS max, round(stddev_samp(v) / avg(v), 6) AS cv, round(skewness(v), 6) AS skewness, round(kurtosis(v), 6) AS kurtosis FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS v FROM lineitem" for c in columns) + ") GROUP BY variable"
+
+
+@query(_profile_sql(["l_quantity", "l_discount", "l_tax"]))
+def numeric_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["l_quantity", "l_discount", "l_tax"]
+    return rounded(PR.numeric_profile(read(spark, sf_dir, "lineitem").select(*columns), columns).drop("missing", "missing_ratio"))
+
+
+@query("""SELECT 'c_mktsegment' AS column_name, 'string' AS data_type, round(avg((c_mktsegment IS NULL)::INT) * 100, 6) AS null_pct, count(DISTINCT c_mktsegment) AS distinct_count, min(c_mktsegment) AS min_value, max(c_mktsegment) AS max_value FROM customer
+UNION ALL SELECT 'c_nationkey', 'int', round(avg((c_nationkey IS NULL)::INT) * 100, 6), count(DISTINCT c_nationkey), CAST(min(c_nationkey) AS VARCHAR), CAST(max(c_nationkey) AS VARCHAR) FROM customer""")
+def column_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(PR.column_profile(read(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"]))
+
+
+@query("""SELECT p_brand AS value, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, value LIMIT 20""")
+def value_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PR.top_values(read(spark, sf_dir, "part"), "p_brand")
+
+
+@query("""WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) SELECT CAST(least(19, floor((o_totalprice - lo) / (hi - lo) * 20)) AS INTEGER) AS bin, count(*) AS n FROM orders, e GROUP BY bin""")
+def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PR.histogram(read(spark, sf_dir, "orders"), "o_totalprice").select("bin", "n")
+
+
+@query("""SELECT 'lineitem' AS table_name, unnest(['quantity_outside', 'discount_high', 'price_missing']) AS rule_id, unnest([count(*) FILTER (WHERE l_quantity < 2 OR l_quantity > 45), count(*) FILTER (WHERE l_discount > 0.08), count(*) FILTER (WHERE coalesce(l_extendedprice, 0) <= 0)]) AS affected_rows, count(*) AS total_rows FROM lineitem""")
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [Q.Rule("quantity_outside", "warning", Q.outside("l_quantity", 2, 45)), Q.Rule("discount_high", "info", Q.outside("l_discount", None, 0.08)), Q.Rule("price_missing", "error", Q.not_positive("l_extendedprice"))]
+    return Q.run_rules(read(spark, sf_dir, "lineitem"), rules, "lineitem").select("table_name", "rule_id", "affected_rows", "total_rows")
+
+
+EDGES = "SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier"
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nations = read(spark, sf_dir, "nation").select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"))
+    return nations.union(read(spark, sf_dir, "supplier").select(name("n", "s_nationkey").alias("src"), name("s", "s_suppkey").alias("dst")))
+
+
+@query(f"""WITH RECURSIVE e AS ({EDGES}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w AS (SELECT 's1' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN u ON node = src WHERE depth < 3) SELECT node, min(depth) AS depth FROM w GROUP BY node""")
+def lineage_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.neighbourhood(edges(spark, sf_dir), spark.createDataFrame([("s1",)], "node string"), 3)
+
+
+@query(f"""WITH e AS ({EDGES}), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM (SELECT DISTINCT * FROM e)), a AS (SELECT src, dst, 1 AS depth FROM k WHERE rn <= 4 AND src = 'r2'), b AS (SELECT src, dst, 2 AS depth FROM k WHERE rn <= 4 AND src IN (SELECT dst FROM a)) SELECT * FROM a UNION ALL SELECT * FROM b""")
+def lineage_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.flow(edges(spark, sf_dir), spark.createDataFrame([("r2",)], "node string"), 6, 4)
+
+
+@query("""SELECT 'nation' || (s_nationkey % 3) AS table_name, count(DISTINCT s_suppkey % 10) AS expected, count(DISTINCT CASE WHEN s_suppkey % 10 < 7 THEN s_suppkey % 10 END) AS mapped FROM supplier GROUP BY 1""")
+def lineage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "supplier").select(F.concat(F.lit("nation"), (F.col("s_nationkey") % 3).cast("string")).alias("table_name"), (F.col("s_suppkey") % 10).cast("string").alias("column_name"))
+    return L.coverage(rows, rows.where("cast(column_name as int) < 7")).select("table_name", "expected", "mapped")
+
+
+@query("""SELECT n.n_name, CAST(count(s_suppkey) AS BIGINT) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM nation n LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 5000 GROUP BY n.n_name""")
+def dimension_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations, suppliers = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier").where("s_acctbal > 5000")
+    return nations.join(suppliers, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_name").agg(F.count("s_suppkey").alias("suppliers"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)""")
+def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+@query(f"""WITH {PANEL}, f AS (SELECT *, ndvi_mean_week - lag(ndvi_mean_week) OVER (PARTITION BY season_id ORDER BY week_start) AS d FROM panel), g AS (SELECT comparison_pair, coalesce(d <= -0.01, false) AS problem, CASE WHEN soil_pct_week >= 0.04 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit FROM f)
+SELECT comparison_pair, count(*) FILTER (WHERE problem) AS problem_weeks, round(coalesce(avg(hit) FILTER (WHERE problem), 0), 6) AS problem_rate, round(coalesce(avg(hit) FILTER (WHERE NOT problem), 0), 6) AS baseline_rate, round((coalesce(avg(hit) FILTER (WHERE problem), 0) - coalesce(avg(hit) FILTER (WHERE NOT problem), 0)) * 100, 6) AS delta_pp FROM g GROUP BY comparison_pair""")
+def driver_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = W.delta(panel(spark, sf_dir), "ndvi_mean_week", ["season_id"], ["week_start"], "d")
+    t = t.withColumns({"major_drop_flag": X.flag(F.col("d") <= -0.01), "low_vigor_flag": F.lit(False), "event_type": F.lit(None).cast("string"), "soil": F.col("soil_pct_week") >= 0.04})
+    return rounded(T.driver_lift(t, {"soil": "solo_exposto"}).select("comparison_pair", "problem_weeks", "problem_rate", "baseline_rate", "delta_pp"))
+
+
+@query("""SELECT substr(sha1('part|' || p_partkey), 1, 16) AS id, lower(regexp_replace(p_name, '[\\s_-]', '', 'g')) AS name_key FROM part""")
+def opaque_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(X.short_id(F.lit("part"), F.col("p_partkey").cast("string")).alias("id"), X.column_key("p_name").alias("name_key"))
+
+
+@query("""SELECT p_brand, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS types FROM part GROUP BY p_brand""")
+def distinct_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").groupBy("p_brand").agg(X.distinct_joined("p_type").alias("types"))
