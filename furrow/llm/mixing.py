@@ -61,7 +61,8 @@ def _rate(steps: list[np.ndarray], max_rate: float) -> Column:
 def fit_rates(members: DataFrame, targets: dict[str, float], anchor: str = "clean", max_rate: float = 1.0, steps: int = STEPS) -> DataFrame:
     """members with rate, such that the expected totals sum(rate * n_tokens * p_d) match the targets.
 
-    The targets are shares; their scale is such that the anchor's target is all
+    Minimised are the squared differences of the totals, each relative to its
+    domain's natural total. The targets are shares; their scale is such that the anchor's target is all
     of its expected tokens, and no target exceeds max_rate times what there is
     of its domain. A domain without a target, or without tokens, keeps its natural total.
     """
@@ -77,16 +78,24 @@ def fit_rates(members: DataFrame, targets: dict[str, float], anchor: str = "clea
     scale = natural[DOMAINS.index(anchor)] / targets[anchor]
     want = np.array([min(targets[d] * scale, max_rate * natural[i]) if d in targets else natural[i] for i, d in enumerate(DOMAINS)])
     gram = np.array([[moments[f"m{i}_{j}"] for j in k] for i in k]) / total
-    weight = np.linalg.pinv(gram + 1e-9 * np.eye(len(DOMAINS)))  # the norm of the residual
+    # residuals count relative to what there is of a domain; the step is the greatest that is safe
+    weigh = np.array([total / e if e > 0 else 0.0 for e in natural])
+    root = np.sqrt(weigh)
+    step = 1 / max(np.linalg.eigvalsh(root[:, None] * gram * root).max(), 1e-12)
     taken: list[np.ndarray] = []
     have = natural
+    cost = lambda totals: float((weigh * (totals - want) ** 2).sum())
     for _ in range(steps):
         if np.abs(have - want).max() <= CLOSE * total:
             break
-        taken.append(weight @ ((have - want) / total))
-        rate = _rate(taken, max_rate)
+        tried = [*taken, step * weigh * (have - want) / total]
+        rate = _rate(tried, max_rate)
         sums = members.select("n_tokens", *[f"p_{d}" for d in DOMAINS], rate.alias("rate")).agg(*[F.sum(F.expr(f"rate * n_tokens * p_{d}")) for d in DOMAINS]).first()
-        have = np.array(list(sums))
+        # rates at their bounds no longer move, so a longer step may do; one that does harm is taken back
+        if cost(got := np.array(list(sums))) < cost(have):
+            taken, have, step = tried, got, 2 * step
+        else:
+            step /= 4
     return members.withColumn("rate", _rate(taken, max_rate))
 
 
