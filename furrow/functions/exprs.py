@@ -100,7 +100,7 @@ def redact_paths(c: Column | str) -> Column:
 
 def pipe_list(c: Column | str) -> Column:
     """The distinct items of a pipe-separated text in their first order."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, r"\|"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def detections(c: Column | str) -> Column:

@@ -47,7 +47,9 @@ def share(condition: Column) -> Column:
     return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
 
 
-ROWS = F.count(F.lit(1))
+def rows() -> Column:
+    """The number of rows, null values included."""
+    return F.count(F.lit(1))
 
 
 def _operation(word: str, measure: str) -> Column:
@@ -59,40 +61,40 @@ def _layers() -> dict[str, Layer]:
     gap = F.col("`AppliedDos - kg/ha`") - F.col("`Configured - kg/ha`")
     return {
         "planting": Layer(
-            {"planting_points": ROWS, "planting_area_ha": total("Area - ha"), "planting_population_mean_ha": mean("Population - ha"), "planting_population_p90_ha": p90("Population - ha")},
+            {"planting_points": rows(), "planting_area_ha": total("Area - ha"), "planting_population_mean_ha": mean("Population - ha"), "planting_population_p90_ha": p90("Population - ha")},
             _operation("PLANTIO", "Population - ha"),
         ),
         "harvest": Layer(
             {
-                "harvest_points": ROWS, "harvest_area_ha": total("Area - ha"), "harvest_yield_mean_kg_ha": mean("Yield - kg/ha"), "harvest_yield_p90_kg_ha": p90("Yield - kg/ha"),
+                "harvest_points": rows(), "harvest_area_ha": total("Area - ha"), "harvest_yield_mean_kg_ha": mean("Yield - kg/ha"), "harvest_yield_p90_kg_ha": p90("Yield - kg/ha"),
                 "harvest_weight_kg": total("Weight - kg"), "harvest_humidity_mean_pct": mean("Humidity - %"),
             },
             _operation("COLHEITA", "Yield - kg/ha"),
         ),
         "fertilization": Layer(
             {
-                "fert_points": ROWS, "fert_area_ha": total("Area - ha"), "fert_applied_mean_kg_ha": mean("AppliedDos - kg/ha"), "fert_configured_mean_kg_ha": mean("Configured - kg/ha"),
+                "fert_points": rows(), "fert_area_ha": total("Area - ha"), "fert_applied_mean_kg_ha": mean("AppliedDos - kg/ha"), "fert_configured_mean_kg_ha": mean("Configured - kg/ha"),
                 "fert_dose_gap_mean_kg_ha": mean("__gap"), "fert_dose_gap_abs_mean_kg_ha": F.avg(F.abs("__gap")), "fert_dose_ratio_mean": mean("__ratio"), "fert_weight_kg": total("Weight - kg"),
             },
             F.col("`AppliedDos - kg/ha`").isNotNull() | F.col("`Configured - kg/ha`").isNotNull(),
             {"__gap": gap, "__ratio": safe_divide(F.col("`AppliedDos - kg/ha`"), F.col("`Configured - kg/ha`"))},
         ),
-        "spray": Layer({"spray_points": ROWS, "spray_pressure_mean_psi": mean("Pressure - psi"), "spray_pressure_active_share": share(F.col("`Pressure - psi`") > 0)}),
-        "overlap": Layer({"overlap_points": ROWS, "overlap_area_ha": total("OverlapArea - ha")}),
-        "speed": Layer({"speed_points": ROWS, "speed_mean_kmh": mean("Speed - km/h"), "speed_p90_kmh": p90("Speed - km/h"), "speed_zero_share": share(F.coalesce(F.col("`Speed - km/h`"), F.lit(0.0)) <= 0.1)}),
-        "state": Layer({"state_points": ROWS, **{f"state_{s}_share": share(F.col("__state") == s) for s in states}}, derive={"__state": machine_state("MachineState")}),
+        "spray": Layer({"spray_points": rows(), "spray_pressure_mean_psi": mean("Pressure - psi"), "spray_pressure_active_share": share(F.col("`Pressure - psi`") > 0)}),
+        "overlap": Layer({"overlap_points": rows(), "overlap_area_ha": total("OverlapArea - ha")}),
+        "speed": Layer({"speed_points": rows(), "speed_mean_kmh": mean("Speed - km/h"), "speed_p90_kmh": p90("Speed - km/h"), "speed_zero_share": share(F.coalesce(F.col("`Speed - km/h`"), F.lit(0.0)) <= 0.1)}),
+        "state": Layer({"state_points": rows(), **{f"state_{s}_share": share(F.col("__state") == s) for s in states}}, derive={"__state": machine_state("MachineState")}),
         # an unnamed stop counts as one with a known reason
-        "stop": Layer({"stop_events": ROWS, "stop_duration_h": total("Duration - h"), "stop_known_reason_share": share(F.coalesce("event", F.lit("")) != "Sem evento")}),
-        "alarm": Layer({"alarm_events": ROWS, "alarm_type_count": F.count_distinct(F.nullif(F.trim("Alarm"), F.lit("")))}),
-        "param_alert": Layer({"param_alert_events": ROWS, "param_alert_type_count": F.count_distinct(F.nullif(F.trim("Alert"), F.lit("")))}),
+        "stop": Layer({"stop_events": rows(), "stop_duration_h": total("Duration - h"), "stop_known_reason_share": share(F.coalesce("event", F.lit("")) != "Sem evento")}),
+        "alarm": Layer({"alarm_events": rows(), "alarm_type_count": F.count_distinct(F.nullif(F.trim("Alarm"), F.lit("")))}),
+        "param_alert": Layer({"param_alert_events": rows(), "param_alert_type_count": F.count_distinct(F.nullif(F.trim("Alert"), F.lit("")))}),
         "telemetry": Layer(
             {
-                "telemetry_points": ROWS, "invalid_telemetry_share": share(truthy("InvalidCommunication")), "external_gps_share": share(truthy("ExternalGPS")),
+                "telemetry_points": rows(), "invalid_telemetry_share": share(truthy("InvalidCommunication")), "external_gps_share": share(truthy("ExternalGPS")),
                 "mobile_comm_share": share(F.col("TelemetryCommunication").rlike("(?i)m[oó]vel")),
             }
         ),
-        "engine_rotation": Layer({"engine_rotation_points": ROWS, "engine_rotation_mean_rpm": mean("EngineRotation - rpm"), "engine_idle_share": share(F.coalesce(F.col("`EngineRotation - rpm`"), F.lit(0.0)).between(1, 900))}),
-        "fuel": Layer({"fuel_points": ROWS, "fuel_consumption_mean_l_h": mean("FuelConsumption - L/h"), "fuel_zero_share": share(F.coalesce(F.col("`FuelConsumption - L/h`"), F.lit(0.0)) == 0)}),
+        "engine_rotation": Layer({"engine_rotation_points": rows(), "engine_rotation_mean_rpm": mean("EngineRotation - rpm"), "engine_idle_share": share(F.coalesce(F.col("`EngineRotation - rpm`"), F.lit(0.0)).between(1, 900))}),
+        "fuel": Layer({"fuel_points": rows(), "fuel_consumption_mean_l_h": mean("FuelConsumption - L/h"), "fuel_zero_share": share(F.coalesce(F.col("`FuelConsumption - L/h`"), F.lit(0.0)) == 0)}),
     }
 
 
@@ -107,7 +109,7 @@ def summarize_layer(df: DataFrame, name: str) -> DataFrame:
 def hot_share(df: DataFrame, column: str = "EngineTemperature - ºC", default: float = 85.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Daily engine temperatures; hot is at or above the whole layer's 90th percentile (default: of an empty layer)."""
     limit = df.agg(F.coalesce(F.percentile(F.col(f"`{column}`"), 0.9), F.lit(default)).alias("__limit"))
-    named = Layer({"engine_temp_points": ROWS, "engine_temp_mean_c": mean(column), "engine_temp_max_c": F.max(f"`{column}`"), "engine_temp_hot_share": share(F.col(f"`{column}`") >= F.col("__limit"))})
+    named = Layer({"engine_temp_points": rows(), "engine_temp_mean_c": mean(column), "engine_temp_max_c": F.max(f"`{column}`"), "engine_temp_hot_share": share(F.col(f"`{column}`") >= F.col("__limit"))})
     return named.summarize(df.join(F.broadcast(limit)), keys)  # one row of limits
 
 
@@ -140,7 +142,7 @@ def trap_daily(readings: DataFrame) -> DataFrame:
     kinds = {f"{k.lower()}_readings": total_of(F.col("trapType") == k) for k in ("ELECTRONIC", "CONVENTIONAL")}
     return Layer(
         {
-            "trap_readings": ROWS, "traps_reporting": F.count_distinct("trapCode"), **kinds, "avg_pest_count": mean("pestCount"), "total_pest_count": total("pestCount"), **hits,
+            "trap_readings": rows(), "traps_reporting": F.count_distinct("trapCode"), **kinds, "avg_pest_count": mean("pestCount"), "total_pest_count": total("pestCount"), **hits,
             "avg_action_ray_m": mean("action_ray_m"), "primary_pests": distinct_joined("primaryPest"),
         }
     ).summarize(readings)

@@ -36,7 +36,8 @@ def min_max(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
     """Value on the scale from the least to the greatest of its partition, within 0 and 1; null for a partition of one value."""
     w = over(keys)
     least, most = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(value) - least, most - least)))))
+    scaled = F.try_divide(F.col(value) - least, most - least)  # greatest and least would pass over a null
+    return df.withColumn(name, F.when(scaled.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))))
 
 
 def weeks_from_peak(df: DataFrame, value: str, keys: list[str], week: str, name: str = "weeks_from_peak") -> DataFrame:

@@ -202,7 +202,7 @@ def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT user_id, date, count(*) AS points, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.9), 6) AS p90, round(avg(CASE WHEN value <= 1.0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share
 FROM ({EVENT_DAYS}) WHERE event_type = 'click' GROUP BY ALL""")
 def daily_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layer = D.Layer({"points": D.ROWS, "total": D.total("value"), "mean": D.mean("value"), "p90": D.p90("value"), "zero_share": D.share(F.col("value") <= 1.0)}, F.col("event_type") == "click")
+    layer = D.Layer({"points": D.rows(), "total": D.total("value"), "mean": D.mean("value"), "p90": D.p90("value"), "zero_share": D.share(F.col("value") <= 1.0)}, F.col("event_type") == "click")
     out = layer.summarize(event_days(spark, sf_dir), ("user_id", "date"))
     return out.select("user_id", "date", "points", F.round("total", 4).alias("total"), *[F.round(c, 6).alias(c) for c in ("mean", "p90", "zero_share")])
 
@@ -213,7 +213,7 @@ def merged_daily_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = event_days(spark, sf_dir)
     keys = ("user_id", "date")
     part = lambda kind, name, c: D.Layer({name: c}, F.col("event_type") == kind).summarize(days, keys)
-    out = D.merge_daily([part("click", "clicks", D.ROWS), part("error", "errors", D.ROWS), part("purchase", "spent", F.sum("value"))], keys)
+    out = D.merge_daily([part("click", "clicks", D.rows()), part("error", "errors", D.rows()), part("purchase", "spent", F.sum("value"))], keys)
     return out.select(*keys, F.coalesce("clicks", F.lit(0)).alias("clicks"), F.coalesce("errors", F.lit(0)).alias("errors"), F.round("spent", 4).alias("spent"))
 
 
