@@ -43,7 +43,7 @@ def effect_summary(values: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def winner(advantage: Column, low: Column, high: Column, least: Column) -> Column:
-    return F.when((advantage >= least) & (low > 0), "4_0").when((advantage <= -least) & (high < 0), "convencional").otherwise("sem_diferenca_clara")
+    return F.when((advantage >= least) & (low > 0), "favorece_4_0").when((advantage <= -least) & (high < 0), "favorece_convencional").otherwise("inconclusivo")
 
 
 def evidence(n: Column, advantage: Column, low: Column, high: Column, p: Column, least: Column) -> Column:

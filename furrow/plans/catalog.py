@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import exprs as X
 from furrow.operators import daily as D
+from furrow.operators import evidence as EV
 from furrow.operators import lineage as L
 from furrow.operators import pairs as P
 from furrow.operators import profile as PR
@@ -419,3 +420,59 @@ def opaque_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_brand, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS types FROM part GROUP BY p_brand""")
 def distinct_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").groupBy("p_brand").agg(X.distinct_joined("p_type").alias("types"))
+
+
+@query(f"""WITH {PANEL}, a AS (SELECT comparison_pair, treatment, avg(ndvi_mean_week) AS v, avg(soil_pct_week) AS s FROM panel GROUP BY ALL), w AS (
+  SELECT comparison_pair, max(v) FILTER (WHERE treatment = 'tecnologia_4_0') - max(v) FILTER (WHERE treatment = 'convencional') AS dv, max(s) FILTER (WHERE treatment = 'convencional') - max(s) FILTER (WHERE treatment = 'tecnologia_4_0') AS ds FROM a GROUP BY ALL
+), n AS (SELECT comparison_pair, CAST(coalesce((dv >= 0.0002)::INT, 0) + coalesce((ds >= 0.0002)::INT, 0) AS INTEGER) AS n_4_0, CAST(coalesce((dv <= -0.0002)::INT, 0) + coalesce((ds <= -0.0002)::INT, 0) AS INTEGER) AS n_convencional FROM w)
+SELECT *, CASE WHEN n_4_0 > n_convencional THEN '4.0' WHEN n_convencional > n_4_0 THEN 'convencional' ELSE 'equilibrio' END AS winner FROM n""")
+def directional_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = panel(spark, sf_dir).groupBy("comparison_pair", "treatment").agg(F.avg("ndvi_mean_week").alias("v"), F.avg("soil_pct_week").alias("s"))
+    out = EV.directional(fields, {"v": (0.0002, True), "s": (0.0002, False)})
+    return out.select("comparison_pair", F.size("supports_4_0").alias("n_4_0"), F.size("supports_convencional").alias("n_convencional"), "winner")
+
+
+@query("""SELECT l_suppkey, CAST(count(DISTINCT CAST(l_shipdate AS DATE)) AS BIGINT) AS ops_days, CAST(count(DISTINCT CASE WHEN l_tax > 0 THEN CAST(l_shipdate AS DATE) END) AS BIGINT) AS l_tax_days, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS l_discount FROM lineitem GROUP BY l_suppkey""")
+def weighted_area_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").withColumn("date", F.to_date("l_shipdate"))
+    return rounded(EV.ops_summary(lines, {"l_discount": "l_quantity"}, [], ["l_tax"], "l_suppkey"))
+
+
+@query()
+def season_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven weighted parts per field and the comparison with its pair."""
+    t = T.phase_timeline(panel(spark, sf_dir))
+    return EV.outlook(EV.season_summary(t, ["season_id", "comparison_pair", "treatment"]))
+
+
+@query()
+def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded resampling stands behind H1 and H2, so there is no SQL."""
+    t = T.phase_timeline(panel(spark, sf_dir))
+    effects = P.pair_effects(t, {"ndvi_mean_week": (0.0005, True), "low_vigor_flag": (0.02, False), "major_drop_flag": (0.02, False)})
+    lift = T.driver_lift(t, {"high_soil_flag": "solo_exposto"})
+    register = EV.hypothesis_register(effects, lift, EV.outlook(EV.season_summary(t, ["season_id", "comparison_pair", "treatment"])))
+    return register.join(EV.decision_summary(register).select("comparison_pair", "decision"), "comparison_pair")
+
+
+@query("""SELECT 'lineitem' AS dataset, count(*) AS rows, 11 AS columns, 8 AS numeric_columns, CAST(0 AS BIGINT) AS null_cells, 0.0::DOUBLE AS null_ratio FROM lineitem""")
+def dataset_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PR.overview(read(spark, sf_dir, "lineitem"), "lineitem")
+
+
+@query("""SELECT 'geral' AS scope, round(avg(l_discount), 6) AS mean, count(*) AS n FROM lineitem UNION ALL SELECT l_returnflag, round(avg(l_discount), 6), count(*) FROM lineitem GROUP BY l_returnflag""")
+def total_and_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The total and the groups in one pass by grouping sets."""
+    df = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_discount")
+    out = df.rollup("l_returnflag").agg(F.round(F.avg("l_discount"), 6).alias("mean"), F.count(F.lit(1)).alias("n"), F.grouping("l_returnflag").alias("g"))
+    return out.select(F.when(F.col("g") == 1, "geral").otherwise(F.col("l_returnflag")).alias("scope"), "mean", "n")
+
+
+@query("""SELECT l_returnflag, count(l_tax) AS n, round(avg(l_tax), 6) AS mean, round(median(l_tax), 6) AS median, round(stddev_samp(l_tax), 6) AS std FROM lineitem GROUP BY l_returnflag""")
+def profiles_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(PR.numeric_profile(read(spark, sf_dir, "lineitem").select("l_returnflag", "l_tax"), ["l_tax"], ["l_returnflag"]).select("l_returnflag", "n", "mean", "median", "std"))
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE coalesce(o_totalprice < 20000 OR o_totalprice > 490000, false) ORDER BY o_orderkey LIMIT 50""")
+def rule_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.examples(read(spark, sf_dir, "orders"), Q.Rule("price", "info", Q.outside("o_totalprice", 20000, 490000)), ["o_orderkey"]).select("o_orderkey", "o_totalprice")

@@ -87,7 +87,7 @@ def test_pair_effects_and_classic_tests(spark):
     rows = [(s, "p", week(i), b + 0.01 * i, 0.0) for i in range(8) for s, b in ((TECH, 0.62), (CONV, 0.55))]
     df = spark.createDataFrame(rows, "treatment string, comparison_pair string, week_start date, ndvi_mean_week double, low_vigor_flag double")
     out = {r.metric: r for r in P.pair_effects(df).collect()}
-    assert out["ndvi_mean_week"].winner == "4_0" and out["ndvi_mean_week"].evidence_level == "alta" and out["low_vigor_flag"].winner == "sem_diferenca_clara"
+    assert out["ndvi_mean_week"].winner == "favorece_4_0" and out["ndvi_mean_week"].evidence_level == "alta" and out["low_vigor_flag"].winner == "inconclusivo"
     rows = [(s, "p", week(i), 0.6 + (0.04 + 0.01 * i) * (s == TECH)) for i in range(6) for s in (TECH, CONV)]
     (r,) = P.classic_tests(spark.createDataFrame(rows, "treatment string, comparison_pair string, week_start date, ndvi_mean_week double")).collect()
     assert r.favors == "favorece_4_0" and r.significant
