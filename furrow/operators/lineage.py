@@ -77,3 +77,23 @@ def storage_advice(files: DataFrame, most_mb: float = 250.0, large_mb: float = 8
     mb = F.col("size_bytes") / 1_000_000
     raw = files.agg(F.coalesce(F.sum(F.when(F.col("zone") == "raw", mb)), F.lit(0.0)).alias("raw_mb"), F.coalesce(F.max(mb), F.lit(0.0)).alias("largest_mb"), F.count_if(mb >= large_mb).alias("large_files"))
     return raw.withColumn("recommendation", F.when((F.col("raw_mb") >= most_mb) | (F.col("largest_mb") >= large_mb), "hybrid").otherwise("local"))
+
+
+def critical_targets(records: DataFrame, targets: DataFrame, checks: dict[str, str]) -> DataFrame:
+    """Per target (target, needle) how many named columns of some record hold its needle, folded: checks maps names to columns.
+
+    The needles are few; every record is looked at once for each of them.
+    """
+    needles = [(r["target"], r["needle"]) for r in targets.select("target", "needle").collect()]
+    hits = [F.array(*[F.struct(F.lit(t).alias("target"), F.lit(name).alias("check"), F.contains(text_key(c), text_key(F.lit(n))).alias("hit")) for name, c in checks.items()]) for t, n in needles]
+    rows = records.select(F.explode(F.flatten(F.array(*hits))).alias("h")).select("h.*")
+    found = rows.groupBy("target", "check").agg(F.bool_or("hit").alias("found"))
+    return found.groupBy("target").agg(F.count_if("found").alias("passed"), F.count(F.lit(1)).alias("checks"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("found"), F.col("check")))), ", ").alias("missing"))
+
+
+def gates(coverage_: DataFrame, targets: DataFrame, quality: DataFrame, least_coverage: float = 95.0) -> DataFrame:
+    """Acceptance gates (gate, passed): every table's coverage, all targets' checks, no failed rule of severity error."""
+    one = coverage_.agg(F.coalesce(F.min("coverage_pct") >= least_coverage, F.lit(False)).alias("passed")).select(F.lit("coverage").alias("gate"), "passed")
+    two = targets.agg(F.coalesce(F.bool_and(F.col("passed") == F.col("checks")), F.lit(False)).alias("passed")).select(F.lit("critical_targets").alias("gate"), "passed")
+    three = quality.agg((F.count_if((F.col("severity") == "error") & (F.col("affected_rows") > 0)) == 0).alias("passed")).select(F.lit("quality").alias("gate"), "passed")
+    return one.union(two).union(three)

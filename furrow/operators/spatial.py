@@ -184,3 +184,23 @@ def with_centroid(df: DataFrame, wkt: str = "geometry") -> DataFrame:
             yield pd.DataFrame([wkt_centroid(t) or (None, None) for t in s], columns=["lon", "lat"], dtype="float64")
 
     return df.withColumn("__c", centroids(wkt)).withColumns({"centroid_lon": F.nullif(F.col("__c.lon"), F.lit(float("nan"))), "centroid_lat": F.nullif(F.col("__c.lat"), F.lit(float("nan")))}).drop("__c")
+
+
+def k_nearest(points: DataFrame, sites: DataFrame, k: int = 3, max_sites: int = MAX_BOXES) -> DataFrame:
+    """points (lon, lat) with nearest: their k nearest sites (site, distance_m, plot), near to far, ties by site.
+
+    sites (site, s_lon, s_lat, plot) is a dimension whose size is checked.
+    """
+    if (n := sites.count()) > max_sites:
+        raise ValueError(f"{n} sites; cut them by region first")
+    held = F.struct("site", "s_lon", "s_lat", "plot")
+    dimension = sites.agg(F.sort_array(F.collect_list(held)).alias("__sites"))  # one row of max_sites sites at most
+    far = F.transform("__sites", lambda s: F.struct(haversine_m(F.col("lon"), F.col("lat"), s["s_lon"], s["s_lat"]).alias("distance_m"), s["site"].alias("site"), s["plot"].alias("plot")))
+    return points.join(F.broadcast(dimension)).withColumn("nearest", F.slice(F.sort_array(far), 1, k)).drop("__sites")
+
+
+def preferred_site(nearest: DataFrame, within: float = 1.25) -> DataFrame:
+    """nearest with suggested: the nearest site that has a plot, if it is not farther than so many times the nearest of all; else the nearest."""
+    first = F.get("nearest", F.lit(0))
+    plotted = F.get(F.filter("nearest", lambda s: s["plot"].isNotNull() & (s["distance_m"] <= first["distance_m"] * within)), F.lit(0))
+    return nearest.withColumn("suggested", F.coalesce(plotted, first)["site"])

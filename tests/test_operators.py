@@ -184,3 +184,20 @@ def test_lineage(spark):
     assert {r.id for r in L.expand_tokens(records, records.where("id = '1'"), "id", "column_name", "tokens").collect()} == {"1", "2"}
     (r,) = L.storage_advice(spark.createDataFrame([("raw", 118_000_000), ("raw", 90_000_000), ("out", 500_000)], "zone string, size_bytes long")).collect()
     assert (round(r.raw_mb), r.large_files, r.recommendation) == (208, 2, "hybrid")
+
+
+def test_nearest_sites(spark):
+    points = spark.createDataFrame([("s", 0.0, 0.0)], "season_id string, lon double, lat double")
+    sites = spark.createDataFrame([("a", 0.0, 0.0100, None), ("b", 0.0, 0.0110, "plot"), ("c", 0.0, 0.5, "plot"), ("d", 1.0, 1.0, None)], "site string, s_lon double, s_lat double, plot string")
+    (r,) = S.preferred_site(S.k_nearest(points, sites)).collect()
+    assert [x.site for x in r.nearest] == ["a", "b", "c"] and r.suggested == "b"
+
+
+def test_targets_and_gates(spark):
+    records = spark.createDataFrame([("NDVI médio", "panel", "mean"), ("solo", "panel", "share")], "column_name string, table_name string, rule string")
+    targets = spark.createDataFrame([("ndvi", "ndvi medio"), ("yield", "produtividade")], "target string, needle string")
+    got = {r.target: (r.passed, r.checks, r.missing) for r in L.critical_targets(records, targets, {"name": "column_name", "rule": "rule"}).collect()}
+    assert got == {"ndvi": (1, 2, "rule"), "yield": (0, 2, "name, rule")}
+    rules = spark.createDataFrame([("error", 1), ("info", 5)], "severity string, affected_rows int")
+    cov = spark.createDataFrame([(100.0,)], "coverage_pct double")
+    assert {r.gate: r.passed for r in L.gates(cov, L.critical_targets(records, targets, {"name": "column_name"}), rules).collect()} == {"coverage": True, "critical_targets": False, "quality": False}

@@ -41,3 +41,19 @@ def test_save_and_load(spark, tmp_path):
     assert sinks.load_tables(spark, str(tmp_path), ["t"], "csv")["t"].first().b == '["x","y"]'
     sinks.save_tables({"t": df}, str(tmp_path / "p"))
     assert sinks.load_tables(spark, str(tmp_path / "p"), ["t"])["t"].count() == 1
+
+
+def test_inventory_counts_and_spans(spark, tmp_path):
+    from furrow.sources import catalog as K
+
+    (tmp_path / "EKOS").mkdir()
+    (tmp_path / "EKOS" / "traps.csv").write_text("createdAt;x\n2025-01-02T03:04:05;1\n1735689600;2\n1899-01-01;3\n")
+    (tmp_path / "ndvi_raw_s1_2025-11-01.jpg").write_bytes(b"x")
+    files = K.list_files(spark, f"file://{tmp_path}")
+    assert {(r.name, r.category, len(r.file_id)) for r in files.collect()} == {("traps.csv", "other", 16), ("ndvi_raw_s1_2025-11-01.jpg", "image", 16)}
+    assert [(r.season_id, str(r.date)) for r in K.image_dates(files).collect()] == [("s1", "2025-11-01")]
+    path = str(tmp_path / "EKOS" / "traps.csv")
+    assert K.count_rows(spark, path) == 3 and K.estimate_rows(1000, 100, 10) == 99
+    assert K.time_span(K.preview(spark, path)) == ("2025-01-01", "2025-01-02")
+    assert K.time_span(spark.range(1), "a_2025-01-01_2025-02-01.csv") == ("2025-01-01", "2025-02-01")
+    assert K.separator("x", "a|b|c") == "|" and K.separator("EKOS/x") == ";" and K.separator("y") == ","
