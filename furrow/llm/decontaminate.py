@@ -4,7 +4,7 @@ A word, without the punctuation around it, is a literal (its A-Z folded) or the
 slot of a number (digits, with the marks of a numeral), a name (it begins with
 a capital) or a unit. A window is WINDOW consecutive template words of which at
 least MIN_LITERALS are literals; an item of fewer words is one window by itself
-if it has at least SHORTEST words. A document and an item match if they share a
+if it has at least SHORTEST words, with literals in the same proportion. A document and an item match if they share a
 window, and every slot value of the item stands for one value of the document
 over all windows they share: a question with its numbers or names exchanged is
 still caught, an accidental clash of slots is not.
@@ -86,7 +86,7 @@ def _window_batches(batch: pa.RecordBatch, id_name: str, lengths: list[int], kno
             for i in range(k):
                 value = value * np.uint64(0x9E3779B97F4A7C15) + kind[at + i]
             value = mix(value).view(np.int64)
-            keep = literals[at + k] - literals[at] >= min(MIN_LITERALS, k)
+            keep = literals[at + k] - literals[at] >= -(-k * MIN_LITERALS // WINDOW)
             if known is not None:
                 place = np.minimum(np.searchsorted(known, value), len(known) - 1)
                 keep &= known[place] == value
@@ -97,18 +97,18 @@ def _window_batches(batch: pa.RecordBatch, id_name: str, lengths: list[int], kno
             marked = slot[inside]
             values = w.hash[inside][marked].view(np.int64)
             ends = np.concatenate(([0], np.cumsum(marked.sum(1))))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + lo)), pa.array(value), pa.array(pos.astype(np.int64)), lists(values, ends, pa.int64())], names=[id_name, "window", "pos", "slots"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + lo)), pa.array(value), pa.array(pos.astype(np.int64)), lists(values, ends, pa.int64()), pa.array(np.full(len(at), k, np.int32))], names=[id_name, "window", "pos", "slots", "k"])
 
 
 def template_windows(df: DataFrame, id_name: str, lengths: list[int], known=None, own_length: bool = False) -> DataFrame:
-    """(id, window, pos, slots) of every template window of the given lengths, or of those in the broadcast array known."""
+    """(id, window, pos, slots, k) of every template window of the given lengths, or of those in the broadcast array known."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _window_batches(batch, id_name, lengths, None if known is None else known.value, own_length)
 
     kind = dict(df.dtypes)[id_name]
-    return df.select(id_name, F.col("text").cast("binary").alias("text")).mapInArrow(make, f"{id_name} {kind}, window long, pos long, slots array<long>")
+    return df.select(id_name, F.col("text").cast("binary").alias("text")).mapInArrow(make, f"{id_name} {kind}, window long, pos long, slots array<long>, k int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -122,6 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX
     items = benchmark.select("item_id", "text").where("item_id is not null")
     lengths = list(range(SHORTEST, WINDOW + 1))
     wanted = written(template_windows(items, "item_id", lengths, own_length=True), "templates")
+    lengths = [r[0] for r in wanted.select("k").distinct().collect()]
     # a window that an item repeats counts once, at its first place
     wanted = wanted.groupBy("item_id", "window").agg(F.min_by("slots", "pos").alias("item_slots"))
     n = wanted.count()
@@ -134,6 +135,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX
         both = hits.join(F.broadcast(wanted), "window")
     else:
         both = template_windows(texts, "doc_id", lengths).join(wanted, "window")
+    both = written(both.select("doc_id", "item_id", "window", "item_slots", "slots"), "matches")
     # per pair of values, then per pair of document and item: does each item value stand for one document value?
     pairs = both.select("doc_id", "item_id", "window", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s"))
     pairs = pairs.select("doc_id", "item_id", "window", F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours"))

@@ -137,7 +137,7 @@ def _matched(shard: pa.Table, length: int) -> pa.Table:
     owners = np.unique(ids, return_inverse=True)[1]
     # a 0 ends each run in the index
     ended = np.insert(text, first[1:], 0)
-    index = FMIndex(ended, np.repeat(owners, count + 1), len(symbols) + 1, 2 * length)
+    index = FMIndex(ended, np.repeat(owners, count + 1), len(symbols) + 1, length)
     q, a, b = earlier_intervals(index, text, first, owners, length)
     return pa.table({"key": pa.array(keys[q], pa.int64()), "start": pa.array(starts[q] + a, pa.int64()), "end": pa.array(starts[q] + b, pa.int64())})
 

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from furrow.llm import fmindex
 from furrow.llm.fmindex import FMIndex, earlier_intervals
 from furrow.llm.substring import dedup_substrings
 
@@ -37,6 +38,8 @@ def corpus(seed, n=60):
             w += [rng.choice(words) for _ in range(rng.randint(0, 12))] + (rng.choice(passages) if rng.random() < 0.7 else [])
         if rows and rng.random() < 0.2:
             w = (rng.choice(rows)[1] or "").split()
+        if rng.random() < 0.1:
+            w += [words[0]] * rng.randint(5, 60)
         rows.append((rng.randint(0, n), " ".join(w)))
     return [*{i: (i, t) for i, t in rows}.values(), (n + 1, None), (n + 2, "")]
 
@@ -74,12 +77,14 @@ def test_backward_search_counts_and_least_owners():
             assert index.least_owner(lo, hi)[0] == min(owner[at])
 
 
-def test_intervals_cover_exactly_the_earlier_windows():
+@pytest.mark.parametrize("few", [0, 5, 24])
+def test_intervals_cover_exactly_the_earlier_windows(monkeypatch, few):
+    monkeypatch.setattr(fmindex, "FEW", max(few, 1))
     rng = np.random.default_rng(4)
     for _ in range(60):
         length, symbols = int(rng.integers(2, 7)), int(rng.integers(2, 5))
         seqs = [rng.integers(1, symbols + 1, int(rng.integers(0, 25))) for _ in range(int(rng.integers(2, 12)))]
-        seqs += [seqs[0][2:].copy(), seqs[1].copy()]
+        seqs += [seqs[0][2:].copy(), seqs[1].copy(), np.full(int(rng.integers(0, 30)), 1), np.full(int(rng.integers(0, 60)), 1)]
         own = rng.integers(0, 8, len(seqs))
         text = np.concatenate([np.append(s, 0) for s in seqs]).astype(np.int64)
         index = FMIndex(text, np.concatenate([np.full(len(s) + 1, o) for s, o in zip(seqs, own)]), symbols + 1, 64)
