@@ -1,6 +1,6 @@
 import re
 
-from furrow.llm.rules import base_rules, quality_rules
+from furrow.llm.rules import _BETWEEN, _parts, base_rules, quality_rules
 
 
 def expected(text):
@@ -28,6 +28,13 @@ def test_base_counts(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == expected(texts[r.doc_id]), texts[r.doc_id]
 
 
+def test_tokens(spark):
+    texts = [None, "", " \t\r\n", "one", "...", "a,b;;c", " (x) [y]`{z}~ ", "é!ü漢.字 a_b\\c ^d", "\x0b!? a\x0c1-2 \u0085x", "word, " * 20_000]
+    rows = _parts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string"), "tokens", _BETWEEN).collect()
+    for r in rows:
+        assert r.tokens == re.findall(r"[!-/:-@\[-`{-~]+|[^!-/:-@\[-`{-~\x20\x09-\x0D]+", texts[r.i] or ""), r.i
+
+
 def test_verdict(spark):
     good = [(i, " ".join(f"tree{(i * 7 + j) % 40} by the river" for j in range(12))) for i in range(40)]
     bad = [(100 + i, " ".join(f"q{(i * 5 + j) % 40}%%%" for j in range(30))) for i in range(10)]
