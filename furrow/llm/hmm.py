@@ -1,37 +1,45 @@
 """A hidden Markov language model: Baum-Welch over partitions, exact scaled forward scores.
 
-Tokens are words (A-Z folded) and one end. The HEAD most frequent training words
-and the end are symbols of their own, all other words share one symbol, which
-is refined by the words' training counts: the model's probability of such a
-word is that of the symbol times (c + 0.5) / (n + 0.5 * (v + 1)), n and v the
-occurrences and the distinct words behind the symbol. The model thus is a
-distribution over whole texts. It gathers counts from all training texts; only
-the HEAD symbols' statistics, whose number is fixed, reach the driver.
+Tokens are words (A-Z folded) and one end. Every training word has emissions by
+state of its own, kept in a table that grows with the vocabulary; all words
+that training lacks share one symbol. The model is a distribution over whole
+texts, and gathers counts from all training texts. Texts are packed into buckets
+with the list of their words, so that a word's emissions are joined once a
+bucket. The HEAD most frequent words, which nearly all buckets hold, travel by
+broadcast instead; the scores do not depend on their number.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm.folder import table, written
 from furrow.llm.quality import fold
-from furrow.llm.words import lists, slices, words
+from furrow.llm.words import slices, words
 
+#: Words whose emissions are broadcast; those of all others are joined.
 HEAD = 65_534
 STATES = 6
 ITERATIONS = 4
 SEED = 7
 #: Tokens that are counted, or padded to one block, at a time.
 BLOCK = 500_000
+#: Tokens from which a bucket of whole texts is complete.
+BUCKET = 1_000_000
 #: Baum-Welch reads longer texts in stretches of so many tokens; scores are always of whole texts.
 STRETCH = 2048
+#: Tokens by the words' shares that each state is taken to have beyond its own.
 PRIOR = 500.0
+#: Occurrences that each word is taken to have beyond its own, by the states' shares of all tokens: a rare word leans little to a state.
+WORD_PRIOR = 10.0
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,34 +63,47 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Places of the head words' hashes: symbol 1 + rank; 0 for all others, len + 1 for the end."""
+    """Places of the head words' hashes: their rank, -1 for all others; the end has the place after them."""
 
     def __init__(self, hashes: np.ndarray):
         order = np.argsort(hashes)
-        self.sorted, self.symbol = hashes[order], (order + 1).astype(np.uint16)
-        self.end = len(hashes) + 1
+        self.sorted, self.symbol = hashes[order], order.astype(np.int32)
+        self.end = len(hashes)
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         if not len(self.sorted):
-            return np.zeros(len(h), np.uint16)
+            return np.full(len(h), -1, np.int32)
         at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.symbol[at], np.uint16(0))
+        return np.where(self.sorted[at] == h, self.symbol[at], np.int32(-1))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """A row per bucket of whole texts: places of head words, and behind the end's those of the bucket's other words (rest)."""
+    held: list[tuple] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        rows, ids, train, counts, hashes = zip(*held, strict=True)
+        h = np.concatenate(hashes)
+        symbol = vocabulary.symbols(h)
+        other = symbol < 0
+        rest, place = np.unique(h[other], return_inverse=True)
+        symbol[other] = vocabulary.end + 1 + place
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        columns = [one(pa.concat_arrays(ids)), one(pa.concat_arrays(train)), one(pa.array(np.concatenate(counts))), pa.array([symbol.tobytes()], pa.binary()), one(pa.array(rest.view(np.int64)))]
+        return pa.RecordBatch.from_arrays([rows[0].slice(0, 1), *columns], names=["bucket", "doc_ids", "train", "lengths", "symbols", "rest"])
+
     for batch in batches:
         for lo, hi, data, offsets in slices(batch.column("text")):
             w = words(data, offsets, lower=True)
-            symbol = vocabulary.symbols(w.hash)
-            rest = symbol == 0
-            before = np.concatenate(([0], np.cumsum(rest)))
             part = batch.slice(lo, hi - lo)
-            ids = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((w.first * 2).astype(np.int32)), pa.py_buffer(symbol)])
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("train"), ids, lists(w.hash[rest].view(np.int64), before[w.first], pa.int64())], names=["row", "doc_id", "train", "symbols", "rest"])
-
-
-def _sequences(column: pa.Array, end: int) -> list[np.ndarray]:
-    return [np.append(np.frombuffer(x.as_py(), np.uint16), np.uint16(end)) for x in column]
+            held.append((part.column("row"), part.column("doc_id"), part.column("train"), w.counts.astype(np.int64), w.hash))
+            size += len(w.hash) + hi - lo
+            if size >= BUCKET:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
 
 
 def _blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -94,7 +115,7 @@ def _blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
         longest = length[order[at]]
         to = min(len(order), at + max(1, BLOCK // longest))
         chosen = order[at:to]
-        padded = np.zeros((longest, len(chosen)), np.uint16)
+        padded = np.zeros((longest, len(chosen)), np.int32)
         for b, i in enumerate(chosen):
             padded[: length[i], b] = sequences[i]
         yield chosen, length[chosen], padded
@@ -107,15 +128,6 @@ class Model:
     def __init__(self, start: np.ndarray, moves: np.ndarray, emit: np.ndarray):
         self.start, self.moves, self.emit = start, moves, emit
 
-    @staticmethod
-    def initial(unigram: np.ndarray, states: int, seed: int) -> Model:
-        noise = np.random.default_rng(seed).gamma(2.0, 0.5, (len(unigram), states)) + 0.05
-        emit = unigram[:, None] * noise
-        stay = 0.95
-        moves = np.full((states, states), (1 - stay) / max(1, states - 1))
-        np.fill_diagonal(moves, stay if states > 1 else 1.0)
-        return Model(np.full(states, 1 / states), moves, emit / emit.sum(0))
-
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Exact log10 likelihood of each whole sequence by the scaled forward recursion."""
         out = np.zeros(len(sequences))
@@ -129,35 +141,38 @@ class Model:
                 alpha /= scale[:, None]
                 total[:n] += np.log(scale)
             out[np.array(short)[chosen]] = total
-        for i, s in enumerate(sequences):
-            if len(s) > STRETCH:
-                out[i] = self._long(s)
+        long = [i for i, s in enumerate(sequences) if len(s) > STRETCH]
+        out[long] = self._long([sequences[i] for i in long])
         return out / math.log(10)
 
-    def _long(self, s: np.ndarray) -> float:
-        """The same for a long sequence: the stretches' products of moves and emissions side by side, then one after the other."""
-        n = -(-len(s) // STRETCH)
-        width = -(-len(s) // n)
+    def _long(self, sequences: list[np.ndarray]) -> list[float]:
+        """The same, as natural logs, for long sequences: products of moves and emissions of all stretches side by side, then one after the other."""
+        stretches = [s[a : a + STRETCH] for s in sequences for a in range(0, len(s), STRETCH)]
+        begins = np.array([a == 0 for s in sequences for a in range(0, len(s), STRETCH)], bool)
         k = len(self.start)
-        product, logs = np.broadcast_to(np.eye(k), (n, k, k)).copy(), np.zeros(n)
-        padded = np.zeros(n * width, np.int64)
-        padded[: len(s)] = s
-        padded = padded.reshape(n, width)
-        for t in range(width):
-            m = n if (n - 1) * width + t < len(s) else n - 1
-            emit = self.emit[padded[:m, t]][:, None, :]
-            product[:m] = (product[:m] @ self.moves) * emit
-            if t == 0:
-                product[0] = np.eye(k) * emit[0]  # the first symbol has no move before it
-            scale = product[:m].sum((1, 2))
-            product[:m] /= scale[:, None, None]
-            logs[:m] += np.log(scale)
-        alpha, total = self.start, float(logs.sum())
-        for p in product:
+        products, logs = np.zeros((len(stretches), k, k)), np.zeros(len(stretches))
+        for chosen, length, x in _blocks(stretches):
+            product = np.broadcast_to(np.eye(k), (len(chosen), k, k)).copy()
+            for t in range(len(x)):
+                n = int(np.searchsorted(-length, -t, "left"))
+                emit = self.emit[x[t, :n]][:, None, :]
+                moved = (product[:n].reshape(-1, k) @ self.moves).reshape(n, k, k)
+                if t == 0:
+                    moved[begins[chosen]] = np.eye(k)  # a text's first symbol has no move before it
+                moved *= emit
+                scale = moved.sum((1, 2))
+                product[:n] = moved / scale[:, None, None]
+                logs[chosen[:n]] += np.log(scale)
+            products[chosen] = product
+        out: list[float] = []
+        for p, log, begin in zip(products, logs, begins, strict=True):
+            if begin:
+                out.append(0.0)
+                alpha = self.start
             alpha = alpha @ p
-            total += math.log(alpha.sum())
+            out[-1] += float(log) + math.log(alpha.sum())
             alpha = alpha / alpha.sum()
-        return total
+        return out
 
     def expected(self, sequences: list[np.ndarray], emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> None:
         """Adds the sequences' expected counts (forward-backward) to the three arrays."""
@@ -188,40 +203,138 @@ class Model:
                 emitted[:, k] += np.bincount(symbols, gamma[:, k], minlength=len(emitted))
 
 
-def _expectations(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    k = len(model.start)
-    emitted, moved, started = np.zeros_like(model.emit), np.zeros((k, k)), np.zeros(k)
+def smoothed(c: np.ndarray, s: np.ndarray, share: np.ndarray, total: float) -> np.ndarray:
+    """Weights by state of words with training counts c and expected counts s; over the states they are c + 0.5, and the prior's part."""
+    return (s + WORD_PRIOR * share) * ((c + 0.5) / (c + WORD_PRIOR))[:, None] + PRIOR * ((c + 0.5) / total)[:, None]
+
+
+class Parameters(NamedTuple):
+    """What is broadcast of a model: counts c of the head words and the end, their emissions, and how to make those of other words."""
+
+    start: np.ndarray
+    moves: np.ndarray
+    c: np.ndarray
+    emit: np.ndarray
+    total: float
+    share: np.ndarray | None
+    weight: np.ndarray
+
+    def bucket(self, batch: pa.RecordBatch, i: int, size: int) -> tuple[np.ndarray, Model]:
+        """Training counts of, and the model over, the places of bucket i, which has size other words; those of training have values in the lists at, c, s0, ..."""
+        k = len(self.start)
+        c, s = np.zeros(size), np.zeros((size, k))
+        if batch.column("at")[i].is_valid:
+            held = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+            at = held("at")
+            c[at] = held("c")
+            s[at] = np.stack([held(f"s{j}") for j in range(k)], 1)
+        if self.share is None:  # values of the first round are weights already, but for words without any
+            emit = np.where(c[:, None] > 0, s, 0.5 / self.total) / self.weight
+        else:
+            emit = smoothed(c, s, self.share, self.total) / self.weight
+        return np.concatenate((self.c, c)), Model(self.start, self.moves, np.concatenate((self.emit, emit)))
+
+
+def _texts(batch: pa.RecordBatch, i: int, end: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The texts of a bucket with their ends, whether they are for training, and the bucket's other words."""
+    symbols = np.frombuffer(batch.column("symbols")[i].as_py(), np.int32)
+    length = batch.column("lengths")[i].values.to_numpy(zero_copy_only=False)
+    last = np.cumsum(length)
+    train = batch.column("train")[i].values.to_numpy(zero_copy_only=False)
+    rest = batch.column("rest")[i].values.to_numpy(zero_copy_only=False)
+    return [np.append(symbols[a:b], np.int32(end)) for a, b in zip(last - length, last, strict=True)], train, rest
+
+
+def _expectations(batches: Iterator[pa.RecordBatch], p: Parameters) -> Iterator[pa.RecordBatch]:
+    """(place, token, c, s0, ...): expected counts of head places, and below 0 of moves and start; those of other words by token."""
+    k = len(p.start)
+    end = len(p.emit) - 1
+    emitted, moved, started = np.zeros_like(p.emit), np.zeros((k, k)), np.zeros(k)
+    names = ["place", "token", "c", *(f"s{i}" for i in range(k))]
+
+    def out(place: pa.Array, token: pa.Array, c: pa.Array, values: np.ndarray) -> pa.RecordBatch:
+        values = values.astype(np.float32)
+        return pa.RecordBatch.from_arrays([place, token, c, *(pa.array(values[:, i].copy()) for i in range(k))], names=names)
+
     for batch in batches:
-        whole = _sequences(batch.column("symbols"), len(model.emit) - 1)
-        stretches = [s[a : a + STRETCH] for s in whole for a in range(0, len(s), STRETCH)]
-        if stretches:
-            model.expected(stretches, emitted, moved, started)
+        for i in range(batch.num_rows):
+            sequences, train, rest = _texts(batch, i, end)
+            stretches = [s[a : a + STRETCH] for s, t in zip(sequences, train, strict=True) if t for a in range(0, len(s), STRETCH)]
+            if not stretches:
+                continue
+            c, model = p.bucket(batch, i, len(rest))
+            here = np.zeros_like(model.emit)
+            model.expected(stretches, here, moved, started)
+            emitted += here[: end + 1]
+            here = here[end + 1 :]
+            seen = np.flatnonzero(here.sum(1))
+            yield out(pa.nulls(len(seen), pa.int64()), pa.array(rest[seen]), pa.array(c[end + 1 :][seen].astype(np.int64)), here[seen])
     seen = np.flatnonzero(emitted.sum(1))
-    places = np.concatenate((seen, [-1 - i for i in range(k)], [-1 - k])).astype(np.int64)
-    values = np.concatenate((emitted[seen], moved, started[None])).astype(np.float32)
-    yield pa.RecordBatch.from_arrays([pa.array(places), *(pa.array(values[:, i].copy()) for i in range(k))], names=["place", *(f"s{i}" for i in range(k))])
+    place = np.concatenate((seen, [-1 - i for i in range(k)], [-1 - k])).astype(np.int64)
+    yield out(pa.array(place), pa.nulls(len(place), pa.int64()), pa.nulls(len(place), pa.int64()), np.concatenate((emitted[seen], moved, started[None])))
+
 
+def _noise(seed: int, i: int):
+    """Gamma noise (shape 2, scale 0.5) of a word for state i, from the word's hash alone."""
+    uniform = lambda j: (F.shiftrightunsigned(F.xxhash64("token", F.lit(seed), F.lit(i), F.lit(j)), 11) + 0.5) / float(1 << 53)
+    return F.log(uniform(0) * uniform(1)) * -0.5 + 0.05
 
-def baum_welch(encoded: DataFrame, unigram: np.ndarray, states: int, iterations: int, seed: int) -> Model:
-    """The model after some rounds of expected counts over all training rows, summed by symbol."""
+
+def _attached(encoded: DataFrame, emissions: DataFrame) -> DataFrame:
+    """encoded with lists of the place (at), count and values of those of the bucket's other words that emissions (token, c, s0, ...) holds."""
+    pairs = encoded.select("bucket", F.posexplode("rest").alias("at", "token")).join(emissions, "token")
+    # lists of one aggregate have one order
+    held = pairs.groupBy("bucket").agg(*[F.collect_list(c).alias(c) for c in ("at", *emissions.columns) if c != "token"])
+    return encoded.join(held, "bucket", "left").drop("bucket")
+
+
+def baum_welch(encoded: DataFrame, words_: DataFrame, top: np.ndarray, ends: int, total: float, states: int, iterations: int, seed: int) -> tuple[Parameters, DataFrame]:
+    """The model after some rounds of expected counts over all training texts, and the table of the other words' values (token, c, s0, ...).
+
+    words_ (token, c) are all training words, top the head words' hashes in their order.
+    """
     context = encoded.sparkSession.sparkContext
-    model = Model.initial(unigram, states, seed)
     columns = [f"s{i}" for i in range(states)]
+    first = words_.select("token", "c", *[((F.col("c") + 0.5) / total * _noise(seed, i)).cast("float").alias(c) for i, c in enumerate(columns)])
+    weight = np.array(first.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in columns]).first(), float)
+    head = first.join(F.broadcast(encoded.sparkSession.createDataFrame(list(enumerate(top.tolist())), "place long, token long")), "token").toPandas().sort_values("place")  # head rows at most
+    c = np.append(head["c"].to_numpy(), ends).astype(np.float64)
+    unigram, unseen = (c + 0.5) / total, 0.5 / total
+    emit = np.concatenate((head[columns].to_numpy(dtype=float), np.full((1, states), unigram[-1])))
+    weight = weight + unigram[-1] + unseen
+    stay = 0.95
+    moves = np.full((states, states), (1 - stay) / max(1, states - 1))
+    np.fill_diagonal(moves, stay if states > 1 else 1.0)
+    now = Parameters(np.full(states, 1 / states), moves, c, emit / weight, total, None, weight)
+    # the head words are in no bucket's list
+    emissions = first
     for _ in range(iterations):
-        sent = context.broadcast(model)
-        counts = encoded.where("train").select("symbols").mapInArrow(lambda b, sent=sent: _expectations(b, sent.value), "place long, " + ", ".join(f"{c} float" for c in columns))
-        sums = counts.groupBy("place").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in columns]).toPandas()  # a row per symbol and state
-        place, value = sums["place"].to_numpy(), sums[columns].to_numpy()
-        emitted = np.zeros_like(model.emit)
+        sent = context.broadcast(now)
+        counts = _attached(encoded.drop("doc_ids"), emissions)
+        counts = counts.mapInArrow(lambda b, sent=sent: _expectations(b, sent.value), "place long, token long, c long, " + ", ".join(f"{c} float" for c in columns))
+        sums = written(counts.groupBy("place", "token").agg(F.max("c").alias("c"), *[F.sum(F.col(c).cast("double")).cast("float").alias(c) for c in columns]), "emissions")
+        emissions = sums.where("place is null").select("token", "c", *columns)
+        fixed = sums.where("place is not null").toPandas()  # a row per head word, state and the start
+        place, value = fixed["place"].to_numpy(), fixed[columns].to_numpy()
+        emitted = np.zeros_like(now.emit)
         emitted[place[place >= 0]] = value[place >= 0]
         moved = np.zeros((states, states))
         inner = (place < 0) & (place >= -states)
         moved[-1 - place[inner]] = value[inner]
         started = value[place == -1 - states].sum(0)
-        emit = emitted + PRIOR * unigram[:, None]
-        model = Model((started + 1) / (started + 1).sum(), (moved + 1) / (moved + 1).sum(1, keepdims=True), emit / emit.sum(0))
+        scale = (F.col("c") + 0.5) / (F.col("c") + WORD_PRIOR)
+        rest = emissions.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in (*columns, *(F.col(i) * scale for i in columns), scale, (F.col("c") + 0.5) / total)]).first()
+        rest = np.array(rest, float)
+        share = emitted.sum(0) + rest[:states] + 1
+        share = share / share.sum()
+        emit = smoothed(c, emitted, share, total)
+        # over the head, the other words and the one for unseen words
+        weight = emit.sum(0) + rest[states : 2 * states] + WORD_PRIOR * share * rest[-2] + PRIOR * rest[-1] + smoothed(np.zeros(1), np.zeros((1, states)), share, total)[0]
+        emit = emit / weight
+        now = Parameters((started + 1) / (started + 1).sum(), (moved + 1) / (moved + 1).sum(1, keepdims=True), c, emit, total, share, weight)
         sent.unpersist()
-    return model
+        context._jvm.System.gc()  # Spark deletes the shuffle files of a round once its plan is collected
+    return now, emissions
 
 
 def score_texts(docs: DataFrame, train, head: int = HEAD, states: int = STATES, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:
@@ -231,6 +344,7 @@ def score_texts(docs: DataFrame, train, head: int = HEAD, states: int = STATES,
     empty texts are the end alone. base_score adds log10((c + 0.5) / (n + 0.5 * (v + 1)))
     over the tokens, with training counts c, n of them in all, v distinct. Without
     any training row all counts are 0. Every row is scored, repeated ones too.
+    head only says how many words' emissions are broadcast instead of joined.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -238,46 +352,40 @@ def score_texts(docs: DataFrame, train, head: int = HEAD, states: int = STATES,
     counts = written(counts, "counts")
     ends, = counts.where("token is null").agg(F.sum("c")).first()
     ends = ends or 0
-    v, n = counts.where("token is not null").agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    top = counts.where("token is not null").orderBy(F.desc("c"), "token").limit(head).toPandas()  # head rows at most
-    c_top = top["c"].to_numpy().astype(np.float64)
-    v_rest, n_rest = v - len(top), n - int(c_top.sum())
+    known = counts.where("token is not null")
+    v, n = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    top = known.orderBy(F.desc("c"), "token").limit(head).toPandas()["token"].to_numpy().astype(np.int64)  # head rows at most
     v, n = v + (ends > 0), n + ends
 
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(top["token"].to_numpy().astype(np.int64).view(np.uint64)))
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(top.view(np.uint64)))
     kind = dict(docs.dtypes)["doc_id"]
-    encoded = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda b: _encoded(b, vocabulary.value), f"row long, doc_id {kind}, train boolean, symbols binary, rest array<long>")
-    encoded = written(encoded, "encoded")
-
-    of_symbol = np.concatenate(([n_rest], c_top, [ends])) + 0.5
-    model = spark.sparkContext.broadcast(baum_welch(encoded, of_symbol / of_symbol.sum(), states, iterations, seed))
-    base_total = math.log10(n + 0.5 * (v + 1))
-    rest_total = math.log10(n_rest + 0.5 * (v_rest + 1))
-    logs = np.log10(of_symbol) - base_total
-    logs[0] = 0.0  # words behind the shared symbol are added by their own counts
-    shared = spark.sparkContext.broadcast(logs)
-    known_end = int(ends > 0)
+    encoded = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        lambda b: _encoded(b, vocabulary.value), f"bucket long, doc_ids array<{kind}>, train array<boolean>, lengths array<long>, symbols binary, rest array<long>"
+    )
+    # dealt by bucket once, so that the joins of all rounds move the emissions alone
+    dealt = encoded.repartition(max(1, encoded.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism), "bucket").persist(StorageLevel.DISK_ONLY)
+
+    total = n + 0.5 * (v + 1)
+    # without training the end is not among the words, but still a symbol
+    last, emissions = baum_welch(dealt, known, top, ends, total if ends else total + 0.5, states, iterations, seed)
+    model = spark.sparkContext.broadcast(last)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequences = _sequences(batch.column("symbols"), len(shared.value) - 1)
-            base = np.array([shared.value[s].sum() for s in sequences])
-            size = np.array([len(s) for s in sequences], np.int64)
-            rest = np.array([np.count_nonzero(s == 0) for s in sequences], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(size), pa.array(rest), pa.array(base), pa.array(model.value.log10(sequences))], names=["row", "doc_id", "n_tokens", "n_rest", "base", "forward"]
-            )
-
-    scored = encoded.select("row", "doc_id", "symbols").mapInArrow(score, f"row long, doc_id {kind}, n_tokens long, n_rest long, base double, forward double")
-    # a word behind the shared symbol is rarer than all head words, so no token is a hot key here
-    rest = encoded.select("row", F.explode("rest").alias("token")).join(counts, "token", "left").groupBy("row")
-    rest = rest.agg(F.sum(F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)).alias("logs"), F.count("c").alias("known"))
-    both = scored.join(rest, "row", "left")
-    logs_of = F.coalesce("logs", F.lit(0.0))
-    return both.select(
-        "doc_id", "n_tokens", (F.col("n_tokens") - F.col("n_rest") - 1 + known_end + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + logs_of - F.col("n_rest") * base_total).alias("base_score"), (F.col("forward") + logs_of - F.col("n_rest") * rest_total).alias("score"),
-    )
+            for i in range(batch.num_rows):
+                sequences, _, rest = _texts(batch, i, len(model.value.emit) - 1)
+                c, local = model.value.bucket(batch, i, len(rest))
+                logs = np.log10(c + 0.5) - math.log10(total)
+                base = np.array([logs[s].sum() for s in sequences])
+                size = np.array([len(s) for s in sequences], np.int64)
+                seen = np.array([np.count_nonzero(c[s]) for s in sequences], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_ids")[i].values, pa.array(size), pa.array(seen), pa.array(base), pa.array(local.log10(sequences))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"]
+                )
+
+    scored = written(_attached(dealt, emissions).mapInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"), "scores")
+    dealt.unpersist()
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

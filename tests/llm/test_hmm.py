@@ -72,3 +72,12 @@ def test_edges(spark):
     assert all(r.train_tokens == 12_004 for r in out)
     assert hmm.score_texts(docs.limit(0), F.lit(True)).count() == 0
     assert all(r.n_known == 0 for r in hmm.score_texts(docs, F.lit(False)).collect())
+
+
+def test_every_word_has_emissions_by_state(spark):
+    """Scores do not depend on how many words are broadcast: the others are no less part of the model."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").where("doc_id is not null").dropDuplicates(["doc_id"])
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    some, many, none = (hmm.score_texts(docs, train, head=n).toPandas().set_index("doc_id").sort_index() for n in (20, 5000, 0))
+    assert np.allclose(some.score, many.score, rtol=1e-4) and np.allclose(none.score, many.score, rtol=1e-4)
+    assert np.allclose(some.base_score, many.base_score)
