@@ -4,9 +4,10 @@ A word, without the punctuation around it, is a literal (its A-Z folded) or the
 slot of a number (digits, with the marks of a numeral), a name (it begins with
 a capital) or a unit. A window is WINDOW consecutive template words of which at
 least MIN_LITERALS are literals; an item of fewer words is one window by itself
-if it has at least SHORTEST words, with literals in the same proportion. A document and an item match if they share a
-window, and every slot value of the item stands for one value of the document
-over all windows they share: a question with its numbers or names exchanged is
+if it has at least SHORTEST words, with literals in the same proportion. Shared windows whose places in a text and in an
+item differ by the same number of words are one occurrence of the item. A document and an item match if in any
+occurrence every slot value of the item stands for one value of the document
+over all windows of the occurrence: a question with its numbers or names exchanged is
 still caught, an accidental clash of slots is not.
 """
 
@@ -114,37 +115,42 @@ def template_windows(df: DataFrame, id_name: str, lengths: list[int], known=None
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """A row per matching document and item: doc_id, item_id, n_windows, n_slots, exact (all slots have the item's values).
 
+    The last three are those of the consistent occurrence with the most windows, an exact one before others.
     Null and empty texts match nothing, nor do items of fewer than SHORTEST
     words or windows with too few literals. Rows with a null id match nothing.
     Repeated rows of one id count as one document. Both tables are read whole.
     """
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where("item_id is not null")
+    # rows that share an id are texts of their own: their places do not go together
+    marked = lambda df, name, id_name: df.where(f"{id_name} is not null").select(F.struct(id_name, F.monotonically_increasing_id().alias("row")).alias(name), "text")
+    items = marked(benchmark.select("item_id", "text"), "item", "item_id")
     lengths = list(range(SHORTEST, WINDOW + 1))
-    wanted = written(template_windows(items, "item_id", lengths, own_length=True), "templates")
+    wanted = written(template_windows(items, "item", lengths, own_length=True), "templates")
     lengths = [r[0] for r in wanted.select("k").distinct().collect()]
-    # a window that an item repeats counts once, at its first place
-    wanted = wanted.groupBy("item_id", "window").agg(F.min_by("slots", "pos").alias("item_slots"))
+    # a window that an item repeats counts at each of its places
+    wanted = wanted.select("item", "window", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     n = wanted.count()
-    texts = docs.select("doc_id", "text").where("doc_id is not null")
+    texts = marked(docs.select("doc_id", "text"), "doc", "doc_id")
     if n <= max_broadcast:
         known = np.unique(np.array([r[0] for r in wanted.select("window").distinct().collect()], np.int64))
         if not len(known):
             known = np.zeros(1, np.int64)
-        hits = template_windows(texts, "doc_id", lengths, spark.sparkContext.broadcast(known))
+        hits = template_windows(texts, "doc", lengths, spark.sparkContext.broadcast(known))
         both = hits.join(F.broadcast(wanted), "window")
     else:
-        both = template_windows(texts, "doc_id", lengths).join(wanted, "window")
-    both = written(both.select("doc_id", "item_id", "window", "item_slots", "slots"), "matches")
-    # per pair of values, then per pair of document and item: does each item value stand for one document value?
-    pairs = both.select("doc_id", "item_id", "window", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s"))
-    pairs = pairs.select("doc_id", "item_id", "window", F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours"))
-    values = pairs.groupBy("doc_id", "item_id", "theirs").agg(F.min("ours").alias("least"), F.max("ours").alias("most"))
-    consistent = values.groupBy("doc_id", "item_id").agg(
+        both = template_windows(texts, "doc", lengths).join(wanted, "window")
+    both = written(both.select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "window", "item_slots", "slots"), "matches")
+    occurrence = ["doc", "item", "shift"]
+    # per pair of values, then per occurrence: does each item value stand for one document value?
+    pairs = both.select(*occurrence, F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s"))
+    pairs = pairs.select(*occurrence, F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours"))
+    values = pairs.groupBy(*occurrence, "theirs").agg(F.min("ours").alias("least"), F.max("ours").alias("most"))
+    consistent = values.groupBy(*occurrence).agg(
         F.coalesce(F.bool_and(F.col("least") == F.col("most")), F.lit(True)).alias("consistent"), F.count("theirs").alias("n_slots"), F.coalesce(F.bool_and(F.col("least") == F.col("theirs")), F.lit(True)).alias("exact")
     )
-    found = both.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_windows"))
-    return found.join(consistent, ["doc_id", "item_id"]).where("consistent").select("doc_id", "item_id", "n_windows", "n_slots", "exact")
+    found = both.groupBy(*occurrence).agg(F.count_distinct("window").alias("n_windows"))
+    found = found.join(consistent.where("consistent"), occurrence).groupBy("doc.doc_id", "item.item_id").agg(F.max(F.struct("n_windows", "exact", "n_slots")).alias("best"))
+    return found.select("doc_id", "item_id", "best.n_windows", "best.n_slots", "best.exact")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

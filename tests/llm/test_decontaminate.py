@@ -29,3 +29,15 @@ def test_empty(spark):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert contaminated(spark.createDataFrame([], schema), bench).count() == 0
     assert contaminated(spark.createDataFrame([(1, ITEM)], schema), bench.limit(0)).count() == 0
+
+
+def test_occurrences_are_judged_one_by_one(spark):
+    other = ITEM.replace("120", "75").replace("Boston", "Denver")
+    window = "and travels 300 miles toward the coast before"
+    repeated = "Tom has 3 apples and then buys more, Ann has 5 apples and then buys more"
+    docs = [(1, f"{ITEM} {FILL} {other}"), (2, f"{FILL} {ITEM} {FILL} {window} {FILL}"), (3, f"{FILL} {repeated} {FILL}"), (4, repeated.replace("Tom", "Eve")), (5, ITEM), (5, other), (6, other)]
+    bench = spark.createDataFrame([(10, ITEM), (11, repeated)], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = {(1, 10): True, (2, 10): True, (3, 11): True, (4, 11): False, (5, 10): True, (6, 10): False}
+    for size in (1_000_000, 0):
+        assert {(r.doc_id, r.item_id): r.exact for r in contaminated(df, bench, max_broadcast=size).collect()} == expected
