@@ -7,6 +7,7 @@ without overlap over the whole text; the method adds spans of kind ``novel``.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -40,8 +41,10 @@ IDENTIFIERS = (
 )
 AROUND = 256
 NEAR = 48
-#: Marginal compressed bytes per byte from which a candidate counts as novel.
+#: Share of its cost without priming, and that of the cost of its alphabet, from which a candidate's bytes count as novel.
 NOVELTY = 0.9
+_PLAIN = zstandard.ZstdCompressor(level=3, write_content_size=False)
+_EMPTY = len(_PLAIN.compress(b""))
 
 
 def marginal_bytes(candidate: str, around: str) -> int:
@@ -51,6 +54,24 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
 
 
+def _alphabet(word: str) -> int:
+    """Size of the alphabet that a string seems to be drawn from."""
+    if all(c in "0123456789ABCDEF" for c in word) or all(c in "0123456789abcdef" for c in word):
+        return 16
+    return 26 * any("a" <= c <= "z" for c in word) + 26 * any("A" <= c <= "Z" for c in word) + 10 * any(c.isdigit() for c in word) + 2 * any(c in "+/_-" for c in word.rstrip("="))
+
+
+def is_novel(candidate: str, around: str) -> bool:
+    """Whether the candidate neither repeats itself nor what primes the compressor.
+
+    From 64 bytes on zstandard codes literals by their entropy, so the cost is judged against
+    that of the same string without priming, and that one against the least of its alphabet.
+    """
+    own = len(_PLAIN.compress(candidate.encode())) - _EMPTY
+    least = len(candidate) if len(candidate) < 64 else len(candidate) * math.log2(_alphabet(candidate)) / 8
+    return own >= NOVELTY * least and marginal_bytes(candidate, around) >= NOVELTY * min(own, len(candidate))
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, place of the kind in KINDS, end) in order. Base spans come as they match; novel ones overlap none of them."""
     found = []
@@ -71,7 +92,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
                 word = m[0]
                 if (at, 3, to) in found or any(s < to and at < e for s, _, e in base) or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
                     continue
-                if marginal_bytes(word, text[max(0, at - AROUND) : at] + text[to : to + AROUND]) >= NOVELTY * len(word):
+                if is_novel(word, text[max(0, at - AROUND) : at] + text[to : to + AROUND]):
                     found.append((at, 3, to))
     return sorted(found)
 

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 from furrow.llm.secrets import KINDS, scan_secrets, spans
 
@@ -37,3 +39,21 @@ def test_rows(spark):
     out = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as spans")).collect()
     assert len(out) == 5 and sorted(r.n_assign for r in out) == [0, 0, 0, 1, 1]
     assert {r.base_sha256 for r in out if not r.spans} == {"e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"}
+
+
+ALPHABETS = (string.digits + "ABCDEF", string.ascii_lowercase + string.digits, string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/")
+
+
+def drawn(alphabet, n, seed=1):
+    """A random string with a letter and a digit that begins and ends with a letter."""
+    rng = random.Random(seed)
+    return "A" + "".join(rng.choice(alphabet) for _ in range(n - 3)) + "7B" if alphabet[0] != "a" or "A" in alphabet else "a" + "".join(rng.choice(alphabet) for _ in range(n - 3)) + "7b"
+
+
+def test_length_and_alphabet_do_not_decide():
+    for alphabet in ALPHABETS:
+        for n in (24, 63, 64, 80, 100, 128, 256):
+            text = f"Authorization: Bearer {drawn(alphabet, n)} and more"
+            assert spans(text) == [(22, 3, 22 + n)], (alphabet, n)
+    for known in ("abc123" * 4, "abc123" * 20, "authorization1" * 8, "a" * 100 + "1"):
+        assert spans(f"Authorization: Bearer {known} and more") == [], known
