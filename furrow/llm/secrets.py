@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,9 @@ _ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 SENSITIVE = ("passw", "secret", "token", "api_key", "apikey", "credential", "bearer", "private_key", "access_key", "authorization")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.I | re.A)
 _SENSITIVE_BYTES = tuple(w.encode() for w in SENSITIVE)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Between lines of one quoted string or block, beside a line end, plain or escaped: white space, quotes and marks of joining.
+_BETWEEN = re.compile(r"""(?:[\s"'`+,>|#]|\\[nrt]?)*+""")
 #: Identifier vocabulary that primes the compressor beside the surrounding text.
 IDENTIFIERS = (
     "abstract access account address admin api argument array async auth authorization await base64 bearer boolean bucket buffer cache catalog class client cloud column config "
@@ -72,9 +75,41 @@ def is_novel(candidate: str, around: str) -> bool:
     return own >= NOVELTY * least and marginal_bytes(candidate, around) >= NOVELTY * min(own, len(candidate))
 
 
+def _adjoin(gap: str) -> bool:
+    return any(end in gap for end in ("\n", "\\n", "\\r")) and _BETWEEN.fullmatch(gap) is not None
+
+
+def _candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) in order of strings to their real ends that begin within NEAR after a sensitive word, or on lines that adjoin one that does.
+
+    A string that goes on over sensitive words comes whole, then in its parts after each of them, so the work stays in proportion to the text.
+    """
+    places = [m.end() for m in _SENSITIVE.finditer(text)]
+    i, carried = 0, -1  # the next word, and where a candidate that carries context ends
+    for m in _RUN.finditer(text, places[0] if places else len(text)):
+        run, to = m.span()
+        if text[run - 1 : run] == "\\" and text[run] in "nrt":
+            run += 1  # an escaped line end, not part of the string
+        while i < len(places) and places[i] <= run:
+            i += 1
+        near = i > 0 and run <= places[i - 1] + NEAR or carried >= 0 and _adjoin(text[carried:run])
+        inside = []
+        while i < len(places) and places[i] < to:
+            inside.append(places[i])
+            i += 1
+        cuts = ([run] if near else []) + inside
+        if cuts and to - cuts[0] >= 16:
+            carried = to
+            yield cuts[0], to
+            if len(cuts) > 1:
+                for a, b in zip(cuts, [*cuts[1:], to], strict=True):
+                    if b - a >= 16:
+                        yield a, b
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, place of the kind in KINDS, end) in order. Base spans come as they match; novel ones overlap none of them."""
-    found = []
+    found, novel = [], []
     raw = text.encode("utf-8", "surrogatepass")
     low = raw.lower()
     if any(w in low for w in _ASSIGN_WORDS):
@@ -83,18 +118,16 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if any(w in low for w in _SENSITIVE_BYTES):
-        base = sorted(found)
-        for place in {m.end() for m in _SENSITIVE.finditer(text)}:
-            for m in _CANDIDATE.finditer(text, place, min(len(text), place + NEAR + AROUND)):
-                at, to = m.span()
-                if at > place + NEAR:
-                    break
-                word = m[0]
-                if (at, 3, to) in found or any(s < to and at < e for s, _, e in base) or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-                    continue
-                if is_novel(word, text[max(0, at - AROUND) : at] + text[to : to + AROUND]):
-                    found.append((at, 3, to))
-    return sorted(found)
+        starts = sorted(s for s, _, _ in found)
+        ends = sorted(e for _, _, e in found)
+        for at, to in _candidates(text):
+            word = text[at:to]
+            # base spans that begin before the candidate's end are more than those that end by its start: one overlaps it
+            if bisect_left(starts, to) > bisect_right(ends, at) or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
+                continue
+            if (not novel or novel[-1][2] <= at) and is_novel(word, text[max(0, at - AROUND) : at] + text[to : to + AROUND]):
+                novel.append((at, 3, to))
+    return sorted(found + novel)
 
 
 def _joined(found: list[tuple[int, int, int]]) -> str:

@@ -55,5 +55,20 @@ def test_length_and_alphabet_do_not_decide():
         for n in (24, 63, 64, 80, 100, 128, 256):
             text = f"Authorization: Bearer {drawn(alphabet, n)} and more"
             assert spans(text) == [(22, 3, 22 + n)], (alphabet, n)
-    for known in ("abc123" * 4, "abc123" * 20, "authorization1" * 8, "a" * 100 + "1"):
+    for known in ("xyz123" * 4, "xyz123" * 20, "authorization1" * 8, "x" * 100 + "1"):
         assert spans(f"Authorization: Bearer {known} and more") == [], known
+
+
+def test_candidates_reach_their_real_end():
+    long = drawn(ALPHABETS[3], 400)
+    assert spans(f"Authorization: Bearer {long} and more") == [(22, 3, 422)]
+    lines = [drawn(ALPHABETS[3], 64, i) for i in range(26)]
+    for end in ("\n", "\\n", '"\n    "', '\\n" +\n  "'):
+        text = f'"private_key": "-----BEGIN PRIVATE KEY-----{end}' + end.join(lines) + f'{end}-----END PRIVATE KEY-----" ' + drawn(ALPHABETS[3], 64, 99)
+        assert [text[s:e] for s, _, e in spans(text)] == lines, end
+    tail = drawn(ALPHABETS[3], 40)
+    text = "api_key_token_" * 20 + tail
+    assert [text[s:e].lstrip("_") for s, _, e in spans(text)] == [tail]
+    assert spans("token" * 100_000) == []
+    start = f"bearer {drawn(ALPHABETS[3], 40)}"
+    assert len(spans(start + "\n" * 300_000 + "x " + drawn(ALPHABETS[3], 40))) == 1
