@@ -75,6 +75,20 @@ def is_novel(candidate: str, around: str) -> bool:
     return own >= NOVELTY * least and marginal_bytes(candidate, around) >= NOVELTY * min(own, len(candidate))
 
 
+def _around(text: str, at: int, to: int) -> str:
+    """The text around a candidate without its other occurrences, so that a repeated string does not make itself known."""
+    low, high = max(0, at - AROUND), to + AROUND
+    core = text[at:to].strip("=+/_-") or text[at:to]
+    kept, upto = [], low
+    # occurrences may reach over the borders of what is taken
+    begin = text.find(core, max(0, low - len(core)), high + len(core))
+    while begin >= 0:
+        kept.append(text[upto : max(upto, min(begin, high))])
+        upto = max(upto, begin + len(core))
+        begin = text.find(core, begin + len(core), high + len(core))
+    return " ".join([*kept, text[upto:high]])
+
+
 def _adjoin(gap: str) -> bool:
     return any(end in gap for end in ("\n", "\\n", "\\r")) and _BETWEEN.fullmatch(gap) is not None
 
@@ -125,7 +139,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
             # base spans that begin before the candidate's end are more than those that end by its start: one overlaps it
             if bisect_left(starts, to) > bisect_right(ends, at) or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
                 continue
-            if (not novel or novel[-1][2] <= at) and is_novel(word, text[max(0, at - AROUND) : at] + text[to : to + AROUND]):
+            if (not novel or novel[-1][2] <= at) and is_novel(word, _around(text, at, to)):
                 novel.append((at, 3, to))
     return sorted(found + novel)
 

@@ -72,3 +72,11 @@ def test_candidates_reach_their_real_end():
     assert spans("token" * 100_000) == []
     start = f"bearer {drawn(ALPHABETS[3], 40)}"
     assert len(spans(start + "\n" * 300_000 + "x " + drawn(ALPHABETS[3], 40))) == 1
+
+
+def test_repeated_secrets():
+    for n in (24, 64, 300):
+        word = drawn(ALPHABETS[3], n)
+        for between in (" -o a.txt\ncurl -H 'Authorization: Bearer ", " Bearer =", " " + "words go on " * 18 + "Bearer "):
+            text = f"Authorization: Bearer {word}{between}{word} end"
+            assert [text[s:e].strip("=") for s, _, e in spans(text)] == [word, word], (n, between)
