@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from furrow.llm.components import components
-from furrow.llm.jaccard import linked, near_duplicates, signatures
+from furrow.llm.jaccard import _stars, linked, near_duplicates, rarest
 
 
 def brute(rows, k, percent):
@@ -58,18 +58,29 @@ def test_against_brute_force(spark, seed, k, percent, cell):
     assert got == brute(rows, k, percent)
 
 
-def test_signatures_meet_for_every_linked_pair():
-    rng = np.random.default_rng(5)
-    for _ in range(400):
-        n = int(rng.integers(2, 300))
-        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-        keep = base[rng.random(len(base)) > rng.random() * 0.15]
-        other = np.unique(np.concatenate((keep, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 10))).astype(np.uint64))))
-        both = len(np.intersect1d(base, other))
-        if not len(other) or 100 * both < 85 * (len(base) + len(other) - both) or np.array_equal(base, other):
-            continue
-        row, sig = signatures(np.concatenate((base, other)), np.array([0, len(base), len(base) + len(other)]), 85)
-        assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
+@pytest.mark.parametrize("percent", [60, 80, 85])
+def test_rarest_shingles_meet_for_every_linked_pair(spark, percent):
+    rng = np.random.default_rng(percent)
+    common = rng.integers(0, 1 << 40, 60)
+    sets = []
+    for _ in range(60):
+        own = set(rng.integers(0, 1 << 40, int(rng.integers(0, 60))).tolist()) | set(rng.choice(common, int(rng.integers(0, 60)), replace=False).tolist())
+        if sets and rng.random() < 0.7:
+            own = set(rng.permutation(list(sets[int(rng.integers(len(sets)))]))[int(rng.integers(0, 4)) :].tolist()) | set(rng.integers(0, 1 << 40, int(rng.integers(0, 6))).tolist())
+        sets.append(own)
+    rows = [(h, i, len(s)) for i, s in enumerate(sets) for h in s]
+    marks = {}
+    for r in rarest(spark.createDataFrame(rows, "h long, node long, n long"), percent).collect():
+        marks.setdefault(r.node, {})[r.h] = r.most
+    together = {r.node: r.label for r in components(_stars(spark.createDataFrame([(h, i, len(sets[i]), m) for i, x in marks.items() for h, m in x.items()], "h long, node long, n long, most long"), percent)).collect()}
+    linked_pairs = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and a != b and 100 * len(a & b) >= percent * len(a | b):
+                linked_pairs += 1
+                assert any(marks[i][h] >= len(b) and marks[j].get(h, -1) >= len(a) for h in marks[i])
+                assert together[i] == together[j]
+    assert linked_pairs > 10
 
 
 def test_tree_join_connects_what_all_pairs_connect():
@@ -101,3 +112,13 @@ def test_edges(spark):
     rows = [(4, "one two three four five"), (4, "one two three four five"), (2, "one two three four five"), (None, "one two three four five"), (9, "one two"), (8, "one two"), (7, None)]
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, schema)).collect())
     assert got == [(-1, 2, None), (2, 2, 2), (4, 2, 2), (4, 2, 2), (7, 0, 7), (8, 1, 8), (9, 1, 8)]
+
+
+def test_very_long_text_and_its_near_copy(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(30_000)}" for _ in range(250_000)]
+    near = long[:240_000] + ["other"] * 5
+    rows = [(1, " ".join(near)), (2, " ".join(long)), (3, "w1 " * 100_000), (4, "w1 " * 90_000), (5, "w2 " * 10)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
