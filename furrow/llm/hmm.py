@@ -3,7 +3,7 @@
 Tokens are words (A-Z folded) and one end. Every training word has emissions by
 state of its own, kept in a table that grows with the vocabulary; all words
 that training lacks share one symbol. The model is a distribution over whole
-texts, and gathers counts from all training texts. Texts are packed into buckets
+texts, and gathers counts from all training texts, each of them whole. Texts are packed into buckets
 with the list of their words, so that a word's emissions are joined once a
 bucket. The HEAD most frequent words, which nearly all buckets hold, travel by
 broadcast instead; the scores do not depend on their number.
@@ -34,8 +34,8 @@ SEED = 7
 BLOCK = 500_000
 #: Tokens from which a bucket of whole texts is complete.
 BUCKET = 1_000_000
-#: Baum-Welch reads longer texts in stretches of so many tokens; scores are always of whole texts.
-STRETCH = 2048
+#: Longer texts are worked off in stretches of so many tokens side by side, with what each stretch hands to the next.
+STRETCH = 1024
 #: Tokens by the words' shares that each state is taken to have beyond its own.
 PRIOR = 500.0
 #: Occurrences that each word is taken to have beyond its own, by the states' shares of all tokens: a rare word leans little to a state.
@@ -122,6 +122,12 @@ def _blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
         at = to
 
 
+def _cut_up(sequences: list[np.ndarray]) -> tuple[list[np.ndarray], list[tuple[int, bool]]]:
+    """Stretches of all sequences in order, each with its sequence and whether it begins it."""
+    cuts = [(i, a) for i, s in enumerate(sequences) for a in range(0, len(s), STRETCH)]
+    return [sequences[i][a : a + STRETCH] for i, a in cuts], [(i, a == 0) for i, a in cuts]
+
+
 class Model:
     """Start (K), moves (K, K) and emissions (symbols, K)."""
 
@@ -142,14 +148,18 @@ class Model:
                 total[:n] += np.log(scale)
             out[np.array(short)[chosen]] = total
         long = [i for i, s in enumerate(sequences) if len(s) > STRETCH]
-        out[long] = self._long([sequences[i] for i in long])
+        stretches, of = _cut_up([sequences[i] for i in long])
+        products, logs = self._products(stretches, of)
+        for (i, begins), p, log in zip(of, products, logs, strict=True):
+            alpha = (self.start if begins else alpha) @ p
+            out[long[i]] += log + math.log(alpha.sum())
+            alpha = alpha / alpha.sum()
         return out / math.log(10)
 
-    def _long(self, sequences: list[np.ndarray]) -> list[float]:
-        """The same, as natural logs, for long sequences: products of moves and emissions of all stretches side by side, then one after the other."""
-        stretches = [s[a : a + STRETCH] for s in sequences for a in range(0, len(s), STRETCH)]
-        begins = np.array([a == 0 for s in sequences for a in range(0, len(s), STRETCH)], bool)
+    def _products(self, stretches: list[np.ndarray], of: list[tuple[int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+        """What each stretch makes of the states before it: its product of moves and emissions, of sum 1, and the natural log of the scale."""
         k = len(self.start)
+        begins = np.array([b for _, b in of], bool)
         products, logs = np.zeros((len(stretches), k, k)), np.zeros(len(stretches))
         for chosen, length, x in _blocks(stretches):
             product = np.broadcast_to(np.eye(k), (len(chosen), k, k)).copy()
@@ -164,39 +174,61 @@ class Model:
                 product[:n] = moved / scale[:, None, None]
                 logs[chosen[:n]] += np.log(scale)
             products[chosen] = product
-        out: list[float] = []
-        for p, log, begin in zip(products, logs, begins, strict=True):
-            if begin:
-                out.append(0.0)
-                alpha = self.start
-            alpha = alpha @ p
-            out[-1] += float(log) + math.log(alpha.sum())
-            alpha = alpha / alpha.sum()
-        return out
+        return products, logs
+
+    def _borders(self, stretches: list[np.ndarray], of: list[tuple[int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each stretch the state probabilities before it (0 for a text's first) and what comes after it as seen from its last state (1 at a text's end)."""
+        before, after = np.zeros((len(stretches), len(self.start))), np.ones((len(stretches), len(self.start)))
+        ends = [i + 1 == len(of) or of[i + 1][1] for i in range(len(of))]
+        cut = [i for i, (_, b) in enumerate(of) if not (b and ends[i])]
+        products, _ = self._products([stretches[i] for i in cut], [of[i] for i in cut])
+        for i, p in zip(cut, products, strict=True):
+            if not ends[i]:
+                alpha = (self.start if of[i][1] else before[i]) @ p
+                before[i + 1] = alpha / alpha.sum()
+        for i, p in zip(reversed(cut), products[::-1], strict=True):
+            if not of[i][1]:
+                beta = p @ after[i]
+                after[i - 1] = beta / beta.sum()
+        return before, after
 
     def expected(self, sequences: list[np.ndarray], emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> None:
-        """Adds the sequences' expected counts (forward-backward) to the three arrays."""
-        for _, length, x in _blocks(sequences):
+        """Adds the expected counts (forward-backward) of whole sequences to the three arrays."""
+        stretches, of = _cut_up(sequences)
+        begins = np.array([b for _, b in of], bool)
+        before, after = self._borders(stretches, of)
+        for chosen, length, x in _blocks(stretches):
             alphas, scales, active = [], [], [int(np.searchsorted(-length, -t, "left")) for t in range(len(x))]
+            first = begins[chosen]
             for t, n in enumerate(active):
-                alpha = (self.start if t == 0 else alphas[-1][:n] @ self.moves) * self.emit[x[t, :n]]
+                into = np.where(first[:, None], self.start, before[chosen] @ self.moves) if t == 0 else alphas[-1][:n] @ self.moves
+                alpha = into * self.emit[x[t, :n]]
                 scale = alpha.sum(1)
                 alpha /= scale[:, None]
                 alphas.append(alpha)
                 scales.append(scale)
-            beta = np.ones((active[-1], len(self.start)))
+            # beta at a stretch's last symbol, such that the states' probabilities there sum to 1
+            last = np.empty((len(chosen), len(self.start)))
+            for t, n in enumerate(active):
+                m = active[t + 1] if t + 1 < len(active) else 0
+                last[m:n] = alphas[t][m:n]
+            rest = after[chosen]
+            rest = rest / (last * rest).sum(1, keepdims=True)
+            beta = rest[: active[-1]]
             pairs = np.zeros_like(moved)
-            gammas = [alphas[-1]]
+            gammas = [alphas[-1] * beta]
             for t in range(len(x) - 2, -1, -1):
                 n = active[t + 1]
                 ahead = self.emit[x[t + 1, :n]] * beta / scales[t + 1][:, None]
                 pairs += alphas[t][:n].T @ ahead
-                beta = np.ones((active[t], len(self.start)))
-                beta[:n] = ahead @ self.moves.T
+                beta = np.concatenate((ahead @ self.moves.T, rest[n : active[t]]))
                 gammas.append(alphas[t] * beta)
             gammas.reverse()
+            # the move into a stretch from the one before it
+            ahead = self.emit[x[0]] * beta / scales[0][:, None]
+            pairs += before[chosen].T @ ahead
             moved += pairs * self.moves
-            started += gammas[0].sum(0)
+            started += gammas[0][first].sum(0)
             symbols = np.concatenate([x[t, :n] for t, n in enumerate(active)])
             gamma = np.concatenate(gammas)
             for k in range(len(self.start)):
@@ -259,12 +291,12 @@ def _expectations(batches: Iterator[pa.RecordBatch], p: Parameters) -> Iterator[
     for batch in batches:
         for i in range(batch.num_rows):
             sequences, train, rest = _texts(batch, i, end)
-            stretches = [s[a : a + STRETCH] for s, t in zip(sequences, train, strict=True) if t for a in range(0, len(s), STRETCH)]
-            if not stretches:
+            learnt = [s for s, t in zip(sequences, train, strict=True) if t]
+            if not learnt:
                 continue
             c, model = p.bucket(batch, i, len(rest))
             here = np.zeros_like(model.emit)
-            model.expected(stretches, here, moved, started)
+            model.expected(learnt, here, moved, started)
             emitted += here[: end + 1]
             here = here[end + 1 :]
             seen = np.flatnonzero(here.sum(1))

@@ -50,6 +50,41 @@ def test_expected_counts_and_growth_of_likelihood():
         before = after
 
 
+def counts(m, sequences):
+    emitted, moved, started = np.zeros_like(m.emit), np.zeros_like(m.moves), np.zeros(len(m.start))
+    m.expected(sequences, emitted, moved, started)
+    return emitted, moved, started
+
+
+def test_expected_counts_are_sums_over_paths_of_whole_sequences(monkeypatch):
+    m, rng = model(), np.random.default_rng(6)
+    sequences = [rng.integers(0, 5, n).astype(np.int32) for n in (1, 2, 3, 5, 6, 7, 7)]
+    emitted, moved, started = np.zeros_like(m.emit), np.zeros_like(m.moves), np.zeros(3)
+    for s in sequences:
+        whole = 10 ** path_sum(m, s)
+        for path in itertools.product(range(3), repeat=len(s)):
+            p = m.start[path[0]] * m.emit[s[0], path[0]]
+            for i in range(1, len(s)):
+                p *= m.moves[path[i - 1], path[i]] * m.emit[s[i], path[i]]
+            started[path[0]] += p / whole
+            for i, k in enumerate(path):
+                emitted[s[i], k] += p / whole
+            for a, b in zip(path, path[1:]):
+                moved[a, b] += p / whole
+    for stretch in (1024, 2, 3, 1):
+        monkeypatch.setattr(hmm, "STRETCH", stretch)
+        assert all(np.allclose(x, y) for x, y in zip(counts(m, sequences), (emitted, moved, started)))
+
+
+def test_stretches_of_long_sequences_hand_on_their_states(monkeypatch):
+    m, rng = model(), np.random.default_rng(7)
+    sequences = [rng.integers(0, 5, n).astype(np.int32) for n in (900, 40, 333, 1024, 1, 2)]
+    whole = counts(m, sequences)
+    monkeypatch.setattr(hmm, "STRETCH", 64)
+    monkeypatch.setattr(hmm, "BLOCK", 300)
+    assert all(np.allclose(x, y) for x, y in zip(counts(m, sequences), whole))
+
+
 def test_base_scores_and_held_out_gain(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     got = hmm.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, head=500).toPandas().set_index("doc_id")
@@ -81,3 +116,21 @@ def test_every_word_has_emissions_by_state(spark):
     some, many, none = (hmm.score_texts(docs, train, head=n).toPandas().set_index("doc_id").sort_index() for n in (20, 5000, 0))
     assert np.allclose(some.score, many.score, rtol=1e-4) and np.allclose(none.score, many.score, rtol=1e-4)
     assert np.allclose(some.base_score, many.base_score)
+
+
+def test_scores_are_those_of_the_plain_model(spark):
+    """One state: the model is a unigram one, whose weights can be written down, also for the end and for words not learnt."""
+    rows = [(1, "a b a c"), (2, "b b d"), (3, "a zz yy"), (4, None), (5, "A\tB")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = F.col("doc_id").isin(1, 2, 4)
+    out = {r.doc_id: r for r in hmm.score_texts(docs, train, head=2, states=1).collect()}
+    c = Counter(w for i, t in rows if i in (1, 2, 4) for w in [*(t or "").lower().split(), None])
+    n, v = sum(c.values()), len(c)
+    total = n + 0.5 * (v + 1)
+    weight = {w: float(hmm.smoothed(np.array([float(x)]), np.array([[float(x)]]), np.ones(1), total)[0, 0]) for w, x in c.items()}
+    unseen = float(hmm.smoothed(np.zeros(1), np.zeros((1, 1)), np.ones(1), total)[0, 0])
+    norm = sum(weight.values()) + unseen
+    for i, t in rows:
+        expected = sum(math.log10(weight.get(w, unseen) / norm) for w in [*(t or "").lower().split(), None])
+        assert math.isclose(out[i].score, expected, rel_tol=1e-5)
+    assert math.isclose(norm, total + hmm.PRIOR, rel_tol=1e-9)
