@@ -11,24 +11,44 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a new temporary one only where none is set, as in tests."""
+    """The cluster's checkpoint folder; on a local master without one, as in tests, a new temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="furrow-"))
     return _own[0]
 
 
+def _path(spark: SparkSession, path: str):
+    """Hadoop's file system and path, for a path that Spark can read."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()), at
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """An empty folder of its own in the shared folder. The driver's end deletes it."""
+    path = f"{shared_folder(spark)}/furrow-{name}-{uuid.uuid4().hex}"
+    files, at = _path(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder, read back: its lineage ends there."""
+    """df as Parquet in the shared folder, read back: its lineage ends there. The driver's end deletes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/furrow-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    files, at = _path(spark, path)
+    files.deleteOnExit(at)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -346,5 +346,33 @@ def _large(large: DataFrame, sets: DataFrame, percent: int, cell: int) -> DataFr
     return starred.union(_verified(sent, sets, percent))
 
 
+OP5_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS shingle FROM d, unnest(range(1, greatest(len(w) - 2, 2))) AS u(i) WHERE len(w) > 0
+), n AS (
+  SELECT r, count(*) AS n, hash(list(shingle ORDER BY shingle)) AS whole FROM s GROUP BY r
+), class AS (
+  SELECT whole, min(r) AS c, any_value(n) AS n FROM n GROUP BY whole
+), t AS (
+  SELECT c, n, shingle FROM s JOIN class ON r = c
+), pair AS (
+  SELECT a.c AS a, b.c AS b FROM t a JOIN t b ON a.shingle = b.shingle AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), node AS (
+  SELECT r, c, doc_id FROM n JOIN class USING (whole) JOIN d USING (r)
+), edge AS (
+  SELECT a, b FROM pair UNION SELECT b, a FROM pair
+), reach AS (
+  SELECT c AS a, c AS b FROM class
+  UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+), least AS (
+  SELECT reach.a AS c, min(doc_id) AS component FROM reach JOIN node ON node.c = reach.b GROUP BY reach.a
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CASE WHEN d.doc_id IS NOT NULL THEN coalesce(least.component, d.doc_id) END AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN node USING (r) LEFT JOIN least ON node.c = least.c
+"""
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from furrow.llm.decontaminate import op9_benchmark_decontamination
 from furrow.llm.hmm import op10_lm_scoring
-from furrow.llm.jaccard import op5_ngram_jaccard_join
+from furrow.llm.jaccard import OP5_SQL, op5_ngram_jaccard_join
 from furrow.llm.mixing import op6_mixing
 from furrow.llm.quality import op3_quality_classifier
 from furrow.llm.rules import op8_quality_rules
 from furrow.llm.secrets import op4_secret_scans
 from furrow.llm.sharding import op2_sharding
-from furrow.llm.substring import op7_substring_dedup
+from furrow.llm.substring import OP7_SQL, op7_substring_dedup
 from furrow.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -26,4 +26,5 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL}
+#: For tables of the size that the queries are compared on; the joins of shingles and windows are not for large ones.
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op7_substring_dedup": OP7_SQL}

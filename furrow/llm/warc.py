@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.folder import shared_folder, table, written
+from furrow.llm.folder import new_folder, table, written
 
 _DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -174,8 +174,9 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     Of pages with equal payloads the smallest page_id is the response
     (refers_to null), the others refer to it. Rows that repeat that id with that
     payload are responses too; a null id is a response only if all its equals
-    have null ids. Digests alone meet to find the response, so a payload that a
-    third of the pages share stays spread over its pages' own keys.
+    have null ids. The response of each digest is found by sums; digests and ids
+    alone (no payloads) meet it, in a join that Spark splits where a payload is
+    that of very many pages, and payloads meet by page and digest.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha1("payload"))
     first = pages.groupBy("sha").agg(F.min("page_id").alias("response"))
@@ -188,7 +189,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """pages written as monolithic archives, normalised, and read back by the sidecar index. No page, no archive, no row."""
     spark = pages.sparkSession
-    root = f"{shared_folder(spark)}/furrow-warc-{uuid.uuid4().hex}"
+    root = new_folder(spark, "warc")
     archives = written(write_archives(with_revisits(pages), f"{root}/raw"), "archives")
     tasks = max(1, archives.count())
     normal = written(normalise(archives.repartition(tasks), f"{root}/normal"), "normal")

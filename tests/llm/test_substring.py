@@ -44,10 +44,10 @@ def corpus(seed, n=60):
     return [*{i: (i, t) for i, t in rows}.values(), (n + 1, None), (n + 2, "")]
 
 
-@pytest.mark.parametrize("seed,hot,shard", [(1, 4096, 400_000), (2, 3, 400_000), (3, 4096, 100), (4, 2, 60)])
+@pytest.mark.parametrize("seed,hot,shard", [(1, 100_000, 400_000), (2, 60, 400_000), (3, 100_000, 100), (4, 20, 60)])
 def test_against_brute_force(spark, seed, hot, shard):
     rows = corpus(seed)
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as id", "3 as start")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as id", "3 as start", "4 as node", "5 as window")
     got = sorted(tuple(r) for r in dedup_substrings(df, 10, 3, hot, shard).collect())
     assert got == brute(rows, 10)
 
@@ -104,3 +104,12 @@ def test_intervals_cover_exactly_the_earlier_windows(monkeypatch, few):
                 if least[tuple(s[i : i + length])] < o:
                     expected[i : i + length] = True
             assert (c == expected).all()
+
+
+@pytest.mark.parametrize("hot", [100_000, 400])
+def test_very_long_texts_and_one_word_over_and_over(spark, hot):
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(30_000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[20_000:] + ["end"])), (3, "x " * 20_000), (4, "x " * 19_000 + "y"), (5, "x " * 30)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect())
+    assert got == [(1, 60_000, 0), (2, 40_001, 40_000), (3, 20_000, 0), (4, 19_001, 19_000), (5, 30, 0)]
