@@ -1,14 +1,24 @@
 """Benchmark decontamination by templates: typed placeholders, template windows, consistent slots.
 
-A word, without the punctuation around it, is a literal (its A-Z folded) or the
-slot of a number (digits, with the marks of a numeral), a name (it begins with
-a capital) or a unit. A window is WINDOW consecutive template words of which at
-least MIN_LITERALS are literals; an item of fewer words is one window by itself
-if it has at least SHORTEST words, with literals in the same proportion. Shared windows whose places in a text and in an
-item differ by the same number of words are one occurrence of the item. A document and an item match if in any
+A word, without the punctuation around it, is a literal (its case folded) or the
+slot of a number (digits, with the marks of a numeral), a name (it begins with a
+capital) or a unit. Words in capitals throughout, which text in capitals cannot
+tell from names, are literals, and so are single capitals beside them. A window is
+WINDOW consecutive template words of which at least MIN_LITERALS are literals; an
+item of fewer words is one window by itself if it has at least SHORTEST words,
+with literals in the same proportion. The windows with names of an item that has
+such a window are also looked for with the names as literals, as in text in
+capitals or without any.
+
+Shared windows whose places in a text and in an item differ by the same number of
+words are one occurrence of the item. A document and an item match if in any
 occurrence every slot value of the item stands for one value of the document
-over all windows of the occurrence: a question with its numbers or names exchanged is
-still caught, an accidental clash of slots is not.
+over all windows of the occurrence (several values of the item may stand for one
+of the document): a question with its numbers or names exchanged is still caught,
+an accidental clash of slots is not.
+
+Items without any such window are matched exactly: of at least SHORTEST words by
+all their words in a row, of fewer only by a document that has no other words.
 """
 
 from __future__ import annotations
@@ -49,97 +59,160 @@ _UNIT_HASHES = np.sort(_hashes(UNITS))
 _SLOTS = mix(np.array([11, 12, 13], np.uint64))  # number, name, unit
 
 
-def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words, their template hashes, and whether each is a slot."""
-    w = words(data, offsets, lower=True, strip=True)
-    if not len(w.hash):
-        return w, w.hash, np.zeros(0, bool)
-    numeral = np.concatenate(([0], np.cumsum(_NUMERAL[data])))
-    digit = np.concatenate(([0], np.cumsum(_DIGIT[data])))
-    number = (numeral[w.end] - numeral[w.start] == w.end - w.start) & (digit[w.end] > digit[w.start])
-    one = data[w.start]
-    two = data[np.minimum(w.start + 1, len(data) - 1)]
-    name = (one >= 65) & (one <= 90) | (one == 0xC3) & (two >= 0x80) & (two <= 0x9E)
-    unit = np.isin(w.hash, _UNIT_HASHES)
-    name &= ~unit
-    kind = np.where(number, _SLOTS[0], np.where(name, _SLOTS[1], np.where(unit, _SLOTS[2], w.hash)))
-    return w, kind, number | name | unit
+def _folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with the capitals of Latin-1 folded, and whether a capital (of A-Z or Latin-1) begins at each."""
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+    folded = data.copy()
+    folded[second] += 0x20
+    capital = (data >= 65) & (data <= 90)
+    capital[second - 1] = True
+    return folded, capital
 
 
-def _window_batches(batch: pa.RecordBatch, id_name: str, lengths: list[int], known: np.ndarray | None, own_length: bool) -> Iterator[pa.RecordBatch]:
-    ids = batch.column(0)
-    for lo, hi, data, offsets in slices(batch.column("text")):
-        w, kind, slot = templates(data, offsets)
-        counts = w.counts
+def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, whether each is a slot, whether one by its name alone, and their template hashes with names as slots and as literals."""
+    data = np.asarray(data)
+    folded, capital = _folded(data)
+    w = words(folded, offsets, lower=True, strip=True)
+    if not len(w.hash):
+        none = np.zeros(0, bool)
+        return w, none, none, w.hash, w.hash
+    total = lambda x: np.concatenate(([0], np.cumsum(x)))
+    within = lambda x: x[w.end] - x[w.start]
+    number = (within(total(_NUMERAL[data])) == w.end - w.start) & (within(total(_DIGIT[data])) > 0)
+    unit = np.isin(w.hash, _UNIT_HASHES)
+    # bytes of letters that are no capitals: a-z, and any beyond ASCII that is not part of a capital
+    small = (data >= 97) & (data <= 122) | (data >= 128) & ~capital
+    small[1:] &= ~(capital[:-1] & (data[:-1] == 0xC3))
+    capitals, smalls = within(total(capital)), within(total(small))
+    loud = (capitals >= 2) & (smalls == 0)
+    beside = np.zeros(len(loud), bool)
+    same = w.row[1:] == w.row[:-1]
+    beside[1:] |= loud[:-1] & same
+    beside[:-1] |= loud[1:] & same
+    name = capital[w.start] & ~unit & ~number & ~loud & ~((capitals == 1) & (smalls == 0) & beside)
+    plain = np.where(number, _SLOTS[0], np.where(unit, _SLOTS[2], w.hash))
+    return w, number | name | unit, name, np.where(name, _SLOTS[1], plain), plain
+
+
+#: Forms of windows: template windows, windows of an exact item, and whole short texts.
+TEMPLATE, EXACT, WHOLE = 0, 1, 2
+_WINDOW_TYPE = "window long, pos long, slots array<long>, form int, k int, need long"
+
+
+def _windows(w: Words, kind: np.ndarray, slot: np.ndarray, form: int, k: int, per_row: np.ndarray, known: np.ndarray | None) -> dict[str, np.ndarray] | None:
+    """The windows of k words of one form, the first per_row[r] of each row: row, value, pos and slots with their ends; those in known, if given."""
+    n = int(per_row.sum())
+    if not n:
+        return None
+    first = np.concatenate(([0], np.cumsum(per_row)))
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    pos = np.arange(n) - first[row]
+    at = pos + w.first[row]
+    value = np.full(n, np.uint64(k + 64 * form))
+    for i in range(k):
+        value = value * np.uint64(0x9E3779B97F4A7C15) + kind[at + i]
+    value = mix(value).view(np.int64)
+    keep = np.ones(n, bool)
+    if form == TEMPLATE:
         literals = np.concatenate(([0], np.cumsum(~slot)))
-        for k in lengths:
-            per_row = np.maximum(counts - k + 1, 0)
-            if own_length and k < WINDOW:
-                per_row = np.where(counts == k, 1, 0)
-            n = int(per_row.sum())
-            if not n:
-                continue
-            first = np.concatenate(([0], np.cumsum(per_row)))
-            row = np.repeat(np.arange(hi - lo), per_row)
-            pos = np.arange(n) - first[row]
-            at = pos + w.first[row]
-            value = np.full(n, np.uint64(k))
-            for i in range(k):
-                value = value * np.uint64(0x9E3779B97F4A7C15) + kind[at + i]
-            value = mix(value).view(np.int64)
-            keep = literals[at + k] - literals[at] >= -(-k * MIN_LITERALS // WINDOW)
-            if known is not None:
-                place = np.minimum(np.searchsorted(known, value), len(known) - 1)
-                keep &= known[place] == value
-            at, value, pos, row = at[keep], value[keep], pos[keep], row[keep]
-            if not len(at):
-                continue
-            inside = at[:, None] + np.arange(k)
-            marked = slot[inside]
-            values = w.hash[inside][marked].view(np.int64)
-            ends = np.concatenate(([0], np.cumsum(marked.sum(1))))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + lo)), pa.array(value), pa.array(pos.astype(np.int64)), lists(values, ends, pa.int64()), pa.array(np.full(len(at), k, np.int32))], names=[id_name, "window", "pos", "slots", "k"])
-
-
-def template_windows(df: DataFrame, id_name: str, lengths: list[int], known=None, own_length: bool = False) -> DataFrame:
-    """(id, window, pos, slots, k) of every template window of the given lengths, or of those in the broadcast array known."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _window_batches(batch, id_name, lengths, None if known is None else known.value, own_length)
-
-    kind = dict(df.dtypes)[id_name]
-    return df.select(id_name, F.col("text").cast("binary").alias("text")).mapInArrow(make, f"{id_name} {kind}, window long, pos long, slots array<long>, k int")
+        keep = literals[at + k] - literals[at] >= -(-k * MIN_LITERALS // WINDOW)
+    if known is not None:
+        keep &= known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
+    at, value, pos, row = at[keep], value[keep], pos[keep], row[keep]
+    if not len(at):
+        return None
+    inside = at[:, None] + np.arange(k)
+    marked = slot[inside]
+    return {"row": row, "value": value, "pos": pos, "slots": w.hash[inside][marked].view(np.int64), "ends": np.concatenate(([0], np.cumsum(marked.sum(1)))), "at": at}
+
+
+def _batch(ids: pa.Array, lo: int, found: dict[str, np.ndarray], form: int, k: int, need: np.ndarray, name: str) -> pa.RecordBatch:
+    n = len(found["row"])
+    return pa.RecordBatch.from_arrays(
+        [
+            ids.take(pa.array(found["row"] + lo)), pa.array(found["value"]), pa.array(found["pos"].astype(np.int64)), lists(found["slots"], found["ends"], pa.int64()),
+            pa.array(np.full(n, form, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(need.astype(np.int64)),
+        ],
+        names=[name, "window", "pos", "slots", "form", "k", "need"],
+    )
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of items: need is how many of them an occurrence has to have."""
+    for batch in batches:
+        for lo, hi, data, offsets in slices(batch.column("text")):
+            w, slot, name, kind, plain = templates(data, offsets)
+            counts, served = w.counts, np.zeros(hi - lo, bool)
+            for k in range(SHORTEST, WINDOW + 1):
+                per_row = np.maximum(counts - k + 1, 0) if k == WINDOW else (counts == k).astype(np.int64)
+                names = np.concatenate(([0], np.cumsum(name)))
+                for of, marks, only in ((kind, slot, False), (plain, slot & ~name, True)):
+                    found = _windows(w, of, marks, TEMPLATE, k, per_row, None)
+                    if found is None:
+                        continue
+                    if not only:
+                        served[found["row"]] = True
+                    else:  # without a name both are the same
+                        keep = np.flatnonzero(served[found["row"]] & (names[found["at"] + k] > names[found["at"]]))
+                        if not len(keep):
+                            continue
+                        size = np.diff(found["ends"])
+                        inside = np.repeat(np.isin(np.arange(len(size)), keep), size)
+                        found = {"row": found["row"][keep], "value": found["value"][keep], "pos": found["pos"][keep], "slots": found["slots"][inside], "ends": np.concatenate(([0], np.cumsum(size[keep])))}
+                    yield _batch(batch.column(0), lo, found, TEMPLATE, k, np.ones(len(found["row"])), "item")
+            for k in range(1, WINDOW + 1):
+                rest = ~served & (np.minimum(counts, WINDOW) == k)
+                form = EXACT if k >= SHORTEST else WHOLE
+                found = _windows(w, w.hash, np.zeros(len(w.hash), bool), form, k, np.where(rest, counts - k + 1, 0), None)
+                if found is not None:
+                    yield _batch(batch.column(0), lo, found, form, k, (counts - k + 1)[found["row"]], "item")
+
+
+def _document_windows(batches: Iterator[pa.RecordBatch], wanted: list[tuple[int, int]], known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Windows of documents in the forms and lengths wanted, or those of them that are known."""
+    for batch in batches:
+        for lo, _, data, offsets in slices(batch.column("text")):
+            w, slot, _, kind, _ = templates(data, offsets)
+            for form, k in wanted:
+                per_row = np.maximum(w.counts - k + 1, 0) if form != WHOLE else (w.counts == k).astype(np.int64)
+                of, marks = (kind, slot) if form == TEMPLATE else (w.hash, np.zeros(len(w.hash), bool))
+                found = _windows(w, of, marks, form, k, per_row, known)
+                if found is not None:
+                    yield _batch(batch.column(0), lo, found, form, k, np.ones(len(found["row"])), "doc")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """A row per matching document and item: doc_id, item_id, n_windows, n_slots, exact (all slots have the item's values).
 
     The last three are those of the consistent occurrence with the most windows, an exact one before others.
-    Null and empty texts match nothing, nor do items of fewer than SHORTEST
-    words or windows with too few literals. Rows with a null id match nothing.
-    Repeated rows of one id count as one document. Both tables are read whole.
+    Null and empty texts match nothing, and items without words are not looked
+    for. Rows with a null id match nothing. Repeated rows of one id count as one
+    document. Both tables are read whole, and all pairs come out: a document that
+    matches a template of which there are many items has a row for each of them.
     """
     spark = docs.sparkSession
-    # rows that share an id are texts of their own: their places do not go together
-    marked = lambda df, name, id_name: df.where(f"{id_name} is not null").select(F.struct(id_name, F.monotonically_increasing_id().alias("row")).alias(name), "text")
-    items = marked(benchmark.select("item_id", "text"), "item", "item_id")
-    lengths = list(range(SHORTEST, WINDOW + 1))
-    wanted = written(template_windows(items, "item", lengths, own_length=True), "templates")
-    lengths = [r[0] for r in wanted.select("k").distinct().collect()]
+
+    def marked(df: DataFrame, name: str, id_name: str) -> DataFrame:
+        # rows that share an id are texts of their own: their places do not go together
+        own = F.struct(F.col(id_name), F.monotonically_increasing_id().alias("row"))
+        return df.where(F.col(id_name).isNotNull()).select(own.alias(name), F.col("text").cast("binary").alias("text"))
+
+    items = marked(benchmark, "item", "item_id")
+    of = lambda df: df.schema[0].dataType.simpleString()
+    wanted = written(items.mapInArrow(_item_windows, f"item {of(items)}, {_WINDOW_TYPE}"), "templates")
+    forms = [(r.form, r.k) for r in wanted.select("form", "k").distinct().collect()]  # 11 at most
     # a window that an item repeats counts at each of its places
-    wanted = wanted.select("item", "window", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    n = wanted.count()
-    texts = marked(docs.select("doc_id", "text"), "doc", "doc_id")
-    if n <= max_broadcast:
-        known = np.unique(np.array([r[0] for r in wanted.select("window").distinct().collect()], np.int64))
-        if not len(known):
-            known = np.zeros(1, np.int64)
-        hits = template_windows(texts, "doc", lengths, spark.sparkContext.broadcast(known))
-        both = hits.join(F.broadcast(wanted), "window")
-    else:
-        both = template_windows(texts, "doc", lengths).join(wanted, "window")
-    both = written(both.select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "window", "item_slots", "slots"), "matches")
+    wanted = wanted.select("item", "window", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "need")
+    texts = marked(docs, "doc", "doc_id")
+    known = None
+    if wanted.count() <= max_broadcast:
+        hashes = wanted.select("window").distinct().toPandas()["window"].to_numpy(np.int64)  # max_broadcast at most
+        known = spark.sparkContext.broadcast(np.sort(hashes) if len(hashes) else np.zeros(1, np.int64))
+    hits = texts.mapInArrow(lambda b: _document_windows(b, forms, None if known is None else known.value), f"doc {of(texts)}, {_WINDOW_TYPE}")
+    both = hits.select("doc", "window", "pos", "slots").join(wanted, "window")
+    both = written(both.select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "need", "item_slots", "slots"), "matches")
     occurrence = ["doc", "item", "shift"]
     # per pair of values, then per occurrence: does each item value stand for one document value?
     pairs = both.select(*occurrence, F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s"))
@@ -148,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX
     consistent = values.groupBy(*occurrence).agg(
         F.coalesce(F.bool_and(F.col("least") == F.col("most")), F.lit(True)).alias("consistent"), F.count("theirs").alias("n_slots"), F.coalesce(F.bool_and(F.col("least") == F.col("theirs")), F.lit(True)).alias("exact")
     )
-    found = both.groupBy(*occurrence).agg(F.count_distinct("window").alias("n_windows"))
+    found = both.groupBy(*occurrence).agg(F.count(F.lit(1)).alias("n_windows"), F.max("need").alias("need")).where("n_windows >= need")
     found = found.join(consistent.where("consistent"), occurrence).groupBy("doc.doc_id", "item.item_id").agg(F.max(F.struct("n_windows", "exact", "n_slots")).alias("best"))
     return found.select("doc_id", "item_id", "best.n_windows", "best.n_slots", "best.exact")
 

@@ -59,7 +59,11 @@ def _rate(steps: list[np.ndarray], max_rate: float) -> Column:
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], anchor: str = "clean", max_rate: float = 1.0, steps: int = STEPS) -> DataFrame:
-    """members with rate, such that the expected totals sum(rate * n_tokens * p_d) match the targets.
+    """members with rate, such that the expected totals sum(rate * n_tokens * p_d) match the targets, and misfit.
+
+    misfit is the greatest difference of a domain's total from its target, as a
+    share of all tokens, the same in every row: at most CLOSE, unless no rates
+    within the bounds come closer or the steps were used up before.
 
     Minimised are the squared differences of the totals, each relative to its
     domain's natural total. The targets are shares; their scale is such that the anchor's target is all
@@ -74,7 +78,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], anchor: str = "clea
     natural = np.array([moments[f"e{i}"] or 0.0 for i in k])
     total = natural.sum()
     if total == 0:
-        return members.withColumn("rate", F.lit(1.0))
+        return members.withColumns({"rate": F.lit(1.0), "misfit": F.lit(0.0)})
     scale = natural[DOMAINS.index(anchor)] / targets[anchor]
     want = np.array([min(targets[d] * scale, max_rate * natural[i]) if d in targets else natural[i] for i, d in enumerate(DOMAINS)])
     gram = np.array([[moments[f"m{i}_{j}"] for j in k] for i in k]) / total
@@ -96,7 +100,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], anchor: str = "clea
             taken, have, step = tried, got, 2 * step
         else:
             step /= 4
-    return members.withColumn("rate", _rate(taken, max_rate))
+    return members.withColumns({"rate": _rate(taken, max_rate), "misfit": F.lit(float(np.abs(have - want).max() / total))})
 
 
 def copies(rate: Column, key: str = "doc_id") -> Column:
@@ -106,7 +110,7 @@ def copies(rate: Column, key: str = "doc_id") -> Column:
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "clean", max_rate: float = 1.0) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, p_<domain>, rate and copies. Null and empty texts weigh nothing; repeated rows weigh as they come."""
+    """Per row of docs: doc_id, n_tokens, p_<domain>, rate, misfit (see fit_rates) and copies. Null and empty texts weigh nothing; repeated rows weigh as they come."""
     rated = fit_rates(written(memberships(docs, labels), "memberships"), targets, anchor, max_rate)
     return rated.withColumn("copies", copies(F.col("rate")))
 

@@ -16,8 +16,6 @@ from furrow.llm.folder import table
 
 BINS = 16_384
 SMOOTHING = 1.0
-#: Labelled rows that stand for the trusted target, at most (those of the smallest hash).
-MAX_TRUSTED = 16_384
 #: Mean log-likelihood ratio per n-gram below which a text is rejected.
 THRESHOLD = -0.25
 #: Between words, and between tokens: runs of ASCII punctuation and runs of anything else but white space. Java's own
@@ -40,15 +38,15 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return hashes.withColumn("__two", F.expr(f"transform(slice(__one, 1, greatest(size(__one) - 1, 0)), (h, i) -> cast(pmod(xxhash64(h, get(__one, i + 1)), {BINS}) as int))"))
 
 
-def ratio_weights(docs: DataFrame, trusted: DataFrame, max_trusted: int = MAX_TRUSTED) -> list[float]:
+def ratio_weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """Log ratio of the trusted to the raw multinomial for each bin, both smoothed.
 
-    Raw counts are over all docs. trusted (doc_id) names the trusted texts; at
-    most max_trusted distinct ids of it count. Without any the ratios are those
-    of a uniform target.
+    Raw counts are over all docs, target counts over all of them that trusted
+    (doc_id) names. Without any the ratios are those of a uniform target. Spark
+    broadcasts the trusted ids while they are few, and shuffles beyond.
     """
-    ids = trusted.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("trusted"))).limit(max_trusted)
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("__trusted", F.lit(1))), "doc_id", "left")
+    ids = trusted.where("doc_id is not null").select("doc_id").distinct()
+    marked = docs.select("doc_id", "text").join(ids.withColumn("__trusted", F.lit(1)), "doc_id", "left")
     # explode_outer: for explode, Catalyst infers a filter that repeats the whole tokenising inside a lambda
     bins = F.expr(f"concat(transform(__one, h -> cast(pmod(h, {BINS}) as int)), __two)")
     counts = _hashed(marked).select(bins.alias("bins"), "__trusted").select(F.explode_outer("bins").alias("bin"), "__trusted").groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("target")).collect()
@@ -88,13 +86,13 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of docs: doc_id, the base counts, base_failed, mean_ratio and kept.
 
     kept is false if base_failed, else whether mean_ratio >= threshold. Texts
     without n-grams have mean_ratio 0. The weights are one constant of BINS doubles.
     """
-    weights = ",".join(f"{w:.6f}" for w in ratio_weights(docs, trusted, max_trusted))
+    weights = ",".join(f"{w:.6f}" for w in ratio_weights(docs, trusted))
     df = _hashed(base_rules(docs.select("doc_id", "text"))).drop("text")
     table_ = f"cast(split('{weights}', ',') as array<double>)"
     total = f"aggregate(__one, 0D, (a, h) -> a + get({table_}, cast(pmod(h, {BINS}) as int))) + aggregate(__two, 0D, (a, b) -> a + get({table_}, b))"

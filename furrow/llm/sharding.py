@@ -54,9 +54,12 @@ def numbered(df: DataFrame, order: list[str], name: str = "numbered") -> tuple[D
     """df with its global row number in the given order (``row``, from 0), and the number of rows.
 
     Rows are range-partitioned and sorted; each partition's offset is the sum of
-    the counts before it, so no task sees more than its own range.
+    the counts before it, so no task sees more than its own range. Rows that agree
+    in the whole order are told apart by their place in df, so that a range holds
+    no more of them than of others.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [*order, "__tie"]
+    ranged = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie")
     ranged = written(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), name)
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()  # one row a partition
     before, pairs = 0, []

@@ -1,4 +1,10 @@
-from furrow.llm.decontaminate import contaminated
+import random
+import string
+from collections import defaultdict
+
+import pytest
+
+from furrow.llm.decontaminate import MIN_LITERALS, SHORTEST, UNITS, WINDOW, contaminated
 
 ITEM = "A train leaves Boston at 9 and travels 120 miles toward the coast before it stops at a small village near the river"
 FILL = "some unrelated words stand here and then go on for a while without any meaning at all"
@@ -6,12 +12,12 @@ FILL = "some unrelated words stand here and then go on for a while without any m
 
 def test_templates(spark):
     docs = [
-        (1, f"{FILL} {ITEM} {FILL}"), (2, f"{FILL} {ITEM.replace('120', '75').replace('Boston', 'Denver')}, {FILL}"), (3, FILL), (4, None), (5, ""), (None, ITEM), (6, ITEM), (6, ITEM), (7, "x " * 100_000 + ITEM), (8, "What is 2 plus two?"),
+        (1, f"{FILL} {ITEM} {FILL}"), (2, f"{FILL} {ITEM.replace('120', '75').replace('Boston', 'Denver')}, {FILL}"), (3, FILL), (4, None), (5, ""), (None, ITEM), (6, ITEM), (6, ITEM), (7, "x " * 100_000 + ITEM), (8, "What is 2 plus two?"), (9, "Hi!"), (10, "hi there"),
     ]
     bench = [(10, ITEM), (11, None), (12, "What is 4 plus two"), (13, "hi"), (None, FILL)]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as window", "2 as item_id")
     out = {(r.doc_id, r.item_id): r.exact for r in contaminated(df, spark.createDataFrame(bench, "item_id long, text string")).collect()}
-    assert out == {(1, 10): True, (2, 10): False, (6, 10): True, (7, 10): True, (8, 12): False}
+    assert out == {(1, 10): True, (2, 10): False, (6, 10): True, (7, 10): True, (8, 12): False, (9, 13): True}
     shuffled = {(r.doc_id, r.item_id): r.exact for r in contaminated(df, spark.createDataFrame(bench, "item_id long, text string"), max_broadcast=0).collect()}
     assert shuffled == out
 
@@ -41,3 +47,103 @@ def test_occurrences_are_judged_one_by_one(spark):
     expected = {(1, 10): True, (2, 10): True, (3, 11): True, (4, 11): False, (5, 10): True, (6, 10): False}
     for size in (1_000_000, 0):
         assert {(r.doc_id, r.item_id): r.exact for r in contaminated(df, bench, max_broadcast=size).collect()} == expected
+
+
+def test_case_does_not_hide_an_item(spark):
+    item = "Yesterday Élodie gave 12 euros to the baker who sold very old bread near the station"
+    shouted = "THEN A TRAIN LEAVES BOSTON AT 9 AND TRAVELS 120 MILES TOWARD THE COAST BEFORE IT STOPS"
+    docs = [(1, ITEM.upper()), (2, ITEM.lower()), (3, shouted), (4, item.upper()), (5, item.replace("12", "50").lower()), (6, FILL.upper())]
+    bench = spark.createDataFrame([(10, ITEM), (11, item)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.exact for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()} == {(1, 10): True, (2, 10): True, (3, 10): True, (4, 11): True, (5, 11): False}
+
+
+def test_items_without_templates_match_exactly(spark):
+    names = "Anna Bert 12 Carl Dora 15 Emil Fred 19 Gina Hugo 22"
+    docs = [(1, f"{FILL} {names}, {FILL}"), (2, names.replace("19", "20")), (3, names), (4, "Paris"), (5, "in Paris today"), (6, "Anna Bert 12 Carl Dora 15 Emil Fred")]
+    bench = spark.createDataFrame([(10, names), (11, "Paris"), (12, "  "), (13, "...")], "item_id long, text string")
+    for size in (1_000_000, 0):
+        assert {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, max_broadcast=size).collect()} == {(1, 10), (3, 10), (4, 11)}
+
+
+def plain(docs, items):
+    """The rules written down word by word: all items against all documents and shifts."""
+    units = set(UNITS.split())
+
+    def template(text):
+        w = [x for x in ((p.strip(string.punctuation)) for p in text.split()) if x]
+        loud = [sum(c.isupper() for c in x) >= 2 and not any(c.islower() for c in x) for x in w]
+        out = []
+        for i, x in enumerate(w):
+            low = x.lower()
+            beside = any(0 <= j < len(w) and loud[j] for j in (i - 1, i + 1))
+            single = sum(c.isupper() for c in x) == 1 and not any(c.islower() for c in x)
+            if all(c in "0123456789.,+-/:%" for c in x) and any(c.isdigit() for c in x):
+                out.append(("number", low, "number"))
+            elif low in units:
+                out.append(("unit", low, "unit"))
+            elif x[0].isupper() and not loud[i] and not (single and beside):
+                out.append(("name", low, low))
+            else:
+                out.append((low, low, low))
+        return out
+
+    slots, found = ("number", "unit", "name"), {}
+    enough = lambda kinds: sum(k not in slots for k in kinds) >= -(-len(kinds) * MIN_LITERALS // WINDOW)
+    for item_id, item in items:
+        t = template(item)
+        k = min(len(t), WINDOW)
+        wanted = []  # (place, template words, values of slots)
+        for i in range(len(t) - k + 1) if k >= SHORTEST else []:
+            for form in (0, 2):
+                kinds = [x[form] for x in t[i : i + k]]
+                if enough(kinds) and (form == 0 or "name" in [x[0] for x in t[i : i + k]]):
+                    wanted.append((i, kinds, [x[1] for x, y in zip(t[i : i + k], kinds) if y in slots]))
+        if not any(enough([x[0] for x in t[i : i + k]]) for i, _, _ in wanted):
+            wanted = []
+        for doc_id, text in docs:
+            d = template(text or "")
+            best = None
+            if not wanted:
+                here = [x[1] for x in d]
+                mine = [x[1] for x in t]
+                if mine and (any(here[j : j + len(mine)] == mine for j in range(len(here))) if k >= SHORTEST else here == mine):
+                    best = (len(t) - k + 1, True, 0)
+            by_shift = defaultdict(list)
+            for i, kinds, values in wanted:
+                for j in range(len(d) - k + 1):
+                    if [x[0] for x in d[j : j + k]] == kinds and enough(kinds):
+                        by_shift[j - i].append(list(zip(values, [x[1] for x in d[j : j + k] if x[0] in slots])))
+            for hits in by_shift.values():
+                means = defaultdict(set)
+                for a, b in (p for h in hits for p in h):
+                    means[a].add(b)
+                if all(len(v) == 1 for v in means.values()):
+                    best = max(best or (0, False, 0), (len(hits), all(v == {a} for a, v in means.items()), len(means)))
+            if best:
+                found[doc_id, item_id] = best
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [f"w{i}" for i in range(12)] + ["Anna", "Bert", "12", "3.5", "km", "NASA", "A", "x,", "(then)", "Élan", "été"]
+    text = lambda n: [rng.choice(pool) for _ in range(n)]
+    items = [(i, text(rng.choice([0, 1, 3, 5, 8, 9, 14, 20]))) for i in range(25)] + [(30, ["Anna"] * 6), (31, ["12", "Bert"] * 6)]
+    docs = []
+    for i in range(60):
+        w = text(rng.randint(0, 20))
+        for _ in range(rng.randint(0, 2)):
+            part = list(rng.choice(items)[1])
+            swap = {x: rng.choice(pool) for x in rng.sample(["Anna", "Bert", "12", "3.5", "km"], rng.randint(0, 2))}
+            part = [swap.get(x, x) for x in part] if rng.random() < 0.5 else part
+            part = [x.upper() for x in part] if rng.random() < 0.2 else [x.lower() for x in part] if rng.random() < 0.2 else part
+            w = w[: (at := rng.randint(0, len(w)))] + part + w[at:]
+        docs.append((i, " ".join(w)))
+    items = [(i, " ".join(w)) for i, w in items]
+    expected = plain(docs, items)
+    schema = "long, text string"
+    for size in (1_000_000, 0):
+        got = contaminated(spark.createDataFrame(docs, f"doc_id {schema}"), spark.createDataFrame(items, f"item_id {schema}"), max_broadcast=size).collect()
+        assert {(r.doc_id, r.item_id): (r.n_windows, r.exact, r.n_slots) for r in got} == expected
+    assert len(expected) > 15

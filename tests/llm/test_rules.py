@@ -1,6 +1,10 @@
+import math
 import re
+from collections import Counter
 
-from furrow.llm.rules import _BETWEEN, _parts, base_rules, quality_rules
+import xxhash
+
+from furrow.llm.rules import _BETWEEN, BINS, THRESHOLD, _parts, base_rules, quality_rules
 
 
 def expected(text):
@@ -45,3 +49,27 @@ def test_verdict(spark):
     assert all(not r.kept for r in out if (r.doc_id or 0) >= 100 or r.n_words == 0)
     assert all(r.kept for r in out if r.n_words and r.doc_id < 100 and not r.base_failed)
     assert quality_rules(docs.limit(0), trusted.limit(0)).count() == 0
+
+
+def bins(text):
+    """Bins of a text's unigrams and bigrams by the hash of the same name, written anew."""
+    one = [xxhash.xxh64_intdigest(t.encode(), 42) for t in re.findall(r"[!-/:-@\[-`{-~]+|[^!-/:-@\[-`{-~\x20\x09-\x0D]+", text or "")]
+    two = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(one, one[1:])]
+    return [(h - (1 << 64) if h >> 63 else h) % BINS for h in one + two]
+
+
+def test_ratio_and_verdict_against_plain_counts(spark):
+    rows = [(i, " ".join(f"tree{(i * 7 + j) % 40} by the river" for j in range(12))) for i in range(30)]
+    rows += [(100 + i, " ".join(f"q{(i * 5 + j) % 40}%%%" for j in range(12 + i))) for i in range(10)] + [(None, "null ids count in the raw corpus"), (5, "again the same id"), (200, None), (201, "")]
+    good = {i for i in range(0, 30, 2)} | {102}
+    docs, trusted = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in good for _ in range(2)], "doc_id long")
+    raw, target = Counter(b for _, t in rows for b in bins(t)), Counter(b for i, t in rows if i in good for b in bins(t))
+    n, m = sum(raw.values()) + BINS, sum(target.values()) + BINS
+    weight = lambda b: math.log((target[b] + 1) / m) - math.log((raw[b] + 1) / n)
+    ratio = {t: sum(map(weight, bins(t))) / max(1, len(bins(t))) for _, t in rows}
+    words = dict(rows)
+    for r in quality_rules(docs, trusted).collect():
+        if r.doc_id in (None, 5):
+            continue
+        assert math.isclose(r.mean_ratio, ratio[words[r.doc_id]], abs_tol=2e-6)
+        assert r.kept == (not r.base_failed and ratio[words[r.doc_id]] >= THRESHOLD)

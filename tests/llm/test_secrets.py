@@ -38,6 +38,7 @@ def test_rows(spark):
     rows = [(1, None), (1, ""), (None, "x" * 200_000), (2, "secret=abcdefgh"), (2, "secret=abcdefgh")]
     out = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as spans")).collect()
     assert len(out) == 5 and sorted(r.n_assign for r in out) == [0, 0, 0, 1, 1]
+    assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert {r.base_sha256 for r in out if not r.spans} == {"e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"}
 
 
