@@ -20,8 +20,8 @@ DIAGNOSTIC_METRICS = {
     "pest_risk_weeks": (1.0, False), "ops_risk_weeks": (1.0, False),
 }
 RISK_SHARES = {
-    "pest_risk_share": "pressao_de_pragas", "ops_risk_share": "risco_operacional", "low_vigor_share": "baixo_vigor", "major_drop_share": "quedas_de_ndvi", "weather_stress_share": "estresse_climatico",
-    "telemetry_risk_share": "falha_de_telemetria",
+    "low_vigor_share": "baixo_vigor_recorrente", "major_drop_share": "quedas_relevantes_de_ndvi", "pest_risk_share": "pressao_de_praga", "ops_risk_share": "risco_operacional",
+    "weather_stress_share": "estresse_climatico", "telemetry_risk_share": "telemetria_instavel",
 }
 
 
@@ -51,12 +51,15 @@ def season_summary(timeline: DataFrame, keys: list[str], week: str = "week_start
     """A phase timeline by field: means, peak, last known values, weeks and shares of flags, outlook score and band."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(week)))
     flags = ("major_drop", "severe_drop", "recovery", "low_vigor", "weather_stress", "pest_risk", "ops_risk", "telemetry_risk")
+    covered = F.count_if(F.coalesce(F.col("has_weather_coverage_week").cast("boolean"), F.lit(False))) if "has_weather_coverage_week" in timeline.columns else F.lit(None).cast("long")
+    area = F.max("ndvi_auc_week") if "ndvi_auc_week" in timeline.columns else F.lit(None).cast("double")
     out = timeline.groupBy(*keys).agg(
-        F.avg("ndvi_mean_week").alias("ndvi_mean_season"), F.max("ndvi_mean_week").alias("ndvi_peak"), last("ndvi_norm_week").alias("ndvi_norm_last"), F.count("ndvi_mean_week").alias("valid_weeks"), last("phase").alias("latest_phase"),
+        area.alias("ndvi_auc_last"), covered.alias("weather_weeks"), F.avg("ndvi_mean_week").alias("ndvi_mean_season"), F.max("ndvi_mean_week").alias("ndvi_peak"), last("ndvi_norm_week").alias("ndvi_norm_last"), F.count("ndvi_mean_week").alias("valid_weeks"), last("phase").alias("latest_phase"),
         last("event_type").alias("latest_event"), *[F.count_if(F.col(f"{f}_flag")).alias(f"{f}_weeks") for f in flags], *[F.avg(F.col(f"{f}_flag").cast("double")).alias(f"{f}_share") for f in flags],
     )
     out = out.join(tail_mean(timeline, "ndvi_norm_week", keys, [week], 4, "last4_ndvi_norm_mean"), keys, "left").join(tail_mean(timeline, "ndvi_delta_week", keys, [week], 3, "recent_ndvi_delta_mean"), keys, "left")
     score = outlook_score(F.col("last4_ndvi_norm_mean"), F.col("ndvi_peak"), F.col("low_vigor_share"), F.col("major_drop_share"), F.col("pest_risk_share"), F.col("ops_risk_share"), F.col("recent_ndvi_delta_mean"))
+    out = out.withColumn("weather_coverage_share", F.try_divide("weather_weeks", "valid_weeks"))
     return out.withColumn("trajectory_score", score).withColumn("outlook_band", outlook_band(F.col("trajectory_score")))
 
 

@@ -87,7 +87,8 @@ def nearest_row(left: DataFrame, right: DataFrame, key: str, left_date: str, rig
     rows = left.withColumns({"__d": F.col(left_date), "__side": F.lit(1)}).unionByName(right, allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy("__d", "__side")
     before = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # the same from the other end: a frame that only grows is summed up once, one that shrinks again for every row
+    after = F.last("__r", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("__d"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumns({"__b": before, "__a": after}).where("__side = 1")
     gap = lambda c: F.abs(F.date_diff(left_date, F.col(f"{c}.d")))
     first = F.when(F.col("__a").isNull(), True).when(F.col("__b").isNull(), False).otherwise((gap("__b") < gap("__a")) | ((gap("__b") == gap("__a")) & (F.col("__b.t") <= F.col("__a.t"))))

@@ -26,6 +26,11 @@ WEATHER_WEEKLY = {
     "precipitation_mm": "sum", "evapotranspiration_mm": "sum", "water_balance_mm": "sum", "solar_radiation_w_m2": "mean", "temp_avg_c": "mean", "temp_max_c": "max", "temp_min_c": "min",
     "humidity_avg_pct": "mean", "wind_avg_kmh": "mean",
 }
+SUPPORT_WEEKLY = {
+    "alarm_events": "sum", "alarm_type_count": "mean", "param_alert_events": "sum", "param_alert_type_count": "mean", "telemetry_points": "sum", "invalid_telemetry_share": "mean", "external_gps_share": "mean",
+    "mobile_comm_share": "mean", "engine_rotation_points": "sum", "engine_rotation_mean_rpm": "mean", "engine_idle_share": "mean", "engine_temp_points": "sum", "engine_temp_mean_c": "mean", "engine_temp_max_c": "max",
+    "engine_temp_hot_share": "mean", "fuel_points": "sum", "fuel_consumption_mean_l_h": "mean", "fuel_zero_share": "mean",
+}
 
 
 def roll_up(df: DataFrame, keys: list[str | Column], rules: dict[str, str], suffix: str = "_week") -> DataFrame:

@@ -19,6 +19,34 @@ SOURCES = {
     "pest_details": ("EKOS*/CSV/Pest/pest_details.csv", ";", False),
     "traps_events": ("EKOS*/CSV/Pest/traps_events.csv", ";", False),
 }
+_LAYER = "EKOS*/CSV/Layers/LAYER_MAP_{}.csv"
+# The file of each telemetry layer, its number columns, and whether the drop must have it. Every layer also has the common ones.
+LAYER_NUMBERS = ("Timestamp", "Service Order", "Operator Number")
+LAYERS = {
+    "planting": ("PLANTING", ("Area - ha", "Population - ha"), True),
+    "harvest": ("GRAIN_HARVESTING", ("Area - ha", "Yield - kg/ha", "Weight - kg", "Humidity - %"), True),
+    "fertilization": ("FERTILIZATION", ("Area - ha", "AppliedDos - kg/ha", "Configured - kg/ha", "Weight - kg"), False),
+    "spray": ("SPRAY_PRESSURE", ("Pressure - psi",), False),
+    "overlap": ("OVERLAP", ("OverlapArea - ha",), False),
+    "speed": ("SPEED", ("Speed - km/h",), False),
+    "state": ("STATE", (), False),
+    "stop": ("STOP_REASON", ("Duration - h",), False),
+    "alarm": ("ALARM", (), False),
+    "param_alert": ("PARAMETERIZED_ALERT", ("Duration", "Valor"), False),
+    "telemetry": ("TELEMETRY_COMMUNICATION", (), False),
+    "engine_rotation": ("ENGINE_ROTATION", ("EngineRotation - rpm",), False),
+    "engine_temperature": ("ENGINE_TEMPERATURE", ("EngineTemperature - ºC",), False),
+    "fuel": ("FUEL_CONSUMPTION", ("FuelConsumption - L/h",), False),
+    "schedule": ("SCHEDULE", (), False),
+}
+SOURCES |= {f"{name}_layer": (_LAYER.format(file), ";", mandatory) for name, (file, _, mandatory) in LAYERS.items()}
+SOURCES["ndvi_images"] = ("OneSoil*/JPG", "", False)
+#: Operations of the daily operations table, and of the support table.
+OPS_LAYERS = ("planting", "harvest", "fertilization", "spray", "overlap", "speed", "state", "stop")
+SUPPORT_LAYERS = ("alarm", "param_alert", "telemetry", "engine_rotation", "engine_temperature", "fuel")
+# Names of thresholds in the pest list and in the details.
+PEST_LIST_NAMES = {"MIIP_PEST_NAME_POPULAR": "name", "MIIP_PEST_NAME_SCIENTIFIC": "scientific_name", "MIIP_PEST_ALERT": "alert_threshold", "MIIP_PEST_CONTROL": "control_threshold", "MIIP_PEST_DAMAGE": "damage_threshold"}
+PEST_DETAIL_NAMES = {"namePopular": "name", "nameScientific": "scientific_name", "alert": "alert_threshold", "control": "control_threshold", "damage": "damage_threshold", "actionRay": "action_ray_m"}
 # Weather headers and the columns they become.
 WEATHER_HEADERS = {
     "Data": "data_raw",
@@ -60,10 +88,36 @@ def find_source(spark: SparkSession, root: str, name: str) -> str | None:
     return paths[0] if paths else None
 
 
-def read_text_columns(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """A CSV with every column as text, headers trimmed and without a byte-order mark; empty fields are null."""
-    df = spark.read.options(sep=sep, header=True, encoding="UTF-8", quote='"', escape='"', multiLine=True).csv(path)
-    return df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
+#: Bytes of a file's head that tell its encoding.
+HEAD_BYTES = 1 << 16
+
+
+def encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if a file's head decodes as such (a letter that the head cuts off aside), else ISO-8859-1."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(at).isDirectory():
+        return "UTF-8"
+    stream = files.open(at)
+    try:
+        head = bytes(stream.readNBytes(HEAD_BYTES))
+    finally:
+        stream.close()
+    try:
+        head.decode()
+    except UnicodeDecodeError as e:
+        return "UTF-8" if e.start >= len(head) - 3 and len(head) == HEAD_BYTES else "ISO-8859-1"
+    return "UTF-8"
+
+
+def read_text_columns(spark: SparkSession, path: str, sep: str = ";", multiline: bool = False) -> DataFrame:
+    """A CSV with every column as text, headers trimmed and without a byte-order mark; empty fields are null.
+
+    multiline is for files whose quoted fields hold line ends: such a file is one task.
+    """
+    df = spark.read.options(sep=sep, header=True, encoding=encoding(spark, path), quote='"', escape='"', multiLine=multiline).csv(path)
+    return df.toDF(*[c.strip().lstrip("\ufeff") for c in df.columns])
 
 
 def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -88,22 +142,42 @@ def load_scenes(spark: SparkSession, path: str) -> DataFrame:
 
 def load_traps(spark: SparkSession, path: str) -> DataFrame:
     """Traps, the first row of equals by (code, type, plot, latitude, longitude); blank plots are null."""
-    df = numbers(read_text_columns(spark, path), ["latitude", "longitude", "radius"])
+    df = numbers(read_text_columns(spark, path), ["latitude", "longitude", "businessUnit", "farm", "radius"])
     df = df.withColumns({"plot": F.when(F.trim("plot").isin("", "nan"), None).otherwise(F.col("plot")), "installationDate": F.try_to_timestamp("installationDate"), "__order": F.monotonically_increasing_id()})
     return first_rows(df, ["code", "type", "plot", "latitude", "longitude"], ["__order"]).drop("__order")
 
 
-def load_trap_data(spark: SparkSession, path: str) -> DataFrame:
-    df = numbers(read_text_columns(spark, path), ["pestCount"])
+def _moments(df: DataFrame) -> DataFrame:
     return df.withColumn("createdAt", F.try_to_timestamp("createdAt")).withColumn("event_date", F.to_date("createdAt"))
 
 
+def load_trap_data(spark: SparkSession, path: str) -> DataFrame:
+    return _moments(numbers(read_text_columns(spark, path), ["doneMissionCount", "idBusinessUnit", "lateMissionCount", "pendingMissionCount", "pestCount", "trapId"]))
+
+
+def load_trap_events(spark: SparkSession, path: str) -> DataFrame:
+    """Trap events; detection holds JSON, which may go over lines."""
+    return _moments(numbers(read_text_columns(spark, path, multiline=True), ["farm", "id", "pestCount", "trapId"]))
+
+
+def load_pest_list(spark: SparkSession, path: str) -> DataFrame:
+    """Pests with their thresholds under the names that the lookup knows."""
+    df = numbers(read_text_columns(spark, path), ["MIIP_PEST_ID", "MIIP_PEST_ALERT", "MIIP_PEST_CONTROL", "MIIP_PEST_DAMAGE"])
+    return df.withColumnsRenamed(PEST_LIST_NAMES)
+
+
+def load_pest_details(spark: SparkSession, path: str) -> DataFrame:
+    df = numbers(read_text_columns(spark, path, multiline=True), ["actionRay", "alert", "control", "damage", "daysAdhesiveFloor", "daysPheromone", "id"])
+    return df.withColumnsRenamed(PEST_DETAIL_NAMES)
+
+
 def load_weather(spark: SparkSession, path: str) -> DataFrame:
-    """Hourly weather under its own column names, also where the headers were read in another encoding."""
+    """Hourly weather under its own column names, also where the headers were read in another encoding; columns that the station lacks are null."""
     df = read_text_columns(spark, path)
     names = {**WEATHER_HEADERS, **{mojibake(k): v for k, v in WEATHER_HEADERS.items()}}
     df = df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
     df = numbers(df, [c for c in df.columns if c not in ("data_raw", "station")])
+    df = df.withColumns({c: F.lit(None).cast("double") for c in WEATHER_HEADERS.values() if c not in df.columns})
     return df.withColumn("timestamp", timestamp(strip_zone("data_raw"), "dd/MM/yyyy - HH:mm")).withColumn("date", F.to_date("timestamp"))
 
 
@@ -114,3 +188,21 @@ def load_layer(spark: SparkSession, path: str, numeric: list[str]) -> DataFrame:
     df = numbers(read_text_columns(spark, path), numeric)
     df = df.withColumn("timestamp", timestamp("`Date Time`", "dd/MM/yyyy HH:mm:ss")).withColumn("date", F.to_date("timestamp"))
     return with_centroid(df) if "geometry" in df.columns else df
+
+
+def load_named_layer(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """A layer of LAYERS from a drop; None if the drop has it not and need not."""
+    path = find_source(spark, root, f"{name}_layer")
+    if path is None:
+        return None
+    df = load_layer(spark, path, [*LAYER_NUMBERS, *LAYERS[name][1]])
+    return df.withColumnRenamed("operation", "Operation") if "Operation" not in df.columns and "operation" in df.columns else df
+
+
+def file_summary(spark: SparkSession, path: str, sep: str, sample: int = 5000) -> DataFrame:
+    """One row of a CSV: columns, rows, null cells of the first sample rows (a report's limit), encoding."""
+    df = read_text_columns(spark, path, sep)
+    head = df.limit(sample)
+    empty = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0))
+    counts = head.agg(F.count(F.lit(1)).alias("sampled_rows"), empty.alias("null_cells"))
+    return counts.select(F.lit(path).alias("path"), F.lit(encoding(spark, path)).alias("encoding"), F.lit(len(df.columns)).alias("columns"), "sampled_rows", "null_cells").join(df.agg(F.count(F.lit(1)).alias("rows")))

@@ -23,7 +23,7 @@ def test_outlook_against_the_pair(spark):
     out = {r.season_id: r for r in EV.outlook(EV.season_summary(T.phase_timeline(df), ["season_id", "comparison_pair", "treatment"])).collect()}
     assert out["a"].expected_vs_pair == "tende_a_chegar_acima_do_par" and out["b"].expected_vs_pair == "tende_a_chegar_abaixo_do_par"
     assert out["z"].expected_vs_pair == "sem_referencia_no_par" and out["a"].trajectory_score > out["b"].trajectory_score
-    assert "quedas_de_ndvi" in out["b"].top_risks
+    assert "quedas_relevantes_de_ndvi" in out["b"].top_risks
 
 
 def test_hypothesis_matrix_is_lowered_by_gaps(spark):
