@@ -21,6 +21,7 @@ from furrow.operators import profile as PR
 from furrow.operators import quality as Q
 from furrow.operators import spatial as S
 from furrow.operators import timeline as T
+from furrow.operators import trial as TR
 from furrow.operators import weekly as WK
 from furrow.operators import windows as W
 
@@ -155,12 +156,11 @@ def weekly_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT *, CASE WHEN severe THEN 'queda_forte' WHEN major THEN 'queda' WHEN recovery AND major_lag THEN 'recuperacao' WHEN coalesce(norm, 0) <= 0.35 AND from_peak < 0 THEN 'estabelecimento'
     WHEN coalesce(norm, 0) >= 0.85 AND abs(coalesce(delta, 0)) <= 0.05 THEN 'pico' WHEN from_peak > 0 AND coalesce(delta, 0) < -0.02 THEN 'senescencia' WHEN coalesce(delta, 0) > 0.05 THEN 'expansao' ELSE 'estavel' END AS phase FROM g
 ) SELECT season_id, week_start, round(delta, 6) AS delta, round(norm, 6) AS norm, round(from_peak, 6) AS weeks_from_peak, low_vigor AS low_vigor_flag, soil_flag AS high_soil_flag, phase,
-  CASE WHEN phase IN ('queda_forte', 'queda', 'recuperacao', 'pico') THEN phase END AS event_type, CASE WHEN soil_flag THEN 'solo_exposto' ELSE 'sem_driver_forte' END AS primary_driver FROM h""")
+  CASE WHEN phase IN ('queda_forte', 'queda', 'recuperacao', 'pico') THEN phase END AS event_type, -- weights: solo_exposto 2.2, and in recovery without soil or operations at risk ambiente_mais_estavel 1.6, operacao_sem_desvio_forte 1.3
+  CASE WHEN soil_flag THEN 'solo_exposto' WHEN phase = 'recuperacao' THEN 'ambiente_mais_estavel' ELSE 'sem_driver_forte' END AS primary_driver, CASE WHEN phase = 'recuperacao' THEN 'operacao_sem_desvio_forte' END AS secondary_driver FROM h""")
 def phase_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.phase_timeline(panel(spark, sf_dir))
-    recovering = F.col("event_type") == "recuperacao"
-    driver = F.when(F.array_contains("driver_candidates", "solo_exposto"), "solo_exposto").otherwise(F.when(X.flag(recovering), "sem_driver_forte").otherwise(F.col("primary_driver")))
-    return rounded(t.select("season_id", "week_start", F.col("ndvi_delta_week").alias("delta"), F.col("ndvi_norm_week").alias("norm"), "weeks_from_peak", "low_vigor_flag", "high_soil_flag", "phase", "event_type", driver.alias("primary_driver")))
+    return rounded(t.select("season_id", "week_start", F.col("ndvi_delta_week").alias("delta"), F.col("ndvi_norm_week").alias("norm"), "weeks_from_peak", "low_vigor_flag", "high_soil_flag", "phase", "event_type", "primary_driver", "secondary_driver"))
 
 
 @query(f"""WITH {PANEL}, s AS (
@@ -438,11 +438,24 @@ def weighted_area_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(EV.ops_summary(lines, {"l_discount": "l_quantity"}, [], ["l_tax"], "l_suppkey"))
 
 
-@query()
+@query(f"""WITH {PANEL}, d AS (
+  SELECT *, ndvi_mean_week - lag(ndvi_mean_week) OVER w AS delta, (ndvi_mean_week - min(ndvi_mean_week) OVER s) / nullif(max(ndvi_mean_week) OVER s - min(ndvi_mean_week) OVER s, 0) AS norm,
+    row_number() OVER (PARTITION BY season_id ORDER BY week_start DESC) AS rn
+  FROM panel WINDOW w AS (PARTITION BY season_id ORDER BY week_start), s AS (PARTITION BY season_id)
+), e AS (
+  SELECT season_id, comparison_pair, max(ndvi_mean_week) AS peak, avg(norm) FILTER (WHERE rn <= 4) AS last4, avg(delta) FILTER (WHERE rn <= 3) AS trend, avg(coalesce(norm <= 0.35, false)::INT) AS low_vigor, avg(coalesce(delta <= -0.08, false)::INT) AS major FROM d GROUP BY ALL
+), f AS (
+  SELECT *, 100 * (0.30 * coalesce(last4, 0.5) + 0.20 * greatest(0, least(1, peak / 0.85)) + 0.15 * (1 - low_vigor) + 0.10 * (1 - major) + 0.10 + 0.10 + 0.05 * coalesce(greatest(0, least(1, (trend + 0.12) / 0.24)), 0.5)) AS score FROM e
+), g AS (SELECT *, row_number() OVER p AS k, first_value(score) OVER q AS one, nth_value(score, 2) OVER q AS two FROM f WINDOW p AS (PARTITION BY comparison_pair ORDER BY season_id), q AS (PARTITION BY comparison_pair ORDER BY season_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+h AS (SELECT *, score - CASE WHEN k = 1 THEN two ELSE one END AS gap FROM g)
+SELECT season_id, comparison_pair, round(score, 6) AS trajectory_score, CASE WHEN score >= 75 THEN 'favoravel' WHEN score >= 65 THEN 'positivo_com_ressalvas' WHEN score >= 50 THEN 'misto' ELSE 'atencao' END AS outlook_band,
+  CASE WHEN gap IS NULL THEN 'sem_referencia_no_par' WHEN gap >= 6 THEN 'tende_a_chegar_acima_do_par' WHEN gap <= -6 THEN 'tende_a_chegar_abaixo_do_par' ELSE 'sem_vantagem_clara_no_par' END AS expected_vs_pair,
+  concat_ws(' | ', CASE WHEN low_vigor >= 0.2 AND low_vigor >= major THEN 'baixo_vigor_recorrente' END, CASE WHEN major >= 0.2 THEN 'quedas_relevantes_de_ndvi' END, CASE WHEN low_vigor >= 0.2 AND low_vigor < major THEN 'baixo_vigor_recorrente' END) AS top_risks FROM h""")
 def season_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven weighted parts per field and the comparison with its pair."""
     t = T.phase_timeline(panel(spark, sf_dir))
-    return EV.outlook(EV.season_summary(t, ["season_id", "comparison_pair", "treatment"]))
+    out = EV.outlook(EV.season_summary(t, ["season_id", "comparison_pair", "treatment"]))
+    return rounded(out.select("season_id", "comparison_pair", "trajectory_score", "outlook_band", "expected_vs_pair", F.array_join("top_risks", " | ").alias("top_risks")))
 
 
 @query()
@@ -476,3 +489,46 @@ def profiles_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, o_totalprice FROM orders WHERE coalesce(o_totalprice < 20000 OR o_totalprice > 490000, false) ORDER BY o_orderkey LIMIT 50""")
 def rule_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.examples(read(spark, sf_dir, "orders"), Q.Rule("price", "info", Q.outside("o_totalprice", 20000, 490000)), ["o_orderkey"]).select("o_orderkey", "o_totalprice")
+
+
+SCENES = """scenes AS (SELECT CAST(l_suppkey AS VARCHAR) AS season_id, l_orderkey || '-' || l_linenumber AS filename, CAST(l_shipdate AS DATE) AS date, CASE l_orderkey % 5 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN NULL ELSE l_quantity END AS b1_valid_pixels, l_discount AS b1_mean FROM lineitem)"""
+AREAS = """official AS (SELECT CAST(s_suppkey AS VARCHAR) AS season_id, s_name AS area_label, CASE s_suppkey % 4 WHEN 0 THEN 'tecnologia_4_0' ELSE 'convencional' END AS treatment FROM supplier WHERE s_suppkey % 3 > 0),
+manual AS (SELECT CAST(s_suppkey AS VARCHAR) AS season_id, 'Manual ' || s_suppkey AS m FROM supplier WHERE s_suppkey % 7 = 0),
+areas AS (SELECT season_id, coalesce(m, area_label, 'Area ' || substr(season_id, 1, 8)) AS area_label, CASE WHEN area_label IS NULL THEN 'indefinido' ELSE treatment END AS treatment, CASE WHEN area_label IS NULL THEN 'auto_missing' END AS mapping_source FROM (SELECT DISTINCT season_id FROM scenes) LEFT JOIN official USING (season_id) LEFT JOIN manual USING (season_id))"""
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_orderkey") % 5
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("season_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("filename"), F.to_date("l_shipdate").alias("date"),
+        F.when(k == 0, 0.0).when(k != 1, F.col("l_quantity")).alias("b1_valid_pixels"), F.col("l_discount").alias("b1_mean"), F.col("l_tax").alias("b1_std"), F.lit(10.0).alias("b1_pct_solo"), F.lit(80.0).alias("b1_pct_veg_densa"),
+    )
+
+
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers, name = read(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("string").alias("season_id")
+    official = suppliers.where("s_suppkey % 3 > 0").select(name, F.col("s_name").alias("area_label"), F.when(F.col("s_suppkey") % 4 == 0, SIDES[0]).otherwise(SIDES[1]).alias("treatment"))
+    manual = suppliers.where("s_suppkey % 7 = 0").select(name, F.concat(F.lit("Manual "), F.col("s_suppkey").cast("string")).alias("area_label"))
+    return TR.area_metadata(scenes(spark, sf_dir), official, manual)
+
+
+@query(f"""WITH {SCENES}, {AREAS} SELECT * FROM areas""")
+def area_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return areas(spark, sf_dir).select("season_id", "area_label", "treatment", "mapping_source")
+
+
+@query(f"""WITH {SCENES}, {AREAS}, w AS (SELECT min(CAST(o_orderdate AS DATE)) + 400 AS a, max(CAST(o_orderdate AS DATE)) - 400 AS b FROM orders), v AS (
+  SELECT *, lag(b1_mean) OVER s AS before, lag(date) OVER s AS day FROM scenes WHERE coalesce(b1_valid_pixels, 0) > 0 WINDOW s AS (PARTITION BY season_id ORDER BY date, filename)
+) SELECT season_id, filename, area_label, date, CAST(date_trunc('week', date) AS DATE) AS week_start, round(b1_mean - before, 6) AS ndvi_delta,
+  round(sum(coalesce(date_diff('day', day, date) * (before + b1_mean) / 2, 0)) OVER (PARTITION BY season_id ORDER BY date, filename ROWS UNBOUNDED PRECEDING), 4) AS ndvi_auc, date BETWEEN a AND b AS has_weather_coverage
+FROM v LEFT JOIN areas USING (season_id), w""")
+def clean_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    weather = read(spark, sf_dir, "orders").agg(F.explode(F.array(F.date_add(F.min(day), 400), F.date_sub(F.max(day), 400))).alias("date"))
+    out = TR.clean_scenes(scenes(spark, sf_dir), areas(spark, sf_dir), weather)
+    return out.select("season_id", "filename", "area_label", "date", F.to_date("week_start").alias("week_start"), F.round("ndvi_delta", 6).alias("ndvi_delta"), F.round("ndvi_auc", 4).alias("ndvi_auc"), "has_weather_coverage")
+
+
+@query(f"""WITH {SCENES} SELECT season_id, count(*) AS total_images, count(*) FILTER (WHERE coalesce(b1_valid_pixels, 0) > 0) AS total_valid_images, min(date) AS first_scene, max(date) AS last_scene FROM scenes GROUP BY season_id""")
+def scene_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TR.scene_summary(scenes(spark, sf_dir))
