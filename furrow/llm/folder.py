@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,5 +54,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> tuple[DataFrame, str]:
+    """df as a table bucketed by column, in as many buckets as shuffles have, and its name in the catalog, which is to be dropped after use.
+
+    Joins and sums by column leave it where it is. Its files lie in the shared folder, and the driver's end deletes them.
+    """
+    spark = df.sparkSession
+    path, name = f"{shared_folder(spark)}/furrow-{name}-{uuid.uuid4().hex}", f"furrow_{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, column).write.bucketBy(n, column).option("path", path).saveAsTable(name)
+    files, at = _path(spark, path)
+    files.deleteOnExit(at)
+    return spark.table(name), name
+
+
+@contextmanager
+def single_rows(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python one at a time while this lasts: for rows of some MB, so that a batch is one of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

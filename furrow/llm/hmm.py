@@ -16,17 +16,17 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.folder import table, written
+from furrow.llm.folder import bucketed, single_rows, table, written
 from furrow.llm.quality import fold
 from furrow.llm.words import slices, words
 
 #: Words whose emissions are broadcast; those of all others are joined.
-HEAD = 65_534
+HEAD = 262_144
 STATES = 6
 ITERATIONS = 4
 SEED = 7
@@ -252,11 +252,12 @@ class Parameters(NamedTuple):
     weight: np.ndarray
 
     def bucket(self, batch: pa.RecordBatch, i: int, size: int) -> tuple[np.ndarray, Model]:
-        """Training counts of, and the model over, the places of bucket i, which has size other words; those of training have values in the lists at, c, s0, ..."""
+        """Training counts of, and the model over, the places of bucket i, which has size other words; those of training are held with their place (at), count c and values s0, ..."""
         k = len(self.start)
         c, s = np.zeros(size), np.zeros((size, k))
-        if batch.column("at")[i].is_valid:
-            held = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+        if batch.column("held")[i].is_valid:
+            values = batch.column("held")[i].values
+            held = lambda name: values.field(name).to_numpy(zero_copy_only=False)
             at = held("at")
             c[at] = held("c")
             s[at] = np.stack([held(f"s{j}") for j in range(k)], 1)
@@ -313,10 +314,9 @@ def _noise(seed: int, i: int):
 
 
 def _attached(encoded: DataFrame, emissions: DataFrame) -> DataFrame:
-    """encoded with lists of the place (at), count and values of those of the bucket's other words that emissions (token, c, s0, ...) holds."""
+    """encoded with a list (held) of those of the bucket's other words that emissions (token, c, s0, ...) has: place (at), count and values."""
     pairs = encoded.select("bucket", F.posexplode("rest").alias("at", "token")).join(emissions, "token")
-    # lists of one aggregate have one order
-    held = pairs.groupBy("bucket").agg(*[F.collect_list(c).alias(c) for c in ("at", *emissions.columns) if c != "token"])
+    held = pairs.groupBy("bucket").agg(F.collect_list(F.struct("at", *[c for c in emissions.columns if c != "token"])).alias("held"))  # a bucket's words at most
     return encoded.join(held, "bucket", "left").drop("bucket")
 
 
@@ -329,7 +329,8 @@ def baum_welch(encoded: DataFrame, words_: DataFrame, top: np.ndarray, ends: int
     columns = [f"s{i}" for i in range(states)]
     first = words_.select("token", "c", *[((F.col("c") + 0.5) / total * _noise(seed, i)).cast("float").alias(c) for i, c in enumerate(columns)])
     weight = np.array(first.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in columns]).first(), float)
-    head = first.join(F.broadcast(encoded.sparkSession.createDataFrame(list(enumerate(top.tolist())), "place long, token long")), "token").toPandas().sort_values("place")  # head rows at most
+    heads = encoded.sparkSession.createDataFrame(pd.DataFrame({"place": np.arange(len(top)), "token": top}), "place long, token long")  # HEAD rows at most
+    head = first.join(F.broadcast(heads), "token").toArrow().to_pandas().sort_values("place")
     c = np.append(head["c"].to_numpy(), ends).astype(np.float64)
     unigram, unseen = (c + 0.5) / total, 0.5 / total
     emit = np.concatenate((head[columns].to_numpy(dtype=float), np.full((1, states), unigram[-1])))
@@ -339,14 +340,15 @@ def baum_welch(encoded: DataFrame, words_: DataFrame, top: np.ndarray, ends: int
     np.fill_diagonal(moves, stay if states > 1 else 1.0)
     now = Parameters(np.full(states, 1 / states), moves, c, emit / weight, total, None, weight)
     # the head words are in no bucket's list
-    emissions = first
+    emissions = first.join(F.broadcast(heads), "token", "left_anti")
     for _ in range(iterations):
         sent = context.broadcast(now)
         counts = _attached(encoded.drop("doc_ids"), emissions)
         counts = counts.mapInArrow(lambda b, sent=sent: _expectations(b, sent.value), "place long, token long, c long, " + ", ".join(f"{c} float" for c in columns))
-        sums = written(counts.groupBy("place", "token").agg(F.max("c").alias("c"), *[F.sum(F.col(c).cast("double")).cast("float").alias(c) for c in columns]), "emissions")
+        with single_rows(encoded.sparkSession):
+            sums = written(counts.groupBy("place", "token").agg(F.max("c").alias("c"), *[F.sum(F.col(c).cast("double")).cast("float").alias(c) for c in columns]), "emissions")
         emissions = sums.where("place is null").select("token", "c", *columns)
-        fixed = sums.where("place is not null").toPandas()  # a row per head word, state and the start
+        fixed = sums.where("place is not null").drop("token", "c").toArrow().to_pandas()  # a row per head word, state and the start
         place, value = fixed["place"].to_numpy(), fixed[columns].to_numpy()
         emitted = np.zeros_like(now.emit)
         emitted[place[place >= 0]] = value[place >= 0]
@@ -386,7 +388,7 @@ def score_texts(docs: DataFrame, train, head: int = HEAD, states: int = STATES,
     ends = ends or 0
     known = counts.where("token is not null")
     v, n = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    top = known.orderBy(F.desc("c"), "token").limit(head).toPandas()["token"].to_numpy().astype(np.int64)  # head rows at most
+    top = known.orderBy(F.desc("c"), "token").limit(head).select("token").toArrow()["token"].to_numpy().astype(np.int64)  # head rows at most
     v, n = v + (ends > 0), n + ends
 
     vocabulary = spark.sparkContext.broadcast(Vocabulary(top.view(np.uint64)))
@@ -395,7 +397,8 @@ def score_texts(docs: DataFrame, train, head: int = HEAD, states: int = STATES,
         lambda b: _encoded(b, vocabulary.value), f"bucket long, doc_ids array<{kind}>, train array<boolean>, lengths array<long>, symbols binary, rest array<long>"
     )
     # dealt by bucket once, so that the joins of all rounds move the emissions alone
-    dealt = encoded.repartition(max(1, encoded.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism), "bucket").persist(StorageLevel.DISK_ONLY)
+    dealt, name = bucketed(encoded, "texts", "bucket")
+    spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of the deal once its plan is collected
 
     total = n + 0.5 * (v + 1)
     # without training the end is not among the words, but still a symbol
@@ -415,8 +418,9 @@ def score_texts(docs: DataFrame, train, head: int = HEAD, states: int = STATES,
                     [batch.column("doc_ids")[i].values, pa.array(size), pa.array(seen), pa.array(base), pa.array(local.log10(sequences))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"]
                 )
 
-    scored = written(_attached(dealt, emissions).mapInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"), "scores")
-    dealt.unpersist()
+    with single_rows(spark):
+        scored = written(_attached(dealt, emissions).mapInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"), "scores")
+    spark.sql(f"drop table {name}")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
