@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Where the tables of bucketed lie.
+_places: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,20 +56,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, column: str) -> tuple[DataFrame, str]:
-    """df as a table bucketed by column, in as many buckets as shuffles have, and its name in the catalog, which is to be dropped after use.
+def bucketed(df: DataFrame, name: str, column: str, then: Callable[[DataFrame], DataFrame] = lambda d: d) -> tuple[DataFrame, str]:
+    """df as a table bucketed by column, in as many buckets as shuffles have, and its name in the catalog, which is to be forgotten after use.
 
-    Joins and sums by column leave it where it is. Its files lie in the shared folder, and the driver's end deletes them.
+    Joins and sums by column leave it where it is; then is such work, done between the deal and the table. Its files lie in the shared folder.
     """
     spark = df.sparkSession
     path, name = f"{shared_folder(spark)}/furrow-{name}-{uuid.uuid4().hex}", f"furrow_{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, column).write.bucketBy(n, column).option("path", path).saveAsTable(name)
+    then(df.repartition(n, column)).write.bucketBy(n, column).option("path", path).saveAsTable(name)
     files, at = _path(spark, path)
     files.deleteOnExit(at)
+    _places[name] = path
     return spark.table(name), name
 
 
+def forgotten(spark: SparkSession, name: str) -> None:
+    """Drops a table of bucketed with its files."""
+    spark.sql(f"drop table {name}")
+    files, at = _path(spark, _places.pop(name))
+    files.delete(at, True)
+
+
 @contextmanager
 def single_rows(spark: SparkSession) -> Iterator[None]:
     """Rows go to Python one at a time while this lasts: for rows of some MB, so that a batch is one of them."""

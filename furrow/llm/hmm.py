@@ -16,12 +16,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.folder import bucketed, single_rows, table, written
+from furrow.llm.folder import bucketed, forgotten, single_rows, table, written
 from furrow.llm.quality import fold
 from furrow.llm.words import slices, words
 
@@ -36,6 +35,8 @@ BLOCK = 500_000
 BUCKET = 1_000_000
 #: Longer texts are worked off in stretches of so many tokens side by side, with what each stretch hands to the next.
 STRETCH = 1024
+#: Steps after which products over a stretch are scaled to 1 again.
+RESCALE = 8
 #: Tokens by the words' shares that each state is taken to have beyond its own.
 PRIOR = 500.0
 #: Occurrences that each word is taken to have beyond its own, by the states' shares of all tokens: a rare word leans little to a state.
@@ -84,11 +85,12 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Itera
 
     def out() -> pa.RecordBatch:
         rows, ids, train, counts, hashes = zip(*held, strict=True)
-        h = np.concatenate(hashes)
-        symbol = vocabulary.symbols(h)
+        distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        symbol = vocabulary.symbols(distinct)
         other = symbol < 0
-        rest, place = np.unique(h[other], return_inverse=True)
-        symbol[other] = vocabulary.end + 1 + place
+        rest = distinct[other]
+        symbol[other] = vocabulary.end + 1 + np.arange(len(rest))
+        symbol = symbol[place]
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         columns = [one(pa.concat_arrays(ids)), one(pa.concat_arrays(train)), one(pa.array(np.concatenate(counts))), pa.array([symbol.tobytes()], pa.binary()), one(pa.array(rest.view(np.int64)))]
         return pa.RecordBatch.from_arrays([rows[0].slice(0, 1), *columns], names=["bucket", "doc_ids", "train", "lengths", "symbols", "rest"])
@@ -106,20 +108,21 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Itera
         yield out()
 
 
-def _blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places, lengths, symbols by time and place) of sequences of like length, longest first."""
+def _blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, lengths, at, x) of sequences of like length, longest first: x[at[t] : at[t + 1]] are the symbols at time t of all that are as long."""
     length = np.array([len(s) for s in sequences])
     order = np.argsort(-length, kind="stable")
-    at = 0
-    while at < len(order):
-        longest = length[order[at]]
-        to = min(len(order), at + max(1, BLOCK // longest))
-        chosen = order[at:to]
+    done = 0
+    while done < len(order):
+        longest = length[order[done]]
+        to = min(len(order), done + max(1, BLOCK // longest))
+        chosen = order[done:to]
         padded = np.zeros((longest, len(chosen)), np.int32)
         for b, i in enumerate(chosen):
             padded[: length[i], b] = sequences[i]
-        yield chosen, length[chosen], padded
-        at = to
+        there = np.arange(longest)[:, None] < length[chosen]
+        yield chosen, length[chosen], np.append(0, np.cumsum(there.sum(1))), padded[there]
+        done = to
 
 
 def _cut_up(sequences: list[np.ndarray]) -> tuple[list[np.ndarray], list[tuple[int, bool]]]:
@@ -134,18 +137,21 @@ class Model:
     def __init__(self, start: np.ndarray, moves: np.ndarray, emit: np.ndarray):
         self.start, self.moves, self.emit = start, moves, emit
 
+    def _emissions(self, x: np.ndarray) -> np.ndarray:
+        """Of symbols, by state and place."""
+        return np.ascontiguousarray(self.emit[x].T)
+
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Exact log10 likelihood of each whole sequence by the scaled forward recursion."""
         out = np.zeros(len(sequences))
         short = [i for i, s in enumerate(sequences) if len(s) <= STRETCH]
-        for chosen, length, x in _blocks([sequences[i] for i in short]):
-            total, alpha = np.zeros(len(chosen)), None
-            for t in range(len(x)):
-                n = int(np.searchsorted(-length, -t, "left"))
-                alpha = (self.start if alpha is None else alpha[:n] @ self.moves) * self.emit[x[t, :n]]
-                scale = alpha.sum(1)
-                alpha /= scale[:, None]
-                total[:n] += np.log(scale)
+        for chosen, _, at, x in _blocks([sequences[i] for i in short]):
+            emit, total, alpha = self._emissions(x), np.zeros(len(chosen)), None
+            for a, b in zip(at, at[1:], strict=False):
+                alpha = (self.start[:, None] if alpha is None else self.moves.T @ alpha[:, : b - a]) * emit[:, a:b]
+                scale = alpha.sum(0)
+                alpha /= scale
+                total[: b - a] += np.log(scale)
             out[np.array(short)[chosen]] = total
         long = [i for i, s in enumerate(sequences) if len(s) > STRETCH]
         stretches, of = _cut_up([sequences[i] for i in long])
@@ -161,20 +167,25 @@ class Model:
         k = len(self.start)
         begins = np.array([b for _, b in of], bool)
         products, logs = np.zeros((len(stretches), k, k)), np.zeros(len(stretches))
-        for chosen, length, x in _blocks(stretches):
-            product = np.broadcast_to(np.eye(k), (len(chosen), k, k)).copy()
-            for t in range(len(x)):
-                n = int(np.searchsorted(-length, -t, "left"))
-                emit = self.emit[x[t, :n]][:, None, :]
-                moved = (product[:n].reshape(-1, k) @ self.moves).reshape(n, k, k)
+        for chosen, _, at, x in _blocks(stretches):
+            emit = self._emissions(x)
+            product = np.repeat(np.eye(k)[:, :, None], len(chosen), 2)  # by state after, state before and stretch
+            for t, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+                n, held = b - a, product.shape[2]
+                if n < held:
+                    products[chosen[n:held]] = product[:, :, n:].transpose(2, 1, 0)
+                    product = np.ascontiguousarray(product[:, :, :n])
+                product = (self.moves.T @ product.reshape(k, k * n)).reshape(k, k, n)
                 if t == 0:
-                    moved[begins[chosen]] = np.eye(k)  # a text's first symbol has no move before it
-                moved *= emit
-                scale = moved.sum((1, 2))
-                product[:n] = moved / scale[:, None, None]
-                logs[chosen[:n]] += np.log(scale)
-            products[chosen] = product
-        return products, logs
+                    product[:, :, begins[chosen]] = np.eye(k)[:, :, None]  # a text's first symbol has no move before it
+                product *= emit[:, None, a:b]
+                if t % RESCALE == RESCALE - 1:
+                    scale = product.sum((0, 1))
+                    product /= scale
+                    logs[chosen[:n]] += np.log(scale)
+            products[chosen[: product.shape[2]]] = product.transpose(2, 1, 0)
+        scale = products.sum((1, 2))
+        return products / scale[:, None, None], logs + np.log(scale)
 
     def _borders(self, stretches: list[np.ndarray], of: list[tuple[int, bool]]) -> tuple[np.ndarray, np.ndarray]:
         """For each stretch the state probabilities before it (0 for a text's first) and what comes after it as seen from its last state (1 at a text's end)."""
@@ -197,42 +208,38 @@ class Model:
         stretches, of = _cut_up(sequences)
         begins = np.array([b for _, b in of], bool)
         before, after = self._borders(stretches, of)
-        for chosen, length, x in _blocks(stretches):
-            alphas, scales, active = [], [], [int(np.searchsorted(-length, -t, "left")) for t in range(len(x))]
-            first = begins[chosen]
-            for t, n in enumerate(active):
-                into = np.where(first[:, None], self.start, before[chosen] @ self.moves) if t == 0 else alphas[-1][:n] @ self.moves
-                alpha = into * self.emit[x[t, :n]]
-                scale = alpha.sum(1)
-                alpha /= scale[:, None]
-                alphas.append(alpha)
-                scales.append(scale)
+        for chosen, length, at, x in _blocks(stretches):
+            emit, first = self._emissions(x), begins[chosen]
+            alpha, scales = np.empty_like(emit), np.empty(len(x))
+            into = np.where(first, self.start[:, None], self.moves.T @ before[chosen].T)
+            for t, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+                if t:
+                    into = self.moves.T @ alpha[:, at[t - 1] : at[t - 1] + b - a]
+                now = np.multiply(into, emit[:, a:b], out=alpha[:, a:b])
+                scales[a:b] = now.sum(0)
+                now /= scales[a:b]
+            emit /= scales
             # beta at a stretch's last symbol, such that the states' probabilities there sum to 1
-            last = np.empty((len(chosen), len(self.start)))
-            for t, n in enumerate(active):
-                m = active[t + 1] if t + 1 < len(active) else 0
-                last[m:n] = alphas[t][m:n]
-            rest = after[chosen]
-            rest = rest / (last * rest).sum(1, keepdims=True)
-            beta = rest[: active[-1]]
+            last = alpha[:, at[length - 1] + np.arange(len(chosen))]
+            rest = after[chosen].T
+            rest = rest / (last * rest).sum(0)
+            beta = rest[:, : at[-1] - at[-2]]
             pairs = np.zeros_like(moved)
-            gammas = [alphas[-1] * beta]
-            for t in range(len(x) - 2, -1, -1):
-                n = active[t + 1]
-                ahead = self.emit[x[t + 1, :n]] * beta / scales[t + 1][:, None]
-                pairs += alphas[t][:n].T @ ahead
-                beta = np.concatenate((ahead @ self.moves.T, rest[n : active[t]]))
-                gammas.append(alphas[t] * beta)
-            gammas.reverse()
+            for t in range(len(at) - 2, 0, -1):
+                c, a, b = at[t - 1 : t + 2]
+                ahead = emit[:, a:b] * beta
+                alpha[:, a:b] *= beta  # the states' probabilities from here on
+                pairs += alpha[:, c : c + b - a] @ ahead.T
+                beta = self.moves @ ahead
+                if b - a < a - c:
+                    beta = np.concatenate((beta, rest[:, b - a : a - c]), 1)
             # the move into a stretch from the one before it
-            ahead = self.emit[x[0]] * beta / scales[0][:, None]
-            pairs += before[chosen].T @ ahead
+            pairs += before[chosen].T @ (emit[:, : at[1]] * beta).T
+            alpha[:, : at[1]] *= beta
             moved += pairs * self.moves
-            started += gammas[0][first].sum(0)
-            symbols = np.concatenate([x[t, :n] for t, n in enumerate(active)])
-            gamma = np.concatenate(gammas)
+            started += alpha[:, : at[1]][:, first].sum(1)
             for k in range(len(self.start)):
-                emitted[:, k] += np.bincount(symbols, gamma[:, k], minlength=len(emitted))
+                emitted[:, k] += np.bincount(x, alpha[k], minlength=len(emitted))
 
 
 def smoothed(c: np.ndarray, s: np.ndarray, share: np.ndarray, total: float) -> np.ndarray:
@@ -241,10 +248,11 @@ def smoothed(c: np.ndarray, s: np.ndarray, share: np.ndarray, total: float) -> n
 
 
 class Parameters(NamedTuple):
-    """What is broadcast of a model: counts c of the head words and the end, their emissions, and how to make those of other words."""
+    """What is broadcast of a model: hashes (top) of the head words, counts c of them and the end, their emissions, and how to make those of other words."""
 
     start: np.ndarray
     moves: np.ndarray
+    top: np.ndarray
     c: np.ndarray
     emit: np.ndarray
     total: float
@@ -279,10 +287,10 @@ def _texts(batch: pa.RecordBatch, i: int, end: int) -> tuple[list[np.ndarray], n
 
 
 def _expectations(batches: Iterator[pa.RecordBatch], p: Parameters) -> Iterator[pa.RecordBatch]:
-    """(place, token, c, s0, ...): expected counts of head places, and below 0 of moves and start; those of other words by token."""
+    """(place, token, c, s0, ...): expected counts by token, with their place those of head words; by place alone those of the end, and below 0 of moves and start."""
     k = len(p.start)
     end = len(p.emit) - 1
-    emitted, moved, started = np.zeros_like(p.emit), np.zeros((k, k)), np.zeros(k)
+    emitted, moved, started = np.zeros((k, end + 1)).T, np.zeros((k, k)), np.zeros(k)  # counts of a state lie together
     names = ["place", "token", "c", *(f"s{i}" for i in range(k))]
 
     def out(place: pa.Array, token: pa.Array, c: pa.Array, values: np.ndarray) -> pa.RecordBatch:
@@ -296,7 +304,7 @@ def _expectations(batches: Iterator[pa.RecordBatch], p: Parameters) -> Iterator[
             if not learnt:
                 continue
             c, model = p.bucket(batch, i, len(rest))
-            here = np.zeros_like(model.emit)
+            here = np.zeros((k, len(model.emit))).T
             model.expected(learnt, here, moved, started)
             emitted += here[: end + 1]
             here = here[end + 1 :]
@@ -304,7 +312,9 @@ def _expectations(batches: Iterator[pa.RecordBatch], p: Parameters) -> Iterator[
             yield out(pa.nulls(len(seen), pa.int64()), pa.array(rest[seen]), pa.array(c[end + 1 :][seen].astype(np.int64)), here[seen])
     seen = np.flatnonzero(emitted.sum(1))
     place = np.concatenate((seen, [-1 - i for i in range(k)], [-1 - k])).astype(np.int64)
-    yield out(pa.array(place), pa.nulls(len(place), pa.int64()), pa.nulls(len(place), pa.int64()), np.concatenate((emitted[seen], moved, started[None])))
+    head = (place >= 0) & (place < end)
+    token = np.where(head, np.append(p.top, 0)[np.where(head, place, -1)], 0)
+    yield out(pa.array(place), pa.array(token, mask=~head), pa.nulls(len(place), pa.int64()), np.concatenate((emitted[seen], moved, started[None])))
 
 
 def _noise(seed: int, i: int):
@@ -313,23 +323,26 @@ def _noise(seed: int, i: int):
     return F.log(uniform(0) * uniform(1)) * -0.5 + 0.05
 
 
-def _attached(encoded: DataFrame, emissions: DataFrame) -> DataFrame:
-    """encoded with a list (held) of those of the bucket's other words that emissions (token, c, s0, ...) has: place (at), count and values."""
-    pairs = encoded.select("bucket", F.posexplode("rest").alias("at", "token")).join(emissions, "token")
-    held = pairs.groupBy("bucket").agg(F.collect_list(F.struct("at", *[c for c in emissions.columns if c != "token"])).alias("held"))  # a bucket's words at most
+def _attached(encoded: DataFrame, pairs: DataFrame, emissions: DataFrame) -> DataFrame:
+    """encoded with a list (held) of those of the bucket's other words that emissions (token, c, s0, ...) has: place (at), count and values.
+
+    pairs are the other words of all buckets (bucket, at, token).
+    """
+    values = [c for c in emissions.columns if c != "token"]
+    held = pairs.join(emissions, "token").groupBy("bucket").agg(F.collect_list(F.struct("at", *values)).alias("held"))  # a bucket's words at most
     return encoded.join(held, "bucket", "left").drop("bucket")
 
 
-def baum_welch(encoded: DataFrame, words_: DataFrame, top: np.ndarray, ends: int, total: float, states: int, iterations: int, seed: int) -> tuple[Parameters, DataFrame]:
+def baum_welch(encoded: DataFrame, pairs: DataFrame, words_: DataFrame, top: np.ndarray, ends: int, total: float, states: int, iterations: int, seed: int) -> tuple[Parameters, DataFrame]:
     """The model after some rounds of expected counts over all training texts, and the table of the other words' values (token, c, s0, ...).
 
-    words_ (token, c) are all training words, top the head words' hashes in their order.
+    encoded and pairs are bucketed tables, by bucket and by token. words_ (token, c) are all training words, top the head words' hashes in their order.
     """
     context = encoded.sparkSession.sparkContext
     columns = [f"s{i}" for i in range(states)]
     first = words_.select("token", "c", *[((F.col("c") + 0.5) / total * _noise(seed, i)).cast("float").alias(c) for i, c in enumerate(columns)])
     weight = np.array(first.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in columns]).first(), float)
-    heads = encoded.sparkSession.createDataFrame(pd.DataFrame({"place": np.arange(len(top)), "token": top}), "place long, token long")  # HEAD rows at most
+    heads = encoded.sparkSession.createDataFrame(pa.table({"place": np.arange(len(top)), "token": top}))  # HEAD rows at most
     head = first.join(F.broadcast(heads), "token").toArrow().to_pandas().sort_values("place")
     c = np.append(head["c"].to_numpy(), ends).astype(np.float64)
     unigram, unseen = (c + 0.5) / total, 0.5 / total
@@ -338,15 +351,19 @@ def baum_welch(encoded: DataFrame, words_: DataFrame, top: np.ndarray, ends: int
     stay = 0.95
     moves = np.full((states, states), (1 - stay) / max(1, states - 1))
     np.fill_diagonal(moves, stay if states > 1 else 1.0)
-    now = Parameters(np.full(states, 1 / states), moves, c, emit / weight, total, None, weight)
+    now = Parameters(np.full(states, 1 / states), moves, top, c, emit / weight, total, None, weight)
     # the head words are in no bucket's list
-    emissions = first.join(F.broadcast(heads), "token", "left_anti")
+    emissions, before = first.join(F.broadcast(heads), "token", "left_anti"), None
     for _ in range(iterations):
         sent = context.broadcast(now)
-        counts = _attached(encoded.drop("doc_ids"), emissions)
+        counts = _attached(encoded.drop("doc_ids"), pairs, emissions)
         counts = counts.mapInArrow(lambda b, sent=sent: _expectations(b, sent.value), "place long, token long, c long, " + ", ".join(f"{c} float" for c in columns))
         with single_rows(encoded.sparkSession):
-            sums = written(counts.groupBy("place", "token").agg(F.max("c").alias("c"), *[F.sum(F.col(c).cast("double")).cast("float").alias(c) for c in columns]), "emissions")
+            # the sums stay where the deal by token put them, and so does the next join
+            sums, name = bucketed(counts, "emissions", "token", lambda d: d.groupBy("token", "place").agg(F.max("c").alias("c"), *[F.sum(F.col(c).cast("double")).cast("float").alias(c) for c in columns]))
+        if before:
+            forgotten(encoded.sparkSession, before)
+        before = name
         emissions = sums.where("place is null").select("token", "c", *columns)
         fixed = sums.where("place is not null").drop("token", "c").toArrow().to_pandas()  # a row per head word, state and the start
         place, value = fixed["place"].to_numpy(), fixed[columns].to_numpy()
@@ -365,7 +382,7 @@ def baum_welch(encoded: DataFrame, words_: DataFrame, top: np.ndarray, ends: int
         # over the head, the other words and the one for unseen words
         weight = emit.sum(0) + rest[states : 2 * states] + WORD_PRIOR * share * rest[-2] + PRIOR * rest[-1] + smoothed(np.zeros(1), np.zeros((1, states)), share, total)[0]
         emit = emit / weight
-        now = Parameters((started + 1) / (started + 1).sum(), (moved + 1) / (moved + 1).sum(1, keepdims=True), c, emit, total, share, weight)
+        now = Parameters((started + 1) / (started + 1).sum(), (moved + 1) / (moved + 1).sum(1, keepdims=True), top, c, emit, total, share, weight)
         sent.unpersist()
         context._jvm.System.gc()  # Spark deletes the shuffle files of a round once its plan is collected
     return now, emissions
@@ -398,11 +415,12 @@ def score_texts(docs: DataFrame, train, head: int = HEAD, states: int = STATES,
     )
     # dealt by bucket once, so that the joins of all rounds move the emissions alone
     dealt, name = bucketed(encoded, "texts", "bucket")
+    pairs, pairs_name = bucketed(dealt.select("bucket", F.posexplode("rest").alias("at", "token")), "pairs", "token")
     spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of the deal once its plan is collected
 
     total = n + 0.5 * (v + 1)
     # without training the end is not among the words, but still a symbol
-    last, emissions = baum_welch(dealt, known, top, ends, total if ends else total + 0.5, states, iterations, seed)
+    last, emissions = baum_welch(dealt, pairs, known, top, ends, total if ends else total + 0.5, states, iterations, seed)
     model = spark.sparkContext.broadcast(last)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,8 +437,9 @@ def score_texts(docs: DataFrame, train, head: int = HEAD, states: int = STATES,
                 )
 
     with single_rows(spark):
-        scored = written(_attached(dealt, emissions).mapInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"), "scores")
-    spark.sql(f"drop table {name}")
+        scored = written(_attached(dealt, pairs, emissions).mapInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"), "scores")
+    forgotten(spark, name)
+    forgotten(spark, pairs_name)
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
