@@ -210,7 +210,7 @@ class Model:
         before, after = self._borders(stretches, of)
         for chosen, length, at, x in _blocks(stretches):
             emit, first = self._emissions(x), begins[chosen]
-            alpha, scales = np.empty_like(emit), np.empty(len(x))
+            alpha, scales = np.empty_like(emit), np.empty(len(x), emit.dtype)
             into = np.where(first, self.start[:, None], self.moves.T @ before[chosen].T)
             for t, (a, b) in enumerate(zip(at, at[1:], strict=False)):
                 if t:
@@ -222,7 +222,7 @@ class Model:
             # beta at a stretch's last symbol, such that the states' probabilities there sum to 1
             last = alpha[:, at[length - 1] + np.arange(len(chosen))]
             rest = after[chosen].T
-            rest = rest / (last * rest).sum(0)
+            rest = (rest / (last * rest).sum(0)).astype(emit.dtype)
             beta = rest[:, : at[-1] - at[-2]]
             pairs = np.zeros_like(moved)
             for t in range(len(at) - 2, 0, -1):
@@ -304,6 +304,8 @@ def _expectations(batches: Iterator[pa.RecordBatch], p: Parameters) -> Iterator[
             if not learnt:
                 continue
             c, model = p.bucket(batch, i, len(rest))
+            # counts are sums of state probabilities, scaled at every symbol, and leave as single floats: half the memory, and no loss that shows
+            model = Model(model.start, model.moves.astype(np.float32), model.emit.astype(np.float32))
             here = np.zeros((k, len(model.emit))).T
             model.expected(learnt, here, moved, started)
             emitted += here[: end + 1]
