@@ -4,20 +4,29 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.exprs import detections, distinct_joined, machine_state, safe_divide, text_key, truthy, week_start
+from furrow.operators.order import quantile_row
 
 KEYS = ("season_id", "date")
 
 
+class Quantile(NamedTuple):
+    """An exact quantile of a column by key: no aggregate of Spark's, as a day of a field may be any number of rows."""
+
+    column: str
+    share: float
+
+
 @dataclass(frozen=True)
 class Layer:
     """A layer's daily summary: rows to keep, columns derived before, aggregates by name."""
 
-    aggregates: dict[str, Column]
+    aggregates: dict[str, Column | Quantile]
     where: Column | None = None
     derive: dict[str, Column] = field(default_factory=dict)
 
@@ -27,7 +36,12 @@ class Layer:
             df = df.where(F.col(key).isNotNull())
         df = df.withColumns(self.derive) if self.derive else df
         df = df.where(self.where) if self.where is not None else df
-        return df.groupBy(*keys).agg(*[c.alias(n) for n, c in self.aggregates.items()])
+        sums = df.groupBy(*keys).agg(*[c.alias(n) for n, c in self.aggregates.items() if not isinstance(c, Quantile)])
+        wanted = {n: (c.column, c.share) for n, c in self.aggregates.items() if isinstance(c, Quantile)}
+        if not wanted:
+            return sums
+        found = quantile_row(df, list(keys), wanted)  # no key is null here
+        return sums.join(found, list(keys), "left").select(*keys, *self.aggregates)
 
 
 def total(c: str) -> Column:
@@ -39,8 +53,8 @@ def mean(c: str) -> Column:
     return F.avg(f"`{c}`")
 
 
-def p90(c: str) -> Column:
-    return F.percentile(F.col(f"`{c}`"), 0.9)
+def p90(c: str) -> Quantile:
+    return Quantile(c, 0.9)
 
 
 def share(condition: Column) -> Column:
@@ -108,7 +122,7 @@ def summarize_layer(df: DataFrame, name: str) -> DataFrame:
 
 def hot_share(df: DataFrame, column: str = "EngineTemperature - ºC", default: float = 85.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Daily engine temperatures; hot is at or above the whole layer's 90th percentile (default: of an empty layer)."""
-    limit = df.agg(F.coalesce(F.percentile(F.col(f"`{column}`"), 0.9), F.lit(default)).alias("__limit"))
+    limit = quantile_row(df, [], {"__limit": (column, 0.9)}).select(F.coalesce("__limit", F.lit(default)).alias("__limit"))
     named = Layer({"engine_temp_points": rows(), "engine_temp_mean_c": mean(column), "engine_temp_max_c": F.max(f"`{column}`"), "engine_temp_hot_share": share(F.col(f"`{column}`") >= F.col("__limit"))})
     return named.summarize(df.join(F.broadcast(limit)), keys)  # one row of limits
 

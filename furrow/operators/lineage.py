@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from furrow.functions.exprs import pipe_list, text_key
 
+MB = 1 << 20
+
 
 def neighbourhood(edges: DataFrame, starts: DataFrame, radius: int) -> DataFrame:
     """(node, depth) within radius steps of the start nodes along edges (src, dst) in either direction, with the least depth."""
@@ -73,8 +75,8 @@ def column_catalog(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, in
 
 
 def storage_advice(files: DataFrame, most_mb: float = 250.0, large_mb: float = 80.0) -> DataFrame:
-    """One row: raw MB, the largest file, large files, and local or hybrid storage. files: (zone, size_bytes)."""
-    mb = F.col("size_bytes") / 1_000_000
+    """One row: raw MB (of 2^20 bytes), the largest file, large files, and local or hybrid storage. files: (zone, size_bytes)."""
+    mb = F.col("size_bytes") / MB
     raw = files.agg(F.coalesce(F.sum(F.when(F.col("zone") == "raw", mb)), F.lit(0.0)).alias("raw_mb"), F.coalesce(F.max(mb), F.lit(0.0)).alias("largest_mb"), F.count_if(mb >= large_mb).alias("large_files"))
     return raw.withColumn("recommendation", F.when((F.col("raw_mb") >= most_mb) | (F.col("largest_mb") >= large_mb), "hybrid").otherwise("local"))
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.special import bootstrap_ci, correlation_p, shapiro_p, sign_flip_p, ttest_p, wilcoxon_p
+from furrow.operators.order import average_ranks, joined
+from furrow.sources.scratch import staged
 
 # Metrics with the least difference that counts, and whether more is better.
 EFFECTS = {
@@ -81,7 +83,7 @@ def classic_tests(df: DataFrame, spec: dict[str, tuple[float, bool]] | None = No
         return pd.DataFrame({pair: [rows[pair].iloc[0]], "metric": [rows["metric"].iloc[0]], "n": [len(v)], "mean_gap": [v.mean()], "shapiro_p": [shapiro_p(v)], "t_p": [ttest_p(v)], "wilcoxon_p": [wilcoxon_p(v)]})
 
     out = paired_values(df, list(spec), pair, week).groupBy(pair, "metric").applyInPandas(tests, f"{pair} string, metric string, n long, mean_gap double, shapiro_p double, t_p double, wilcoxon_p double")
-    test = F.when((F.col("shapiro_p") >= 0.05) & F.col("t_p").isNotNull(), "t_pareado").when(F.col("wilcoxon_p").isNotNull(), "wilcoxon").when(F.col("t_p").isNotNull(), "t_pareado").otherwise("sem_teste")
+    test = F.when((F.col("shapiro_p") >= 0.05) & F.col("t_p").isNotNull(), "ttest_1samp").when(F.col("wilcoxon_p").isNotNull(), "wilcoxon").when(F.col("t_p").isNotNull(), "ttest_1samp").otherwise("sem_teste")
     out = out.withColumn("recommended_test", test)
     p = F.when(F.col("recommended_test") == "wilcoxon", F.col("wilcoxon_p")).otherwise(F.col("t_p"))
     better = F.when(_rules(spec, 1), F.col("mean_gap")).otherwise(-F.col("mean_gap"))
@@ -89,12 +91,33 @@ def classic_tests(df: DataFrame, spec: dict[str, tuple[float, bool]] | None = No
     return out.withColumns({"p_value": p, "significant": F.coalesce(p <= 0.05, F.lit(False)), "favors": favours})
 
 
-def trends(df: DataFrame, value: str, keys: list[str], week: str = "week_start", with_p: bool = False) -> DataFrame:
-    """Linear trend of value over the index of its known weeks: slope, intercept, r, r2, direction; keys of one week have none."""
+def trends(df: DataFrame, value: str, keys: list[str], week: str = "week_start") -> DataFrame:
+    """Linear trend of value over the index of its known weeks: n, slope, intercept, r, r2, p_value, stderr, direction.
+
+    A key of one known week has a row without estimates; a constant value has r
+    and r2 of 0. Two weeks fit exactly: their p is 0, or 1 if they are equal.
+    """
     known = df.where(F.col(value).isNotNull()).withColumn("x", (F.row_number().over(Window.partitionBy(*keys).orderBy(week)) - 1).cast("double"))
-    out = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(value, "x").alias("slope"), F.regr_intercept(value, "x").alias("intercept"), F.corr(value, "x").alias("r"), F.regr_r2(value, "x").alias("r2"))
-    out = out.where("n >= 2").withColumn("direction", F.when(F.col("slope") > 0, "alta").when(F.col("slope") < 0, "queda").otherwise("estavel"))
-    return out.withColumn("p_value", _p_of("r", "n")) if with_p else out
+    out = known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.regr_slope(value, "x").alias("slope"), F.regr_intercept(value, "x").alias("intercept"),
+        F.when(F.count(F.lit(1)) > 1, F.coalesce(_corr(value, "x"), F.lit(0.0))).alias("r"), F.try_divide(F.var_pop(value), F.var_pop("x")).alias("__ratio"),
+    )
+    r2, n, slope = F.col("r") * F.col("r"), F.col("n"), F.col("slope")
+    p = F.when(n == 2, F.when(F.col("r") == 0, 1.0).otherwise(0.0)).otherwise(_p_of("r", "n"))
+    stderr = F.when(n == 2, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), 1 - r2) * F.col("__ratio") / (n - 2)))
+    out = out.withColumns({"r2": r2, "p_value": p, "stderr": F.when(n > 1, stderr)}).drop("__ratio")
+    sure = F.col("p_value") <= 0.05
+    direction = (
+        F.when(slope.isNull(), "sem_tendencia_estimada").when(sure & (slope > 0), "crescimento_significativo").when(sure & (slope < 0), "queda_significativa")
+        .when(slope > 0, "leve_crescimento_sem_significancia").when(slope < 0, "leve_queda_sem_significancia").otherwise("estavel")
+    )
+    return out.withColumn("direction", direction)
+
+
+def _corr(x: str, y: str) -> Column:
+    """Pearson's coefficient; null where a side is constant, which corr divides by."""
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def _p_of(r: str, n: str) -> Column:
@@ -106,23 +129,33 @@ def _p_of(r: str, n: str) -> Column:
 
 
 def correlations(df: DataFrame, targets: list[str], features: list[str], group: str, total: str = "geral", least: int = 5, with_p: bool = False) -> DataFrame:
-    """Pearson and Spearman of every target and feature, over all rows (group total) and within each group.
+    """Pearson and Spearman of every target and other feature, over all rows (group total) and within each group.
 
-    Pairwise complete rows; at least so many and two distinct values of each. The
-    feature and target pairs are unpivoted once and grouped once.
+    Pairwise complete rows, at least so many; where a side is constant there is no
+    coefficient, and direction and strength say so. The pairs are unpivoted once.
+    Ranks come from counts by value (average_ranks), never from a window over a
+    group, and meet as counted pairs of values.
     """
-    pairs = [F.struct(F.lit(t).alias("target"), F.lit(f).alias("feature"), F.col(t).cast("double").alias("y"), F.col(f).cast("double").alias("x")) for t in targets for f in features if f in df.columns]
+    pairs = [F.struct(F.lit(t).alias("target"), F.lit(f).alias("feature"), F.col(t).cast("double").alias("y"), F.col(f).cast("double").alias("x")) for t in targets for f in features if f in df.columns and f != t]
     long = df.select(F.explode(F.array(F.lit(total), F.col(group).cast("string"))).alias("scope"), F.array(*pairs).alias("p")).select("scope", F.explode("p").alias("p")).select("scope", "p.*")
     long = long.where("x is not null and y is not null and scope is not null")
     keys = ["scope", "target", "feature"]
-    rank = lambda c: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
-    ranked = long.withColumns({"rx": rank("x"), "ry": rank("y")})
-    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), (F.min("x") < F.max("x")).alias("vx"), (F.min("y") < F.max("y")).alias("vy"))
-    out = out.where((F.col("n") >= least) & F.col("vx") & F.col("vy")).drop("vx", "vy")
+    met = staged(long.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("w")), "pairs")  # equal pairs of values count once
+    sides = met.select(*keys, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("v")) for s in ("x", "y")])).alias("u"), "w").select(*keys, "u.*", "w")
+    ranks = staged(average_ranks(sides, [*keys, "side"], "v", "w"), "ranks")
+    for s in ("x", "y"):
+        # off the mean rank, so that no large squares cancel
+        of = ranks.where(F.col("side") == s).select(*keys, F.col("v").alias(s), (F.col("rank") - (F.col("total") + 1) / 2).alias(f"r{s}"))
+        met = joined(met, of, [*keys, s])
+    total_ = lambda c: F.sum(F.col("w") * c)
+    spread = F.sqrt(total_(F.col("rx") * F.col("rx"))) * F.sqrt(total_(F.col("ry") * F.col("ry")))
+    spearman = met.groupBy(*keys).agg(F.try_divide(total_(F.col("rx") * F.col("ry")), spread).alias("spearman"))
+    out = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _corr("x", "y").alias("pearson")).where(F.col("n") >= least)
+    out = joined(out, spearman, keys)
     best = F.when(F.abs("spearman") > F.abs("pearson"), F.col("spearman")).otherwise(F.col("pearson"))
     out = out.withColumn("strongest", best)
     size = F.abs("strongest")
-    out = out.withColumns({"direction": F.when(F.col("strongest") > 0, "positiva").when(F.col("strongest") < 0, "negativa").otherwise("neutra"), "strength": F.when(size >= 0.7, "forte").when(size >= 0.4, "moderada").when(size >= 0.2, "fraca").otherwise("muito_fraca")})
+    out = out.withColumns({"direction": F.when(F.col("strongest") > 0, "positiva").when(F.col("strongest") < 0, "negativa").when(F.col("strongest") == 0, "nula").otherwise("sem_relacao"), "strength": F.when(size >= 0.7, "forte").when(size >= 0.4, "moderada").when(size >= 0.2, "fraca").when(size >= 0, "muito_fraca").otherwise("sem_relacao")})
     return out.withColumns({"pearson_p": _p_of("pearson", "n"), "spearman_p": _p_of("spearman", "n")}) if with_p else out
 
 

@@ -9,25 +9,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from furrow.functions.exprs import text_key
+from furrow.operators.order import joined, quantiles, unpivoted
 
 
 def series_profile(value: Column) -> dict[str, Column]:
-    """Aggregates of a numeric column: counts, centre, spread, quartiles and bias-corrected shape (null for too few values)."""
+    """Aggregates of a numeric column: counts, mean, spread and bias-corrected shape (null for too few values); quartiles are no partial sums, see numeric_profile."""
     n = F.count(value).cast("double")
     sd = F.stddev_samp(value)
     skew = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * F.skewness(value))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(value) + 6))
     return {
-        "n": F.count(value), "missing": F.count_if(value.isNull()), "missing_ratio": F.avg(value.isNull().cast("double")), "mean": F.avg(value), "median": F.percentile(value, F.lit(0.5)), "std": sd, "min": F.min(value),
-        "q1": F.percentile(value, F.lit(0.25)), "q3": F.percentile(value, F.lit(0.75)), "max": F.max(value), "cv": F.try_divide(sd, F.avg(value)), "skewness": skew, "kurtosis": kurt,
+        "n": F.count(value), "missing": F.count_if(value.isNull()), "missing_ratio": F.avg(value.isNull().cast("double")), "mean": F.avg(value), "std": sd, "min": F.min(value),
+        "max": F.max(value), "cv": F.abs(F.try_divide(sd, F.avg(value))), "skewness": skew, "kurtosis": kurt,
     }
 
 
 def numeric_profile(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """A profile row per variable (and group): the columns are unpivoted and grouped once."""
-    by = by or []
-    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns if c in df.columns])).alias("p")).select(*by, "p.*")
-    return long.groupBy(*by, "variable").agg(*[c.alias(n) for n, c in series_profile(F.col("v")).items()])
+    """A profile row per variable (and group): the unpivoted columns are grouped once, and their median and quartiles are counted out exactly."""
+    keys = [*(by or []), "variable"]
+    long = unpivoted(df, by or [], [c for c in columns if c in df.columns])
+    sums = long.groupBy(*keys).agg(*[c.alias(n) for n, c in series_profile(F.col("v")).items()])
+    quarters = quantiles(long, keys, "v", [0.25, 0.5, 0.75]).toDF(*keys, "q1", "median", "q3")
+    out = joined(sums, quarters, keys, "left")
+    return out.select(*keys, "n", "missing", "missing_ratio", "mean", "median", "std", "min", "q1", "q3", "max", "cv", "skewness", "kurtosis")
 
 
 def overview(df: DataFrame, name: str) -> DataFrame:

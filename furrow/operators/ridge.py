@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.operators.order import quantile_row
+
 INTERCEPT = "intercept"
 
 
@@ -19,8 +21,8 @@ def design(df: DataFrame, numeric: list[str], booleans: list[str], categories: l
     Numbers by their median where null (0 if all null), flags as 0 and 1, a 0/1
     column per category value; all less their mean over their population deviation (1 if that is 0).
     """
-    medians = df.agg(*[F.coalesce(F.percentile(F.col(c), 0.5), F.lit(0.0)).alias(c) for c in numeric]).first() if numeric else {}
-    columns: list[tuple[str, Column]] = [(c, F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c])))) for c in numeric]
+    medians = quantile_row(df, [], {c: (c, 0.5) for c in numeric}).first() if numeric else {}
+    columns: list[tuple[str, Column]] = [(c, F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0.0)))) for c in numeric]
     columns += [(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in booleans]
     for c in categories:
         value = F.coalesce(F.col(c), F.lit(missing))

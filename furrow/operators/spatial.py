@@ -29,8 +29,8 @@ def lat_of(y: Column) -> Column:
 
 
 def season_boxes(bounds: DataFrame) -> DataFrame:
-    """Box, centre and area (ha, of the projected box) of each season from bounds_left, _bottom, _right, _top in metres."""
-    one = bounds.groupBy("season_id").agg(*[F.min_by(c, "date").alias(c) for c in ("bounds_left", "bounds_bottom", "bounds_right", "bounds_top")])
+    """Box, centre and area (ha, of the projected box) of each season from the first known bounds_left, _bottom, _right, _top in metres."""
+    one = bounds.groupBy("season_id").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col("date").isNull(), "date"))).alias(c) for c in ("bounds_left", "bounds_bottom", "bounds_right", "bounds_top")])
     left, bottom, right, top = (F.col(f"bounds_{s}") for s in ("left", "bottom", "right", "top"))
     out = one.select("season_id", lon_of(left).alias("min_lon"), lat_of(bottom).alias("min_lat"), lon_of(right).alias("max_lon"), lat_of(top).alias("max_lat"), ((right - left) * (top - bottom) / 10000).alias("bbox_area_ha"))
     return out.withColumns({"center_lon": (F.col("min_lon") + F.col("max_lon")) / 2, "center_lat": (F.col("min_lat") + F.col("max_lat")) / 2})

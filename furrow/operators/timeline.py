@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.exprs import flag, top_labels
+from furrow.operators.order import quantile_row
 from furrow.operators.windows import delta, lag_flags, min_max, weeks_from_peak
+from furrow.sources.scratch import staged
 
 # Fixed values: (column, quantile, default) of each threshold over the whole timeline.
 THRESHOLDS = {
@@ -30,11 +32,19 @@ DRIVERS = (
     ("alert_risk_flag", 1.2, "alertas_de_maquina"), ("engine_risk_flag", 1.0, "risco_de_maquina"),
 )
 
+# The flags of the lift and their labels there, which are not those of the drivers in all cases.
+LIFT_LABELS = {
+    "high_soil_flag": "solo_exposto", "weather_stress_flag": "estresse_climatico", "pest_risk_flag": "pressao_de_pragas", "fert_risk_flag": "falha_de_dose_na_adubacao", "overlap_risk_flag": "sobreposicao_operacional",
+    "stop_risk_flag": "tempo_parado", "telemetry_risk_flag": "falha_de_telemetria", "alert_risk_flag": "alertas_de_maquina", "engine_risk_flag": "risco_de_motor",
+}
+
 
 def quantile_thresholds(timeline: DataFrame, spec: dict[str, tuple[str, float, float]] | None = None) -> DataFrame:
     """One row thr_<name>: exact quantiles over the whole timeline, the default where the column lacks or is all null."""
     spec = spec or THRESHOLDS
-    return timeline.agg(*[(F.coalesce(F.percentile(c, q), F.lit(d)) if c in timeline.columns else F.lit(d)).alias(f"thr_{n}") for n, (c, q, d) in spec.items()])
+    there = {f"thr_{n}": (c, q) for n, (c, q, _) in spec.items() if c in timeline.columns}
+    row = quantile_row(timeline, [], there) if there else timeline.sparkSession.range(1)
+    return row.select(*[(F.coalesce(f"thr_{n}", F.lit(d)) if f"thr_{n}" in there else F.lit(d)).alias(f"thr_{n}") for n, (_, _, d) in spec.items()])
 
 
 def weekly_flags(timeline: DataFrame) -> DataFrame:
@@ -96,7 +106,8 @@ def phase_timeline(weekly: DataFrame, keys: list[str] | None = None, week: str =
     """The weekly panel with delta, scale, weeks from the peak, flags and lags, phase, event and drivers."""
     keys = keys or ["season_id"]
     df = delta(weekly, "ndvi_mean_week", keys, [week], "ndvi_delta_week")
-    df = weeks_from_peak(min_max(df, "ndvi_mean_week", keys, "ndvi_norm_week"), "ndvi_mean_week", keys, week)
+    # the thresholds are quantiles of the same rows, which are made once
+    df = staged(weeks_from_peak(min_max(df, "ndvi_mean_week", keys, "ndvi_norm_week"), "ndvi_mean_week", keys, week), "weeks")
     df = lag_flags(weekly_flags(df), list(LAGGED), keys, [week])
     ndvi = F.col("ndvi_mean_week")
     df = df.withColumn("phase", phase(ndvi, F.col("ndvi_delta_week"), F.col("ndvi_norm_week"), F.col("weeks_from_peak"), F.col("major_drop_flag_lag1")))
@@ -105,12 +116,16 @@ def phase_timeline(weekly: DataFrame, keys: list[str] | None = None, week: str =
     return df.withColumns({"primary_driver": F.coalesce(F.get("driver_candidates", F.lit(0)), F.lit("sem_driver_forte")), "secondary_driver": F.get("driver_candidates", F.lit(1))})
 
 
-def driver_lift(timeline: DataFrame, flags: dict[str, str], pair: str = "comparison_pair") -> DataFrame:
-    """Per pair and driver (label by flag): share of weeks with the flag among problem weeks and among the others, their difference in points, ratio and level."""
+def driver_lift(timeline: DataFrame, flags: dict[str, str] | None = None, pair: str = "comparison_pair") -> DataFrame:
+    """Per pair and driver (label by flag): share of weeks with the flag among problem weeks and among the others, their difference in points, ratio and level.
+
+    Without problem weeks, or without others, that share is unknown, and so are difference and ratio; the level is then baixa.
+    """
+    flags = flags or {f: label for f, label in LIFT_LABELS.items() if f in timeline.columns}
     problem = F.col("major_drop_flag") | F.col("low_vigor_flag") | flag(F.col("event_type").isin("queda", "queda_forte", "baixo_vigor"))
     rows = timeline.withColumn("__problem", problem).select(pair, "__problem", F.explode(F.array(*[F.struct(F.lit(label).alias("driver"), flag(F.col(f)).cast("double").alias("on")) for f, label in flags.items()])).alias("d"))
     out = rows.groupBy(pair, F.col("d.driver").alias("driver")).agg(
-        F.count_if("__problem").alias("problem_weeks"), F.coalesce(F.avg(F.when(F.col("__problem"), F.col("d.on"))), F.lit(0.0)).alias("problem_rate"), F.coalesce(F.avg(F.when(~F.col("__problem"), F.col("d.on"))), F.lit(0.0)).alias("baseline_rate")
+        F.count_if("__problem").alias("problem_weeks"), F.avg(F.when(F.col("__problem"), F.col("d.on"))).alias("problem_rate"), F.avg(F.when(~F.col("__problem"), F.col("d.on"))).alias("baseline_rate")
     )
     points = (F.col("problem_rate") - F.col("baseline_rate")) * 100
     level = F.when(F.col("problem_weeks") < 3, "baixa").when(points >= 20, "alta").when(points >= 10, "media").otherwise("baixa")
@@ -118,7 +133,7 @@ def driver_lift(timeline: DataFrame, flags: dict[str, str], pair: str = "compari
 
 
 def outlook_score(last4_norm: Column, peak: Column, low_vigor: Column, major_drop: Column, pest: Column, ops: Column, trend: Column) -> Column:
-    """Weighted outlook in 0..100; unknown parts take their neutral value."""
+    """Weighted outlook in 0..100, half-even to two places, as bands and gaps judge it; unknown parts take their neutral value."""
     from furrow.functions.exprs import clip01
 
     held = lambda c, neutral: F.when(c.isNull(), F.lit(neutral)).otherwise(clip01(1 - c))
@@ -126,7 +141,7 @@ def outlook_score(last4_norm: Column, peak: Column, low_vigor: Column, major_dro
         0.30 * F.when(last4_norm.isNull(), F.lit(0.5)).otherwise(clip01(last4_norm)), 0.20 * clip01(peak / 0.85), 0.15 * held(low_vigor, 0.5), 0.10 * held(major_drop, 0.4), 0.10 * held(pest, 0.4), 0.10 * held(ops, 0.4),
         0.05 * F.when(trend.isNull(), F.lit(0.5)).otherwise(clip01((trend + 0.12) / 0.24)),
     ]
-    return 100 * sum(parts[1:], parts[0])
+    return F.bround(100 * sum(parts[1:], parts[0]), 2)
 
 
 def outlook_band(score: Column) -> Column:

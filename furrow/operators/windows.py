@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.operators.order import joined, quantile_row
+from furrow.sources.scratch import staged
+
 
 def over(keys: list[str], *order: str | Column) -> Window:
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -73,11 +76,17 @@ def gaps(df: DataFrame, date: str, keys: list[str], ties: list[str], longer_than
 
 
 def scores(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """z_score (population deviation) and robust_z_score 0.6745 * (x - median) / MAD; null where the spread is 0."""
-    w = over(keys)
-    df = df.withColumns({"z_score": F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_pop(value).over(w)), "__median": F.percentile(value, F.lit(0.5)).over(w)})
-    df = df.withColumn("__mad", F.percentile(F.abs(F.col(value) - F.col("__median")), F.lit(0.5)).over(w))
-    return df.withColumn("robust_z_score", F.try_divide(0.6745 * (F.col(value) - F.col("__median")), F.col("__mad"))).drop("__median", "__mad")
+    """z_score (population deviation) and robust_z_score 0.6745 * (x - median) / MAD; null where the spread is 0.
+
+    Sums and medians by key are joined to the rows, of which a key may have any number.
+    """
+    df = staged(df, "scored")
+    sums = df.groupBy(*keys).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__sd"))
+    df = joined(joined(df, sums, keys), quantile_row(df, keys, {"__median": (value, 0.5)}), keys, "left")
+    df = staged(df.withColumn("__off", F.abs(F.col(value) - F.col("__median"))), "off")
+    df = joined(df, quantile_row(df, keys, {"__mad": ("__off", 0.5)}), keys, "left")
+    df = df.withColumns({"z_score": F.try_divide(F.col(value) - F.col("__mean"), F.col("__sd")), "robust_z_score": F.try_divide(0.6745 * (F.col(value) - F.col("__median")), F.col("__mad"))})
+    return df.drop("__mean", "__sd", "__median", "__off", "__mad")
 
 
 def outliers(df: DataFrame, value: str, keys: list[str], z: float = 2.0, robust: float = 3.5) -> DataFrame:
@@ -95,9 +104,6 @@ def tail_mean(df: DataFrame, value: str, keys: list[str], order: list[str], k: i
 
 
 def duplicates(df: DataFrame, keys: list[str], name: str = "is_duplicate") -> DataFrame:
-    return df.withColumn(name, F.count(F.lit(1)).over(over(keys)) > 1)
-
-
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank from 1, equals sharing their mean rank."""
-    return F.rank().over(over(keys, value)) + (F.count(F.lit(1)).over(over([*keys, value])) - 1) / 2
+    """df with whether its keys (null ones are equal) come more than once. Keys are counted, so that no key's rows gather in a window."""
+    more = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    return joined(df, more, keys, "left").withColumn(name, F.col("__n").isNotNull()).drop("__n")

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.exprs import distinct_joined
-from furrow.operators.daily import p90
+from furrow.operators.daily import Layer, mean, p90, rows
+from furrow.operators.order import quantile_row
 from furrow.operators.spatial import k_nearest, preferred_site, with_geodesic, within_radius
 from furrow.operators.trial import in_window, latest_readings
+from furrow.sources.scratch import staged
 
 # The side that a kind of trap stands for, and the texts of a field's diagnostic.
 TRAP_SIDES = {"ELECTRONIC": "tecnologia_4_0", "CONVENTIONAL": "convencional"}
@@ -47,26 +49,26 @@ def crop_window(planting: DataFrame, harvest: DataFrame, at: str = "timestamp")
 
 def scenes_in_window(scenes: DataFrame, window: DataFrame) -> DataFrame:
     """Scenes with valid pixels from the first planting to the last harvest; an unknown end does not bind."""
-    rows = scenes.where(F.coalesce("b1_valid_pixels", F.lit(0)) > 0).join(F.broadcast(window))  # one row
-    return in_window(rows, "date", F.col("planting_start"), F.col("harvest_end")).drop(*window.columns)
+    usable = scenes.where(F.coalesce("b1_valid_pixels", F.lit(0)) > 0).join(F.broadcast(window))  # one row
+    return in_window(usable, "date", F.col("planting_start"), F.col("harvest_end")).drop(*window.columns)
 
 
 def harvest_summary(harvest: DataFrame) -> DataFrame:
     c = "Yield - kg/ha"
-    rows = _of(harvest, "COLHEITA").where((F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) > 0) & F.col("season_id").isNotNull())
-    return rows.groupBy("season_id").agg(F.avg(f"`{c}`").alias("yield_mean_kg_ha"), p90(c).alias("yield_p90_kg_ha"), F.count(F.lit(1)).alias("harvest_points"))
+    layer = Layer({"yield_mean_kg_ha": mean(c), "yield_p90_kg_ha": p90(c), "harvest_points": rows()}, F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) > 0)
+    return layer.summarize(_of(harvest, "COLHEITA"), ("season_id",))
 
 
 def planting_summary(planting: DataFrame) -> DataFrame:
     c = "Population - ha"
-    rows = _of(planting, "PLANTIO").where("season_id is not null")
-    return rows.groupBy("season_id").agg(F.avg(f"`{c}`").alias("population_mean_ha"), p90(c).alias("population_p90_ha"), F.count(F.lit(1)).alias("planting_points"))
+    layer = Layer({"population_mean_ha": mean(c), "population_p90_ha": p90(c), "planting_points": rows()})
+    return layer.summarize(_of(planting, "PLANTIO"), ("season_id",))
 
 
 def pest_daily(readings: DataFrame) -> DataFrame:
     """Mean count and observations by day and kind of trap; rows without either are left out."""
-    rows = readings.where("event_date is not null and trapType is not null")
-    return rows.groupBy("event_date", "trapType").agg(F.avg("pestCount").alias("avg_pest_count"), F.count(F.lit(1)).alias("observations"))
+    known = readings.where("event_date is not null and trapType is not null")
+    return known.groupBy("event_date", "trapType").agg(F.avg("pestCount").alias("avg_pest_count"), F.count(F.lit(1)).alias("observations"))
 
 
 def suggested_mapping(seasons: DataFrame, traps: DataFrame) -> DataFrame:
@@ -128,11 +130,12 @@ def scene_evidence(scenes: DataFrame) -> DataFrame:
 
 
 def evidence_table(mapping: DataFrame, scenes: DataFrame, harvest: DataFrame, planting: DataFrame, traps: DataFrame) -> DataFrame:
-    """Fields with their summaries and a diagnostic against the medians of all fields (a dimension of fields, so the medians are exact)."""
+    """Fields with their summaries and a diagnostic against the medians of all fields."""
     out = mapping
     for part in (scene_evidence(scenes), harvest, planting, traps):
         out = out.join(part, "season_id", "left")
-    medians = out.agg(F.median("yield_mean_kg_ha").alias("__yield"), F.median("ndvi_mean").alias("__ndvi"))
+    out = staged(out, "evidence")
+    medians = quantile_row(out, [], {"__yield": ("yield_mean_kg_ha", 0.5), "__ndvi": ("ndvi_mean", 0.5)})
     out = out.join(F.broadcast(medians))  # one row
     against = lambda c, reference, texts: F.when(F.col(c) >= F.col(reference), texts[0]).when(F.col(c) < F.col(reference), texts[1])
     cover = F.when(F.col("electronic_traps") > 0, F.format_string("Existe cobertura de armadilhas eletrônicas no entorno imediato (%d).", F.col("electronic_traps").cast("int"))).when(F.col("conventional_traps") > 0, "O monitoramento no entorno detectado é majoritariamente convencional.")

@@ -127,22 +127,45 @@ def pair_classic_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.classic_tests(panel(spark, sf_dir), {"ndvi_mean_week": (0.0005, True), "soil_pct_week": (0.0005, False)})
 
 
-@query(f"""WITH {PANEL}, x AS (SELECT *, CAST(row_number() OVER (PARTITION BY season_id ORDER BY week_start) - 1 AS DOUBLE) AS x FROM panel)
-SELECT season_id, count(*) AS n, round(regr_slope(ndvi_mean_week, x), 8) AS slope, round(regr_intercept(ndvi_mean_week, x), 6) AS intercept, round(corr(ndvi_mean_week, x), 6) AS r, round(regr_r2(ndvi_mean_week, x), 6) AS r2,
-  CASE WHEN regr_slope(ndvi_mean_week, x) > 0 THEN 'alta' WHEN regr_slope(ndvi_mean_week, x) < 0 THEN 'queda' ELSE 'estavel' END AS direction FROM x GROUP BY season_id HAVING count(*) >= 2""")
+#: Season 0's weeks again as seasons of one week, of two, of one value and of a steep fall, for the ends of rules.
+EDGES_OF_WEEKS = """edged AS (
+  SELECT season_id, comparison_pair, week_start, ndvi_mean_week FROM panel UNION ALL
+  SELECT s, comparison_pair, week_start, CASE s WHEN 1002 THEN 0.05 WHEN 1003 THEN -0.01 * k + ndvi_mean_week ELSE ndvi_mean_week END FROM (SELECT *, row_number() OVER (ORDER BY week_start) AS k FROM panel WHERE season_id = 0), (VALUES (1000, 1), (1001, 2), (1002, 1000000), (1003, 1000000)) AS e(s, most) WHERE k <= most)"""
+
+
+def edged(weeks: DataFrame) -> DataFrame:
+    k = F.row_number().over(W.over([], "week_start"))  # the weeks of one season
+    cases = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(most).alias("most")) for s, most in ((1000, 1), (1001, 2), (1002, 1_000_000), (1003, 1_000_000))])
+    more = weeks.where("season_id = 0").withColumn("k", k).withColumn("e", F.explode(cases)).where("k <= e.most")
+    value = F.when(F.col("e.s") == 1002, 0.05).when(F.col("e.s") == 1003, -0.01 * F.col("k") + F.col("ndvi_mean_week")).otherwise(F.col("ndvi_mean_week"))
+    columns = ["season_id", "comparison_pair", "week_start", "ndvi_mean_week"]
+    return weeks.select(*columns).union(more.select(F.col("e.s").cast(weeks.schema["season_id"].dataType), "comparison_pair", "week_start", value))
+
+
+@query(f"""WITH {PANEL}, {EDGES_OF_WEEKS}, x AS (SELECT *, CAST(row_number() OVER (PARTITION BY season_id ORDER BY week_start) - 1 AS DOUBLE) AS x FROM edged), g AS (
+  SELECT season_id, count(*) AS n, CASE WHEN count(*) > 1 THEN regr_slope(ndvi_mean_week, x) END AS slope, CASE WHEN count(*) > 1 THEN regr_intercept(ndvi_mean_week, x) END AS intercept, CASE WHEN count(*) > 1 THEN CASE WHEN min(ndvi_mean_week) < max(ndvi_mean_week) THEN corr(ndvi_mean_week, x) ELSE 0 END END AS r, var_pop(ndvi_mean_week) / nullif(var_pop(x), 0) AS ratio FROM x GROUP BY season_id
+), t AS ( -- beyond the two-sided 5 percent point of Student's t, by its expansion about 1.959964
+  SELECT *, CASE n WHEN 1 THEN NULL WHEN 2 THEN r <> 0 ELSE abs(r) >= 1 OR abs(r) * sqrt((n - 2) / (1 - r * r)) >= 1.959964 + 2.372271 / (n - 2) + 2.822501 / (n - 2) ^ 2 + 2.555852 / (n - 2) ^ 3 END AS sure FROM g
+) SELECT season_id, n, round(slope, 8) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, round(r * r, 6) AS r2, round(CASE n WHEN 1 THEN NULL WHEN 2 THEN 0 ELSE sqrt(greatest(0, 1 - r * r) * ratio / (n - 2)) END, 8) AS stderr,
+  CASE WHEN slope IS NULL THEN 'sem_tendencia_estimada' WHEN sure AND slope > 0 THEN 'crescimento_significativo' WHEN sure AND slope < 0 THEN 'queda_significativa' WHEN slope > 0 THEN 'leve_crescimento_sem_significancia' WHEN slope < 0 THEN 'leve_queda_sem_significancia' ELSE 'estavel' END AS direction FROM t""")
 def weekly_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = P.trends(panel(spark, sf_dir), "ndvi_mean_week", ["season_id"])
-    return out.select("season_id", "n", F.round("slope", 8).alias("slope"), *[F.round(c, 6).alias(c) for c in ("intercept", "r", "r2")], "direction")
+    out = P.trends(edged(panel(spark, sf_dir)), "ndvi_mean_week", ["season_id"])
+    return out.select("season_id", "n", *[F.round(c, 8).alias(c) for c in ("slope", "stderr")], *[F.round(c, 6).alias(c) for c in ("intercept", "r", "r2")], "direction")
 
 
 @query(f"""WITH {PANEL}, l AS (
   SELECT s AS scope, f AS feature, ndvi_mean_week AS y, x FROM (
-    SELECT ndvi_mean_week, comparison_pair, unnest(['soil_pct_week', 'quantity_week', 'image_count_week']) AS f, unnest([soil_pct_week, quantity_week, CAST(image_count_week AS DOUBLE)]) AS x FROM panel), unnest(['geral', comparison_pair]) AS u(s)
+    SELECT ndvi_mean_week, comparison_pair, unnest(['soil_pct_week', 'quantity_week', 'image_count_week', 'constante']) AS f, unnest([soil_pct_week, quantity_week, CAST(image_count_week AS DOUBLE), 1.5::DOUBLE]) AS x FROM panel), unnest(['geral', comparison_pair]) AS u(s)
 ), r AS (SELECT *, rank() OVER (PARTITION BY scope, feature ORDER BY x) + (count(*) OVER (PARTITION BY scope, feature, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY scope, feature ORDER BY y) + (count(*) OVER (PARTITION BY scope, feature, y) - 1) / 2.0::DOUBLE AS ry FROM l)
-SELECT scope, feature, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY ALL HAVING count(*) >= 5""")
+, c AS (SELECT scope, feature, count(*) AS n, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS p, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(rx, ry) END AS s FROM r GROUP BY ALL HAVING count(*) >= 5),
+b AS (SELECT *, CASE WHEN abs(s) > abs(p) THEN s ELSE p END AS best FROM c)
+SELECT scope, feature, n, round(p, 6) AS pearson, round(s, 6) AS spearman, CASE WHEN best IS NULL THEN 'sem_relacao' WHEN best > 0 THEN 'positiva' WHEN best < 0 THEN 'negativa' ELSE 'nula' END AS direction,
+  CASE WHEN best IS NULL THEN 'sem_relacao' WHEN abs(best) >= 0.7 THEN 'forte' WHEN abs(best) >= 0.4 THEN 'moderada' WHEN abs(best) >= 0.2 THEN 'fraca' ELSE 'muito_fraca' END AS strength FROM b""")
 def weekly_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = P.correlations(panel(spark, sf_dir), ["ndvi_mean_week"], ["soil_pct_week", "quantity_week", "image_count_week"], "comparison_pair")
-    return rounded(out.select("scope", "feature", "n", "pearson", "spearman"))
+    """One feature is constant: its coefficients are unknown, its row stays."""
+    weeks = panel(spark, sf_dir).withColumn("constante", F.lit(1.5))
+    out = P.correlations(weeks, ["ndvi_mean_week"], ["soil_pct_week", "quantity_week", "image_count_week", "constante", "ndvi_mean_week"], "comparison_pair")
+    return rounded(out.select("scope", "feature", "n", "pearson", "spearman", "direction", "strength"))
 
 
 @query(f"""WITH {PANEL}, d AS (
@@ -404,12 +427,18 @@ def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
-@query(f"""WITH {PANEL}, f AS (SELECT *, ndvi_mean_week - lag(ndvi_mean_week) OVER (PARTITION BY season_id ORDER BY week_start) AS d FROM panel), g AS (SELECT comparison_pair, coalesce(d <= -0.01, false) AS problem, CASE WHEN soil_pct_week >= 0.04 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit FROM f)
-SELECT comparison_pair, count(*) FILTER (WHERE problem) AS problem_weeks, round(coalesce(avg(hit) FILTER (WHERE problem), 0), 6) AS problem_rate, round(coalesce(avg(hit) FILTER (WHERE NOT problem), 0), 6) AS baseline_rate, round((coalesce(avg(hit) FILTER (WHERE problem), 0) - coalesce(avg(hit) FILTER (WHERE NOT problem), 0)) * 100, 6) AS delta_pp FROM g GROUP BY comparison_pair""")
+@query(f"""WITH {PANEL}, f AS (SELECT *, ndvi_mean_week - lag(ndvi_mean_week) OVER (PARTITION BY season_id ORDER BY week_start) AS d FROM panel), g AS (SELECT comparison_pair, coalesce(d <= -0.01, false) AS problem, CASE WHEN soil_pct_week >= 0.04 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit FROM (
+  SELECT comparison_pair, d, soil_pct_week FROM f UNION ALL SELECT e.p, e.d, soil_pct_week FROM f, (VALUES ('so_problemas', -1.0::DOUBLE), ('sem_problemas', 1.0::DOUBLE)) AS e(p, d) WHERE comparison_pair = 'par_0')),
+r AS (SELECT comparison_pair, count(*) FILTER (WHERE problem) AS problem_weeks, avg(hit) FILTER (WHERE problem) AS p, avg(hit) FILTER (WHERE NOT problem) AS b FROM g GROUP BY comparison_pair)
+SELECT comparison_pair, 'solo_exposto' AS driver, problem_weeks, round(p, 6) AS problem_rate, round(b, 6) AS baseline_rate, round((p - b) * 100, 6) AS delta_pp, round(CASE WHEN b > 0 THEN p / b END, 6) AS lift_ratio,
+  CASE WHEN problem_weeks < 3 THEN 'baixa' WHEN (p - b) * 100 >= 20 THEN 'alta' WHEN (p - b) * 100 >= 10 THEN 'media' ELSE 'baixa' END AS evidence_level FROM r""")
 def driver_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two more pairs have problem weeks alone, and none: their other rate is unknown."""
     t = W.delta(panel(spark, sf_dir), "ndvi_mean_week", ["season_id"], ["week_start"], "d")
-    t = t.withColumns({"major_drop_flag": X.flag(F.col("d") <= -0.01), "low_vigor_flag": F.lit(False), "event_type": F.lit(None).cast("string"), "soil": F.col("soil_pct_week") >= 0.04})
-    return rounded(T.driver_lift(t, {"soil": "solo_exposto"}).select("comparison_pair", "problem_weeks", "problem_rate", "baseline_rate", "delta_pp"))
+    ends = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d).alias("d")) for p, d in (("so_problemas", -1.0), ("sem_problemas", 1.0))])
+    more = t.where("comparison_pair = 'par_0'").withColumn("e", F.explode(ends)).withColumns({"comparison_pair": F.col("e.p"), "d": F.col("e.d")}).drop("e")
+    t = t.union(more).withColumns({"major_drop_flag": X.flag(F.col("d") <= -0.01), "low_vigor_flag": F.lit(False), "event_type": F.lit(None).cast("string"), "soil": F.col("soil_pct_week") >= 0.04})
+    return rounded(T.driver_lift(t, {"soil": "solo_exposto"}).select("comparison_pair", "driver", "problem_weeks", "problem_rate", "baseline_rate", "delta_pp", "lift_ratio", "evidence_level"))
 
 
 @query("""SELECT substr(sha1('part|' || p_partkey), 1, 16) AS id, lower(regexp_replace(p_name, '[\\s_-]', '', 'g')) AS name_key FROM part""")
@@ -445,10 +474,10 @@ def weighted_area_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), e AS (
   SELECT season_id, comparison_pair, max(ndvi_mean_week) AS peak, avg(norm) FILTER (WHERE rn <= 4) AS last4, avg(delta) FILTER (WHERE rn <= 3) AS trend, avg(coalesce(norm <= 0.35, false)::INT) AS low_vigor, avg(coalesce(delta <= -0.08, false)::INT) AS major FROM d GROUP BY ALL
 ), f AS (
-  SELECT *, 100 * (0.30 * coalesce(last4, 0.5) + 0.20 * greatest(0, least(1, peak / 0.85)) + 0.15 * (1 - low_vigor) + 0.10 * (1 - major) + 0.10 + 0.10 + 0.05 * coalesce(greatest(0, least(1, (trend + 0.12) / 0.24)), 0.5)) AS score FROM e
+  SELECT *, round_even(100 * (0.30::DOUBLE * coalesce(last4, 0.5) + 0.20::DOUBLE * greatest(0, least(1, peak / 0.85::DOUBLE)) + 0.15::DOUBLE * (1 - low_vigor) + 0.10::DOUBLE * (1 - major) + 0.10::DOUBLE + 0.10::DOUBLE + 0.05::DOUBLE * coalesce(greatest(0, least(1, (trend + 0.12::DOUBLE) / 0.24::DOUBLE)), 0.5)), 2) AS score FROM e
 ), g AS (SELECT *, row_number() OVER p AS k, first_value(score) OVER q AS one, nth_value(score, 2) OVER q AS two FROM f WINDOW p AS (PARTITION BY comparison_pair ORDER BY season_id), q AS (PARTITION BY comparison_pair ORDER BY season_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 h AS (SELECT *, score - CASE WHEN k = 1 THEN two ELSE one END AS gap FROM g)
-SELECT season_id, comparison_pair, round(score, 6) AS trajectory_score, CASE WHEN score >= 75 THEN 'favoravel' WHEN score >= 65 THEN 'positivo_com_ressalvas' WHEN score >= 50 THEN 'misto' ELSE 'atencao' END AS outlook_band,
+SELECT season_id, comparison_pair, score AS trajectory_score, CASE WHEN score >= 75 THEN 'favoravel' WHEN score >= 65 THEN 'positivo_com_ressalvas' WHEN score >= 50 THEN 'misto' ELSE 'atencao' END AS outlook_band,
   CASE WHEN gap IS NULL THEN 'sem_referencia_no_par' WHEN gap >= 6 THEN 'tende_a_chegar_acima_do_par' WHEN gap <= -6 THEN 'tende_a_chegar_abaixo_do_par' ELSE 'sem_vantagem_clara_no_par' END AS expected_vs_pair,
   concat_ws(' | ', CASE WHEN low_vigor >= 0.2 AND low_vigor >= major THEN 'baixo_vigor_recorrente' END, CASE WHEN major >= 0.2 THEN 'quedas_relevantes_de_ndvi' END, CASE WHEN low_vigor >= 0.2 AND low_vigor < major THEN 'baixo_vigor_recorrente' END) AS top_risks FROM h""")
 def season_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:

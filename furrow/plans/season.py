@@ -13,7 +13,7 @@ from furrow.operators.daily import hot_share, pest_lookup, summarize_layer, weat
 from furrow.operators.evidence import outlook, season_summary
 from furrow.operators.pairs import EFFECTS, pair_effects
 from furrow.operators.spatial import season_boxes
-from furrow.operators.timeline import DRIVERS, driver_lift, pair_position, phase_timeline
+from furrow.operators.timeline import driver_lift, pair_position, phase_timeline
 from furrow.operators.weekly import SUPPORT_WEEKLY, pair_panel, weather_weekly, weekly
 from furrow.operators.windows import lead_delta, scores
 from furrow.sources import csv as C
@@ -68,7 +68,7 @@ def season_tables(spark: SparkSession, root: str, official: DataFrame, manual: D
     ahead = keep(N.outlook_texts(outlook(summary), diagnostics), "ndvi_outlook")
     label = F.create_map(*[F.lit(x) for kv in METRIC_LABELS.items() for x in kv])
     effects = keep(pair_effects(timeline, EFFECTS).withColumn("metric_label", F.try_element_at(label, F.col("metric"))), "pair_effect_tests")
-    lift = keep(driver_lift(timeline, {f: name for f, _, name in DRIVERS}), "event_driver_lift")
+    lift = keep(driver_lift(timeline), "event_driver_lift")
     register = keep(N.register(effects, lift, ahead, diagnostics), "final_hypothesis_register")
     tables = {
         "area_inventory": inventory, "ndvi_clean": clean, "ops_area_daily": ops, "miip_daily": traps, "pairwise_weekly_features": features, "hypothesis_matrix": matrix, "ndvi_phase_timeline": timeline, "ndvi_events": N.events(timeline),

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.operators.lineage import MB
 
 # The tables of each stage of a season's analysis.
 BASE_TABLES = ("area_inventory", "ndvi_clean", "ops_area_daily", "miip_daily", "pairwise_weekly_features", "hypothesis_matrix")
 TIMELINE_TABLES = ("ndvi_phase_timeline", "ndvi_events", "ndvi_pair_diagnostics", "ndvi_outlook", "ops_support_daily", "ops_support_weekly")
 MODEL_TABLES = ("data_audit", "pair_effect_tests", "event_driver_lift", "transition_model_frame", "transition_model_summary", "transition_model_coefficients", "transition_model_predictions", "final_hypothesis_register", "decision_summary")
-REVIEW_TABLES = ("dataset_overview", "numeric_profiles", "ndvi_stats_by_area", "ndvi_outliers", "pair_weekly_gaps", "pair_classic_tests", "weekly_trends", "weekly_correlations")
+REVIEW_TABLES = ("dataset_overview", "numeric_profiles", "ndvi_stats_by_area", "ndvi_outliers", "pair_weekly_gaps", "pair_classic_tests", "ndvi_trend_tests", "weekly_correlations")
 ALL_TABLES = (*BASE_TABLES, *TIMELINE_TABLES, *MODEL_TABLES, *REVIEW_TABLES)
 
 
@@ -32,7 +33,7 @@ def load_tables(spark: SparkSession, folder: str, names: list[str], kind: str =
 
 
 def table_status(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """(name, files, size_mb, refreshed_at) of saved tables; one that is not there is left out."""
+    """(name, files, size_mb (of 2^20 bytes), refreshed_at) of saved tables; one that is not there is left out."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(folder)
     files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -42,7 +43,7 @@ def table_status(spark: SparkSession, folder: str, names: list[str]) -> DataFram
         return spark.createDataFrame([], schema)
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{folder}/{n}" for n in there]).select("path", "length", "modificationTime")
     name = F.element_at(F.split("path", "/"), -2)
-    return rows.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("files"), (F.sum("length") / 1_000_000).alias("size_mb"), F.max("modificationTime").alias("refreshed_at"))
+    return rows.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("files"), (F.sum("length") / MB).alias("size_mb"), F.max("modificationTime").alias("refreshed_at"))
 
 
 def ensure_table(spark: SparkSession, name: str, build: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:

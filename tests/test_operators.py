@@ -182,7 +182,7 @@ def test_lineage(spark):
     assert {r.node: r.layer for r in L.layers(edges, nodes).collect()} == {"a": 0, "x": 0, "b": 1, "c": 2, "d": 3}
     records = spark.createDataFrame([("1", "m", "p | q"), ("2", "p", ""), ("3", "r", "")], "id string, column_name string, tokens string")
     assert {r.id for r in L.expand_tokens(records, records.where("id = '1'"), "id", "column_name", "tokens").collect()} == {"1", "2"}
-    (r,) = L.storage_advice(spark.createDataFrame([("raw", 118_000_000), ("raw", 90_000_000), ("out", 500_000)], "zone string, size_bytes long")).collect()
+    (r,) = L.storage_advice(spark.createDataFrame([("raw", 118 << 20), ("raw", 90 << 20), ("out", 1 << 19)], "zone string, size_bytes long")).collect()
     assert (round(r.raw_mb), r.large_files, r.recommendation) == (208, 2, "hybrid")
 
 
