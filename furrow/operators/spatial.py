@@ -1,15 +1,12 @@
 """Points, boxes and distances: projected bounds, point-in-box with nearest fallback, radius and k-nearest joins.
 
 The box side is a dimension of fields. It is broadcast while it has up to
-MAX_BOXES rows; beyond, points meet boxes through a grid of cells and only the
-points without a box look further.
+MAX_BOXES rows; beyond, points meet boxes and sites through grids of cells
+(furrow.operators.nearest), with the same result.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,7 +43,7 @@ def assign_points(points: DataFrame, boxes: DataFrame, lon: str, lat: str, key:
     """
     n = boxes.count()
     if n > max_boxes:
-        raise ValueError(f"{n} boxes; assign_points_on_grid takes more than {max_boxes}")
+        return _assign_on_grids(points, boxes, lon, lat, key)
     if n == 0:
         return points.withColumns({key: F.lit(None).cast("string"), "assignment_method": F.lit("missing_coordinates")})
     box = F.struct(F.col(key).alias("k"), "min_lon", "min_lat", "max_lon", "max_lat", "center_lon", "center_lat")
@@ -60,17 +57,20 @@ def assign_points(points: DataFrame, boxes: DataFrame, lon: str, lat: str, key:
     return joined.withColumns({key: F.coalesce("__inside", "__near"), "assignment_method": method}).drop("__boxes", "__inside", "__near")
 
 
-def assign_points_on_grid(points: DataFrame, boxes: DataFrame, lon: str, lat: str, cell: float, key: str = "season_id") -> DataFrame:
-    """The containment join for any number of boxes: an equi-join on grid cells of the given degrees; points in no box keep a null key.
+def _assign_on_grids(points: DataFrame, boxes: DataFrame, lon: str, lat: str, key: str) -> DataFrame:
+    """assign_points for any number of boxes."""
+    from furrow.operators.nearest import containing_boxes, nearest_sites, places_of
+    from furrow.sources.scratch import staged
 
-    points need a unique column ``point_id``.
-    """
-    span = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
-    cells = boxes.withColumn("__cx", F.explode(span("min_lon", "max_lon"))).withColumn("__cy", F.explode(span("min_lat", "max_lat")))
-    placed = points.drop(key).withColumns({"__cx": F.floor(F.col(lon) / cell), "__cy": F.floor(F.col(lat) / cell)})
-    hits = placed.join(cells, ["__cx", "__cy"]).where(F.col(lon).between(F.col("min_lon"), F.col("max_lon")) & F.col(lat).between(F.col("min_lat"), F.col("max_lat")))
-    first = hits.groupBy("point_id").agg(F.min(key).alias(key))
-    return points.drop(key).join(first, "point_id", "left")
+    places = places_of(points, lon, lat)
+    inside = staged(containing_boxes(places, boxes, key), "inside")
+    rest = staged(places.join(inside, ["lon", "lat"], "left_anti"), "outside")
+    near = nearest_sites(rest, boxes.select(F.col(key).alias("site"), F.col("center_lon").alias("s_lon"), F.col("center_lat").alias("s_lat")), geodesic=False)
+    found = inside.withColumn("__method", F.lit("bbox_contains")).union(near.select("lon", "lat", F.get("nearest", F.lit(0))["site"], F.lit("nearest_center")))
+    found = found.select(F.col("lon").alias("__x"), F.col("lat").alias("__y"), F.col("box").alias("__box"), "__method")
+    out = points.drop(key).join(found, (F.col(lon).cast("double") == F.col("__x")) & (F.col(lat).cast("double") == F.col("__y")), "left")
+    columns = points.columns if key in points.columns else [*points.columns, key]
+    return out.withColumn(key, F.col("__box")).select(*[F.col(f"`{c}`") for c in columns], F.coalesce("__method", F.lit("missing_coordinates")).alias("assignment_method"))
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = 6371008.8) -> Column:
@@ -131,72 +131,31 @@ def within_radius(left: DataFrame, right: DataFrame, radius_m: float, cell: floa
     return with_geodesic(spread.join(own, ["__cx", "__cy"]).drop("__cx", "__cy"), "lon", "lat", "r_lon", "r_lat").where(F.col("distance_m") <= radius_m)
 
 
-_NUMBERS = re.compile(r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")
-
-
-def wkt_centroid(text: str | None) -> tuple[float, float] | None:
-    """Centroid of POINT, MULTIPOINT (mean), LINESTRING (by length) or (MULTI)POLYGON (by area, holes taken off); else None."""
-    m = re.match(r"\s*(?:SRID=\d+;)?\s*([A-Za-z]+)\s*(?:ZM|Z|M)?\s*(\(.*\))\s*$", text or "", re.S)
-    if not m:
-        return None
-    kind, body = m[1].upper(), m[2]
-    rings = []
-    for part in re.findall(r"\(([^()]*)\)", body):
-        points = [[float(v) for v in _NUMBERS.findall(p)][:2] for p in part.split(",")]
-        if any(len(p) < 2 for p in points):
-            return None
-        rings.append(np.array(points))
-    if not rings:
-        return None
-    if kind in ("POINT", "MULTIPOINT"):
-        x, y = np.concatenate(rings).mean(0)
-        return float(x), float(y)
-    if kind in ("LINESTRING", "MULTILINESTRING"):
-        middle, weight = np.concatenate([(r[1:] + r[:-1]) / 2 for r in rings]), np.concatenate([np.hypot(*np.diff(r, axis=0).T) for r in rings])
-    elif kind in ("POLYGON", "MULTIPOLYGON"):
-        middle, weight, depth_first = [], [], re.split(r"\)\s*\)\s*,", body) if kind == "MULTIPOLYGON" else [body]
-        at = 0
-        for polygon in depth_first:
-            for i, _ in enumerate(re.findall(r"\(([^()]*)\)", polygon + ")")):
-                r = rings[at] - rings[at][0]
-                cross = r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]
-                area = cross.sum() / 2
-                if area:
-                    middle.append(((r[:-1] + r[1:]) * cross[:, None]).sum(0) / (6 * area) + rings[at][0])
-                    weight.append(abs(area) * (1 if i == 0 else -1))
-                at += 1
-        middle, weight = np.array(middle).reshape(-1, 2), np.array(weight)
-    else:
-        return None
-    if not len(weight) or weight.sum() == 0:
-        x, y = np.concatenate(rings).mean(0)
-    else:
-        x, y = (middle * weight[:, None]).sum(0) / weight.sum()
-    return float(x), float(y)
-
-
-def with_centroid(df: DataFrame, wkt: str = "geometry") -> DataFrame:
-    """df with centroid_lon and centroid_lat of its WKT column; null for null, bad or unknown geometry."""
-
-    @F.pandas_udf("lon double, lat double")
-    def centroids(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in texts:
-            yield pd.DataFrame([wkt_centroid(t) or (None, None) for t in s], columns=["lon", "lat"], dtype="float64")
-
-    return df.withColumn("__c", centroids(wkt)).withColumns({"centroid_lon": F.nullif(F.col("__c.lon"), F.lit(float("nan"))), "centroid_lat": F.nullif(F.col("__c.lat"), F.lit(float("nan")))}).drop("__c")
-
-
 def k_nearest(points: DataFrame, sites: DataFrame, k: int = 3, max_sites: int = MAX_BOXES) -> DataFrame:
-    """points (lon, lat) with nearest: their k nearest sites (site, distance_m, plot), near to far, ties by site.
+    """points (lon, lat) with nearest: their k nearest sites (distance_m, site, plot) on the ellipsoid, near to far, ties by site.
 
-    sites (site, s_lon, s_lat, plot) is a dimension whose size is checked.
+    sites: site, s_lon, s_lat, plot. Up to max_sites are broadcast: those that
+    the sphere puts within 1.2 percent of the k-th are measured on the ellipsoid,
+    whose ways differ from the sphere's by less. More are found through cells.
     """
-    if (n := sites.count()) > max_sites:
-        raise ValueError(f"{n} sites; cut them by region first")
-    held = F.struct("site", "s_lon", "s_lat", "plot")
-    dimension = sites.agg(F.sort_array(F.collect_list(held)).alias("__sites"))  # one row of max_sites sites at most
-    far = F.transform("__sites", lambda s: F.struct(haversine_m(F.col("lon"), F.col("lat"), s["s_lon"], s["s_lat"]).alias("distance_m"), s["site"].alias("site"), s["plot"].alias("plot")))
-    return points.join(F.broadcast(dimension)).withColumn("nearest", F.slice(F.sort_array(far), 1, k)).drop("__sites")
+    from furrow.operators.nearest import nearest_sites, places_of
+
+    places = places_of(points, "lon", "lat")
+    named = sites.select(F.struct("site", "plot").alias("site"), "s_lon", "s_lat").where("s_lon is not null and s_lat is not null")
+    if named.count() > max_sites:
+        found = nearest_sites(places, named, k)
+    else:
+        dimension = named.agg(F.collect_list(F.struct("site", "s_lon", "s_lat")).alias("__sites"))  # one row of max_sites sites at most
+        far = F.transform("__sites", lambda s: F.struct(haversine_m(F.col("lon"), F.col("lat"), s["s_lon"], s["s_lat"]).alias("d"), s["site"].alias("site"), s["s_lon"].alias("s_lon"), s["s_lat"].alias("s_lat")))
+        held = places.join(F.broadcast(dimension)).select("lon", "lat", F.sort_array(far).alias("far"))
+        kth = F.coalesce(F.get("far", F.lit(k - 1))["d"], F.lit(float("inf")))
+        short = held.select("lon", "lat", F.explode(F.filter("far", lambda s: s["d"] <= kth * 1.012)).alias("s")).select("lon", "lat", "s.site", "s.s_lon", "s.s_lat")
+        measured = with_geodesic(short, "lon", "lat", "s_lon", "s_lat", "distance")
+        found = measured.groupBy("lon", "lat").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "site"))), 1, k).alias("nearest"))
+    flat = F.transform("nearest", lambda s: F.struct(s["distance"].alias("distance_m"), s["site"]["site"].alias("site"), s["site"]["plot"].alias("plot")))
+    found = found.select(F.col("lon").alias("__x"), F.col("lat").alias("__y"), flat.alias("nearest"))
+    out = points.join(found, (F.col("lon") == F.col("__x")) & (F.col("lat") == F.col("__y")), "left").drop("__x", "__y")
+    return out.withColumn("nearest", F.coalesce("nearest", F.array().cast(dict(found.dtypes)["nearest"])))
 
 
 def preferred_site(nearest: DataFrame, within: float = 1.25) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from furrow.functions.exprs import distinct_joined
 from furrow.operators.daily import Layer, mean, p90, rows
 from furrow.operators.order import quantile_row
-from furrow.operators.spatial import k_nearest, preferred_site, with_geodesic, within_radius
+from furrow.operators.spatial import MAX_BOXES, assign_points, k_nearest, preferred_site, within_radius
 from furrow.operators.trial import in_window, latest_readings
 from furrow.sources.scratch import staged
 
@@ -106,21 +106,20 @@ def nearby_traps(seasons: DataFrame, traps: DataFrame, readings: DataFrame, radi
     return seasons.select("season_id").join(sums, "season_id", "left").withColumns({**zero, "primary_pests": F.coalesce("primary_pests", F.lit(""))})
 
 
-def assign_to_polygons(rows: DataFrame, boxes: DataFrame, key: str = "season_id") -> DataFrame:
+def assign_to_polygons(rows: DataFrame, boxes: DataFrame, key: str = "season_id", max_boxes: int = MAX_BOXES) -> DataFrame:
     """rows with the first field whose box holds or touches their centroid (contains), else the nearest centre by geodesic metres (nearest_bbox).
 
     A row without centroid has none (missing_geometry). The boxes are axis-aligned
-    in degrees too, so their closed bounds are the polygons. Fields are a
-    dimension: every row that no box holds is measured against each of them.
+    in degrees too, so their closed bounds are the polygons.
     """
-    from furrow.operators.spatial import assign_points
-
-    first = assign_points(rows.withColumn("__row", F.monotonically_increasing_id()), boxes, "centroid_lon", "centroid_lat", key)
-    far = first.where("assignment_method = 'nearest_center'").select("__row", "centroid_lon", "centroid_lat")
-    pairs = with_geodesic(far.join(boxes.select(F.col(key).alias("__k"), "center_lon", "center_lat").hint("broadcast")), "centroid_lon", "centroid_lat", "center_lon", "center_lat")  # assign_points has checked their number
-    near = pairs.groupBy("__row").agg(F.min(F.struct("distance_m", "__k")).alias("n")).select("__row", F.col("n.__k").alias("__near"))
-    method = F.when(F.col("assignment_method") == "bbox_contains", "contains").when(F.col("assignment_method") == "nearest_center", "nearest_bbox").otherwise("missing_geometry")
-    return first.join(near, "__row", "left").withColumns({key: F.coalesce("__near", key), "assignment_method": method}).drop("__row", "__near")
+    first = assign_points(rows.drop(key), boxes, "centroid_lon", "centroid_lat", key, max_boxes)
+    far = first.where("assignment_method = 'nearest_center'").select(F.col("centroid_lon").alias("lon"), F.col("centroid_lat").alias("lat")).distinct()
+    centres = boxes.select(F.col(key).alias("site"), F.col("center_lon").alias("s_lon"), F.col("center_lat").alias("s_lat"), F.lit(None).cast("string").alias("plot"))
+    near = k_nearest(far, centres, 1, max_boxes).select(F.col("lon").alias("__x"), F.col("lat").alias("__y"), F.get("nearest", F.lit(0))["site"].alias("__near"))
+    is_far = F.col("assignment_method") == "nearest_center"
+    method = F.when(F.col("assignment_method") == "bbox_contains", "contains").when(is_far, "nearest_bbox").otherwise("missing_geometry")
+    joined = first.join(near, is_far & (F.col("centroid_lon") == F.col("__x")) & (F.col("centroid_lat") == F.col("__y")), "left")
+    return joined.withColumns({key: F.coalesce("__near", key), "assignment_method": method}).drop("__x", "__y", "__near")
 
 
 def scene_evidence(scenes: DataFrame) -> DataFrame:

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions import exprs as X
+from furrow.functions import wkt as WKT
 from furrow.operators import daily as D
 from furrow.operators import evidence as EV
 from furrow.operators import lineage as L
+from furrow.operators import nearest as N
 from furrow.operators import pairs as P
 from furrow.operators import profile as PR
 from furrow.operators import quality as Q
@@ -308,10 +310,53 @@ def points_to_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.assign_points(points, boxes(spark, sf_dir), "lon", "lat").select("c_custkey", "season_id", "assignment_method")
 
 
-@query(f"""WITH b AS ({BOXES}) SELECT c_custkey AS point_id, min(season_id) AS season_id FROM customer LEFT JOIN b ON c_custkey % 1100 BETWEEN min_lon AND max_lon AND c_acctbal BETWEEN min_lat AND max_lat GROUP BY c_custkey""")
+#: A box per part, of its size by its retail price, in a plane of 1100 by 11000.
+PART_BOXES = """SELECT p_partkey AS season_id, lon AS min_lon, lat AS min_lat, lon + size AS max_lon, lat + size AS max_lat, lon + size / 2 AS center_lon, lat + size / 2 AS center_lat
+  FROM (SELECT p_partkey, CAST((p_partkey * 7919) % 1103 AS DOUBLE) AS lon, CAST((p_partkey * 104729) % 11003 - 1000 AS DOUBLE) AS lat, CAST(p_size AS DOUBLE) AS size FROM part)"""
+
+
+def part_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    lon, lat = ((k * 7919) % 1103).cast("double"), ((k * 104729) % 11003 - 1000).cast("double")
+    return read(spark, sf_dir, "part").select(k.alias("season_id"), lon.alias("min_lon"), lat.alias("min_lat"), (lon + size).alias("max_lon"), (lat + size).alias("max_lat"), (lon + size / 2).alias("center_lon"), (lat + size / 2).alias("center_lat"))
+
+
+@query(f"""WITH b AS ({PART_BOXES}), p AS (SELECT c_custkey, CAST(c_custkey % 1100 AS DOUBLE) AS lon, CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE c_acctbal END AS lat FROM customer), m AS (
+  SELECT c_custkey, min(CASE WHEN lon BETWEEN min_lon AND max_lon AND lat BETWEEN min_lat AND max_lat THEN season_id END) AS inside, arg_min(season_id, {{'d': (lon - center_lon) * (lon - center_lon) + (lat - center_lat) * (lat - center_lat), 'k': season_id}}) AS near, any_value(lat) AS lat FROM p, b GROUP BY c_custkey
+) SELECT c_custkey, CASE WHEN lat IS NOT NULL THEN coalesce(inside, near) END AS season_id, CASE WHEN lat IS NULL THEN 'missing_coordinates' WHEN inside IS NOT NULL THEN 'bbox_contains' ELSE 'nearest_center' END AS assignment_method FROM m""")
 def points_to_boxes_on_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), (F.col("c_custkey") % 1100).cast("double").alias("lon"), F.col("c_acctbal").alias("lat"))
-    return S.assign_points_on_grid(points, boxes(spark, sf_dir), "lon", "lat", 100.0).select("point_id", "season_id")
+    """The way for any number of boxes: a box per part, no broadcast, no pair of all points and boxes."""
+    points = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 1100).cast("double").alias("lon"), F.when(F.col("c_custkey") % 97 != 0, F.col("c_acctbal")).alias("lat"))
+    return S.assign_points(points, part_boxes(spark, sf_dir), "lon", "lat", max_boxes=0).select("c_custkey", "season_id", "assignment_method")
+
+
+@query(f"""WITH b AS ({PART_BOXES}), n AS (
+  SELECT c_custkey, season_id, row_number() OVER (PARTITION BY c_custkey ORDER BY ((c_custkey % 1100) - center_lon) ** 2 + (c_acctbal - center_lat) ** 2, season_id) AS place FROM customer, b
+) SELECT c_custkey, CAST(place AS INTEGER) AS place, season_id AS site FROM n WHERE place <= 3""")
+def three_nearest_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 1100).cast("double").alias("lon"), F.col("c_acctbal").alias("lat"))
+    sites = part_boxes(spark, sf_dir).select(F.col("season_id").alias("site"), F.col("center_lon").alias("s_lon"), F.col("center_lat").alias("s_lat"))
+    near = N.nearest_sites(N.places_of(points, "lon", "lat"), sites, 3, geodesic=False)
+    out = points.join(near, ["lon", "lat"]).select("c_custkey", F.posexplode("nearest").alias("at", "n"))
+    return out.select("c_custkey", (F.col("at") + 1).alias("place"), "n.site")
+
+
+@query("""WITH p AS (SELECT c_custkey, CAST(c_custkey % 360 - 180 AS DOUBLE) AS x, CAST(c_custkey % 170 - 85 AS DOUBLE) AS y, c_custkey % 8 AS k FROM customer)
+SELECT c_custkey, round(CASE k WHEN 0 THEN x WHEN 1 THEN (24 * (x + 2) - 2 * (x + 1.5)) / 22 WHEN 2 THEN (4 * (x + 1) + 8 * (x + 6)) / 12 WHEN 3 THEN (3 * (x + 1.5) + 4 * (x + 3)) / 7 WHEN 4 THEN x + 1 WHEN 5 THEN x + 2 END, 8) AS lon,
+  round(CASE k WHEN 0 THEN y WHEN 1 THEN (24 * (y + 3) - 2 * (y + 2)) / 22 WHEN 2 THEN (4 * (y + 1) + 8 * (y + 2)) / 12 WHEN 3 THEN (3 * y + 4 * (y + 2)) / 7 WHEN 4 THEN y WHEN 5 THEN y END, 8) AS lat FROM p""")
+def wkt_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point, a polygon with a hole, two polygons, a line, two points, a flat polygon, an empty geometry and a bad one."""
+    x, y = F.col("c_custkey") % 360 - 180, F.col("c_custkey") % 170 - 85
+    shapes = [
+        "POINT ({0} {1})", "POLYGON (({0} {1}, {4} {1}, {4} {6}, {0} {6}, {0} {1}), ({1x} {1y}, {2} {1y}, {2} {3y}, {1x} {3y}, {1x} {1y}))", "SRID=4326;MULTIPOLYGON Z ((({0} {1} 5,{2} {1} 5,{2} {2y} 5,{0} {2y} 5,{0} {1} 5)),(({5} {1} 5,{7} {1} 5,{7} {4y} 5,{5} {4y} 5,{5} {1} 5)))",
+        "LINESTRING ({0} {1}, {3} {1}, {3} {4y})", "MULTIPOINT (({0} {1}), ({2} {1}))", "POLYGON (({0} {1}, {4} {1}, {0} {1}, {4} {1}))", "POINT EMPTY", "POLYGON ((a b, c d))",
+    ]
+    holes = {"{0}": x, "{1x}": x + 1, "{2}": x + 2, "{3}": x + 3, "{4}": x + 4, "{5}": x + 5, "{7}": x + 7, "{1}": y, "{1y}": y + 1, "{2y}": y + 2, "{3y}": y + 3, "{4y}": y + 4, "{6}": y + 6}
+    text = F.element_at(F.array(*map(F.lit, shapes)), (F.col("c_custkey") % 8 + 1).cast("int"))
+    for hole, value in holes.items():
+        text = F.replace(text, F.lit(hole), value.cast("string"))
+    out = WKT.with_centroid(read(spark, sf_dir, "customer").select("c_custkey", text.alias("geometry")))
+    return out.select("c_custkey", F.round("centroid_lon", 8).alias("lon"), F.round("centroid_lat", 8).alias("lat"))
 
 
 @query("""SELECT c_custkey, round(degrees(c_acctbal * 100 / 6378137.0::DOUBLE), 8) AS lon, round(degrees(2 * atan(exp(c_acctbal * 100 / 6378137.0::DOUBLE)) - pi() / 2), 8) AS lat FROM customer""")

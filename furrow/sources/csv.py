@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions.exprs import filename_date, image_name, parse_number, strip_zone
+from furrow.functions.wkt import with_centroid
 from furrow.operators.windows import first_rows
 
 # Where each source lies, its separator and whether it must be there.
@@ -183,8 +184,6 @@ def load_weather(spark: SparkSession, path: str) -> DataFrame:
 
 def load_layer(spark: SparkSession, path: str, numeric: list[str]) -> DataFrame:
     """A telemetry layer: numbers, timestamp and day, and the centroid of its geometry."""
-    from furrow.operators.spatial import with_centroid
-
     df = numbers(read_text_columns(spark, path), numeric)
     df = df.withColumn("timestamp", timestamp("`Date Time`", "dd/MM/yyyy HH:mm:ss")).withColumn("date", F.to_date("timestamp"))
     return with_centroid(df) if "geometry" in df.columns else df

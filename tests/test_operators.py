@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from furrow.functions.wkt import with_centroid
 from furrow.operators import daily as D
 from furrow.operators import lineage as L
 from furrow.operators import pairs as P
@@ -113,8 +114,7 @@ def test_points(spark):
     points = spark.createDataFrame([(1, 1.5, 1.5), (2, 0.5, 0.5), (3, 9.0, 9.0), (4, None, 1.0)], "point_id long, lon double, lat double")
     out = {r.point_id: (r.season_id, r.assignment_method) for r in S.assign_points(points, boxes, "lon", "lat").collect()}
     assert out == {1: ("a", "bbox_contains"), 2: ("b", "bbox_contains"), 3: ("a", "nearest_center"), 4: (None, "missing_coordinates")}
-    grid = {r.point_id: r.season_id for r in S.assign_points_on_grid(points, boxes, "lon", "lat", 0.7).collect()}
-    assert grid == {1: "a", 2: "b", 3: None, 4: None}
+    assert {r.point_id: (r.season_id, r.assignment_method) for r in S.assign_points(points, boxes, "lon", "lat", max_boxes=0).collect()} == out
 
 
 def test_distances_and_centroids(spark):
@@ -125,12 +125,7 @@ def test_distances_and_centroids(spark):
     left = spark.createDataFrame([(1, -50.0, -25.0)], "i long, lon double, lat double")
     right = spark.createDataFrame([(1, -50.0, -25.003), (2, -50.0, -25.004), (3, -49.9967, -25.0)], "j long, r_lon double, r_lat double")
     assert {r.j for r in S.within_radius(left, right, 350.0).collect()} == {1, 3}
-    assert S.wkt_centroid("POINT (1 2)") == (1, 2)
-    assert S.wkt_centroid("LINESTRING (0 0, 4 0, 4 0)") == (2, 0)
-    assert S.wkt_centroid("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (0 0, 2 0, 2 4, 0 4, 0 0))") == pytest.approx((3, 2))
-    assert S.wkt_centroid("MULTIPOLYGON (((0 0, 2 0, 2 2, 0 2, 0 0)), ((4 0, 6 0, 6 2, 4 2, 4 0)))") == pytest.approx((3, 1))
-    assert S.wkt_centroid("junk") is None and S.wkt_centroid(None) is None
-    got = S.with_centroid(spark.createDataFrame([("POINT (1 2)",), (None,), ("x",)], "geometry string")).select("centroid_lon").collect()
+    got = with_centroid(spark.createDataFrame([("POINT (1 2)",), (None,), ("x",)], "geometry string")).select("centroid_lon").collect()
     assert [r[0] for r in got] == [1.0, None, None]
 
 
