@@ -21,6 +21,7 @@ from furrow.operators import nearest as N
 from furrow.operators import pairs as P
 from furrow.operators import profile as PR
 from furrow.operators import quality as Q
+from furrow.operators import ridge as R
 from furrow.operators import spatial as S
 from furrow.operators import timeline as T
 from furrow.operators import trial as TR
@@ -212,10 +213,42 @@ def next_week_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def transition_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge with leave-one-season-out validation: solved from Gram matrices, so not in SQL."""
-    from furrow.operators.ridge import fit
+    """Ridge with leave-one-season-out validation on a category too: more normal equations than SQL can solve; see transition_predictions."""
+    model = R.fit(transitions(spark, sf_dir), ["ndvi_mean_week", "soil_pct_week", "quantity_week"], [], ["treatment"], "target")
+    return model.summary
 
-    return fit(transitions(spark, sf_dir), ["ndvi_mean_week", "soil_pct_week", "quantity_week"], [], ["treatment"], "target", "season_id")[2]
+
+#: Normal equations of two standardised numbers and an intercept, over all rows (fold -1) and without each season, by Cramer's rule.
+TWO_FEATURES = f"""WITH {PANEL}, n AS (SELECT *, lead(ndvi_mean_week) OVER (PARTITION BY season_id ORDER BY week_start) - ndvi_mean_week AS y FROM panel), m AS (
+  SELECT avg(soil_pct_week) AS ma, stddev_pop(soil_pct_week) AS sa, avg(quantity_week) AS mb, stddev_pop(quantity_week) AS sb FROM n WHERE y IS NOT NULL
+), d AS (SELECT season_id, week_start, y, (soil_pct_week - ma) / sa AS a, (quantity_week - mb) / sb AS b, ma, sa, mb, sb FROM n, m WHERE y IS NOT NULL),
+f AS (SELECT -1 AS fold UNION ALL SELECT DISTINCT season_id FROM d), g AS (
+  SELECT fold, count(*) AS k, sum(a) AS ka, sum(b) AS kb, sum(a * a) + 1 AS aa, sum(a * b) AS ab, sum(b * b) + 1 AS bb, sum(y) AS ky, sum(a * y) AS ay, sum(b * y) AS yb FROM f JOIN d ON season_id <> fold GROUP BY fold
+), e AS (SELECT *, k * (aa * bb - ab * ab) - ka * (ka * bb - ab * kb) + kb * (ka * ab - aa * kb) AS det FROM g), w AS (
+  SELECT fold, (ky * (aa * bb - ab * ab) - ka * (ay * bb - ab * yb) + kb * (ay * ab - aa * yb)) / det AS w0, (k * (ay * bb - ab * yb) - ky * (ka * bb - ab * kb) + kb * (ka * yb - ay * kb)) / det AS wa,
+    (k * (aa * yb - ay * ab) - ka * (ka * yb - ay * kb) + ky * (ka * ab - aa * kb)) / det AS wb FROM e
+), p AS (SELECT d.*, all_.w0 + all_.wa * a + all_.wb * b AS predicted, own.w0 + own.wa * a + own.wb * b AS loo FROM d JOIN w all_ ON all_.fold = -1 JOIN w own ON own.fold = d.season_id)"""
+
+
+def two_features(spark: SparkSession, sf_dir: str) -> R.Model:
+    return R.fit(transitions(spark, sf_dir), ["soil_pct_week", "quantity_week"], [], [], "target")
+
+
+@query(f"""{TWO_FEATURES} SELECT season_id, week_start, round(predicted, 9) AS predicted, round(loo, 9) AS loo_predicted, round(y - predicted, 9) AS residual, round(y - loo, 9) AS loo_residual FROM p""")
+def transition_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(two_features(spark, sf_dir).predictions.select("season_id", "week_start", "predicted", "loo_predicted", "residual", "loo_residual"), 9)
+
+
+@query(f"""{TWO_FEATURES}, c AS (SELECT unnest(['soil_pct_week', 'quantity_week']) AS feature, unnest([wa, wb]) AS c, unnest([ma, mb]) AS m, unnest([sa, sb]) AS s FROM w, m WHERE fold = -1)
+SELECT feature, round(c, 9) AS coefficient, round(abs(c), 9) AS abs_coefficient, CASE WHEN c > 0 THEN 'aumenta_ndvi_futuro' ELSE 'pressiona_ndvi_futuro' END AS direction, round(m, 9) AS feature_mean, round(s, 9) AS feature_std FROM c""")
+def transition_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(two_features(spark, sf_dir).coefficients, 9)
+
+
+@query(f"""{TWO_FEATURES} SELECT count(*) AS observations, CAST(2 AS BIGINT) AS features, 1.0::DOUBLE AS alpha, round(avg(abs(y - predicted)), 9) AS in_sample_mae, round(sqrt(avg((y - predicted) ** 2)), 9) AS in_sample_rmse, round(1 - avg((y - predicted) ** 2) / var_pop(y), 9) AS in_sample_r2,
+  round(avg(abs(y - loo)), 9) AS loo_mae, round(sqrt(avg((y - loo) ** 2)), 9) AS loo_rmse, round(1 - avg((y - loo) ** 2) / var_pop(y), 9) AS loo_r2 FROM p""")
+def transition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(two_features(spark, sf_dir).summary.drop("model_choice", "model_note"), 9)
 
 
 EVENT_DAYS = "SELECT user_id, CAST(ts AS DATE) AS date, event_type, value, props FROM events"

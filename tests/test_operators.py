@@ -134,19 +134,36 @@ def test_ridge_matches_numpy(spark):
     rows = [(f"s{i % 4}", float(a), float(b), bool(c), "xy"[i % 2]) for i, (a, b, c) in enumerate(zip(rng.normal(size=40), rng.normal(size=40), rng.random(40) > 0.5))]
     rows = [(*r, 2 * r[1] - r[2] + 0.1 * i) for i, r in enumerate(rows)]
     df = spark.createDataFrame(rows, "season string, a double, b double, f boolean, c string, y double")
-    out, coefficients, scores = R.fit(df, ["a", "b"], ["f"], ["c"], "y", "season")
+    summary, coefficients, out = R.fit(df, ["a", "b"], ["f"], ["c"], "y", "season")
     x = np.array([[r[1], r[2], float(r[3]), float(r[4] == "x"), float(r[4] == "y")] for r in rows])
     x = (x - x.mean(0)) / x.std(0)
     y = np.array([r[5] for r in rows])
     one = np.column_stack((np.ones(40), x))
     w = np.linalg.pinv(one.T @ one + np.diag([0, 1, 1, 1, 1, 1])) @ one.T @ y
     assert np.allclose(sorted(r.predicted for r in out.collect()), np.sort(one @ w))
-    assert dict(coefficients)["a"] == pytest.approx(w[1])
-    loo = {r.y: r.predicted_loo for r in out.collect()}
+    table = {r.feature: r for r in coefficients.collect()}
+    assert table["a"].coefficient == pytest.approx(w[1]) and table["a"].direction == "aumenta_ndvi_futuro" and table["b"].direction == "pressiona_ndvi_futuro"
+    assert table["c_x"].feature_mean == 0.5 and [r.abs_coefficient for r in coefficients.collect()] == pytest.approx(sorted((abs(x) for x in w[1:]), reverse=True))
+    loo = {r.y: r.loo_predicted for r in out.collect()}
     keep = np.array([r[0] != "s0" for r in rows])
     w0 = np.linalg.pinv(one[keep].T @ one[keep] + np.diag([0, 1, 1, 1, 1, 1])) @ one[keep].T @ y[keep]
     assert loo[rows[0][5]] == pytest.approx((one @ w0)[0])
-    assert {r.kind for r in scores.collect()} == {"in_sample", "leave_one_out"}
+    (s,) = summary.collect()
+    assert (s.observations, s.features) == (40, 5) and s.in_sample_mae == pytest.approx(np.abs(y - one @ w).mean()) and s.loo_mae > s.in_sample_mae
+    assert s.in_sample_r2 == pytest.approx(1 - ((y - one @ w) ** 2).mean() / y.var())
+
+
+def test_ridge_of_few_rows_null_groups_and_nothing(spark):
+    rows = [("s", 1.0, None), ("s", 2.0, 1.0), (None, 3.0, 2.0), (None, None, 4.0), ("t", None, 3.0)]
+    df = spark.createDataFrame(rows, "season_id string, a double, target double")
+    _, _, out = R.fit(df.withColumn("x", F.lit("clash")), ["a"], [], [], "target")
+    assert sorted((r.target, r.loo_predicted is None) for r in out.collect()) == [(1.0, False), (2.0, False), (3.0, False), (4.0, False)]
+    _, _, out = R.fit(df.where("season_id = 's'"), ["a"], [], [], "target")
+    assert [r.loo_predicted for r in out.collect()] == [None]
+    model = R.fit(df.limit(0), ["a"], [], ["season_id"], "target")
+    assert model.predictions.count() == 0 and model.summary.first().observations == 0 and model.coefficients.count() == 1
+    frame = R.transition_frame(spark.createDataFrame([("s", week(0), 0.5, True, "tecnologia_4_0"), ("s", week(1), 0.4, None, "tecnologia_4_0")], "season_id string, week_start date, ndvi_mean_week double, low_vigor_flag boolean, treatment string"))
+    assert len(frame.columns) == 6 + 1 + 16 + 12 and [(round(r.target_next_ndvi_delta, 6), r.low_vigor_flag, r.phase) for r in frame.collect()] == [(-0.1, 1.0, None)]
 
 
 def test_quality_rules(spark):
