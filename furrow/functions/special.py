@@ -116,13 +116,25 @@ def wilcoxon_p(values: np.ndarray) -> float | None:
     return min(1.0, 2 * _NORMAL.cdf((low - n * (n + 1) / 4) / sd))
 
 
+#: Numbers drawn at a time, unless one sample has more.
+BLOCK = 1 << 16
+
+
+def _blocks(draws: int, n: int) -> list[int]:
+    """Samples of n numbers in blocks. One seeded stream gives the same numbers block by block as at once."""
+    rows = max(1, BLOCK // max(1, n))
+    return [min(rows, draws - a) for a in range(0, draws, rows)]
+
+
 def bootstrap_ci(values: np.ndarray, draws: int = 2000, seed: int = 42) -> tuple[float, float]:
-    """Percentile interval (2.5, 97.5) of resampled means."""
-    means = np.random.default_rng(seed).choice(values, size=(draws, len(values)), replace=True).mean(axis=1)
+    """Percentile interval (2.5, 97.5) of resampled means; memory for a block of samples and the means."""
+    stream = np.random.default_rng(seed)
+    means = np.concatenate([stream.choice(values, size=(rows, len(values)), replace=True).mean(axis=1) for rows in _blocks(draws, len(values))])
     return tuple(float(q) for q in np.quantile(means, [0.025, 0.975]))
 
 
 def sign_flip_p(values: np.ndarray, draws: int = 4000, seed: int = 42) -> float:
-    """Share of random sign changes whose mean is at least as far from 0."""
-    signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(draws, len(values)))
-    return float((np.abs((signs * values).mean(axis=1)) >= abs(values.mean())).mean())
+    """Share of random sign changes whose mean is at least as far from 0; memory for a block of samples."""
+    stream, least = np.random.default_rng(seed), abs(values.mean())
+    far = [(np.abs((stream.choice([-1.0, 1.0], size=(rows, len(values))) * values).mean(axis=1)) >= least).sum() for rows in _blocks(draws, len(values))]
+    return float(sum(far) / draws)

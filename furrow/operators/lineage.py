@@ -32,6 +32,33 @@ def flow(edges: DataFrame, starts: DataFrame, depth: int = 6, fan_out: int = 14,
     return out.groupBy("src", "dst").agg(F.min("depth").alias("depth"))
 
 
+def budgeted_flow(edges: DataFrame, start: str, depth: int = 6, fan_out: int = 14, total: int = 96, order: str = "dst") -> DataFrame:
+    """(node, direction, depth, place): the flow into and then out of start, total nodes at most, itself (depth 0, place 0) included.
+
+    Both directions share the budget. Each step goes on from the nodes that the
+    step before it found new, in their order; of each the first fan_out edges
+    count, by the column order (dst: by the neighbour's name), and a neighbour is
+    reached at its first place in that. What is on the driver is the result,
+    total rows at most. Null ends are no edges.
+    """
+    spark = edges.sparkSession
+    kind = dict(edges.dtypes)["src"]
+    found = {start: (start, "start", 0, 0)}
+    for direction, here, there in (("up", "dst", "src"), ("down", "src", "dst")):
+        front = [start]
+        for step in range(1, depth + 1):
+            if not front or len(found) >= total:
+                break
+            places = F.broadcast(spark.createDataFrame(list(zip(front, range(len(front)))), f"node {kind}, pos int"))
+            seen = F.broadcast(spark.createDataFrame([(n,) for n in found], f"next {kind}"))
+            hits = edges.where("src is not null and dst is not null").select(F.col(here).alias("node"), F.col(there).alias("next"), F.col(there if order == "dst" else order).alias("by")).join(places, "node")
+            some = hits.withColumn("n", F.row_number().over(Window.partitionBy("pos").orderBy("by", "next"))).where(F.col("n") <= fan_out)
+            fresh = some.join(seen, "next", "left_anti").groupBy("next").agg(F.min(F.struct("pos", "n")).alias("at"))
+            front = [r["next"] for r in fresh.orderBy("at").limit(total - len(found)).collect()]
+            found |= {n: (n, direction, step, i) for i, n in enumerate(front)}
+    return spark.createDataFrame(list(found.values()), f"node {kind}, direction string, depth int, place int")
+
+
 def layers(edges: DataFrame, nodes: DataFrame, passes: int = 5, cap: int = 11) -> DataFrame:
     """(node, layer): a node lies one layer after its latest source; so many relaxations, layers up to cap."""
     at = nodes.select("node").distinct().withColumn("layer", F.lit(0))

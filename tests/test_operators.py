@@ -172,7 +172,7 @@ def test_quality_rules(spark):
     assert got == {"ndvi_b1_valid_pixels_zero": 2, "ndvi_b1_mean_outside_range": 1, "ndvi_b1_pct_solo_outside_pct": 1, "ndvi_b1_pct_veg_densa_outside_pct": 0, "ndvi_soil_dense_veg_pct_sum_gt_100": 1}
     assert Q.duplicate_keys(df, ["season_id", "filename"]).count() == 2
     assert [r.column_name for r in Q.empty_columns(df.withColumn("e", F.lit(None).cast("int")), "t").collect()] == ["e"]
-    assert {r.rule_id: r.affected_rows for r in Q.mostly_zero(df.withColumn("z", F.lit(0.0)), ["z", "b1_mean"], "t").collect()} == {"ops_z_mostly_zero": 3, "ops_b1_mean_mostly_zero": 0}
+    assert {r.rule_id: r.affected_rows for r in Q.run_rules(df.withColumn("z", F.lit(0.0)), [Q.mostly_zero("z"), Q.mostly_zero("b1_mean")], "t").collect()} == {"ops_z_mostly_zero": 3, "ops_b1_mean_mostly_zero": 0}
 
 
 def test_profiles_and_pages(spark):

@@ -73,7 +73,7 @@ def test_lineage_index(spark):
     raw = spark.createDataFrame([("scenes", "b1_mean"), ("scenes", "crs")], "table string, column string")
     index = I.lineage_index(spark, raw, features, drivers, {"weekly": ["ndvi_mean_week"]}, {"a.csv": ["gap_ndvi_mean_week_4_0_minus_convencional", "low_vigor_rate", "other"]})
     status = {(r["layer"], r["column"]): r.mapping_status for r in index.collect()}
-    assert len(status) == 9 and status["csv_final", "low_vigor_rate"] == "mapeado_por_feature" and status["csv_final", "other"] == "mapeamento_parcial"
+    assert len(status) == 9 and status["csv_final", "low_vigor_rate"] == "mapeado_por_feature" and status["csv_final", "other"] == "parcial_por_csv_exportado" and status["bruto", "crs"] == "parcial_por_tabela"
     expected = spark.createDataFrame([("a.csv", c) for c in ("low_vigor_rate", "other", "lost")], "csv string, column_name string")
     coverage = I.csv_coverage(index, expected)
     (c,) = coverage.collect()
@@ -89,8 +89,16 @@ def test_lineage_index(spark):
     assert (told.feature_definition, told.target_definition) == ("baixo", "media")
     days = spark.createDataFrame([("s", D(2025, 1, 6))], "season_id string, week_start date")
     images = spark.createDataFrame([("s", D(2025, 1, 9), "n.jpg"), ("s", D(2025, 2, 9), "f.jpg")], "season_id string, date date, path string")
-    (a,) = I.audit_index(days, days.withColumn("v", F.lit(1)), images).collect()
-    assert a.nearest_path == "n.jpg" and len(a.intermediate_rows) == 1
+    line = spark.createDataFrame([("s", "p", D(2025, 1, 6), True, False, 2), ("t", "p", None, None, True, 0)], "season_id string, comparison_pair string, week_start date, a_flag boolean, b_flag boolean, risk_flag_count int")
+    many = days.withColumn("v", F.explode(F.sequence(F.lit(1), F.lit(30))))
+    pairs = spark.createDataFrame([("p", D(2025, 1, 6), float(i)) for i in range(9)], "comparison_pair string, week_start date, gap double")
+    built = I.audit_index(line, days, pairs, many, images)
+    assert "WindowGroupLimit" in I.first_rows_json(many, ["season_id"], 8, "r")._jdf.queryExecution().toString()
+    out = {r.season_id: r for r in built.collect()}
+    a = out["s"]
+    assert (a.audit_id, a.nearest_path, a.active_flags, len(a.event_rows), len(a.raw_rows), len(a.pair_rows)) == ("audit:s:2025-01-06", "n.jpg", ["a_flag", "risk_flag_count"], 1, 8, 4)
+    texts = sorted(r[0] for r in many.select(F.to_json(F.struct("season_id", "week_start", "v", F.col("week_start").alias("__day")))).collect())
+    assert a.raw_rows == texts[:8] and (out["t"].active_flags, out["t"].raw_rows) == (["b_flag"], [])
     assert I.entity_index({"area": (days, "season_id", "season_id")}).first().entity_id == "area:s"
 
 
