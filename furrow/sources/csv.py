@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,36 +91,48 @@ def find_source(spark: SparkSession, root: str, name: str) -> str | None:
     return paths[0] if paths else None
 
 
-#: Bytes of a file's head that tell its encoding.
-HEAD_BYTES = 1 << 16
+def raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, path, size, block, at): the lines of files as their bytes are, ended by \\n alone; block and at give their order in a file.
+
+    Spark splits large files, so a file is any number of tasks. Only files named .csv, where path is a folder.
+    """
+    reader = spark.read.options(lineSep="\n", recursiveFileLookup=True)
+    text = (reader if isinstance(path, list) or path.lower().endswith(".csv") else reader.option("pathGlobFilter", "*.[cC][sS][vV]")).text(path)
+    return text.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
+def is_utf8(line: str = "value") -> Column:
+    """Aggregate: whether all lines decode as UTF-8."""
+    return F.coalesce(F.bool_and(F.is_valid_utf8(line)), F.lit(True))
+
+
+def encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, encoding) of files, each by all its bytes: UTF-8, or ISO-8859-1 where they do not decode as such. Files without a line are left out."""
+    return raw_lines(spark, path).groupBy("path").agg(F.when(is_utf8(), "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
 
 
 def encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 if a file's head decodes as such (a letter that the head cuts off aside), else ISO-8859-1."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.getFileStatus(at).isDirectory():
-        return "UTF-8"
-    stream = files.open(at)
-    try:
-        head = bytes(stream.readNBytes(HEAD_BYTES))
-    finally:
-        stream.close()
-    try:
-        head.decode()
-    except UnicodeDecodeError as e:
-        return "UTF-8" if e.start >= len(head) - 3 and len(head) == HEAD_BYTES else "ISO-8859-1"
-    return "UTF-8"
+    """The encoding of a file, or of a folder's files if they agree; of files that do not, ISO-8859-1."""
+    return raw_lines(spark, path).agg(F.when(is_utf8(), "UTF-8").otherwise("ISO-8859-1")).first()[0]
 
 
 def read_text_columns(spark: SparkSession, path: str, sep: str = ";", multiline: bool = False) -> DataFrame:
-    """A CSV with every column as text, headers trimmed and without a byte-order mark; empty fields are null.
+    """A CSV, or a folder of them, with every column as text, headers trimmed and without a byte-order mark; empty fields are null.
 
-    multiline is for files whose quoted fields hold line ends: such a file is one task.
+    Each file is read in its own encoding, columns by name. multiline is for
+    files whose quoted fields hold line ends: such a file is one task.
     """
-    df = spark.read.options(sep=sep, header=True, encoding=encoding(spark, path), quote='"', escape='"', multiLine=multiline).csv(path)
-    return df.toDF(*[c.strip().lstrip("\ufeff") for c in df.columns])
+
+    def read(paths: str | list[str], kind: str) -> DataFrame:
+        df = spark.read.options(sep=sep, header=True, encoding=kind, quote='"', escape='"', multiLine=multiline).csv(paths)
+        return df.toDF(*[c.strip().lstrip("\ufeff") for c in df.columns])
+
+    by_kind: dict[str, list[str]] = {}
+    for r in encodings(spark, path).orderBy("path").collect():  # a row per file of a source
+        by_kind.setdefault(r["encoding"], []).append(r["path"])
+    if len(by_kind) <= 1:
+        return read(path, next(iter(by_kind), "UTF-8"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read(paths, kind) for kind, paths in sorted(by_kind.items())])
 
 
 def numbers(df: DataFrame, columns: list[str]) -> DataFrame:

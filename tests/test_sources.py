@@ -53,7 +53,51 @@ def test_inventory_counts_and_spans(spark, tmp_path):
     assert {(r.name, r.category, len(r.file_id)) for r in files.collect()} == {("traps.csv", "other", 16), ("ndvi_raw_s1_2025-11-01.jpg", "image", 16)}
     assert [(r.season_id, str(r.date)) for r in K.image_dates(files).collect()] == [("s1", "2025-11-01")]
     path = str(tmp_path / "EKOS" / "traps.csv")
-    assert K.count_rows(spark, path) == 3 and K.estimate_rows(1000, 100, 10) == 99
+    assert K.file_catalog(spark, str(tmp_path)).first().rows == 3
     assert K.time_span(K.preview(spark, path)) == ("2025-01-01", "2025-01-02")
     assert K.time_span(spark.range(1), "a_2025-01-01_2025-02-01.csv") == ("2025-01-01", "2025-02-01")
     assert K.separator("x", "a|b|c") == "|" and K.separator("EKOS/x") == ";" and K.separator("y") == ","
+
+
+def plain_rows(data, above, sample):
+    if len(data) > above:
+        lines = int(len(data) / max(sample / max(data[:sample].count(b"\n"), 1), 1))
+        return max(lines - 1, 0), "estimado_por_tamanho"
+    return max(data.count(b"\n") - 1, 0), "exato"
+
+
+def test_file_catalog_of_a_drop(spark, tmp_path):
+    from furrow.sources import catalog as K
+
+    big = b"date,x\n" + b"".join(b"2025-01-%02d,%s\n" % (i % 28 + 1, b"y" * (i % 50)) for i in range(9000))
+    late = ("a,b\n" + "plain,1\n" * 30_000).encode() + "é,2\n".encode("latin-1")
+    drop = {
+        "EKOS1/t.csv": "\ufeffcode;createdAt;Nome\nc;05/11/2025 10:00:00;é\nc;06/11/2025 10:00:00;x".encode(),
+        "other/us.csv": b"when_date,n\n" + b"2025-03-01,1\n" * 25 + b"04/09/2025,1\n",
+        "other/names.csv": b'filename,date\n"a_2024-05-06, x.tif",2001-01-01\nb_2024-07-08.tif,2030-01-01\n',
+        "other/epoch.CSV": b"timestamp|pixels_date|count\n1735689600|2020-01-01|2021-01-01\n1|x|y\n",
+        "other/late e.csv": late, "big.csv": big, "empty.csv": b"", "head.csv": b"a;b\r\n", "no.txt": b"x",
+    }
+    for name, data in drop.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    above, sample = 100_000, 20_000
+    out = {r.path.rsplit("/", 1)[1].replace("%20", " "): r for r in K.file_catalog(spark, str(tmp_path), above, sample).collect()}
+    drop = {n: data for n, data in drop.items() if data and not n.endswith(".txt")}
+    assert out.keys() == {n.rsplit("/", 1)[-1] for n in drop}
+    for name, data in drop.items():
+        r = out[name.rsplit("/", 1)[-1]]
+        assert (r.rows, r.row_count_method) == plain_rows(data, above, sample) and r.size_bytes == len(data), name
+    span = lambda n: (str(out[n].temporal_min), str(out[n].temporal_max))
+    assert (out["t.csv"].separator, out["t.csv"].column_names, out["t.csv"].encoding) == (";", ["code", "createdAt", "Nome"], "UTF-8")
+    assert span("t.csv") == ("2025-11-05 10:00:00", "2025-11-06 10:00:00") and span("us.csv") == ("2025-03-01 00:00:00", "2025-04-09 00:00:00")
+    assert span("names.csv") == ("2024-05-06 00:00:00", "2024-07-08 00:00:00") and span("epoch.CSV") == ("2025-01-01 00:00:00",) * 2 and out["epoch.CSV"].separator == "|"
+    assert (out["late e.csv"].encoding, out["head.csv"].column_names, out["head.csv"].rows) == ("ISO-8859-1", ["a", "b"], 0)
+
+
+def test_a_late_letter_decides_the_encoding_of_its_file_alone(spark, tmp_path):
+    (tmp_path / "one.csv").write_bytes(("a;b\n" + "x;1\n" * 40_000).encode() + "é;2\n".encode("latin-1"))
+    (tmp_path / "two.csv").write_bytes("b;a\n3;ç\n".encode())
+    assert C.encoding(spark, str(tmp_path / "one.csv")) == "ISO-8859-1" and C.encoding(spark, str(tmp_path / "two.csv")) == "UTF-8"
+    rows = C.read_text_columns(spark, str(tmp_path)).where("a <> 'x'").collect()
+    assert sorted((r.a, r.b) for r in rows) == [("ç", "3"), ("é", "2")]
