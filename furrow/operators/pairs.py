@@ -57,6 +57,11 @@ def _rules(spec: dict[str, tuple[float, bool]], i: int) -> Column:
     return F.element_at(F.create_map(*[x for m, r in spec.items() for x in (F.lit(m), F.lit(r[i]))]), F.col("metric"))
 
 
+def higher_is_better(metric: str, spec: dict[str, tuple[float, bool]] | None = None) -> Column:
+    """Whether more of the named metric is better."""
+    return F.try_element_at(F.create_map(*[x for m, r in (spec or CLASSIC).items() for x in (F.lit(m), F.lit(r[1]))]), F.col(metric))
+
+
 def pair_effects(df: DataFrame, spec: dict[str, tuple[float, bool]] | None = None, pair: str = "comparison_pair", week: str = "week_start") -> DataFrame:
     """A row per pair and metric: means, advantage (positive favours 4.0), bootstrap interval, sign-flip p, winner, evidence."""
     spec = spec or EFFECTS

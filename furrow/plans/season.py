@@ -8,28 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.operators import narrative as N
+from furrow.operators import review as R
 from furrow.operators import trial as T
 from furrow.operators.daily import hot_share, pest_lookup, summarize_layer, weather_daily
 from furrow.operators.evidence import outlook, season_summary
 from furrow.operators.pairs import EFFECTS, pair_effects
+from furrow.operators.ridge import transition_frame, transition_model
 from furrow.operators.spatial import season_boxes
 from furrow.operators.timeline import driver_lift, pair_position, phase_timeline
-from furrow.operators.weekly import SUPPORT_WEEKLY, pair_panel, weather_weekly, weekly
-from furrow.operators.windows import lead_delta, scores
+from furrow.operators.weekly import SUPPORT_WEEKLY, weather_weekly, weekly
 from furrow.sources import csv as C
+from furrow.sources.scratch import staged
 
-# Labels of the effects' metrics.
-METRIC_LABELS = {
-    "ndvi_mean_week": "NDVI medio semanal", "ndvi_auc_week": "Area sob a curva do NDVI", "low_vigor_flag": "Semanas de baixo vigor", "major_drop_flag": "Semanas de queda relevante",
-    "pest_risk_flag": "Semanas com risco de praga", "ops_risk_flag": "Semanas com risco operacional", "high_soil_flag": "Semanas com solo exposto",
-}
-
-
-def season_tables(spark: SparkSession, root: str, official: DataFrame, manual: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[dict[str, DataFrame], list[str]]:
+def season_tables(spark: SparkSession, root: str, official: DataFrame, manual: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = staged) -> tuple[dict[str, DataFrame], list[str]]:
     """(tables by name, known gaps) of the drop under root.
 
-    official maps season_id to AREA_COLUMNS. keep(df, name) may write a table
-    that several others read and return it read back, so that it is made once.
+    official maps season_id to AREA_COLUMNS. keep(df, name) writes a table that
+    several others read and returns it read back, so that it is made once: by
+    default in the folder that driver and executors share.
     """
     find = lambda name: C.find_source(spark, root, name)
     scenes = keep(C.load_scenes(spark, find("ndvi_metadata")), "scenes")
@@ -56,17 +52,21 @@ def season_tables(spark: SparkSession, root: str, official: DataFrame, manual: D
     if all(paths.values()):
         lookup = pest_lookup(C.load_pest_list(spark, paths["pest_list"]), C.load_pest_details(spark, paths["pest_details"]))
         traps = keep(T.trap_facts(C.load_traps(spark, find("traps_list")), C.load_trap_data(spark, find("traps_data")), C.load_trap_events(spark, paths["traps_events"]), lookup, boxes, areas), "miip_daily")
-    features = keep(T.weekly_features(clean, weather_weekly(weather), ops, traps, areas), "pairwise_weekly_features")
+    by_week = keep(weather_weekly(weather), "weather_weekly")
+    features = keep(T.weekly_features(clean, by_week, ops, traps, areas), "pairwise_weekly_features")
     inventory = keep(T.area_inventory(areas, scenes, clean, ops, traps, soil, weather), "area_inventory")
     matrix = keep(N.hypothesis_matrix_texts(inventory, features), "hypothesis_matrix")
 
     timeline = phase_timeline(T.with_support(features, support))
     own_gap = F.when(F.col("treatment") == "convencional", -F.col("pair_ndvi_gap_4_0_minus_conv")).otherwise(F.col("pair_ndvi_gap_4_0_minus_conv"))
     timeline = keep(N.with_story(timeline.withColumn("pair_position", pair_position(own_gap))), "ndvi_phase_timeline")
+    frame = keep(transition_frame(timeline), "transition_model_frame")
+    model = transition_model(timeline)
+    predictions = keep(model.predictions, "transition_model_predictions")
     summary = keep(season_summary(timeline, list(T.DIMENSION)), "season_summary")
     diagnostics = keep(N.pair_diagnostics(summary, matrix), "ndvi_pair_diagnostics")
     ahead = keep(N.outlook_texts(outlook(summary), diagnostics), "ndvi_outlook")
-    label = F.create_map(*[F.lit(x) for kv in METRIC_LABELS.items() for x in kv])
+    label = F.create_map(*[F.lit(x) for kv in R.METRIC_LABELS.items() for x in kv])
     effects = keep(pair_effects(timeline, EFFECTS).withColumn("metric_label", F.try_element_at(label, F.col("metric"))), "pair_effect_tests")
     lift = keep(driver_lift(timeline), "event_driver_lift")
     register = keep(N.register(effects, lift, ahead, diagnostics), "final_hypothesis_register")
@@ -74,8 +74,11 @@ def season_tables(spark: SparkSession, root: str, official: DataFrame, manual: D
         "area_inventory": inventory, "ndvi_clean": clean, "ops_area_daily": ops, "miip_daily": traps, "pairwise_weekly_features": features, "hypothesis_matrix": matrix, "ndvi_phase_timeline": timeline, "ndvi_events": N.events(timeline),
         "ndvi_pair_diagnostics": diagnostics, "ndvi_outlook": ahead, "ops_support_daily": support, "ops_support_weekly": weekly(support, SUPPORT_WEEKLY) if support is not None else None,
         "data_audit": T.data_audit(inventory, clean, weather, traps, ops, timeline), "pair_effect_tests": effects, "event_driver_lift": lift, "final_hypothesis_register": register,
-        "decision_summary": N.decisions(effects, lift, ahead, diagnostics, register), "transition_model_frame": lead_delta(timeline, "ndvi_mean_week", ["season_id"], ["week_start"], "target_next_ndvi_delta"),
-        "ndvi_outliers": scores(clean, "ndvi_mean", ["season_id"]), "pair_weekly_gaps": pair_panel(timeline, [m for m in EFFECTS if m in timeline.columns and not m.endswith("_flag")]),
+        "decision_summary": N.decisions(effects, lift, ahead, diagnostics, register), "transition_model_frame": frame, "transition_model_summary": model.summary, "transition_model_coefficients": model.coefficients,
+        "transition_model_predictions": predictions, "weather_daily": weather, "weather_weekly": by_week, "ndvi_stats_by_area": R.stats_by_area(clean), "ndvi_outliers": R.outliers(clean), "pair_weekly_gaps": R.pair_weekly_gaps(timeline),
+        "pair_classic_tests": R.classic_tests(timeline), "ndvi_trend_tests": R.trend_tests(clean), "weekly_correlations": R.weekly_correlations(frame),
     }
+    held = {n: df for n, df in {**tables, "soil_context": soil}.items() if df is not None}
+    tables |= {"dataset_overview": R.overview({n: held[n] for n in R.OVERVIEW if n in held}), "numeric_profiles": R.numeric_profiles(held)}
     there = {n for n, p in paths.items() if p} | {n for n in C.LAYERS if find(f"{n}_layer")}
     return {n: df for n, df in tables.items() if df is not None}, N.season_gaps(scenes, weather, soil, ops, there, timeline)

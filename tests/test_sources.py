@@ -101,3 +101,37 @@ def test_a_late_letter_decides_the_encoding_of_its_file_alone(spark, tmp_path):
     assert C.encoding(spark, str(tmp_path / "one.csv")) == "ISO-8859-1" and C.encoding(spark, str(tmp_path / "two.csv")) == "UTF-8"
     rows = C.read_text_columns(spark, str(tmp_path)).where("a <> 'x'").collect()
     assert sorted((r.a, r.b) for r in rows) == [("ç", "3"), ("é", "2")]
+
+
+def test_a_failed_publication_leaves_the_last_one(spark, tmp_path):
+    folder = f"file://{tmp_path}/out"
+    one, two = spark.sql("select 1 as v, array('x') as xs"), spark.sql("select date'2025-01-02' as d, cast(null as double) as n")
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, folder)
+    sinks.publish(spark, {"a": one, "b": two}, folder, "csv")
+    bad = spark.sql("select cast(raise_error('stop') as int) as v from range(3)")
+    with pytest.raises(Exception, match="stop"):
+        sinks.publish(spark, {"a": one.withColumn("v", one.v + 1), "b": bad}, folder, "csv")
+    assert len(list((tmp_path / "out").iterdir())) == 1
+    back = sinks.published(spark, folder)
+    assert (back["a"].first().v, back["a"].first().xs, back["b"].first().d, back["b"].first().n) == (1, '["x"]', dt.date(2025, 1, 2), None)
+    for i in (2, 3, 4):
+        sinks.publish(spark, {"a": one.withColumn("v", one.v * i)}, folder)
+    assert len(sinks.versions(spark, folder)) == 2 and sinks.published(spark, folder)["a"].first().v == 4
+    (tmp_path / "out" / "99990101T000000000000-unfinished" / "a").mkdir(parents=True)
+    assert sinks.published(spark, folder, ["a"])["a"].first().v == 4
+
+
+def test_manifest_is_five_tables_and_one_json(spark, tmp_path):
+    import json
+
+    tables = {n: spark.sql(f"select '{n}' as name, explode(array('é\"', null, 'z')) as v") for n in sinks.MANIFEST_TABLES}
+    tables["lineage_summary"] = tables["lineage_summary"].limit(0)
+    path = sinks.export_manifest(spark, tables, f"file://{tmp_path}/m")
+    text = "\n".join(r[0] for r in spark.read.text(f"{path}/lineage_manifest_json", wholetext=True).collect())
+    got = json.loads(text)
+    assert list(got) == list(sinks.MANIFEST_TABLES) and got["lineage_summary"] == []
+    assert sorted(map(str, got["lineage_coverage"])) == sorted(str({"name": "lineage_coverage", "v": v}) for v in ('é"', None, "z"))
+    assert {n: df.count() for n, df in sinks.published(spark, f"file://{tmp_path}/m").items()} == {n: 0 if n == "lineage_summary" else 3 for n in sinks.MANIFEST_TABLES}
+    with pytest.raises(ValueError):
+        sinks.export_manifest(spark, {}, str(tmp_path))

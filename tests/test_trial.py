@@ -139,7 +139,7 @@ def test_a_season_from_its_drop(spark, tmp_path):
         return spark.read.parquet(str(tmp_path / "kept" / name))
 
     tables, gaps = season_tables(spark, str(tmp_path), official, keep=keep)
-    assert set(tables) <= set(sinks.ALL_TABLES) and {"area_inventory", "data_audit", "decision_summary", "ops_support_weekly", "miip_daily"} <= set(tables)
+    assert set(tables) == set(sinks.ALL_TABLES) and {"area_inventory", "data_audit", "decision_summary", "ops_support_weekly", "miip_daily"} <= set(tables)
     inventory = {r.season_id: r for r in tables["area_inventory"].collect()}
     assert (inventory["s1"].total_images, inventory["s1"].invalid_images, inventory["s1"].harvest_yield_mean_kg_ha, inventory["s2"].harvest_yield_mean_kg_ha, inventory["s2"].overlap_area_ha, inventory["s1"].soil_samples_available) == (8, 1, 5000.0, None, 0.5, 2)
     assert inventory["s2"].overlap_area_pct_bbox == pytest.approx(0.5 / 100)
@@ -154,6 +154,22 @@ def test_a_season_from_its_drop(spark, tmp_path):
     assert {r.hypothesis_id for r in tables["final_hypothesis_register"].collect()} == set(N.HYPOTHESES) and tables["decision_summary"].first().decision_message.startswith("No par grao, ")
     assert all(r.recommended_actions and r.expected_harvest_note for r in tables["ndvi_outlook"].collect())
     assert any("alarmes" in g for g in gaps) and len(gaps) == len(set(gaps))
+    rows = {r.dataset: r for r in tables["dataset_overview"].collect()}
+    assert (rows["ndvi_clean"].rows, rows["ndvi_clean"].unique_seasons, str(rows["ndvi_clean"].date_start)[:10], rows["soil_context"].sample_columns) == (14, 2, "2025-11-03", "AMOSTRA, PH")
+    assert {(r.weeks, r.trend_direction) for r in tables["ndvi_trend_tests"].collect()} == {(7, "crescimento_significativo"), (7, "queda_significativa")}
+    (model,) = tables["transition_model_summary"].collect()
+    assert model.observations == 12 and model.model_choice == "ridge_linear_interpretavel" and tables["transition_model_predictions"].count() == 12
+    outliers = tables["ndvi_outliers"].collect()
+    assert len(outliers) == 14 and len(outliers[0]) == 16 and not any(r.outlier_flag for r in outliers)
+    assert {r.analysis_target for r in tables["weekly_correlations"].collect()} == {"nivel_ndvi", "delta_ndvi_seguinte"} and "sem_relacao" in {r.strength for r in tables["weekly_correlations"].collect()}
+    tests = {r.metric: r for r in tables["pair_classic_tests"].collect()}
+    assert tests["ndvi_mean_week"].weeks_compared == 7 and tests["ndvi_mean_week"].recommended_test in ("ttest_1samp", "wilcoxon") and tests["low_vigor_flag"].metric_label == "Semanas de baixo vigor"
+    assert {r.dataset for r in tables["numeric_profiles"].collect()} == {"ndvi_clean", "weather_daily", "ops_area_daily", "miip_daily", "transition_model_frame"}
+    assert tables["pair_weekly_gaps"].where("paired_week_flag").count() == 7 and tables["ndvi_stats_by_area"].where("season_id = 's1'").first().images_valid == 7
+    folder = f"file://{tmp_path}/season"
+    sinks.publish(spark, tables, folder, facts={"gaps": gaps})
+    back = sinks.published(spark, folder)
+    assert set(back) == set(sinks.ALL_TABLES) and sinks.manifest(spark, sinks.versions(spark, folder)[-1])["gaps"] == gaps
     sinks.save_tables({n: tables[n] for n in ("data_audit", "hypothesis_matrix")}, str(tmp_path / "out"))
     assert {r.name for r in sinks.table_status(spark, str(tmp_path / "out"), ["data_audit", "hypothesis_matrix", "none"]).collect()} == {"data_audit", "hypothesis_matrix"}
 
