@@ -88,11 +88,16 @@ def classic_tests(df: DataFrame, spec: dict[str, tuple[float, bool]] | None = No
         return pd.DataFrame({pair: [rows[pair].iloc[0]], "metric": [rows["metric"].iloc[0]], "n": [len(v)], "mean_gap": [v.mean()], "shapiro_p": [shapiro_p(v)], "t_p": [ttest_p(v)], "wilcoxon_p": [wilcoxon_p(v)]})
 
     out = paired_values(df, list(spec), pair, week).groupBy(pair, "metric").applyInPandas(tests, f"{pair} string, metric string, n long, mean_gap double, shapiro_p double, t_p double, wilcoxon_p double")
+    better = F.when(_rules(spec, 1), F.col("mean_gap")).otherwise(-F.col("mean_gap"))
+    return recommended(out, better, _rules(spec, 0))
+
+
+def recommended(tests: DataFrame, better: Column, least: Column) -> DataFrame:
+    """tests (shapiro_p, t_p, wilcoxon_p) with the recommended test, its p, whether that is significant, and the side that a gap in the better direction favours."""
     test = F.when((F.col("shapiro_p") >= 0.05) & F.col("t_p").isNotNull(), "ttest_1samp").when(F.col("wilcoxon_p").isNotNull(), "wilcoxon").when(F.col("t_p").isNotNull(), "ttest_1samp").otherwise("sem_teste")
-    out = out.withColumn("recommended_test", test)
+    out = tests.withColumn("recommended_test", test)
     p = F.when(F.col("recommended_test") == "wilcoxon", F.col("wilcoxon_p")).otherwise(F.col("t_p"))
-    better = F.when(_rules(spec, 1), F.col("mean_gap")).otherwise(-F.col("mean_gap"))
-    favours = F.when((p <= 0.05) & (better >= _rules(spec, 0)), "favorece_4_0").when((p <= 0.05) & (better <= -_rules(spec, 0)), "favorece_convencional").otherwise("inconclusivo")
+    favours = F.when((p <= 0.05) & (better >= least), "favorece_4_0").when((p <= 0.05) & (better <= -least), "favorece_convencional").otherwise("inconclusivo")
     return out.withColumns({"p_value": p, "significant": F.coalesce(p <= 0.05, F.lit(False)), "favors": favours})
 
 

@@ -32,6 +32,15 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(context._jsc.hadoopConfiguration()), at
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """An empty folder of its own in the shared folder. The driver's end deletes it."""
+    path = f"{shared_folder(spark)}/furrow-{name}-{uuid.uuid4().hex}"
+    files, at = file_system(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: it is made once, and a lost executor costs no more than the read. The driver's end deletes it."""
     spark = df.sparkSession

@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from furrow.plans.catalog import ORACLE_SQL, QUERIES
+from furrow.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
