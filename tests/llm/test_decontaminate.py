@@ -3,13 +3,22 @@ import string
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from furrow.llm.decontaminate import MIN_LITERALS, SHORTEST, UNITS, WINDOW, contaminated
+from furrow.llm import decontaminate as DC
+from furrow.llm.decontaminate import MIN_LITERALS, SHORTEST, UNITS, WINDOW, grouped_items, op9_benchmark_decontamination
 
 ITEM = "A train leaves Boston at 9 and travels 120 miles toward the coast before it stops at a small village near the river"
 FILL = "some unrelated words stand here and then go on for a while without any meaning at all"
 
 
+def contaminated(docs, benchmark, max_broadcast=DC.MAX_BROADCAST):
+    """The matches with all items of each group."""
+    matches = DC.contaminated(docs, benchmark, max_broadcast)
+    pairs = matches.drop("item_id").join(grouped_items(benchmark)[1], "item_group")
+    return pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "exact", "n_slots")).alias("b")).select("doc_id", "item_id", "b.*")
+
+
 def test_templates(spark):
     docs = [
         (1, f"{FILL} {ITEM} {FILL}"), (2, f"{FILL} {ITEM.replace('120', '75').replace('Boston', 'Denver')}, {FILL}"), (3, FILL), (4, None), (5, ""), (None, ITEM), (6, ITEM), (6, ITEM), (7, "x " * 100_000 + ITEM), (8, "What is 2 plus two?"), (9, "Hi!"), (10, "hi there"),
@@ -147,3 +156,23 @@ def test_against_brute_force(spark, seed):
         got = contaminated(spark.createDataFrame(docs, f"doc_id {schema}"), spark.createDataFrame(items, f"item_id {schema}"), max_broadcast=size).collect()
         assert {(r.doc_id, r.item_id): (r.n_windows, r.exact, r.n_slots) for r in got} == expected
     assert len(expected) > 15
+
+
+def test_many_items_of_one_template_meet_documents_as_one(spark, tmp_path):
+    rng = random.Random(3)
+    make = lambda: ITEM.replace("120", str(rng.randrange(10**6))).replace("Boston", rng.choice(string.ascii_uppercase) + f"x{rng.randrange(10**6)}")
+    twice = "Anna gives five apples and takes five pears then Anna walks home alone through rain"
+    items = [(i, make()) for i in range(400)] + [(900, twice), (901, twice.replace("Anna gives", "Bert gives")), (902, twice.replace("Anna", "Carl"))]
+    docs = [(i, f"{FILL} {make()}") for i in range(400)] + [(1000, items[7][1]), (1001, twice.replace("Anna", "Dora"))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = op9_benchmark_decontamination(spark, str(tmp_path)).collect()
+    matches, members = ([r for r in rows if r.kind == k] for k in ("match", "member"))
+    groups = {}
+    for r in members:
+        groups.setdefault(r.item_group, set()).add(r.item_id)
+    assert set(range(400)) in groups.values() and {900, 902} in groups.values() and {901} in groups.values()
+    assert len(matches) < 410  # a document and a template each
+    found = {(r.doc_id, i) for r in matches for i in groups[r.item_group]}
+    assert {(d, i) for d in range(400) for i in range(400)} <= found and {i for d, i in found if d == 1001} == {900, 901, 902}
+    assert any(r.exact for r in matches if r.doc_id == 1000) and not any(r.exact for r in matches if r.doc_id == 3)
