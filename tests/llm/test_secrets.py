@@ -2,7 +2,7 @@ import random
 import re
 import string
 
-from furrow.llm.secrets import KINDS, scan_secrets, spans
+from furrow.llm.secrets import KINDS, identifiers, scan_secrets, spans
 
 
 def base(text):
@@ -81,3 +81,43 @@ def test_repeated_secrets():
         for between in (" -o a.txt\ncurl -H 'Authorization: Bearer ", " Bearer =", " " + "words go on " * 18 + "Bearer "):
             text = f"Authorization: Bearer {word}{between}{word} end"
             assert [text[s:e].strip("=") for s, _, e in spans(text)] == [word, word], (n, between)
+
+
+def test_neither_digits_nor_letters_are_asked_for():
+    rng = random.Random(2)
+    for alphabet in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase, string.digits, string.ascii_letters + string.digits):
+        for n in (16, 20, 32, 64, 100, 300):
+            # long runs of digits are a base kind already
+            found = [[(a, b) for a, _, b in spans(f"Authorization: Bearer {word} and more")] == [(22, 22 + n)] for word in ("".join(rng.choice(alphabet) for _ in range(n)) for _ in range(40))]
+            assert sum(found) >= 38, (alphabet[:3], n)
+
+
+def test_parts_of_a_web_token_come_behind_their_dots():
+    rng = random.Random(3)
+    part = lambda n: "".join(rng.choice(string.ascii_letters + string.digits + "-_") for _ in range(n))
+    for _ in range(40):
+        token = f"eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJ{part(400)}.{part(43)}"
+        text = f"Authorization: Bearer {token} end."
+        assert text[-48:-5] in [text[s:e] for s, _, e in spans(text)]
+
+
+NAMES = [
+    "someVeryLongCamelCaseIdentifierName", "get_authorization_header_value", "configurationManagerFactory", "the-quick-brown-fox-jumps-over", "internationalization_settings", "AbstractSingletonProxyFactoryBean",
+    "user_access_token_refresh_handler", "/usr/local/share/application", "0000000000000000", "1234567890123456", "aaaaaaaaaaaaaaaaaaaa", "authorization_authorization", "MAX_CONNECTION_TIMEOUT",
+]
+
+
+def test_names_and_prose_are_no_secrets():
+    wrong = [n for n in NAMES if spans(f"token {n} is set")]
+    assert wrong == []
+    assert spans("The secret of the old harbour was that nobody had ever authorized the ships to leave. " * 20) == []
+
+
+def test_dictionary_of_the_corpus(spark):
+    secret = "q7Zx9Lw2Pf8Kd3Vb6Tn1Yh5R"
+    rows = [(i, f"frobnicate the widget: Bearer {secret} frobnicate {'x' * 15} done") for i in range(5)] + [(9, "frobnicate far away from any such word"), (10, None), (11, "token once")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert set(identifiers(df).split()) == {"frobnicate", "widget", "done", "Bearer", "x" * 15}
+    assert identifiers(df, most=1, least=1).split() == ["Bearer"] and identifiers(df.limit(0)) == ""
+    assert {r.n_novel for r in scan_secrets(df).collect() if r.doc_id < 9} == {1}
+    assert scan_secrets(df, known="").count() == len(rows)
