@@ -12,12 +12,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.folder import table
+from furrow.llm.folder import table, written
 
 BINS = 16_384
 SMOOTHING = 1.0
 #: Mean log-likelihood ratio per n-gram below which a text is rejected.
 THRESHOLD = -0.25
+#: Rows of marks of trusted ids up to which they are broadcast, of some 30 bytes each.
+MAX_MARKS = 4_000_000
 #: Between words, and between tokens: runs of ASCII punctuation and runs of anything else but white space. Java's own
 #: classes for ASCII white space and punctuation take a fraction of the time of classes spelled out as ranges, and
 #: regexp_extract_all would copy the whole text for each token.
@@ -38,20 +40,46 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return hashes.withColumn("__two", F.expr(f"transform(slice(__one, 1, greatest(size(__one) - 1, 0)), (h, i) -> cast(pmod(xxhash64(h, get(__one, i + 1)), {BINS}) as int))"))
 
 
-def ratio_weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """Log ratio of the trusted to the raw multinomial for each bin, both smoothed.
+def _marks(ids: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """Trusted ids as rows to join with documents, the keys as expressions on doc_id, and the condition of a match.
 
-    Raw counts are over all docs, target counts over all of them that trusted
-    (doc_id) names. Without any the ratios are those of a uniform target. Spark
-    broadcasts the trusted ids while they are few, and shuffles beyond.
+    Whole numbers come 64 to a row, a bit each: dense ids take an eighth of a byte.
     """
-    ids = trusted.where("doc_id is not null").select("doc_id").distinct()
-    marked = docs.select("doc_id", "text").join(ids.withColumn("__trusted", F.lit(1)), "doc_id", "left")
+    if dict(ids.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        rows = ids.groupBy(F.expr("shiftright(cast(doc_id as bigint), 6)").alias("__key")).agg(F.bit_or(F.expr("shiftleft(1L, cast(doc_id & 63 as int))")).alias("__bits"))
+        return rows, "shiftright(cast(doc_id as bigint), 6)", "coalesce((shiftrightunsigned(__bits, cast(doc_id & 63 as int)) & 1) = 1, false)"
+    return ids.select(F.col("doc_id").alias("__key"), F.lit(1).alias("__bits")).distinct(), "doc_id", "__bits is not null"
+
+
+def _bins(docs: DataFrame, *more: str) -> DataFrame:
+    """A row per n-gram of docs with its bin (null for a text without any) and more columns."""
     # explode_outer: for explode, Catalyst infers a filter that repeats the whole tokenising inside a lambda
     bins = F.expr(f"concat(transform(__one, h -> cast(pmod(h, {BINS}) as int)), __two)")
-    counts = _hashed(marked).select(bins.alias("bins"), "__trusted").select(F.explode_outer("bins").alias("bin"), "__trusted").groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("target")).collect()
+    return _hashed(docs).select(bins.alias("bins"), *more).select(F.explode_outer("bins").alias("bin"), *more)
+
+
+def ratio_weights(docs: DataFrame, trusted: DataFrame, most: int = MAX_MARKS) -> list[float]:
+    """Log ratio of the trusted to the raw multinomial for each bin, both smoothed.
+
+    Raw counts are over all docs, target counts over all of them that trusted
+    (doc_id) names. Without any the ratios are those of a uniform target. No text
+    is shuffled while the marks of the trusted ids, which are counted, are most
+    rows at most and travel by broadcast. Beyond, the raw counts need no join,
+    and the texts of trusted documents alone are dealt by id.
+    """
+    ids = trusted.where("doc_id is not null").select("doc_id")
+    marks, key, hit = _marks(ids)
+    marks = written(marks, "marks")
+    n, target_n = F.count(F.lit(1)).alias("raw"), F.count_if("__trusted").alias("target")
+    texts = docs.select("doc_id", "text").withColumn("__key", F.expr(key))
+    if marks.count() <= most:
+        marked = texts.join(F.broadcast(marks), "__key", "left").withColumn("__trusted", F.expr(hit))
+        counts = _bins(marked, "__trusted").groupBy("bin").agg(n, target_n)
+    else:
+        target = _bins(texts.join(marks, "__key").where(hit)).groupBy("bin").agg(F.count(F.lit(1)).alias("target"))
+        counts = _bins(texts).groupBy("bin").agg(n).join(target, "bin", "left").fillna(0, ["target"])
     raw, target = [0] * BINS, [0] * BINS
-    for b, r, t in counts:  # BINS rows at most, and one of texts without n-grams
+    for b, r, t in counts.select("bin", "raw", "target").collect():  # BINS rows at most, and one of texts without n-grams
         if b is not None:
             raw[b], target[b] = r, t
     off_t, off_r = (math.log(sum(x) + SMOOTHING * BINS) for x in (target, raw))

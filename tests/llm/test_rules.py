@@ -3,8 +3,9 @@ import re
 from collections import Counter
 
 import xxhash
+from pyspark.sql import functions as F
 
-from furrow.llm.rules import _BETWEEN, BINS, THRESHOLD, _parts, base_rules, quality_rules
+from furrow.llm.rules import _BETWEEN, BINS, THRESHOLD, _marks, _parts, base_rules, quality_rules, ratio_weights
 
 
 def expected(text):
@@ -73,3 +74,18 @@ def test_ratio_and_verdict_against_plain_counts(spark):
             continue
         assert math.isclose(r.mean_ratio, ratio[words[r.doc_id]], abs_tol=2e-6)
         assert r.kept == (not r.base_failed and ratio[words[r.doc_id]] >= THRESHOLD)
+
+
+def test_trusted_ids_by_broadcast_or_dealt_give_the_same_and_shuffle_no_text(spark):
+    rows = [(i if i % 7 else None, " ".join(f"w{(i * j) % 50}, x{j}" for j in range(i % 30))) for i in range(-100, 300)]
+    good = [i for i in range(-200, 400, 3)] + [None, 5, 5]
+    docs, ids = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in good], "doc_id long")
+    one, two = ratio_weights(docs, ids), ratio_weights(docs, ids, most=0)
+    assert one == two
+    raw, target = Counter(b for _, t in rows for b in bins(t)), Counter(b for i, t in rows if i is not None and i in good for b in bins(t))
+    n, m = sum(raw.values()) + BINS, sum(target.values()) + BINS
+    assert all(math.isclose(w, math.log((target[b] + 1) / m) - math.log((raw[b] + 1) / n), abs_tol=1e-9) for b, w in enumerate(one))
+    words_ = spark.createDataFrame([(str(i), t) for i, t in rows], "doc_id string, text string"), spark.createDataFrame([(str(i),) for i in good], "doc_id string")
+    assert ratio_weights(*words_) == ratio_weights(*words_, most=0)
+    marks, key, hit = _marks(ids)
+    assert {r.doc_id for r in docs.withColumn("__key", F.expr(key)).join(marks, "__key").where(hit).collect()} == {i for i, _ in rows if i is not None and i in good}
