@@ -5,6 +5,8 @@ Nulls stay null unless a function says otherwise; NaN is never produced.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,20 @@ from pyspark.sql import functions as F
 MISSING = ("", "-", "nan", "None")
 PLAIN_NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
 STATE_WORDS = (("operation", ("oper", "trabalh")), ("maneuver", ("manobra",)), ("transit", ("desloc", "transit")), ("supply", ("abastec",)), ("stop", ("parad",)))
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-UNACCENTED = "aaaaaaeeeeiiiiooooouuuucnyy"
+
+
+def _unaccented() -> tuple[str, str]:
+    """Small letters of the Latin, Greek and Cyrillic blocks that decompose into one letter and marks, and those letters."""
+    pairs = []
+    for i in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        low = chr(i).lower()
+        base = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
+        if len(low) == len(base) == 1 and base != low:
+            pairs.append((low, base))
+    return "".join(a for a, _ in dict(pairs).items()), "".join(b for _, b in dict(pairs).items())
+
+
+ACCENTED, UNACCENTED = _unaccented()
 
 
 def parse_number(c: Column | str) -> Column:
@@ -28,9 +42,9 @@ def parse_number(c: Column | str) -> Column:
 
 
 def text_key(c: Column | str) -> Column:
-    """Lower case, no accents, single spaces; null becomes the empty string."""
+    """Lower case, no accents (of letters, or as marks of their own), single spaces; null becomes the empty string."""
     text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    return F.regexp_replace(F.translate(F.lower(F.trim(text)), ACCENTED, UNACCENTED), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(F.trim(text)), ACCENTED, UNACCENTED), r"\p{M}+", ""), r"\s+", " ")
 
 
 def machine_state(c: Column | str) -> Column:
@@ -103,6 +117,11 @@ def pipe_list(c: Column | str) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
+def token_list(c: Column | str) -> Column:
+    """The items of a text divided by plus, comma, semicolon or slash, without blanks."""
+    return F.filter(F.transform(F.split(c, "[+,;/]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def detections(c: Column | str) -> Column:
     """Names in a detection payload: a JSON array of records, or of JSON texts that hold such arrays; bad JSON gives none.
 

