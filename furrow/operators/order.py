@@ -1,8 +1,9 @@
 """Exact quantiles and ranks of whole tables from counts by value: no task holds a column or a key.
 
 Equal values are counted first, so a value that a third of all rows have is one
-row. The distinct values are dealt by range of key and value, whatever the
-sizes of the keys, and written with the number of their range. What a key has
+row. More than ONE_RANGE distinct values, which are counted, are dealt by range of
+key and value, whatever the sizes of the keys, and written with the number of
+their range; fewer are one range, with the same result. What a key has
 before a range is a running sum over its ranges, as many rows as there are
 partitions at most; what a range has before a value is a running sum within it.
 """
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from furrow.sources.scratch import staged
 
+#: Distinct values of all keys together that one task may put in order.
+ONE_RANGE = 1_000_000
+
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """left with the other columns of right, by keys that may be null; without keys right is one row."""
@@ -28,9 +32,13 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
 
 def _dealt(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct values (keys, value, n, __range), and by key and range the rows before it (__before) and in the key (total)."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
-    dealt = staged(counts.repartitionByRange(parts, *keys, value).withColumn("__range", F.spark_partition_id()), "order")
+    counts = staged(counts, "counts")
+    if counts.count() <= ONE_RANGE:
+        dealt = counts.withColumn("__range", F.lit(0))
+    else:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = staged(counts.repartitionByRange(parts, *keys, value).withColumn("__range", F.spark_partition_id()), "order")
     # the sums have as many rows as there are keys and ranges together at most
     sums = dealt.groupBy(*keys, "__range").agg(F.sum("n").alias("__n"))
     key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

@@ -152,7 +152,7 @@ def correlations(df: DataFrame, targets: list[str], features: list[str], group:
     keys = ["scope", "target", "feature"]
     met = staged(long.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("w")), "pairs")  # equal pairs of values count once
     sides = met.select(*keys, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("v")) for s in ("x", "y")])).alias("u"), "w").select(*keys, "u.*", "w")
-    ranks = staged(average_ranks(sides, [*keys, "side"], "v", "w"), "ranks")
+    ranks = average_ranks(sides, [*keys, "side"], "v", "w")
     for s in ("x", "y"):
         # off the mean rank, so that no large squares cancel
         of = ranks.where(F.col("side") == s).select(*keys, F.col("v").alias(s), (F.col("rank") - (F.col("total") + 1) / 2).alias(f"r{s}"))

@@ -1,12 +1,20 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from furrow.operators import order
 from furrow.operators.order import average_ranks, quantile_row, quantiles, values_in_order
 from furrow.operators.pairs import correlations
 
 
+@pytest.fixture(params=[order.ONE_RANGE, 0], autouse=True)
+def ranges(request, monkeypatch):
+    """Either way: one range, and values dealt by range."""
+    monkeypatch.setattr(order, "ONE_RANGE", request.param)
+
+
 def rows_of(seed, n, keys=("a", "b", None)):
     r = random.Random(seed)
     return [(r.choice(keys), r.choice([None, 0.0, -1.5, float(r.randrange(50)), r.gauss(0, 1e6)])) for _ in range(n)]
