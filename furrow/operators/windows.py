@@ -83,8 +83,8 @@ def scores(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     df = staged(df, "scored")
     sums = df.groupBy(*keys).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__sd"))
     df = joined(joined(df, sums, keys), quantile_row(df, keys, {"__median": (value, 0.5)}), keys, "left")
-    df = staged(df.withColumn("__off", F.abs(F.col(value) - F.col("__median"))), "off")
-    df = joined(df, quantile_row(df, keys, {"__mad": ("__off", 0.5)}), keys, "left")
+    df = df.withColumn("__off", F.abs(F.col(value) - F.col("__median")))
+    df = joined(df, quantile_row(df.select(*keys, "__off"), keys, {"__mad": ("__off", 0.5)}), keys, "left")
     df = df.withColumns({"z_score": F.try_divide(F.col(value) - F.col("__mean"), F.col("__sd")), "robust_z_score": F.try_divide(0.6745 * (F.col(value) - F.col("__median")), F.col("__mad"))})
     return df.drop("__mean", "__sd", "__median", "__off", "__mad")
 
