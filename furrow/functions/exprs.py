@@ -6,6 +6,7 @@ Nulls stay null unless a function says otherwise; NaN is never produced.
 from __future__ import annotations
 
 import unicodedata
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,6 +76,19 @@ def week_start(c: Column | str) -> Column:
     return F.date_trunc("week", c)
 
 
+def fixed(c: Column | str, digits: int, signed: bool = False) -> Column:
+    """A number as printf and Python write it with so many digits, halves to even by its exact value; signed ones have a plus too.
+
+    format_string rounds halves up; format_number rounds rightly what is not below one unit of the last digit.
+    """
+    value = (F.col(c) if isinstance(c, str) else c).cast("double")
+    unit, half = float(f"1e-{digits}"), float(f"5e-{digits + 1}")
+    up = F.abs(value) >= half if Decimal(half) > Decimal(f"5e-{digits + 1}") else F.abs(value) > half
+    value = F.when(F.abs(value) < unit, F.signum(value) * F.when(up, unit).otherwise(0.0)).otherwise(value)
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", value, F.lit(f"+{pattern};-{pattern}" if signed else pattern))
+
+
 def safe_divide(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions.exprs import flag
+from furrow.functions.exprs import fixed, flag
 from furrow.operators.evidence import lowered, status_of, strength
 from furrow.operators.pairs import SIDES
 from furrow.operators.windows import first_rows
@@ -75,7 +75,7 @@ def listed(items: list[Column], none: str, separator: str = " | ") -> Column:
 def number(c: Column | str) -> Column:
     """A number with three decimals, NA if it is unknown."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.isNull(), "NA").otherwise(F.format_string("%.3f", c.cast("double")))
+    return F.when(c.isNull(), "NA").otherwise(fixed(c, 3))
 
 
 def sides_of(df: DataFrame, columns: list[str], pair: str = "comparison_pair", order: str = "area_label") -> DataFrame:
@@ -95,7 +95,7 @@ def supports(wide: DataFrame, evidence: tuple, columns: list[str]) -> tuple[list
         change = F.col(f"tech.{column}") - F.col(f"conv.{column}")
         speaks = flag(F.abs(change) >= least)
         tech_leads = flag((change > 0) if higher else (change <= 0))
-        text = lambda side, c=change, label=label, unit=unit: F.format_string(f"{label}: {side} leva vantagem (%+.2f{unit}).", c)
+        text = lambda side, c=change, label=label, unit=unit: F.format_string(f"{label}: {side} leva vantagem (%s{unit}).", fixed(c, 2, signed=True))
         for_tech.append(F.when(speaks & tech_leads, text("4.0")))
         for_conv.append(F.when(speaks & ~tech_leads, text("convencional")))
         count = count + speaks.cast("int")
@@ -142,7 +142,7 @@ def with_story(timeline: DataFrame) -> DataFrame:
     drivers = F.when(F.size("driver_candidates") > 0, F.array_join(F.slice("driver_candidates", 1, 3), " | ")).otherwise(NO_DRIVER)
     timeline = timeline.withColumn("drivers_summary", drivers)
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    signed = F.when(F.col("ndvi_delta_week").isNull(), "NA").otherwise(F.format_string("%+.3f", "ndvi_delta_week"))
+    signed = F.when(F.col("ndvi_delta_week").isNull(), "NA").otherwise(fixed("ndvi_delta_week", 3, signed=True))
     sentence = F.concat(
         F.coalesce(F.date_format("week_start", "yyyy-MM-dd"), F.lit("sem_data")), F.lit(": "), known("area_label"), F.lit(" ficou em fase "), known("phase"), F.lit(", evento "), F.coalesce("event_type", F.lit("sem_evento")),
         F.lit(", NDVI "), number("ndvi_mean_week"), F.lit(" com delta "), signed, F.lit("; posicao "), known("pair_position"), F.lit("; drivers provaveis: "), F.col("drivers_summary"),

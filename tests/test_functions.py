@@ -26,6 +26,13 @@ def test_text_and_states(spark):
     assert one(spark, X.redact_paths("x"), "/home/me/f") == ["/home/<user>/f"]
 
 
+def test_numbers_are_written_as_printf_does(spark):
+    values = [0.5, 1.5, 2.5, 5001508.5, 0.25, 0.35, -0.4, 1e15, 0.0005, -2.675, 0.0, 0.05, 0.005, -0.0005, 0.15, 0.0015, 1.005, 12.345]
+    for digits in (0, 1, 2, 3):
+        assert one(spark, X.fixed("x", digits), *values, None, schema="x double") == [*[f"{v:.{digits}f}" for v in values], None]
+        assert one(spark, X.fixed("x", digits, signed=True), *values, schema="x double") == [f"{v:+.{digits}f}" for v in values]
+
+
 def test_detections(spark):
     nested = '["[]", "[{\\"name\\":\\"Spodoptera spp.\\",\\"confidence\\":0.9}]"]'
     found = one(spark, F.transform(X.detections("x"), lambda r: r["name"]), nested, '[{"name":"a"},{"name":"b"}]', "bad", None, "[]")

@@ -62,6 +62,9 @@ def test_workspace(spark):
     parts = [base.select("season_id", c) for c in ("yield_mean_kg_ha", "population_mean_ha")]
     out = {r.season_id: r for r in WS.evidence_table(base.select("season_id", "treatment"), scenes, *parts, base.select("season_id", "electronic_traps", "conventional_traps", "avg_pest_count")).collect()}
     assert out["a"].ndvi_last == 0.5 and out["a"].diagnostic.startswith(WS.YIELD_TEXTS[0]) and "eletrônicas no entorno imediato (2)" in out["a"].diagnostic and "majoritariamente convencional" in out["b"].diagnostic
+    halves = base.select("season_id", F.lit(5001508.5).alias("population_mean_ha"))
+    out = WS.evidence_table(base.select("season_id", "treatment"), scenes, parts[0], halves, base.select("season_id", "electronic_traps", "conventional_traps", F.lit(0.25).alias("avg_pest_count")))
+    assert all("5001508 plantas/ha" in r.diagnostic and "próximas: 0.2." in r.diagnostic for r in out.collect())
     evidence = spark.createDataFrame([("a", 10.0)], "season_id string, yield_mean_kg_ha double")
     assert [(r.total_cost_per_ha_brl, r.kg_per_brl) for r in WS.cost_summary(spark.createDataFrame([("a", "2.5"), ("a", "x"), ("b", "0")], "season_id string, cost_per_ha_brl string"), evidence).orderBy("season_id").collect()] == [(2.5, 4.0), (0.0, None)]
 
