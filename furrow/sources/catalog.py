@@ -75,8 +75,8 @@ def time_span(df: DataFrame, path: str = "") -> tuple[str | None, str | None]:
     return tuple(None if x is None else x.strftime("%Y-%m-%d") for x in (low, high))
 
 
-#: Files above so many bytes have their rows estimated from a sample of so many.
-ESTIMATE_ABOVE, SAMPLE = 30 << 20, 4 << 20
+#: Bytes of a file's begin from which its rows are estimated, where that is asked for.
+SAMPLE = 4 << 20
 #: Values of a column that tell whether its dates begin with the day.
 DAY_SAMPLES = 20
 SEPARATORS = ",;\t|"
@@ -89,12 +89,12 @@ def _fields(line: Column, sep: Column) -> Column:
     return F.transform(parts, lambda f: F.regexp_replace(F.trim(f), '^"(.*)"$', "$1"))
 
 
-def file_catalog(spark: SparkSession, root: str, estimate_above: int = ESTIMATE_ABOVE, sample: int = SAMPLE) -> DataFrame:
+def file_catalog(spark: SparkSession, root: str, estimate_above: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """A row per CSV below root: path, size_bytes, encoding, separator, column_names, columns, rows, row_count_method, temporal_min, temporal_max.
 
     Everything is found in tasks over the files' splits: the encoding by all
-    bytes, the rows by line ends (estimated from the first sample bytes for
-    files above estimate_above), the times by all rows of columns named like
+    bytes, the rows by line ends (for files above estimate_above, if it is given,
+    estimated from the first sample bytes), the times by all rows of columns named like
     dates, or of file names in a column filename, which win. The separator is
     that of the source or, for others, the most frequent in the header. Quoted
     line ends count as rows. Files without a byte are left out, as Spark does.
@@ -105,7 +105,8 @@ def file_catalog(spark: SparkSession, root: str, estimate_above: int = ESTIMATE_
     # the last line may lack its end; the reader takes the three bytes of a byte-order mark off
     ends = n - F.when((F.sum(F.octet_length("value") + 1) - size).isin(1, -2), 1).otherwise(0)
     facts = lines.groupBy("path").agg(size.alias("size_bytes"), is_utf8().alias("utf8"), F.greatest(ends - 1, F.lit(0)).alias("exact"), F.min_by("value", order).alias("head"))
-    begin = lines.where((F.col("size") > estimate_above) & (F.col("block") < sample))
+    large = lambda size: F.lit(False) if estimate_above is None else F.col(size) > estimate_above
+    begin = lines.where(large("size") & (F.col("block") < sample))
     up_to = F.sum(F.octet_length("value") + 1).over(Window.partitionBy("path").orderBy("block", "at"))  # lines of a file's first splits
     sampled = begin.withColumn("end", up_to).where(F.col("end") <= sample).groupBy("path").agg(F.count(F.lit(1)).alias("sample_lines"))
     facts = facts.join(sampled, "path", "left")
@@ -117,10 +118,10 @@ def file_catalog(spark: SparkSession, root: str, estimate_above: int = ESTIMATE_
     counts = F.array(*[F.struct((F.length("head") - F.length(F.replace("head", F.lit(s)))).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(SEPARATORS)])
     facts = facts.withColumn("head", head).withColumn("separator", F.when(known, ";").otherwise(F.array_max(counts)["s"]))
     facts = facts.withColumn("column_names", _fields(F.col("head"), F.col("separator")))
-    large = F.col("size_bytes") > estimate_above
+    estimated = large("size_bytes")
     facts = staged(facts.select(
-        "path", "size_bytes", "utf8", "separator", "column_names", "head", F.when(large, estimated_rows(F.col("size_bytes"), F.coalesce("sample_lines", F.lit(0)), sample)).otherwise(F.col("exact")).cast("long").alias("rows"),
-        F.when(large, "estimado_por_tamanho").otherwise("exato").alias("row_count_method"),
+        "path", "size_bytes", "utf8", "separator", "column_names", "head", F.when(estimated, estimated_rows(F.col("size_bytes"), F.coalesce("sample_lines", F.lit(0)), sample)).otherwise(F.col("exact")).cast("long").alias("rows"),
+        F.when(estimated, "estimado_por_tamanho").otherwise("exato").alias("row_count_method"),
     ), "facts")
 
     lower = lambda c: F.lower(c)

@@ -95,6 +95,15 @@ def test_file_catalog_of_a_drop(spark, tmp_path):
     assert (out["late e.csv"].encoding, out["head.csv"].column_names, out["head.csv"].rows) == ("ISO-8859-1", ["a", "b"], 0)
 
 
+def test_rows_of_large_files_are_counted(spark, tmp_path):
+    from furrow.sources import catalog as K
+
+    # short lines first: an estimate from the file's begin tells far more rows
+    (tmp_path / "large.csv").write_bytes(b"a;b\n" + b"x;1\n" * 1_200_000 + (b"y" * 998 + b";\n") * 30_000)
+    (r,) = K.file_catalog(spark, str(tmp_path)).collect()
+    assert r.size_bytes > 30 << 20 and (r.rows, r.row_count_method) == (1_230_000, "exato")
+
+
 def test_a_late_letter_decides_the_encoding_of_its_file_alone(spark, tmp_path):
     (tmp_path / "one.csv").write_bytes(("a;b\n" + "x;1\n" * 40_000).encode() + "é;2\n".encode("latin-1"))
     (tmp_path / "two.csv").write_bytes("b;a\n3;ç\n".encode())
