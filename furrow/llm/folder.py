@@ -45,12 +45,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session while this lasts."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder, read back: its lineage ends there. The driver's end deletes it."""
+    """df as Parquet in the shared folder, read back: its lineage ends there, so its shuffles' files go at once. The driver's end deletes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/furrow-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     files, at = _path(spark, path)
     files.deleteOnExit(at)
     return spark.read.schema(schema).parquet(path)
@@ -81,13 +93,8 @@ def forgotten(spark: SparkSession, name: str) -> None:
 @contextmanager
 def single_rows(spark: SparkSession) -> Iterator[None]:
     """Rows go to Python one at a time while this lasts: for rows of some MB, so that a batch is one of them."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "1")
-    try:
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):
         yield
-    finally:
-        spark.conf.set(name, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -122,3 +122,18 @@ def test_very_long_text_and_its_near_copy(spark):
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from furrow.llm.folder import written
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "shuffle_" in f}
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    written(spark.range(1000).repartition(3), "left")
+    until = time.monotonic() + 20
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
