@@ -113,6 +113,14 @@ def distinct_joined(c: Column | str) -> Column:
     return F.array_join(F.array_sort(F.collect_set(F.when(F.trim(text) != "", text))), ", ")
 
 
+def exact_mean(c: Column | str) -> Column:
+    """Aggregate: the mean of doubles that are decimals of up to 10 digits before and 18 after the point, by an exact sum, whatever the order of rows; of others the plain mean."""
+    value = F.col(c) if isinstance(c, str) else c
+    decimal = value.try_cast("decimal(28,18)")
+    exact = F.bool_and(value.isNull() | F.coalesce(decimal.cast("double") == value, F.lit(False)))
+    return F.when(exact, F.avg(decimal).cast("double")).otherwise(F.avg(value))
+
+
 def short_id(*parts: Column | str, length: int = 16) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *parts).cast("binary")), 1, length)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.functions.exprs import exact_mean
 from furrow.operators.order import joined, quantile_row
 from furrow.sources.scratch import staged
 
@@ -78,10 +79,11 @@ def gaps(df: DataFrame, date: str, keys: list[str], ties: list[str], longer_than
 def scores(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """z_score (population deviation) and robust_z_score 0.6745 * (x - median) / MAD; null where the spread is 0.
 
+    The mean is exact, so that a row at it scores 0 and not a rest of either sign.
     Sums and medians by key are joined to the rows, of which a key may have any number.
     """
     df = staged(df, "scored")
-    sums = df.groupBy(*keys).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__sd"))
+    sums = df.groupBy(*keys).agg(exact_mean(value).alias("__mean"), F.stddev_pop(value).alias("__sd"))
     df = joined(joined(df, sums, keys), quantile_row(df, keys, {"__median": (value, 0.5)}), keys, "left")
     df = df.withColumn("__off", F.abs(F.col(value) - F.col("__median")))
     df = joined(df, quantile_row(df.select(*keys, "__off"), keys, {"__mad": ("__off", 0.5)}), keys, "left")

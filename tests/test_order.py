@@ -84,3 +84,13 @@ def test_spearman_equals_ranks_by_hand_with_ties_and_a_constant_side(spark):
             assert out[scope, feature].n == len(both)
         c = out[scope, "c"]
         assert (c.pearson, c.spearman, c.direction, c.strength) == (None, None, "sem_relacao", "sem_relacao")
+
+
+def test_a_row_at_the_mean_scores_zero_in_any_order(spark):
+    from furrow.operators.windows import scores
+
+    values = [0.1, 0.05, 0.03, 0.02, 0.05, 0.07, 0.03, 0.05]  # their mean is 0.05; sums of doubles in most orders miss it
+    rows = [(k, v) for k in range(40) for v in np.random.default_rng(k).permutation(values).tolist()]
+    rows += [(99, 1e30), (99, 3e30), (98, None), (98, 1.0)]
+    out = scores(spark.createDataFrame(rows, "k long, v double"), "v", ["k"]).collect()
+    assert {r.z_score for r in out if r.k < 40 and r.v == 0.05} == {0.0} and {round(r.z_score, 9) for r in out if r.k == 99} == {-1.0, 1.0}
