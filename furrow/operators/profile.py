@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from furrow.functions.exprs import text_key
+from furrow.functions.exprs import exact_mean, text_key
 from furrow.operators.order import joined, quantiles, unpivoted
 
 
@@ -19,8 +19,8 @@ def series_profile(value: Column) -> dict[str, Column]:
     skew = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * F.skewness(value))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(value) + 6))
     return {
-        "n": F.count(value), "missing": F.count_if(value.isNull()), "missing_ratio": F.avg(value.isNull().cast("double")), "mean": F.avg(value), "std": sd, "min": F.min(value),
-        "max": F.max(value), "cv": F.abs(F.try_divide(sd, F.avg(value))), "skewness": skew, "kurtosis": kurt,
+        "n": F.count(value), "missing": F.count_if(value.isNull()), "missing_ratio": F.avg(value.isNull().cast("double")), "mean": exact_mean(value), "std": sd, "min": F.min(value),
+        "max": F.max(value), "cv": F.abs(F.try_divide(sd, exact_mean(value))), "skewness": skew, "kurtosis": kurt,
     }
 
 
