@@ -36,6 +36,23 @@ def test_twenty_thousand_boxes_equal_brute_force(spark):
     assert len(got) == len(points)
 
 
+def test_places_meet_no_boxes_after_those_that_hold_them(spark, monkeypatch):
+    from furrow.operators import nearest as N
+
+    boxes = [(i, 0.0, 0.0, 1.0 + i % 7, 1.0, 0.5, 0.5) for i in range(20_000)] + [(20_000, 50.0, 0.0, 51.0, 1.0, 50.5, 0.5)]
+    places = spark.createDataFrame([(0.5, 0.5), (6.5, 0.5), (50.5, 0.5), (70.0, 0.5)], "lon double, lat double")
+    met, real = [], N.staged
+
+    def counted(df, name):
+        met.append((name, df.count()))
+        return real(df, name)
+
+    monkeypatch.setattr(N, "staged", counted)
+    out = {(r.lon, r.box) for r in N.containing_boxes(places, spark.createDataFrame(boxes, BOX), "season_id").collect()}
+    assert out == {(0.5, 0), (6.5, 6), (50.5, 20_000)}
+    assert [n for name, n in met if name == "left"] == [2, 2, 2]
+
+
 def test_few_boxes_by_either_way(spark):
     boxes, points = some_boxes(40, 3), [(i, -60 + i * 0.37 % 10, -30 + i * 0.73 % 10) for i in range(200)]
     df, held = spark.createDataFrame(points, "i long, centroid_lon double, centroid_lat double"), spark.createDataFrame(boxes, BOX)
