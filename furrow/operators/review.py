@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
+from furrow.functions.exprs import exact_mean
 from furrow.operators import pairs as P
 from furrow.operators.order import joined
 from furrow.operators.profile import numeric_profile
@@ -77,10 +78,11 @@ def stats_by_area(clean: DataFrame) -> DataFrame:
     """A field's images, weeks, first and last scene, mean cover and the profile of its index."""
     sums = clean.groupBy(*AREA).agg(
         F.count("ndvi_mean").alias("images_valid"), F.count_distinct("week_start").alias("weeks_with_scenes"), F.min("date").alias("scene_start"), F.max("date").alias("scene_end"), F.avg("soil_pct").alias("soil_pct_mean"),
-        F.avg("dense_veg_pct").alias("dense_veg_pct_mean"),
+        F.avg("dense_veg_pct").alias("dense_veg_pct_mean"), exact_mean("ndvi_mean").alias("__mean"),
     )
     profile = _counted(numeric_profile(clean, ["ndvi_mean"], list(AREA))).drop("variable")
-    return in_order(joined(sums, profile, list(AREA), "left"), "comparison_pair", "area_label")
+    out = joined(sums, profile, list(AREA), "left").withColumns({"mean": F.col("__mean"), "cv": F.abs(F.try_divide("std", "__mean"))})
+    return in_order(out.drop("__mean"), "comparison_pair", "area_label")
 
 
 def outliers(clean: DataFrame) -> DataFrame:

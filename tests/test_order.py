@@ -96,10 +96,12 @@ def test_a_row_at_the_mean_scores_zero_in_any_order(spark):
     assert {r.z_score for r in out if r.k < 40 and r.v == 0.05} == {0.0} and {round(r.z_score, 9) for r in out if r.k == 99} == {-1.0, 1.0}
 
 
-def test_the_mean_of_a_profile_is_exact_in_any_order(spark):
-    from furrow.operators.profile import numeric_profile
+def test_the_mean_of_an_area_is_exact_in_any_order(spark):
+    from furrow.operators.review import stats_by_area
 
     values = [0.1] * 4 + [0.05] * 3 + [0.07] * 9 + [0.09] * 16  # 2.62 of 32: 0.081875, which rounds up
     rows = [(k, v) for k in range(60) for v in np.random.default_rng(k).permutation(values).tolist()]
-    out = numeric_profile(spark.createDataFrame([*rows, (99, None)], "k long, v double"), ["v"], ["k"]).collect()
-    assert {r["mean"] for r in out} == {0.081875, None} and {r.n for r in out} == {32, 0}
+    df = spark.createDataFrame([*rows, (99, None)], "season_id long, ndvi_mean double")
+    names = {c: F.lit("x") for c in ("area_label", "treatment", "crop_type", "comparison_pair", "date", "week_start")}
+    out = stats_by_area(df.withColumns({**names, "soil_pct": F.lit(1.0), "dense_veg_pct": F.lit(2.0)})).collect()
+    assert {r["mean"] for r in out} == {0.081875, None} and {r["count"] for r in out} == {32, 0}
