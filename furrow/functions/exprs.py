@@ -60,7 +60,8 @@ def machine_state(c: Column | str) -> Column:
 
 
 def filename_date(c: Column | str) -> Column:
-    return F.try_to_date(F.regexp_extract(c, r"_(\d{4}-\d{2}-\d{2})\.(tiff|jpg)$", 1), "yyyy-MM-dd")
+    # a cast: no match is an empty text, which a format would turn down by an exception
+    return F.regexp_extract(c, r"_(\d{4}-\d{2}-\d{2})\.(tiff|jpg)$", 1).try_cast("date")
 
 
 def image_name(c: Column | str) -> Column:

@@ -281,7 +281,7 @@ def helpers_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File dates, image names, zones, lists, redaction, truth, guarded division, clipping, moments."""
     w = columns_of(read(spark, sf_dir, "lineitem"), WORDS)
     return w.select(
-        "doc", X.filename_date("file").alias("day"), X.image_name("file").alias("image"), X.strip_zone("zoned").alias("local"), F.array_join(F.array_sort(X.pipe_list("list")), ",").alias("items"), X.redact_paths("path").alias("hidden"), X.truthy("yes").alias("yes"),
+        "doc", X.filename_date("file").alias("day"), X.image_name("file").alias("image"), X.strip_zone("zoned").alias("local"), F.array_join(F.sort_array(X.pipe_list("list")), ",").alias("items"), X.redact_paths("path").alias("hidden"), X.truthy("yes").alias("yes"),
         F.round(X.safe_divide(F.col("a"), F.col("b").cast("double")), 6).alias("ratio"), X.clip01(F.col("a") / 40).cast("double").alias("clipped"), F.date_format(K.moment(F.col("when")), "yyyy-MM-dd HH:mm:ss").alias("at"),
     )
 

@@ -49,16 +49,26 @@ def image_dates(files: DataFrame) -> DataFrame:
     return named.select(F.regexp_extract("name", r"(?i)^ndvi_raw_(.*)_\d{4}", 1).alias("season_id"), F.try_to_date(F.regexp_extract("name", r"(\d{4}-\d{2}-\d{2})\.", 1), "yyyy-MM-dd").alias("date"), "path")
 
 
+def _shape(pattern: str) -> str:
+    """A regular expression that every text of a date format matches: its separators with digits between. A failed parse costs an exception, a failed match little."""
+    field = lambda m: {"'": "[Tt]", "X": r"\S*", "y": r"[+-]?\d+", ".": r"\."}.get(m[0][0], r"\d+")
+    return f"^{re.sub(r"'T'|([A-Za-z])\1*|[.]", field, pattern)}$"
+
+
 def moment(c: Column, day_first: Column | bool = True) -> Column:
-    """A time in any known format or as epoch seconds or milliseconds, within plausible years; else null. Dates with slashes begin with the day, or else the month."""
+    """A time in any known format or as epoch seconds or milliseconds, within plausible years; else null. Dates with slashes begin with the day, or else the month.
+
+    A text has the shape of one format at most, and only that one is tried.
+    """
     text = c.cast("string")
-    number = text.try_cast("double")
+    number = F.when(text.rlike(r"^[\x00-\x20]*\+?[0-9.]"), text.try_cast("double"))
     as_format = lambda f: F.try_to_timestamp(text, F.lit(f))
-    plain = [as_format(f) for f in FORMATS if "/" not in f]
-    slashed = [(as_format(f), as_format(f.replace("dd/MM", "MM/dd"))) for f in FORMATS if "/" in f]
     day = F.lit(day_first) if isinstance(day_first, bool) else day_first
-    plain += [F.when(day, a).otherwise(b) for a, b in slashed]
-    parsed = F.coalesce(*plain, F.when(number.between(9e8, 2.1e9), F.timestamp_seconds(number)), F.when(number.between(9e11, 2.1e12), F.timestamp_seconds(number / 1000)))
+    parsed = None
+    for f in FORMATS:
+        value = as_format(f) if "/" not in f else F.when(day, as_format(f)).otherwise(as_format(f.replace("dd/MM", "MM/dd")))
+        parsed = (F if parsed is None else parsed).when(text.rlike(_shape(f)), value)
+    parsed = parsed.otherwise(F.coalesce(F.when(number.between(9e8, 2.1e9), F.timestamp_seconds(number)), F.when(number.between(9e11, 2.1e12), F.timestamp_seconds(number / 1000))))
     return F.when(F.year(parsed).between(*YEARS), parsed)
 
 
