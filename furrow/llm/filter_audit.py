@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.folder import table, written
-from furrow.llm.rules import _SPACE, _parts
+from furrow.llm.rules import _parts
 
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT_PERCENT, MAX_CAPITALS_PERCENT, SYMBOLS = 200, 50, 3, "[#$%&*|]"
@@ -32,7 +32,7 @@ def failures(docs: DataFrame) -> DataFrame:
     text makes a hot key. An empty table has no rows.
     """
     text = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-    words = _parts(text, "words", _SPACE)
+    words = _parts(text, "words")
     counted = words.select("doc_id", "part", "text", F.size("words").alias("n"), F.size(F.array_distinct("words")).alias("distinct"))
     n, capitals = F.col("n"), F.length("text") - F.length(F.translate("text", _CAPITALS, ""))
     fails = [n < MIN_WORDS, 100 * F.col("distinct") < MIN_DISTINCT_PERCENT * n, 100 * capitals > MAX_CAPITALS_PERCENT * F.length("text"), F.col("text").rlike(SYMBOLS)]

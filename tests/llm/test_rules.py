@@ -5,7 +5,7 @@ from collections import Counter
 import xxhash
 from pyspark.sql import functions as F
 
-from furrow.llm.rules import _BETWEEN, BINS, THRESHOLD, _marks, _parts, base_rules, quality_rules, ratio_weights
+from furrow.llm.rules import _BETWEEN, BINS, THRESHOLD, _hashed, _marks, _parts, base_rules, quality_rules, ratio_weights
 
 
 def expected(text):
@@ -89,3 +89,12 @@ def test_trusted_ids_by_broadcast_or_dealt_give_the_same_and_shuffle_no_text(spa
     assert ratio_weights(*words_) == ratio_weights(*words_, most=0)
     marks, key, hit = _marks(ids)
     assert {r.doc_id for r in docs.withColumn("__key", F.expr(key)).join(marks, "__key").where(hit).collect()} == {i for i, _ in rows if i is not None and i in good}
+
+
+def test_tokens_are_found_without_looking_around_at_every_character(spark):
+    docs = spark.createDataFrame([(1, "$1 a,b (c) $0 \\d ...\t e")], "doc_id long, text string")
+    rows = _hashed(docs)
+    assert "(?" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    (row,) = rows.collect()
+    pairs = [h % BINS for h in row["__one"]] + list(row["__two"])
+    assert pairs == bins("$1 a,b (c) $0 \\d ...\t e")
